@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup
+from ratefield.llm import line_dedup, mixing, secrets
 
 QUERIES = {
+    "op5_source_mixing": mixing.query,
     "op7_line_dedup": line_dedup.query,
+    "op10_secret_scan": secrets.query,
 }
 
 ORACLES = {
