@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, secrets
+from ratefield.llm import line_dedup, mixing, ngram_join, secrets
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.query,
     "op5_source_mixing": mixing.query,
     "op7_line_dedup": line_dedup.query,
     "op10_secret_scan": secrets.query,
