@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, secrets
+from ratefield.llm import line_dedup, mixing, ngram_join, packing, secrets
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
     "op5_source_mixing": mixing.query,
+    "op6_pack_sequences": packing.query,
     "op7_line_dedup": line_dedup.query,
     "op10_secret_scan": secrets.query,
 }
 
 ORACLES = {
+    "op6_pack_sequences": packing.query,
     "op7_line_dedup": line_dedup.ORACLE,
 }
