@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, packing, secrets, token_store
+from ratefield.llm import line_dedup, mixing, ngram_join, packing, secrets, sketches, token_store
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_token_store": token_store.query,
+    "op4_document_fingerprints": sketches.query,
     "op5_source_mixing": mixing.query,
     "op6_pack_sequences": packing.query,
     "op7_line_dedup": line_dedup.query,
