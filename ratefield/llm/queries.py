@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, packing, secrets, sketches, token_store, toxicity
+from ratefield.llm import line_dedup, mixing, ngram_join, packing, quality, secrets, sketches, token_store, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op6_pack_sequences": packing.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_quality_ratio": quality.query,
     "op9_nearest_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
 }
