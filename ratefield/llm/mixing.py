@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import Scratch, documents, range_bounds, range_bucket, shuffle_partitions, word_count
+from ratefield.llm.common import WORD, Scratch, documents, range_bounds, range_bucket, shuffle_partitions, word_count
 
 BLOCK = 128
 SHARD = 1024
@@ -137,6 +137,26 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     return sources, both.select("doc_id", "source", "size", "block", "shard", "place", "copy", "begin", taken.alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """The mix as documents: docs' rows (doc_id, source, text, others) with the words that the mix takes, a row per copy.
+
+    Copy k of a document has the words of its blocks that are taken for the k-th time, with the blanks behind them. A
+    document of which nothing is taken goes. n_chars, if there, is that of the new text. Rows with equal doc_ids each
+    get all that is taken of that id in their source and size.
+    """
+    _, pieces = mix(docs.select("doc_id", "source", "text"), block, seed=seed)
+    runs = pieces.filter("taken > 0").groupBy("doc_id", "source", "size", "copy").agg(F.array_sort(F.collect_list(F.struct("begin", "taken"))).alias("runs"))
+    # at most three copies, each of at most a document's blocks
+    copies = runs.groupBy("doc_id", "source", "size").agg(F.collect_list("runs").alias("_copies")).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_n"})
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    both = sized.join(copies, same).withColumn("_words", F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    both = both.withColumn("_run", F.explode("_copies"))
+    text = F.array_join(F.flatten(F.transform("_run", lambda x: F.slice(F.col("_words"), (x["begin"] + 1).cast("int"), x["taken"].cast("int")))), "")
+    out = both.withColumn("text", text)
+    return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     sources, pieces = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     took = pieces.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, packing, quality, secrets, sketches, token_store, toxicity
+import corpus_pipeline
+from ratefield.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secrets, sketches, token_store, toxicity
 
 QUERIES = {
+    "op1_pii_surrogates": pii.query,
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_token_store": token_store.query,
     "op4_document_fingerprints": sketches.query,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_quality_ratio": quality.query,
     "op9_nearest_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
