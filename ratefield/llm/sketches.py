@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratefield.llm.common import Words, distinct_by_doc, documents, range_bounds, range_bucket, shuffle_partitions, slices, small_batches, text_bytes
 
@@ -81,7 +82,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, sca
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("fingerprint")
-    schema = docs.schema.add("fingerprint", "string")
+    schema = T.StructType([*docs.schema, T.StructField("fingerprint", T.StringType())])
     return docs.mapInArrow(_sketches(words, scale, text_col), schema)
 
 
