@@ -22,10 +22,15 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
 
 
+def correlation(x: str, y: str):
+    """Pearson's r of rows where both are present; null where either doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) over rows where both are present."""
     both = average_rank(average_rank(df.dropna(subset=[x, y]), x, "_rx"), y, "_ry")
-    return both.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return both.agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def rank_changes(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -76,4 +81,4 @@ def error_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     e = F.col(guess) - F.col(truth)
     both = (F.col(truth) > 0) & (F.col(guess) > 0)
     log_error = F.when(both, F.abs(F.log(F.when(both, F.col(guess))) - F.log(F.when(both, F.col(truth)))))
-    return df.dropna(subset=[truth, guess]).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(log_error).alias("male"), F.corr(truth, guess).alias("r"))
+    return df.dropna(subset=[truth, guess]).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(log_error).alias("male"), correlation(truth, guess).alias("r"))
