@@ -300,5 +300,6 @@ def collisions(entities: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = [F.size(F.filter("entities", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform("entities", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, "entities", "text")
