@@ -16,11 +16,12 @@ from ratefield.llm.common import Scratch, documents, small_batches
 #: Labelled rows to learn from at most, those with the least hash of doc_id; and terms at most.
 EXAMPLES = 20_000
 TERMS = 4_096
-CANDIDATES = 50_000
+CANDIDATES = 20_000
 #: A term: a word or a prefix of so many letters, at so many occurrences or more.
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
-LEAST_DOCS, LEAST_CHI2 = 5, 25.0
+#: chi-square of a term at least, and at least so large a share of the number of examples (squared correlation).
+LEAST_DOCS, LEAST_CHI2, LEAST_PHI2 = 5, 25.0, 0.015
 NEIGHBOURS = 15
 #: Votes that the share of label 1 among all examples weighs, in units of a neighbour at cosine 1.
 PRIOR = 1.0
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     vocabulary = Vocabulary([])
     if n1 and n0:
-        most = F.lit(max(LEAST_DOCS, n1 // 200))
+        most = F.lit(max(LEAST_DOCS, n1 // 100))
         first = sample.filter("label = 1").select("text").mapInArrow(_all_terms, "term string").groupBy("term").agg(F.count("*").alias("a")).filter(F.col("a") >= most)
         first = first.orderBy(F.desc("a"), "term").limit(CANDIDATES).toArrow().to_pydict()
         candidates = spark.sparkContext.broadcast(Vocabulary(first["term"]))
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
             c = b.get(i, 0)
             p = (a + c) / (n1 + n0)
             chi2 = ((a - n1 * p) ** 2 / (n1 * p) + (c - n0 * p) ** 2 / (n0 * p)) / max(1e-9, 1 - p)
-            if a / n1 > c / n0 and chi2 >= LEAST_CHI2:
+            if a / n1 > c / n0 and chi2 >= max(LEAST_CHI2, LEAST_PHI2 * (n1 + n0)):
                 scored.append((-chi2, term))
         vocabulary = Vocabulary([t for _, t in sorted(scored)[:TERMS]])
     rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(vocabulary)), "doc_id long, label int, terms array<long>").toArrow().to_pydict()
