@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +42,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/ratefield/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back: this cuts the lineage and survives the loss of executors."""
+    def table(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write df as Parquet and read it back: this cuts the lineage and survives the loss of executors.
+
+        narrow: rows are few bytes each, so two files a core are enough.
+        """
         path = f"{self.path}/{name}"
+        if narrow:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -58,7 +65,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts can be long."""
+    """Bound the rows of an Arrow batch, as texts can be long, and let Python workers find this library."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _HOME not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_HOME, *filter(None, paths)])
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

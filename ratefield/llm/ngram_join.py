@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, slices, small_batches, text_bytes
-from ratefield.llm.graph import components
+from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, shuffle_partitions, slices, small_batches, text_bytes
+from ratefield.llm.graph import components, forest_roots
 
 WORDS = 5
 #: A token is frequent, and enters by pairs, from so many documents on; by triples from the second number on.
@@ -37,58 +37,94 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mix64(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)) & ~np.uint64(1)).view(np.int64)
 
 
-def _profile(batches):
-    """A row for each document (doc_id, n, sig), and tokens that a chunk of documents has twice or more, with their number there."""
-    held: list[np.ndarray] = []
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of each token, by which tokens are counted. Tokens that share them count together, which is safe: more then seem shared."""
+    return (mix64(h.view(np.uint64)) >> np.uint64(16)).view(np.int64)
 
-    def counted():
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        token, count = token[count > 1], count[count > 1]
+
+def _count(buckets: int):
+    """Each chunk's tokens, six bytes each, by bucket."""
+
+    def packed(held):
+        v = _short(np.concatenate(held))
+        bucket = v % buckets
+        order = np.argsort(bucket, kind="stable")
+        raw = v[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        some, first = np.unique(bucket[order], return_index=True)
+        ends = np.append(first, len(v))
+        blobs = [raw[6 * ends[i] : 6 * ends[i + 1]] for i in range(len(some))]
         held.clear()
-        none = pa.nulls(len(token), pa.int64())
-        return pa.record_batch([none, none, none, pa.array(token), pa.array(count)], ["doc_id", "n", "sig", "token", "count"])
-
-    for batch in slices(batches):
-        h, at = _sets(batch)
-        none = pa.nulls(batch.num_rows, pa.int64())
-        ids = batch.column("doc_id").cast(pa.int64())
-        yield pa.record_batch([ids, pa.array(np.diff(at)), pa.array(_signatures(h, at)), none, none], ["doc_id", "n", "sig", "token", "count"])
-        held.append(h)
-        if sum(map(len, held)) >= _CHUNK:
-            yield counted()
+        return pa.record_batch([pa.array(some), pa.array(blobs, pa.binary())], ["bucket", "tokens"])
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for batch in slices(batches):
+            h, _ = _sets(batch)
+            held.append(h)
+            if sum(map(len, held)) >= _CHUNK:
+                yield packed(held)
+        if sum(map(len, held)):
+            yield packed(held)
+
+    return run
+
+
+def _merge(batches):
+    """Rows come by bucket: tokens that two documents or more have, with their number."""
+    held, bucket = [], None
+
+    def counted():
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        token, count = np.unique(wide.view("<i8").ravel(), return_counts=True)
+        more = count > 1
+        return pa.record_batch([pa.array(token[more]), pa.array(count[more])], ["token", "count"])
+
+    for batch in batches:
+        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            if b != bucket and held:
+                yield counted()
+                held = []
+            bucket = b
+            held.append(blob)
     if held:
         yield counted()
 
 
-def prefix_keys(tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The index keys of a set, and whether they are its rarest tokens alone. tokens: in rising order; kinds: 1 rare, 2 and 3 frequent.
+def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """The index keys of a set, and whether they are its rarest tokens alone.
 
-    The order of tokens is by kind, then hash. A partner at 0.75 or more lacks at most t = n // 4 of a set's tokens.
-    Among tokens of kind k in one subclass, k - 1 can be shared without sharing a combination of k, so a prefix where the
-    sum of (tokens - (k - 1)) over the subclasses passes t has a combination in common with the partner's prefix; that
-    holds for the one of the two prefixes that ends first. Subclasses are sized by the larger set's level (log2 of its
-    size), so a set that can have a partner one level up emits that level's keys too. Sets of a low level use single
-    tokens throughout. Keys of single rare tokens have the lowest bit 0, others 1.
+    tokens: in rising order; kinds: 1 rare, 2 and 3 frequent; shared: False for tokens that no other document has, which
+    need no key. The order of tokens is by kind, then hash. A partner at 0.75 or more lacks at most t = n // 4 of a
+    set's tokens; so a set of which more than t tokens are in no other document has no partner, and no key. Among tokens
+    of kind k (2 or 3) in one subclass, k - 1 can be shared without sharing a combination of k; a rare token is a key
+    itself. So a prefix where rare tokens plus the sum of (tokens - (k - 1)) over the subclasses passes t has a key in
+    common with the partner's prefix; that holds for the one of the two prefixes that ends first. Subclasses are sized by the larger set's level (log2 of its size), so a set
+    that can have a partner one level up emits that level's keys too. Sets of a low level use single tokens throughout.
+    Keys of rare tokens have the lowest bit 0, others 1.
     """
     n = len(tokens)
-    if not n:
-        return tokens, True
     lack = n // 4
-    rare = tokens[kinds == 1]
-    single = rare[: lack + 1] & ~np.int64(1)
+    if not n or shared is not None and n - int(shared.sum()) > lack:
+        return tokens[:0], True
+    first = np.flatnonzero(kinds == 1)
+    rare = tokens[first]
+    kept = first[: lack + 1]
+    single = (tokens[kept] if shared is None else tokens[kept[shared[kept]]]) & ~np.int64(1)
     if len(rare) > lack:
         return single, True
     keys = set()
     own = n.bit_length() - 1
-    often = sorted(zip(kinds[kinds > 1].tolist(), tokens[kinds > 1].tolist(), strict=True))
+    rest = sorted(zip(kinds[kinds > 1].tolist(), tokens[kinds > 1].tolist(), strict=True))
     for level in [own, own + 1] if 4 * n >= 3 << (own + 1) else [own]:
         left = lack + 1 - len(rare)
         groups: dict[tuple[int, int], list[int]] = {}
-        for kind, token in often:
+        for kind, token in rest:
             if left <= 0:
                 break
             if level < SMALL_LEVEL:
-                keys.add((level, token))
+                keys.add((0, token))
                 left -= 1
                 continue
             group = groups.setdefault((kind, (token >> 8) % max(1, (1 << level) // (10 if kind == 2 else 20))), [])
@@ -100,39 +136,75 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, bool
     return np.concatenate([single, packed.view(np.int64) | np.int64(1)]), False
 
 
-def _index(frequent):
+def _index(frequent, seen):
+    """Rows of two kinds: key and node (a set's signature, lowest bit 0 if its keys are rare tokens alone), and doc_id, n (size), s (tokens that another document may have) and node."""
+
     def run(batches):
         token, kind = frequent.value
         for batch in slices(batches):
             h, at = _sets(batch)
             sig = _signatures(h, at)
-            kinds = np.ones(len(h), np.int8)
+            v = _short(h)
+            kinds, shared = np.ones(len(h), np.int8), np.zeros(0, bool)
+            if len(h):
+                shared = _has(seen.value, v)
             if len(token) and len(h):
-                i = np.minimum(np.searchsorted(token, h), len(token) - 1)
-                kinds = np.where(token[i] == h, kind[i], 1)
-            keys, sigs = [], []
+                i = np.minimum(np.searchsorted(token, v), len(token) - 1)
+                kinds = np.where(token[i] == v, kind[i], kinds)
+            keys, plain = [], np.zeros(batch.num_rows, bool)
             for d in range(batch.num_rows):
-                k, plain = prefix_keys(h[at[d] : at[d + 1]], kinds[at[d] : at[d + 1]])
+                part = slice(at[d], at[d + 1])
+                k, plain[d] = prefix_keys(h[part], kinds[part], shared[part])
                 keys.append(k)
-                sigs.append(np.full(len(k), sig[d] | (0 if plain else 1), np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], ["key", "node"])
+            node = sig | np.where(plain, 0, 1)
+            size = np.array([len(k) for k in keys])
+            none = pa.nulls(int(size.sum()), pa.int64())
+            total = np.concatenate([[0], np.cumsum(shared)])
+            names = ["doc_id", "n", "s", "key", "node"]
+            yield pa.record_batch([none, none, none, pa.array(np.concatenate(keys)), pa.array(np.repeat(node, size))], names)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), pa.nulls(batch.num_rows, pa.int64()), pa.array(node)], names)
 
     return run
 
 
+#: Bits of the filter of tokens that two documents have, and of the filter of documents to compare.
+_TOKEN_BITS = 25
 _BITS = 25
 
 
-def _slots(h: int) -> list[int]:
-    return [(h >> s) & ((1 << _BITS) - 1) for s in (0, 13, 26, 39)]
+_SHIFTS = (0, 19, 38)
+
+
+def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter lets pass."""
+    size = len(bits) * 32 - 1
+    h = _xxh64(values)
+    out = np.ones(len(values), bool)
+    for s in _SHIFTS:
+        p = (h >> np.uint64(s)).astype(np.int64) & size
+        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+    return out
+
+
+def _xxh64(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs (seed 42), as public XXH64 defines it for eight bytes."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    k = turn(values.view(np.uint64) * p2, 31) * p1
+    h = turn((np.uint64(42) + p5 + np.uint64(8)) ^ k, 27) * p1 + p4
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    return h ^ (h >> np.uint64(32))
 
 
-def _bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of 4 MB over an id column; what it lets pass is joined exactly later."""
+def _bloom(ids: DataFrame, column: str, size: int = _BITS) -> np.ndarray:
+    """A Bloom filter of 2**size bits over a column of longs, whatever its rows; what it lets pass in error costs time only."""
     h = F.xxhash64(column)
-    slots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << _BITS) - 1)) for s in (0, 13, 26, 39)])).alias("p"))
+    slots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << size) - 1)) for s in _SHIFTS])).alias("p"))
     words = slots.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 5), np.uint32)
+    out = np.zeros(1 << (size - 5), np.uint32)
     out[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out
 
@@ -141,9 +213,9 @@ def _chosen_sets(bloom):
     def run(batches):
         bits = bloom.value
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            hit = [i is not None and all(bits[p >> 5] >> (p & 31) & 1 for p in _slots(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))) for i in ids]
-            for part in slices([batch.filter(pa.array(hit, pa.bool_()))]):
+            ids = batch.column("doc_id").cast(pa.int64())
+            hit = _has(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for part in slices([batch.filter(pa.array(hit))]):
                 h, at = _sets(part)
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(_signatures(h, at)), tokens], ["doc_id", "sig", "tokens"])
@@ -159,15 +231,22 @@ class NgramJoin:
         small_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.scratch = Scratch(self.spark, "ngram")
-        profile = self.scratch.table(self.docs.mapInArrow(_profile, "doc_id long, n long, sig long, token long, count long"), "profile")
-        self.sets = profile.filter("n is not null").select("doc_id", "n", "sig")
-        self.counts = profile.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT[0])
-        classes = self.sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-        self.classes = self.scratch.table(classes, "classes")
-
-    def frequent(self):
+        # a bucket's tokens are held by one task at a time: a sixteenth of a shuffle partition
+        parts = shuffle_partitions(self.spark)
+        counts = self.docs.mapInArrow(_count(16 * parts), "bucket long, tokens binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        counts = self.scratch.table(counts.mapInArrow(_merge, "token long, count long"), "counts")
+        seen = self.spark.sparkContext.broadcast(_bloom(counts, "token", _TOKEN_BITS))
+        index = self.docs.mapInArrow(_index(self.frequent(counts), seen), "doc_id long, n long, s long, key long, node long")
+        index = self.scratch.table(index, "index")
+        self.scratch.drop("counts")
+        self.sets = index.filter("n is not null").select("doc_id", "n", "s", F.expr("node & ~1L").alias("sig"))
+        self.keys = index.filter("key is not null").select("key", "node")
+        classes = self.sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.max("s").alias("s"))
+        self.classes = self.scratch.table(classes, "classes", narrow=True)
+
+    def frequent(self, counts: DataFrame):
         """Broadcast the frequent tokens with their kinds; the least count rises, by doubling, until they are few enough."""
-        found = self.scratch.table(self.counts, "frequent")
+        found = counts.filter(F.col("count") >= FREQUENT[0])
         by_size = {int(r[0]): r[1] for r in found.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()}
         least, total = FREQUENT[0], sum(by_size.values())
         while total > MOST_FREQUENT:
@@ -179,25 +258,24 @@ class NgramJoin:
         return self.spark.sparkContext.broadcast((token[order], np.where(count[order] >= FREQUENT[1], 3, 2).astype(np.int8)))
 
     def shared(self) -> DataFrame:
-        """Index entries (key, node, sig, n) of keys that two different sets have."""
-        rows = self.docs.mapInArrow(_index(self.frequent()), "key long, node long")
+        """Index entries (key, node, sig, n, s) of keys that two different sets have."""
         w = Window.partitionBy("key")
-        rows = rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo < hi").select("key", "node").distinct()
+        rows = self.keys.distinct().withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo < hi").select("key", "node")
         rows = rows.withColumn("sig", F.expr("node & ~1L"))
-        return self.scratch.table(rows.join(self.classes.select("sig", "n"), "sig"), "shared")
+        return self.scratch.table(rows.join(self.classes.select("sig", "n", "s"), "sig"), "shared")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b, na, nb) those whose sets are alike: 100 * intersection >= 75 * union."""
-        pairs = self.scratch.table(pairs.select("a", "b", "na", "nb"), f"{name}-pairs")
+        pairs = self.scratch.table(pairs.select("a", "b", "na", "nb"), f"{name}-pairs", narrow=True)
         need = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        first = self.scratch.table(self.classes.join(need, "sig", "left_semi").select(F.col("first").alias("doc_id"), "sig"), f"{name}-first")
+        first = self.scratch.table(self.classes.join(need, "sig", "left_semi").select(F.col("first").alias("doc_id"), "sig"), f"{name}-first", narrow=True)
         bloom = self.spark.sparkContext.broadcast(_bloom(first, "doc_id"))
         sets = self.docs.mapInArrow(_chosen_sets(bloom), "doc_id long, sig long, tokens array<long>")
         sets = self.scratch.table(sets.join(first, ["doc_id", "sig"], "left_semi").select("sig", "tokens").dropDuplicates(["sig"]), f"{name}-sets")
         one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a")
         two = one.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
         alike = two.filter(7 * F.size(F.array_intersect("ta", "tb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
-        alike = self.scratch.table(alike, f"{name}-links")
+        alike = self.scratch.table(alike, f"{name}-links", narrow=True)
         self.scratch.drop(f"{name}-sets")
         return alike
 
@@ -212,39 +290,53 @@ class NgramJoin:
         most = F.when(F.col("pa") & F.col("pb"), F.greatest(rest(na), rest(nb))).when(F.col("pa"), rest(na)).when(F.col("pb"), rest(nb))
         return most.isNull() | (7 * (m + most) >= 3 * (na + nb))
 
-    def links(self, rounds: int = 4) -> DataFrame:
-        """All links needed for components: what isn't compared lies in one component already.
+    def components(self, rounds: int = 4) -> DataFrame:
+        """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
 
-        A key's entries are first compared with one of them, by rounds, which joins groups of copies to components; then
-        each pair of different components' entries is compared. A round more is made while such pairs would be many.
+        A key's entries are first compared with one of them (the first in a keyed order; the parent that most keys name
+        is verified), which joins groups of copies to components; then each pair of different components' entries is
+        compared. Pairs within a component aren't. A round more is made while the pairs left would be many.
         """
         shared = self.shared()
-        rows, links = shared.count(), None
-        size_fits = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+        rows, roots = shared.count(), None
+        size_fits = "4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * least(sa, sb) >= 3 * (na + nb)"
         for k in range(rounds + 1):
             at = shared.withColumn("comp", F.col("sig"))
-            if links is not None:
-                roots = components(links, self.scratch, f"cc{k}-")
-                at = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+            if roots is not None:
+                at = shared.join(roots.withColumnRenamed("root", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
                 per = at.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-                several = per.filter("k > 1")
-                work = several.agg(F.sum(F.col("s") * F.col("s") - F.col("q"))).first()[0] or 0.0
-                at = self.scratch.table(at.join(several.select("key"), "key", "left_semi"), f"at{k}")
+                several = self.scratch.table(per.filter("k > 1").select("key", (F.col("s") * F.col("s") - F.col("q")).alias("work")), f"several{k}", narrow=True)
+                work = several.agg(F.sum("work")).first()[0] or 0.0
+                at = self.scratch.table(at.join(several.select("key"), "key", "left_semi"), f"at{k}", narrow=True)
                 if work <= 8 * rows or k == rounds:
                     break
-            pick = F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "node", "n", "comp"))
-            lead = at.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.node").alias("nodeb"), F.col("p.n").alias("nb"), F.col("p.comp").alias("compb"))
-            met = at.join(lead, "key").filter("comp <> compb").withColumnsRenamed({"sig": "a", "n": "na"}).filter(size_fits)
+            pick = F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "node", "n", "s", "comp"))
+            lead = at.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.node").alias("nodeb"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"), F.col("p.comp").alias("compb"))
+            met = at.join(lead, "key").filter("comp <> compb").withColumnsRenamed({"sig": "a", "n": "na", "s": "sa"}).filter(size_fits)
             met = met.groupBy("a", "b", "na", "nb", (F.expr("node & 1") == 0).alias("pa"), (F.expr("nodeb & 1") == 0).alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"), F.count("*").alias("c"))
             best = met.filter(self.can_link(F.col("m"))).groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("p")).select("a", "p.b", "p.na", "p.nb")
-            found = self.verify(best, f"star{k}")
-            links = found if links is None else self.scratch.table(links.unionByName(found), f"links{k}")
-        one = at.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), (F.expr("node & 1") == 0).alias("pa"))
-        two = at.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.expr("node & 1") == 0).alias("pb"))
+            # parents come first in the round's order of sets, so they make a forest
+            up = forest_roots(self.verify(best, f"star{k}"))
+            if roots is None:
+                roots = self.scratch.table(up.withColumnsRenamed({"node": "sig"}), f"roots{k}", narrow=True)
+            else:
+                roots = self._merged(roots, up.select(F.col("node").alias("a"), F.col("root").alias("b")), f"roots{k}")
+        one = at.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), (F.expr("node & 1") == 0).alias("pa"))
+        two = at.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), (F.expr("node & 1") == 0).alias("pb"))
         met = one.join(two, "key").filter("a < b AND ca <> cb").filter(size_fits)
         met = met.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
-        rest = self.verify(met.filter(self.can_link(F.col("m"))), "rest")
-        return self.scratch.table(links.unionByName(rest), "links")
+        return self._merged(roots, self.verify(met.filter(self.can_link(F.col("m"))), "rest"), "roots")
+
+    def _merged(self, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Roots after links (a, b) more: the components of a graph whose nodes are roots."""
+        of = lambda c: roots.select(F.col("sig").alias(c), F.col("root").alias(f"r{c}"))
+        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        # a root that has a root itself: a forest deeper than the doublings
+        deep = roots.select(F.col("root").alias("a")).distinct().join(of("a"), "a").select("a", F.col("ra").alias("b"))
+        top = components(edges.unionByName(deep), self.scratch, f"{name}-cc")
+        above = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("sig", F.coalesce("top", "root").alias("root"))
+        own = top.select(F.col("node").alias("sig"), "root").join(roots, "sig", "left_anti")
+        return self.scratch.table(above.unionByName(own), name, narrow=True)
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -256,10 +348,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     their sets say; each row gives a row. A null doc_id takes part, and is no component's name unless all its rows' ids are null.
     """
     join = NgramJoin(docs)
-    roots = components(join.links(), join.scratch)
-    named = join.classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = join.classes.join(join.components(), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = join.scratch.table(named.join(names, "root").select("sig", "component_id"), "names")
+    names = join.scratch.table(named.join(names, "root").select("sig", "component_id"), "names", narrow=True)
     out = join.sets.join(names, "sig", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -20,6 +20,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op6_pack_sequences": packing.query,
     "op7_line_dedup": line_dedup.ORACLE,
 }
