@@ -103,7 +103,8 @@ def block_slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed
     # in two steps: runs of a thousand slots are dealt out before they are spelled out
     run = 1000
     s = s.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / run))))
-    s = s.repartition("source", "_run")
+    # a number of partitions is given, as small rows that grow a thousandfold would else be put into one task
+    s = s.repartition(shuffle_partitions(sources.sparkSession), "source", "_run")
     s = s.withColumn("_i", F.explode(F.sequence(F.col("_run") * run, F.least(F.col("_slots"), (F.col("_run") + 1) * run) - 1)))
     s = s.withColumn("copy", F.floor(F.col("_i") / F.col("_blocks")).cast("long")).withColumn("_pos", F.pmod("_i", "_blocks"))
     key = [F.lit(seed), F.coalesce("source", F.lit("\0null")), F.col("copy")]

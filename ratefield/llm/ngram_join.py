@@ -290,10 +290,10 @@ class NgramJoin:
         most = F.when(F.col("pa") & F.col("pb"), F.greatest(rest(na), rest(nb))).when(F.col("pa"), rest(na)).when(F.col("pb"), rest(nb))
         return most.isNull() | (7 * (m + most) >= 3 * (na + nb))
 
-    def components(self, rounds: int = 4) -> DataFrame:
+    def components(self, rounds: int = 1) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
 
-        A key's entries are first compared with one of them (the first in a keyed order; the parent that most keys name
+        A key's entries are first compared with one of them (the first in an order of sets; the parent that most keys name
         is verified), which joins groups of copies to components; then each pair of different components' entries is
         compared. Pairs within a component aren't. A round more is made while the pairs left would be many.
         """
@@ -310,7 +310,9 @@ class NgramJoin:
                 at = self.scratch.table(at.join(several.select("key"), "key", "left_semi"), f"at{k}", narrow=True)
                 if work <= 8 * rows or k == rounds:
                     break
-            pick = F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "node", "n", "s", "comp"))
+            # the set with the fewest tokens of its own is likely the one that others were copied from
+            own = 1 - F.col("s") / F.col("n") if k == 0 else F.lit(0.0)
+            pick = F.min(F.struct(own.alias("own"), F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "node", "n", "s", "comp"))
             lead = at.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.node").alias("nodeb"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"), F.col("p.comp").alias("compb"))
             met = at.join(lead, "key").filter("comp <> compb").withColumnsRenamed({"sig": "a", "n": "na", "s": "sa"}).filter(size_fits)
             met = met.groupBy("a", "b", "na", "nb", (F.expr("node & 1") == 0).alias("pa"), (F.expr("nodeb & 1") == 0).alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"), F.count("*").alias("c"))
