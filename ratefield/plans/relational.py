@@ -392,9 +392,19 @@ def anchor_offset(t):
     return t.conversations.select("conv_id", "turn", "role", F.lag("role", 1).over(w).alias("role_before"), F.coalesce(F.lag("turn", 2).over(w), F.lit(-1)).alias("turn_before_2")).filter("role = 'assistant'")
 
 
+def searched(t):
+    """Every part whose name or brand has the term."""
+    return t.part.filter(tx.has_word(F.col("p_name"), "re") | tx.has_word(F.col("p_brand"), "#1")).select("p_partkey", "p_name")
+
+
 @bound("search_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), '#1') ORDER BY p_name, p_partkey LIMIT 200")
 def search_filter(t):
-    return t.part.filter(tx.has_word(F.col("p_name"), "re") | tx.has_word(F.col("p_brand"), "#1")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(200)
+    return searched(t).orderBy("p_name", "p_partkey").limit(200)
+
+
+@bound("search_all", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), '#1')")
+def search_all(t):
+    return searched(t)
 
 
 @bound("map_payload", f"WITH {UNITS_SQL} SELECT n_regionkey, to_json({{'r': n_regionkey, 'c': CAST(sum(customers) AS BIGINT), 'o': CAST(sum(orders) AS BIGINT)}}) AS payload FROM units GROUP BY n_regionkey")

@@ -206,3 +206,10 @@ def test_stream(spark, tmp_path):
     query = windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windowed").agg(F.sum("events")).first()[0] == 500
+
+
+def test_search_returns_every_match(spark):
+    part = pd.read_parquet("/root/testdata/sf0.01/part.parquet")
+    want = part[part["p_name"].str.lower().str.contains("re", regex=False) | part["p_brand"].str.lower().str.contains("#1", regex=False)]
+    got = catalog.QUERIES["search_all"](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(want) > 200 and sorted(got["p_partkey"]) == sorted(want["p_partkey"])
