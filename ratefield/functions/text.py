@@ -115,5 +115,7 @@ def variants_score(a: list[str], b: list[str]) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Score of two names' variants."""
-    return pd.Series([variants_score(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+    """Score of two names' variants; equal pairs of a batch are scored once."""
+    pairs = [(tuple(x), tuple(y)) for x, y in zip(a, b, strict=True)]
+    scores = {p: variants_score(list(p[0]), list(p[1])) for p in set(pairs)}
+    return pd.Series([scores[p] for p in pairs], dtype=float)

@@ -12,12 +12,12 @@ from ratefield.operators.graphs import components
 from ratefield.operators.spatial import distance_join
 
 
-def candidates(a: DataFrame, b: DataFrame, radius_m: float = 300.0, threshold: float = 65.0) -> DataFrame:
-    """Pairs within the radius whose names score the threshold: a_id, b_id, score, distance_m. a: a_id, a_name, a_lat, a_lon; b likewise."""
+def candidates(a: DataFrame, b: DataFrame, radius_m: float = 300.0, threshold: float = 65.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within the radius, equal in the columns `by`, whose names score the threshold: a_id, b_id, score, distance_m. a: a_id, a_name, a_lat, a_lon; b likewise."""
     left = a.withColumn("_va", name_variants(F.col("a_name")))
     right = b.withColumn("_vb", name_variants(F.col("b_name")))
-    near = distance_join(left, right, radius_m).withColumn("score", name_score("_va", "_vb"))
-    return near.filter(F.col("score") >= threshold).select("a_id", "b_id", "score", "distance_m")
+    near = distance_join(left, right, radius_m, by).withColumn("score", name_score("_va", "_vb"))
+    return near.filter(F.col("score") >= threshold).select("a_id", "b_id", "score", "distance_m", *by)
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _best(part: pd.DataFrame) -> pd.DataFrame:
     rows, cols = sorted(part["a_id"].unique()), sorted(part["b_id"].unique())
     r, c = {k: i for i, k in enumerate(rows)}, {k: i for i, k in enumerate(cols)}
     # a dummy column for each row costs more than any set of scores
-    none = 1e6
+    none = max(1e6, 200.0 * len(rows))
     cost = np.full((len(rows), len(cols) + len(rows)), none)
     found = {}
     for x in part.itertuples():
@@ -66,8 +66,31 @@ def _best(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a_id", "b_id", "score", "distance_m"])
 
 
-def match_optimal(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of candidate pairs. Each component of the candidate graph is a task's group; it is as large as a cluster of near, alike records."""
+def _best_parts(block: pd.DataFrame) -> pd.DataFrame:
+    """The best matches of each component of a block's candidates."""
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(block["a_id"], block["b_id"], strict=True):
+        root[top(("a", i))] = top(("b", j))
+    number: dict = {}
+    parts = np.array([number.setdefault(top(("a", i)), len(number)) for i in block["a_id"]])
+    return pd.concat([_best(block[parts == k]) for k in range(len(number))])
+
+
+def match_optimal(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One-to-one matches of candidate pairs. Each component of the candidate graph is a task's group; it is as large as a cluster of near, alike records.
+
+    With blocks (columns `by`, equal in all pairs of a component) a block is a group, and its components are found in the task.
+    """
+    if by:
+        kept = pairs.select("a_id", "b_id", "score", "distance_m", *by)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(*by).schema)
+        return kept.groupBy(*by).applyInPandas(lambda p: _best_parts(p), schema)
     nodes = pairs.select(F.concat(F.lit("a"), F.col("a_id").cast("string")).alias("src"), F.concat(F.lit("b"), F.col("b_id").cast("string")).alias("dst"), "*")
     ends = nodes.select(F.col("src").alias("node")).union(nodes.select("dst")).distinct()
     parts = components(ends, nodes.select("src", "dst"))
@@ -75,11 +98,11 @@ def match_optimal(pairs: DataFrame) -> DataFrame:
     return nodes.join(parts.withColumnRenamed("node", "src"), "src").select("component", "a_id", "b_id", "score", "distance_m").groupBy("component").applyInPandas(lambda p: _best(p), schema)
 
 
-def match_staged(a: DataFrame, b: DataFrame, stages: list[tuple[float, float]] = ((300.0, 65.0), (150.0, 55.0), (5000.0, 90.0))) -> DataFrame:
+def match_staged(a: DataFrame, b: DataFrame, stages: list[tuple[float, float]] = ((300.0, 65.0), (150.0, 55.0), (5000.0, 90.0)), by: tuple[str, ...] = ()) -> DataFrame:
     """Match in stages (radius, threshold): each sees the records that earlier ones left. Every row of a, with b_id, score, distance_m and stage, or nulls."""
     done, left, right = None, a, b
     for k, (radius, threshold) in enumerate(stages):
-        got = match_optimal(candidates(left, right, radius, threshold)).withColumn("stage", F.lit(k))
+        got = match_optimal(candidates(left, right, radius, threshold, by), by).withColumn("stage", F.lit(k))
         got = got.checkpoint()
         done = got if done is None else done.unionByName(got)
         left, right = left.join(got.select("a_id"), "a_id", "left_anti"), right.join(got.select("b_id"), "b_id", "left_anti")
@@ -91,13 +114,19 @@ def match_in_blocks(a: DataFrame, b: DataFrame, block: str, threshold: float = 6
     ids = [f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("a_id", a), ("b_id", b))]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        free = list(y.sort_values("b_id")[["b_id", "_n"]].itertuples(index=False))
+        # the b left of each name, last first; equal names score alike, so that the least b_id of each name stands for it
+        free = {n: ids[::-1] for n, ids in y.sort_values("b_id").groupby("_n")["b_id"].agg(list).items() if n}
+        scores: dict[str, list[tuple[float, str]]] = {}
         out = []
-        for row in x.sort_values("a_id").itertuples():
-            scores = [sorted_ratio(row._asdict()["n_"], n) if n and row._asdict()["n_"] else 0.0 for _, n in free]
-            if scores and max(scores) >= threshold:
-                k = scores.index(max(scores))
-                out.append((row.a_id, free.pop(k)[0], max(scores)))
+        for row in x.sort_values("a_id")[["a_id", "n_"]].itertuples(index=False):
+            a_id, name = row
+            if name not in scores:
+                scores[name] = [(score, n) for n in free if name and (score := sorted_ratio(name, n)) >= threshold]
+            left = [(-score, free[n][-1], n) for score, n in scores[name] if free[n]]
+            if left:
+                score, b_id, n = min(left)
+                free[n].pop()
+                out.append((a_id, b_id, -score))
         return pd.DataFrame(out, columns=["a_id", "b_id", "score"])
 
     left = a.select("a_id", block, normal_name(F.col("a_name")).alias("n_")).groupBy(block)

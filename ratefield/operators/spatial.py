@@ -23,8 +23,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of a (a_id, a_lat, a_lon, ..) and b (b_id, b_lat, b_lon, ..) within a radius, with distance_m.
+def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a (a_id, a_lat, a_lon, ..) and b (b_id, b_lat, b_lon, ..) within a radius, with distance_m; equal in the columns `by`.
 
     Points fall in cells as high as the radius; cells are as wide as it is at the row of cells nearest to the pole, so
     that a partner lies in the same cell or one beside it. Each b point is copied to its nine cells and joined by cell.
@@ -42,7 +42,7 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
     here = a.filter("a_lat is not null and a_lon is not null").withColumn("_r", row(F.col("a_lat"))).withColumn("_c", column(F.col("a_lon"), F.col("_r")))
     there = b.filter("b_lat is not null and b_lon is not null").withColumn("_r", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: row(F.col("b_lat")) + d)))
     there = there.withColumn("_c", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: column(F.col("b_lon"), F.col("_r")) + d)))
-    both = here.join(there, ["_r", "_c"]).withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    both = here.join(there, [*by, "_r", "_c"]).withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
     return both.filter(F.col("distance_m") <= radius_m).drop("_r", "_c")
 
 

@@ -326,41 +326,43 @@ def name_normalise(t):
     return t.part.select("p_partkey", tx.normal_name(F.col("p_name")).alias("clean"), tx.normal_name(F.col("p_brand")).alias("brand"))
 
 
-def branded(t, brand, side):
-    """Distinct names of a brand, placed by their part's number."""
-    p = t.part.filter(F.col("p_brand") == brand).groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    lat, lon = 40 + (F.col("k") % 7) * 0.001, (F.col("k") % 5) * 0.001
-    return p.select(F.col("k").alias(f"{side}_id"), F.col("p_name").alias(f"{side}_name"), lat.alias(f"{side}_lat"), lon.alias(f"{side}_lon"))
+def half(t, side, rest):
+    """The parts with an even (0) or odd (1) key, each a record, placed by its number; brands are blocks, parts without one are a block too."""
+    k = F.col("p_partkey")
+    lat, lon = 40 + (k % 7) * 0.001, (k % 5) * 0.001
+    p = t.part.filter(F.pmod(k, F.lit(2)) == rest)
+    return p.select(k.alias(f"{side}_id"), F.coalesce("p_name", F.lit("")).alias(f"{side}_name"), lat.alias(f"{side}_lat"), lon.alias(f"{side}_lon"), F.coalesce("p_brand", F.lit("")).alias("block"))
 
 
-def two_brands(t):
-    brands = [r[0] for r in t.part.select("p_brand").distinct().orderBy("p_brand").limit(2).collect()]
-    return branded(t, brands[0], "a"), branded(t, brands[-1], "b")
+def halves(t):
+    return half(t, "a", 0), half(t, "b", 1)
 
 
 @bound("name_similarity")
 def name_similarity(t):
-    a, b = two_brands(t)
-    both = a.crossJoin(F.broadcast(b))
-    return both.select("a_id", "b_id", linkage.name_score(tx.name_variants(F.col("a_name")), tx.name_variants(F.col("b_name"))).alias("score"))
+    """Scores of all pairs of a block; equal names are scored once."""
+    a, b = halves(t)
+    names = a.select("block", "a_name").distinct().join(b.select("block", "b_name").distinct(), "block")
+    scored = names.withColumn("score", linkage.name_score(tx.name_variants(F.col("a_name")), tx.name_variants(F.col("b_name"))))
+    return a.join(scored, ["block", "a_name"]).join(b, ["block", "b_name"]).select("a_id", "b_id", "score")
 
 
 @bound("match_optimal")
 def match_optimal(t):
-    a, b = two_brands(t)
-    return linkage.match_optimal(linkage.candidates(a, b))
+    a, b = halves(t)
+    return linkage.match_optimal(linkage.candidates(a, b, by=("block",)), ("block",))
 
 
 @bound("match_staged")
 def match_staged(t):
-    a, b = two_brands(t)
-    return linkage.match_staged(a, b)
+    a, b = halves(t)
+    return linkage.match_staged(a, b, by=("block",))
 
 
 @bound("match_greedy")
 def match_greedy(t):
-    a, b = two_brands(t)
-    return linkage.match_in_blocks(a.withColumn("block", F.col("a_id") % 3), b.withColumn("block", F.col("b_id") % 3), "block")
+    a, b = halves(t)
+    return linkage.match_in_blocks(a, b, "block")
 
 
 @bound("self_dedup")

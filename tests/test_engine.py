@@ -213,3 +213,39 @@ def test_search_returns_every_match(spark):
     want = part[part["p_name"].str.lower().str.contains("re", regex=False) | part["p_brand"].str.lower().str.contains("#1", regex=False)]
     got = catalog.QUERIES["search_all"](spark, "/root/testdata/sf0.01").toPandas()
     assert len(want) > 200 and sorted(got["p_partkey"]) == sorted(want["p_partkey"])
+
+
+def test_linkage_takes_every_part(spark):
+    part = pd.read_parquet(f"{DATA}/part.parquet")
+    score = lambda x, y: tx.variants_score([x], [y])
+    halves = [[(r.p_partkey, r.p_name, r.p_brand) for r in part.sort_values("p_partkey").itertuples() if r.p_partkey % 2 == k] for k in (0, 1)]
+    want = {(a[0], b[0]): score(a[1], b[1]) for a in halves[0] for b in halves[1] if a[2] == b[2]}
+    got = {(r["a_id"], r["b_id"]): r["score"] for r in catalog.QUERIES["name_similarity"](spark, DATA).collect()}
+    assert len(want) > 64 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    greedy, free = {}, list(halves[1])
+    for a in halves[0]:
+        best = max((b for b in free if b[2] == a[2]), key=lambda b: (score(a[1], b[1]), -b[0]), default=None)
+        if best and score(a[1], best[1]) >= 65:
+            free.remove(best)
+            greedy[a[0]] = best[0]
+    assert {r["a_id"]: r["b_id"] for r in catalog.QUERIES["match_greedy"](spark, DATA).collect()} == greedy
+    place = lambda k: (40 + k % 7 * 0.001, k % 5 * 0.001)
+
+    def metres(a, b):
+        (p, x), (q, y) = map(place, (a, b))
+        h = math.sin(math.radians(q - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(q)) * math.sin(math.radians(y - x) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    # most pairs first, then the sum of scores: an assignment of each brand
+    near = {k: s for k, s in want.items() if s >= 65 and metres(*k) <= 300}
+    most = total = 0
+    for brand in {a[2] for a in halves[0]}:
+        ids = [[r[0] for r in h if r[2] == brand] for h in halves]
+        cost = np.array([[-near.get((i, j), -1e6) for j in ids[1]] + [1e6] * len(ids[0]) for i in ids[0]])
+        pairs = [(ids[0][i], ids[1][j]) for i, j in enumerate(linkage.assign(cost)) if j < len(ids[1]) and (ids[0][i], ids[1][j]) in near]
+        most, total = most + len(pairs), total + sum(near[p] for p in pairs)
+    rows = catalog.QUERIES["match_optimal"](spark, DATA).collect()
+    assert len({r["a_id"] for r in rows}) == len({r["b_id"] for r in rows}) == len(rows) == most
+    assert all(near[(r["a_id"], r["b_id"])] == pytest.approx(r["score"]) for r in rows) and sum(r["score"] for r in rows) == pytest.approx(total)
+    staged = catalog.QUERIES["match_staged"](spark, DATA).toPandas()
+    assert sorted(staged["a_id"]) == [a[0] for a in halves[0]] and staged["b_id"].dropna().is_unique and len(staged["b_id"].dropna()) >= most
