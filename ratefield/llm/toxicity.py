@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index."""
 
 from __future__ import annotations
 
@@ -16,16 +16,14 @@ from ratefield.llm.common import Scratch, documents, small_batches
 #: Labelled rows to learn from at most, those with the least hash of doc_id; and terms at most.
 EXAMPLES = 20_000
 TERMS = 4_096
-CANDIDATES = 20_000
 #: A term: a word or a prefix of so many letters, at so many occurrences or more.
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
-#: chi-square of a term at least, and at least so large a share of the number of examples (squared correlation).
-LEAST_DOCS, LEAST_CHI2, LEAST_PHI2 = 5, 25.0, 0.015
+#: Documents with label 1 that have a term at least, and its chi-square at least, whatever the number of examples.
+LEAST_DOCS, LEAST_CHI2 = 5, 25.0
 NEIGHBOURS = 15
 #: Votes that the share of label 1 among all examples weighs, in units of a neighbour at cosine 1.
 PRIOR = 1.0
-BLOCK = 32
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,54 +58,45 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors, in blocks; for each term its postings by block and its largest weight in each block.
+    """Examples as unit TF-IDF vectors; for each term its postings. Terms with equal postings are added up once.
 
-    A query's blocks are taken by falling bound (the sum of its weights times the blocks' maxima) until no block can
-    hold a nearer example than the k found: the k nearest are exact. Equally near ones come by their number.
+    A query adds the postings of its terms over all examples: the k nearest are exact. Equally near ones come by their number.
     """
 
     def __init__(self, vectors: list[list[int]], labels: np.ndarray, ids: np.ndarray, terms: int, total: int):
-        # examples with like terms side by side make bounds tight
         order = sorted(range(len(vectors)), key=lambda i: (vectors[i], ids[i]))
         vectors, self.labels, self.ids = [vectors[i] for i in order], labels[order], ids[order]
         self.n = len(vectors)
         df = np.bincount([t for v in vectors for t in v], minlength=terms)
         self.idf = np.log1p(total / np.maximum(df, 1))
-        self.blocks = -(-self.n // BLOCK)
-        self.bounds = np.zeros((terms, self.blocks))
         postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
         for i, v in enumerate(vectors):
             w = self.idf[v] / np.sqrt((self.idf[v] ** 2).sum())
             for t, x in zip(v, w.tolist(), strict=True):
                 postings[t].append((i, x))
-                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], x)
         self.places = [np.array([i for i, _ in p], np.int64) for p in postings]
         self.weights = [np.array([x for _, x in p]) for p in postings]
-        self.begin = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
+        first: dict[bytes, int] = {}
+        self.alike = [first.setdefault(p.tobytes(), t) for t, p in enumerate(self.places)]
 
     def nearest(self, terms: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0, nearest first."""
         if not terms or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
         q = self.idf[terms] / np.sqrt((self.idf[terms] ** 2).sum())
-        bound = q @ self.bounds[terms]
-        found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < least - 1e-9):
-                break
-            got = np.zeros(BLOCK)
-            for t, x in zip(terms, q, strict=True):
-                lo, hi = self.begin[t][b], self.begin[t][b + 1]
-                got[self.places[t][lo:hi] - b * BLOCK] += x * self.weights[t][lo:hi]
-            here = np.flatnonzero(got > 0)
-            found, scores = np.concatenate([found, here + b * BLOCK]), np.concatenate([scores, got[here]])
-            if len(found) > k:
-                top = np.lexsort((found, -np.round(scores, 9)))[:k]
-                found, scores = found[top], scores[top]
-            if len(found) >= k:
-                least = scores.min()
-        top = np.lexsort((found, -np.round(scores, 9)))
-        return found[top], scores[top]
+        weight: dict[int, float] = {}
+        for t, x in zip(terms, q.tolist(), strict=True):
+            weight[self.alike[t]] = weight.get(self.alike[t], 0.0) + x
+        got = np.zeros(self.n)
+        for t, x in weight.items():
+            got[self.places[t]] += x * self.weights[t]
+        found = np.flatnonzero(got > 0)
+        near = np.round(got[found], 9)
+        if len(found) > k:
+            kept = near >= np.partition(near, len(near) - k)[len(near) - k]
+            found, near = found[kept], near[kept]
+        top = found[np.lexsort((found, -near))[:k]]
+        return top, got[top]
 
 
 class Model:
@@ -170,9 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     vocabulary = Vocabulary([])
     if n1 and n0:
-        most = F.lit(max(LEAST_DOCS, n1 // 100))
+        most = F.lit(max(LEAST_DOCS, n1 // 200))
         first = sample.filter("label = 1").select("text").mapInArrow(_all_terms, "term string").groupBy("term").agg(F.count("*").alias("a")).filter(F.col("a") >= most)
-        first = first.orderBy(F.desc("a"), "term").limit(CANDIDATES).toArrow().to_pydict()
+        first = first.orderBy(F.desc("a"), "term").toArrow().to_pydict()
         candidates = spark.sparkContext.broadcast(Vocabulary(first["term"]))
         other = sample.filter("label = 0").mapInArrow(_vectors(candidates), "doc_id long, label int, terms array<long>")
         b = {r["t"]: r["b"] for r in other.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("b")).collect()}
@@ -181,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
             c = b.get(i, 0)
             p = (a + c) / (n1 + n0)
             chi2 = ((a - n1 * p) ** 2 / (n1 * p) + (c - n0 * p) ** 2 / (n0 * p)) / max(1e-9, 1 - p)
-            if a / n1 > c / n0 and chi2 >= max(LEAST_CHI2, LEAST_PHI2 * (n1 + n0)):
+            if a / n1 > c / n0 and chi2 >= LEAST_CHI2:
                 scored.append((-chi2, term))
         vocabulary = Vocabulary([t for _, t in sorted(scored)[:TERMS]])
     rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(vocabulary)), "doc_id long, label int, terms array<long>").toArrow().to_pydict()

@@ -288,6 +288,15 @@ def test_toxicity(spark, empty):
     assert [r["score"] for r in toxicity.score(odd, nothing).collect()] == [0.0, 0.0, 0.0]
 
 
+def test_rare_toxic_term_is_kept_at_any_size(spark):
+    """In 9 of 600 toxic examples and in no clean one of 2,400: chi-square 36."""
+    rows = [(i, "common vileword" if i % 5 == 0 else "common", "en", "a", 0) for i in range(3000)]
+    rows = [(i, "common rareslur" if i % 5 == 0 and i < 45 else text, *rest) for i, text, *rest in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("label")))
+    assert "rareslur#1" in model.vocabulary.number and model.score("rareslur")[0] > toxicity.THRESHOLD
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(7)
     vectors = [sorted(set(rng.integers(0, 60, rng.integers(1, 8)).tolist())) for _ in range(500)]
