@@ -6,21 +6,24 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, shuffle_partitions, slices, small_batches, text_bytes
 from ratefield.llm.graph import components, forest_roots
 
 WORDS = 5
-#: A token is frequent, and enters by pairs, from so many documents on; by triples from the second number on.
+#: A token is frequent, and enters by pairs, from so many sets on; by triples from the second number on.
 FREQUENT = (16, 4096)
-#: Frequent tokens are broadcast; at most so many are, the rarer ones counting as rare beyond (which changes costs only).
-MOST_FREQUENT = 1 << 18
 #: Sets of under 2**SMALL_LEVEL tokens are indexed by single tokens throughout.
 SMALL_LEVEL = 4
-_CHUNK = 1 << 20
+#: Representatives up to this number are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 21
+#: Tokens that a task gathers before it sends them, and documents (two bytes number them; the last number means "known").
+_CHUNK, _CHUNK_DOCS, _KNOWN = 1 << 19, 65_000, 65_535
+_SLICE = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -31,94 +34,181 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set; the lowest bit is free."""
+    """A hash of each set."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
     n = np.diff(at)
-    return (mix64(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)) & ~np.uint64(1)).view(np.int64)
-
-
-def _short(h: np.ndarray) -> np.ndarray:
-    """48 bits of each token, by which tokens are counted. Tokens that share them count together, which is safe: more then seem shared."""
-    return (mix64(h.view(np.uint64)) >> np.uint64(16)).view(np.int64)
-
-
-def _count(buckets: int):
-    """Each chunk's tokens, six bytes each, by bucket."""
-
-    def packed(held):
-        v = _short(np.concatenate(held))
-        bucket = v % buckets
-        order = np.argsort(bucket, kind="stable")
-        raw = v[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        some, first = np.unique(bucket[order], return_index=True)
-        ends = np.append(first, len(v))
-        blobs = [raw[6 * ends[i] : 6 * ends[i + 1]] for i in range(len(some))]
-        held.clear()
-        return pa.record_batch([pa.array(some), pa.array(blobs, pa.binary())], ["bucket", "tokens"])
+    return mix64(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64)
+
+
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the first size[i] entries from each at[i]."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(at, size)
+
+
+# Which sets may have a partner: half of each set's tokens are counted.
+#
+# Two sets at 0.75 or more lack at most n // 4 of each other's tokens. So if each set is cut, in one order of all
+# tokens, to its first n // 4 + 1 + k tokens, the two cut sets share k + 1 tokens at least: the first k + 1 common ones
+# lie in both. With k = n // 4, a set of which fewer than k + 1 such tokens occur in another cut set has no partner.
+
+
+def _cut_tokens(buckets: int):
+    """Rows of two kinds: for a bucket, the chunk's tokens there (5 bytes each) and whose they are (2 bytes each); and each document's row."""
+    names = ["chunk", "bucket", "data", "m", "idx", "doc_id", "row", "n", "sig"]
+
+    def flush(held):
+        h = np.concatenate([x[0] for x in held])
+        size = np.concatenate([x[1] for x in held])
+        owner = np.repeat(np.arange(len(size)), size)
+        v = (mix64(h.view(np.uint64)) >> np.uint64(16)).view(np.int64)
+        order = np.argsort(v, kind="stable")
+        v, owner = v[order], owner[order]
+        first = np.ones(len(v), bool)
+        first[1:] = v[1:] != v[:-1]
+        count = np.diff(np.append(np.flatnonzero(first), len(v)))
+        # a token that the chunk has twice is shared whatever other chunks have, and is sent once
+        twice = np.repeat(count > 1, count)
+        known = np.bincount(owner[twice], minlength=len(size))
+        sent, whose = v[first], np.where(count > 1, _KNOWN, owner[first]).astype("<u2")
+        bucket = ((sent >> 24) * buckets) >> 24
+        some, begin = np.unique(bucket, return_index=True)
+        ends = np.append(begin, len(sent))
+        low = sent.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
+        blobs = [low[a:b].tobytes() + whose[a:b].tobytes() for a, b in itertools.pairwise(ends)]
+        fields = [np.concatenate([x[k] for x in held]) for k in (2, 3, 4)]
+        ids = pa.concat_arrays([x[5] for x in held])
+        chunk = xxhash.xxh64_intdigest(fields[0].tobytes() + fields[1].tobytes()) >> 1
+        k, d = len(some), len(size)
+        yield pa.record_batch([pa.array(np.full(k, chunk, np.int64)), pa.array(some), pa.array(blobs, pa.binary()), pa.array(np.diff(ends)), *(pa.nulls(k, pa.int64()) for _ in range(5))], names)
+        # m: what is known to be shared; the last document's row also tells what the chunk has sent
+        m = known.astype(np.int64)
+        yield pa.record_batch([pa.array(np.full(d, chunk, np.int64)), pa.array(np.full(d, chunk % buckets, np.int64)), pa.nulls(d, pa.binary()), pa.array(m), pa.array(np.arange(d)), ids, pa.array(fields[0]), pa.array(fields[1]), pa.array(fields[2])], names)
+        yield pa.record_batch([pa.array([chunk]), pa.array([chunk % buckets]), pa.nulls(1, pa.binary()), pa.array([len(sent)]), *(pa.nulls(1, pa.int64()) for _ in range(5))], names)
 
     def run(batches):
-        held: list[np.ndarray] = []
-        for batch in slices(batches):
-            h, _ = _sets(batch)
-            held.append(h)
-            if sum(map(len, held)) >= _CHUNK:
-                yield packed(held)
-        if sum(map(len, held)):
-            yield packed(held)
+        held, tokens, docs = [], 0, 0
+        for batch in slices(batches, most=_SLICE):
+            h, at = _sets(batch)
+            n = np.diff(at)
+            size = np.where(n > 0, 2 * (n // 4) + 1, 0)
+            if held and docs + len(n) > _CHUNK_DOCS:
+                yield from flush(held)
+                held, tokens, docs = [], 0, 0
+            held.append((h[_ranges(at[:-1], size)], size, batch.column("row").to_numpy(), n, _signatures(h, at), batch.column("doc_id")))
+            tokens, docs = tokens + int(size.sum()), docs + len(n)
+            if tokens >= _CHUNK:
+                yield from flush(held)
+                held, tokens, docs = [], 0, 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _merge(batches):
-    """Rows come by bucket: tokens that two documents or more have, with their number."""
+def _shared_in_bucket(batches):
+    """Rows come by bucket. For each chunk's entry the documents (2 bytes each) whose token is in another place too, and m, the tokens that came."""
     held, bucket = [], None
 
     def counted():
-        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        token, count = np.unique(wide.view("<i8").ravel(), return_counts=True)
-        more = count > 1
-        return pa.record_batch([pa.array(token[more]), pa.array(count[more])], ["token", "count"])
+        size = np.array([len(b) // 7 for _, b in held])
+        raw = np.zeros((int(size.sum()), 8), np.uint8)
+        raw[:, :5] = np.concatenate([np.frombuffer(b, np.uint8, 5 * k).reshape(-1, 5) for (_, b), k in zip(held, size.tolist(), strict=True)])
+        whose = np.concatenate([np.frombuffer(b, "<u2", k, 5 * k) for (_, b), k in zip(held, size.tolist(), strict=True)])
+        v = raw.view("<i8").ravel()
+        _, place, count = np.unique(v, return_inverse=True, return_counts=True)
+        shared = count > 1
+        shared[place[whose == _KNOWN]] = True
+        keep = shared[place] & (whose != _KNOWN)
+        ends = np.cumsum(size)
+        data = [whose[a:b][keep[a:b]].tobytes() for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        k = len(held)
+        return pa.record_batch([pa.array([c for c, _ in held], pa.int64()), pa.nulls(k, pa.int64()), pa.array(data, pa.binary()), pa.array(size), *(pa.nulls(k, pa.int64()) for _ in range(5))], batch.schema.names)
 
     for batch in batches:
-        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+        yield batch.filter(batch.column("data").is_null())
+        rows = batch.filter(batch.column("data").is_valid())
+        for b, chunk, blob in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True):
             if b != bucket and held:
                 yield counted()
                 held = []
             bucket = b
-            held.append(blob)
+            held.append((chunk, blob))
     if held:
         yield counted()
 
 
-def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+def _may_link(batches):
+    """Rows come by chunk: each document's row with whether it may have a partner. A chunk that lacks some of what it sent keeps all."""
+    names = ["doc_id", "row", "n", "sig", "maybe"]
+    shared = np.zeros(_KNOWN + 1, np.int64)
+    docs: list[pa.RecordBatch] = []
+    chunk, missing = None, 0
+
+    def done():
+        rows = pa.Table.from_batches(docs).combine_chunks()
+        n, idx = rows["n"].to_numpy(), rows["idx"].to_numpy()
+        maybe = (n > 0) & ((rows["m"].to_numpy() + shared[idx] > n // 4) | bool(missing))
+        out = pa.table([rows["doc_id"], rows["row"], rows["n"], rows["sig"], pa.array(maybe)], names)
+        yield from out.to_batches()
+
+    for batch in batches:
+        ids = batch.column("chunk").to_numpy()
+        edges = np.flatnonzero(np.diff(ids)) + 1
+        for a, b in itertools.pairwise([0, *edges.tolist(), len(ids)]):
+            if a == b:
+                continue
+            if ids[a] != chunk:
+                if docs:
+                    yield from done()
+                docs, missing, chunk = [], 0, ids[a]
+                shared[:] = 0
+            part = batch.slice(a, b - a)
+            is_doc, is_data = part.column("idx").is_valid(), part.column("data").is_valid()
+            found = part.filter(is_data)
+            for blob in found.column("data").to_pylist():
+                shared += np.bincount(np.frombuffer(blob, "<u2"), minlength=_KNOWN + 1)
+            missing -= int(np.sum(found.column("m").to_numpy()))
+            total = part.filter(pc.and_(pc.invert(is_doc), pc.invert(is_data)))
+            missing += int(np.sum(total.column("m").to_numpy()))
+            if pc.any(is_doc).as_py():
+                docs.append(part.filter(is_doc))
+    if docs:
+        yield from done()
+
+
+def _full_sets(batches):
+    for batch in slices(batches, most=_SLICE):
+        h, at = _sets(batch)
+        tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h))
+        yield pa.record_batch([pa.array(_signatures(h, at)), pa.array(np.diff(at)), tokens], ["sig", "n", "tokens"])
+
+
+def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, n: int | None = None) -> tuple[np.ndarray, bool]:
     """The index keys of a set, and whether they are its rarest tokens alone.
 
-    tokens: in rising order; kinds: 1 rare, 2 and 3 frequent; shared: False for tokens that no other document has, which
-    need no key. The order of tokens is by kind, then hash. A partner at 0.75 or more lacks at most t = n // 4 of a
-    set's tokens; so a set of which more than t tokens are in no other document has no partner, and no key. Among tokens
-    of kind k (2 or 3) in one subclass, k - 1 can be shared without sharing a combination of k; a rare token is a key
-    itself. So a prefix where rare tokens plus the sum of (tokens - (k - 1)) over the subclasses passes t has a key in
-    common with the partner's prefix; that holds for the one of the two prefixes that ends first. Subclasses are sized by the larger set's level (log2 of its size), so a set
-    that can have a partner one level up emits that level's keys too. Sets of a low level use single tokens throughout.
-    Keys of rare tokens have the lowest bit 0, others 1.
+    tokens: those that another set has too, in rising order, of the set's n; kinds: 1 rare, 2 and 3 frequent. The order
+    of tokens is: those of one set alone, then by kind, then by hash. A partner at 0.75 or more lacks at most n // 4 of
+    a set's tokens; so a set with more than that of its own has no partner, and no key. Among tokens of kind k (2 or 3)
+    in one subclass, k - 1 can be shared without sharing a combination of k; a rare token is a key itself. So a prefix
+    where own and rare tokens plus the sum of (tokens - (k - 1)) over the subclasses passes n // 4 has a key in common
+    with the partner's prefix; that holds for the one of the two prefixes that ends first. Subclasses are sized by the
+    larger set's level (log2 of its size), so a set that can have a partner one level up emits that level's keys too.
+    Sets of a low level use single tokens throughout. Keys of rare tokens have the lowest bit 0, others 1.
     """
-    n = len(tokens)
-    lack = n // 4
-    if not n or shared is not None and n - int(shared.sum()) > lack:
+    n = len(tokens) if n is None else n
+    room = n // 4 + 1 - (n - len(tokens))
+    if not n or room <= 0:
         return tokens[:0], True
-    first = np.flatnonzero(kinds == 1)
-    rare = tokens[first]
-    kept = first[: lack + 1]
-    single = (tokens[kept] if shared is None else tokens[kept[shared[kept]]]) & ~np.int64(1)
-    if len(rare) > lack:
+    rare = tokens[kinds == 1]
+    single = rare[:room] & ~np.int64(1)
+    if len(rare) >= room:
         return single, True
     keys = set()
     own = n.bit_length() - 1
     rest = sorted(zip(kinds[kinds > 1].tolist(), tokens[kinds > 1].tolist(), strict=True))
     for level in [own, own + 1] if 4 * n >= 3 << (own + 1) else [own]:
-        left = lack + 1 - len(rare)
+        left = room - len(rare)
         groups: dict[tuple[int, int], list[int]] = {}
         for kind, token in rest:
             if left <= 0:
@@ -136,91 +226,42 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, shared: np.ndarray | None
     return np.concatenate([single, packed.view(np.int64) | np.int64(1)]), False
 
 
-def _index(frequent, seen):
-    """Rows of two kinds: key and node (a set's signature, lowest bit 0 if its keys are rare tokens alone), and doc_id, n (size), s (tokens that another document may have) and node."""
-
-    def run(batches):
-        token, kind = frequent.value
-        for batch in slices(batches):
-            h, at = _sets(batch)
-            sig = _signatures(h, at)
-            v = _short(h)
-            kinds, shared = np.ones(len(h), np.int8), np.zeros(0, bool)
-            if len(h):
-                shared = _has(seen.value, v)
-            if len(token) and len(h):
-                i = np.minimum(np.searchsorted(token, v), len(token) - 1)
-                kinds = np.where(token[i] == v, kind[i], kinds)
-            keys, plain = [], np.zeros(batch.num_rows, bool)
-            for d in range(batch.num_rows):
-                part = slice(at[d], at[d + 1])
-                k, plain[d] = prefix_keys(h[part], kinds[part], shared[part])
-                keys.append(k)
-            node = sig | np.where(plain, 0, 1)
-            size = np.array([len(k) for k in keys])
-            none = pa.nulls(int(size.sum()), pa.int64())
-            total = np.concatenate([[0], np.cumsum(shared)])
-            names = ["doc_id", "n", "s", "key", "node"]
-            yield pa.record_batch([none, none, none, pa.array(np.concatenate(keys)), pa.array(np.repeat(node, size))], names)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), pa.nulls(batch.num_rows, pa.int64()), pa.array(node)], names)
-
-    return run
-
-
-#: Bits of the filter of tokens that two documents have, and of the filter of documents to compare.
-_TOKEN_BITS = 25
-_BITS = 25
-
-
-_SHIFTS = (0, 19, 38)
-
-
-def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values a filter lets pass."""
-    size = len(bits) * 32 - 1
-    h = _xxh64(values)
-    out = np.ones(len(values), bool)
-    for s in _SHIFTS:
-        p = (h >> np.uint64(s)).astype(np.int64) & size
-        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-    return out
-
-
-def _xxh64(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of longs (seed 42), as public XXH64 defines it for eight bytes."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    k = turn(values.view(np.uint64) * p2, 31) * p1
-    h = turn((np.uint64(42) + p5 + np.uint64(8)) ^ k, 27) * p1 + p4
-    h ^= h >> np.uint64(33)
-    h *= p2
-    h ^= h >> np.uint64(29)
-    h *= p3
-    return h ^ (h >> np.uint64(32))
-
-
-def _bloom(ids: DataFrame, column: str, size: int = _BITS) -> np.ndarray:
-    """A Bloom filter of 2**size bits over a column of longs, whatever its rows; what it lets pass in error costs time only."""
-    h = F.xxhash64(column)
-    slots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << size) - 1)) for s in _SHIFTS])).alias("p"))
-    words = slots.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (size - 5), np.uint32)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def _chosen_sets(bloom):
-    def run(batches):
-        bits = bloom.value
-        for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            hit = _has(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for part in slices([batch.filter(pa.array(hit))]):
-                h, at = _sets(part)
-                tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h))
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(_signatures(h, at)), tokens], ["doc_id", "sig", "tokens"])
-
-    return run
+def _keys(batches):
+    """Rows (key, sig, n, s, plain) of each set's keys; s is the number of its tokens that another set has."""
+    for batch in batches:
+        entries = batch.column("entries")
+        flat, at = entries.flatten(), entries.offsets.to_numpy()
+        at = at - at[0]
+        tokens, kinds = flat.field("token").to_numpy(), flat.field("kind").to_numpy()
+        sizes = batch.column("n").to_numpy()
+        keys, plain = [tokens[:0]], []
+        for d in range(batch.num_rows):
+            part = slice(at[d], at[d + 1])
+            order = np.argsort(tokens[part])
+            k, p = prefix_keys(tokens[part][order], kinds[part][order], int(sizes[d]))
+            keys.append(k)
+            plain.append(p)
+        count = np.array([len(k) for k in keys[1:]], np.int64)
+        repeat = lambda x: pa.array(np.repeat(x, count))
+        yield pa.record_batch(
+            [pa.array(np.concatenate(keys)), repeat(batch.column("sig").to_numpy()), repeat(sizes), repeat(np.diff(at).astype(np.int64)), repeat(np.array(plain, bool))], ["key", "sig", "n", "s", "plain"]
+        )
+
+
+def _size_fits(na: str, nb: str, sa: str, sb: str) -> Column:
+    """Whether sets of these sizes, with so many tokens that others have, can be at 0.75: 7 * intersection >= 3 * (na + nb)."""
+    return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) AND 7 * least({sa}, {sb}) >= 3 * ({na} + {nb})")
+
+
+def _can_link(m: Column) -> Column:
+    """Whether sets (na, nb; pa, pb: their keys are their rarest tokens alone) with m single keys in common can be alike.
+
+    All common tokens up to the end of the prefix that ends first lie in both prefixes; that one is a plain one, if one is.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    rest = lambda n: n - F.floor(n / 4) - 1
+    most = F.when(F.col("pa") & F.col("pb"), F.greatest(rest(na), rest(nb))).when(F.col("pa"), rest(na)).when(F.col("pb"), rest(nb))
+    return most.isNull() | (7 * (m + most) >= 3 * (na + nb))
 
 
 class NgramJoin:
@@ -229,105 +270,112 @@ class NgramJoin:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
         self.scratch = Scratch(self.spark, "ngram")
-        # a bucket's tokens are held by one task at a time: a sixteenth of a shuffle partition
+        self.rows = self.candidates()
+        self.sets = self.shared_sets()
+
+    def candidates(self) -> DataFrame:
+        """Each document's doc_id, row (hash of id and text), n (tokens), sig (hash of the set) and maybe (it may have a partner or a copy)."""
         parts = shuffle_partitions(self.spark)
-        counts = self.docs.mapInArrow(_count(16 * parts), "bucket long, tokens binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-        counts = self.scratch.table(counts.mapInArrow(_merge, "token long, count long"), "counts")
-        seen = self.spark.sparkContext.broadcast(_bloom(counts, "token", _TOKEN_BITS))
-        index = self.docs.mapInArrow(_index(self.frequent(counts), seen), "doc_id long, n long, s long, key long, node long")
-        index = self.scratch.table(index, "index")
-        self.scratch.drop("counts")
-        self.sets = index.filter("n is not null").select("doc_id", "n", "s", F.expr("node & ~1L").alias("sig"))
-        self.keys = index.filter("key is not null").select("key", "node")
-        classes = self.sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.max("s").alias("s"))
-        self.classes = self.scratch.table(classes, "classes", narrow=True)
-
-    def frequent(self, counts: DataFrame):
-        """Broadcast the frequent tokens with their kinds; the least count rises, by doubling, until they are few enough."""
-        found = counts.filter(F.col("count") >= FREQUENT[0])
-        by_size = {int(r[0]): r[1] for r in found.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()}
-        least, total = FREQUENT[0], sum(by_size.values())
-        while total > MOST_FREQUENT:
-            total -= by_size.get(least.bit_length() - 1, 0)
-            least *= 2
-        rows = found.filter(F.col("count") >= least).toArrow()
-        token, count = rows["token"].to_numpy(), rows["count"].to_numpy()
-        order = np.argsort(token)
-        return self.spark.sparkContext.broadcast((token[order], np.where(count[order] >= FREQUENT[1], 3, 2).astype(np.int8)))
-
-    def shared(self) -> DataFrame:
-        """Index entries (key, node, sig, n, s) of keys that two different sets have."""
-        w = Window.partitionBy("key")
-        rows = self.keys.distinct().withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo < hi").select("key", "node")
-        rows = rows.withColumn("sig", F.expr("node & ~1L"))
-        return self.scratch.table(rows.join(self.classes.select("sig", "n", "s"), "sig"), "shared")
-
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (a, b, na, nb) those whose sets are alike: 100 * intersection >= 75 * union."""
-        pairs = self.scratch.table(pairs.select("a", "b", "na", "nb"), f"{name}-pairs", narrow=True)
-        need = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        first = self.scratch.table(self.classes.join(need, "sig", "left_semi").select(F.col("first").alias("doc_id"), "sig"), f"{name}-first", narrow=True)
-        bloom = self.spark.sparkContext.broadcast(_bloom(first, "doc_id"))
-        sets = self.docs.mapInArrow(_chosen_sets(bloom), "doc_id long, sig long, tokens array<long>")
-        sets = self.scratch.table(sets.join(first, ["doc_id", "sig"], "left_semi").select("sig", "tokens").dropDuplicates(["sig"]), f"{name}-sets")
-        one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a")
-        two = one.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
-        alike = two.filter(7 * F.size(F.array_intersect("ta", "tb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
-        alike = self.scratch.table(alike, f"{name}-links", narrow=True)
-        self.scratch.drop(f"{name}-sets")
-        return alike
-
-    @staticmethod
-    def can_link(m) -> F.Column:
-        """Whether sets (na, nb; plain: na's and nb's keys are the rarest tokens alone) with m single keys in common can be alike.
-
-        All common tokens up to the end of the prefix that ends first lie in both prefixes; that one is a plain one, if one is.
+        schema = "chunk long, bucket long, data binary, m long, idx long, doc_id long, row long, n long, sig long"
+        sent = self.docs.mapInArrow(_cut_tokens(max(256, 4 * parts)), schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        back = sent.mapInArrow(_shared_in_bucket, schema).repartition(parts, "chunk").sortWithinPartitions("chunk")
+        return self.scratch.table(back.mapInArrow(_may_link, "doc_id long, row long, n long, sig long, maybe boolean"), "rows")
+
+    def shared_sets(self) -> DataFrame:
+        """Sets that may have a partner, one per signature: sig, n and entries (token, kind) of the tokens that another set has."""
+        reps = self.scratch.table(self.rows.filter("maybe").groupBy("sig").agg(F.min("row").alias("row")).select("row"), "reps", narrow=True)
+        few = reps.count() <= BROADCAST_ROWS
+        texts = self.docs.join(F.broadcast(reps) if few else reps, "row", "left_semi").dropDuplicates(["row"]).select("text")
+        whole = self.scratch.table(texts.mapInArrow(_full_sets, "sig long, n long, tokens array<long>"), "whole")
+        tokens = whole.select("sig", "n", F.explode("tokens").alias("token"))
+        kind = F.when(F.col("c") >= FREQUENT[1], 3).when(F.col("c") >= FREQUENT[0], 2).otherwise(1)
+        several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", kind.alias("kind"))
+        entries = tokens.join(several, "token").groupBy("sig", "n").agg(F.collect_set(F.struct("token", "kind")).alias("entries"))
+        sets = self.scratch.table(entries.filter(F.col("n") - F.size("entries") <= F.floor(F.col("n") / 4)), "sets")
+        self.scratch.drop("whole")
+        return sets
+
+    def overlaps(self, pairs: DataFrame, name: str, rest: bool = False) -> DataFrame:
+        """Pairs with c, the size of the intersection of a's and b's sets, and on demand rest: a's tokens that b lacks and another set has."""
+        of = lambda side: self.sets.select(F.col("sig").alias(side), F.col("entries.token").alias(f"t{side}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
+        if rest:
+            both = both.withColumn("rest", F.array_except("ta", "tb"))
+        return self.scratch.table(both.drop("ta", "tb"), name)
+
+    def parents(self, entries: DataFrame) -> DataFrame:
+        """For each set the one that leads most of its keys: a, b, na, nb, sa, c and rest, verified.
+
+        A key is led by the set with the fewest tokens of its own, which is likely the one that others were copied
+        from. A parent comes before its children in that order, so parents make a forest.
         """
-        na, nb = F.col("na"), F.col("nb")
-        rest = lambda n: n - F.floor(n / 4) - 1
-        most = F.when(F.col("pa") & F.col("pb"), F.greatest(rest(na), rest(nb))).when(F.col("pa"), rest(na)).when(F.col("pb"), rest(nb))
-        return most.isNull() | (7 * (m + most) >= 3 * (na + nb))
-
-    def components(self, rounds: int = 1) -> DataFrame:
+        pick = F.min(F.struct((1 - F.col("s") / F.col("n")).alias("own"), F.xxhash64("sig").alias("h"), "sig", "n", "s"))
+        lead = entries.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"))
+        met = entries.join(lead, "key").filter("sig <> b").filter(_size_fits("n", "nb", "s", "sb"))
+        named = met.groupBy("sig", "n", "s", "b", "nb").agg(F.count("*").alias("k"))
+        best = named.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("k", "b", "nb")).alias("p"))
+        best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), "best", narrow=True)
+        return self.overlaps(best, "parents", rest=True)
+
+    def components(self) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
 
-        A key's entries are first compared with one of them (the first in an order of sets; the parent that most keys name
-        is verified), which joins groups of copies to components; then each pair of different components' entries is
-        compared. Pairs within a component aren't. A round more is made while the pairs left would be many.
+        Sets are compared with their parents first; what links makes components, and pairs within one need no comparison.
+        Two sets of different components are compared if they can be alike by what is known:
+        - with different parents, if they have a key in common;
+        - with one parent, of which they have ca and cb tokens: their intersection has at most min(ca, cb) of the
+          parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are
+          the keys; if it is, which needs sets smaller than the parent, the common key decides.
+        So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone.
         """
-        shared = self.shared()
-        rows, roots = shared.count(), None
-        size_fits = "4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * least(sa, sb) >= 3 * (na + nb)"
-        for k in range(rounds + 1):
-            at = shared.withColumn("comp", F.col("sig"))
-            if roots is not None:
-                at = shared.join(roots.withColumnRenamed("root", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-                per = at.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-                several = self.scratch.table(per.filter("k > 1").select("key", (F.col("s") * F.col("s") - F.col("q")).alias("work")), f"several{k}", narrow=True)
-                work = several.agg(F.sum("work")).first()[0] or 0.0
-                at = self.scratch.table(at.join(several.select("key"), "key", "left_semi"), f"at{k}", narrow=True)
-                if work <= 8 * rows or k == rounds:
-                    break
-            # the set with the fewest tokens of its own is likely the one that others were copied from
-            own = 1 - F.col("s") / F.col("n") if k == 0 else F.lit(0.0)
-            pick = F.min(F.struct(own.alias("own"), F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "node", "n", "s", "comp"))
-            lead = at.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.node").alias("nodeb"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"), F.col("p.comp").alias("compb"))
-            met = at.join(lead, "key").filter("comp <> compb").withColumnsRenamed({"sig": "a", "n": "na", "s": "sa"}).filter(size_fits)
-            met = met.groupBy("a", "b", "na", "nb", (F.expr("node & 1") == 0).alias("pa"), (F.expr("nodeb & 1") == 0).alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"), F.count("*").alias("c"))
-            best = met.filter(self.can_link(F.col("m"))).groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("p")).select("a", "p.b", "p.na", "p.nb")
-            # parents come first in the round's order of sets, so they make a forest
-            up = forest_roots(self.verify(best, f"star{k}"))
-            if roots is None:
-                roots = self.scratch.table(up.withColumnsRenamed({"node": "sig"}), f"roots{k}", narrow=True)
-            else:
-                roots = self._merged(roots, up.select(F.col("node").alias("a"), F.col("root").alias("b")), f"roots{k}")
-        one = at.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), (F.expr("node & 1") == 0).alias("pa"))
-        two = at.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), (F.expr("node & 1") == 0).alias("pb"))
-        met = one.join(two, "key").filter("a < b AND ca <> cb").filter(size_fits)
-        met = met.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
-        return self._merged(roots, self.verify(met.filter(self.can_link(F.col("m"))), "rest"), "roots")
+        keys = self.sets.mapInArrow(_keys, "key long, sig long, n long, s long, plain boolean")
+        keys = self.scratch.table(keys, "keys")
+        met = keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
+        entries = self.scratch.table(keys.join(met, "key", "left_semi"), "entries")
+        self.scratch.drop("keys")
+        parents = self.parents(entries)
+        links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
+        roots = self.scratch.table(forest_roots(links).withColumnRenamed("node", "sig"), "stars", narrow=True)
+        # q: the size up to which a partner can be alike by the parent's tokens alone
+        of_set = parents.select(F.col("a").alias("sig"), F.col("b").alias("parent"), F.floor((7 * F.col("c") - 3 * F.col("na")) / 3).alias("q"))
+        root_of = lambda c, name: roots.select(F.col("sig").alias(c), F.col("root").alias(name))
+        placed = of_set.join(root_of("sig", "comp"), "sig", "full_outer").withColumn("parent", F.coalesce("parent", "sig"))
+        placed = placed.join(root_of("parent", "home"), "parent", "left").select("sig", "parent", "q", F.coalesce("comp", "sig").alias("comp"), F.coalesce("home", "parent").alias("home"))
+        placed = self.scratch.table(placed, "placed", narrow=True)
+        at = entries.join(placed, "sig", "left").withColumns({"parent": F.coalesce("parent", "sig"), "comp": F.coalesce("comp", "sig"), "home": F.coalesce("home", "comp", "sig"), "q": F.coalesce("q", F.floor(4 * F.col("n") / 3))})
+        at = self.scratch.table(at, "at")
+
+        side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(c + x) for c in ("sig", "n", "s", "q", "comp", "parent", "plain")])
+        apart = (F.col("compa") != F.col("compb")) & _size_fits("na", "nb", "sa", "sb")
+        by_core = (F.col("qa") >= F.col("nb")) & (F.col("qb") >= F.col("na"))
+
+        several = at.groupBy("key").agg(F.min("parent").alias("p"), F.max("parent").alias("pp"), F.min("comp").alias("c"), F.max("comp").alias("cc")).filter("p <> pp AND c <> cc").select("key")
+        mixed = at.join(several, "key", "left_semi")
+        other = side(mixed, "a", "key").join(side(mixed, "b", "key"), "key").filter((F.col("siga") < F.col("sigb")) & (F.col("parenta") != F.col("parentb")) & apart)
+        other = other.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.col("plaina").alias("pa"), F.col("plainb").alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
+        other = other.filter(_can_link(F.col("m"))).select("a", "b", "na", "nb")
+
+        # of two sets with one parent and different components, one at least isn't in the parent's
+        strays = at.withColumn("stray", F.col("comp") != F.col("home"))
+        bounds = strays.groupBy("key", "parent").agg(F.min("n").alias("least"), F.max(F.when(F.col("stray"), F.col("q"))).alias("most")).filter("most >= least")
+        near = strays.join(bounds, ["key", "parent"])
+        left, right = side(near.filter("stray AND q >= least"), "a", "key"), side(near.filter("n <= most"), "b", "key")
+        small = left.join(right, (left["key"] == right["key"]) & (left["parenta"] == right["parentb"])).filter(apart & by_core)
+        small = small.select(F.least("siga", "sigb").alias("a"), F.greatest("siga", "sigb").alias("b"), F.when(F.col("siga") < F.col("sigb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("siga") < F.col("sigb"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+
+        extra = parents.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("sa").alias("s"), "c", F.explode("rest").alias("token")).join(placed.select("sig", "parent", "q", "comp"), "sig")
+        shared = extra.groupBy("parent", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("parent", "token")
+        extra = extra.join(shared, ["parent", "token"], "left_semi").withColumn("plain", F.lit(True))
+        left, right = side(extra, "a", "token", F.col("c").alias("ca")), side(extra, "b", F.col("token").alias("tokenb"), F.col("c").alias("cb"))
+        grown = left.join(right, (F.col("token") == F.col("tokenb")) & (F.col("parenta") == F.col("parentb"))).filter((F.col("siga") < F.col("sigb")) & apart & ~by_core)
+        grown = grown.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", "ca", "cb").agg(F.count("*").alias("d"))
+        grown = grown.filter("7 * (least(ca, cb) + d) >= 3 * (na + nb)").select("a", "b", "na", "nb")
+
+        pairs = self.scratch.table(other.unionByName(small).unionByName(grown).distinct(), "pairs", narrow=True)
+        found = self.overlaps(pairs, "overlaps").filter("7 * c >= 3 * (na + nb)").select("a", "b")
+        return self._merged(roots, found, "roots")
 
     def _merged(self, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Roots after links (a, b) more: the components of a graph whose nodes are roots."""
@@ -342,21 +390,28 @@ class NgramJoin:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_shingles (size of its set) and component_id (the least doc_id that links reach).
+    """For each row of docs (doc_id, text): doc_id, n_shingles (size of its set), component_id (the least doc_id that links reach), row and keeper.
 
     A set has the distinct runs of five words, A-Z lower-cased, or all words as one where there are fewer. Two documents
     link at a Jaccard similarity of 0.75 or more; equal sets are one class and stand for all their copies. A text without
     words has no tokens and is its own component, as is null. Rows with equal doc_ids are one component's members as
-    their sets say; each row gives a row. A null doc_id takes part, and is no component's name unless all its rows' ids are null.
+    their sets say; each row gives a row. A null doc_id takes part, and is no component's name unless all its rows' ids
+    are null. row is the hash of doc_id and text, keeper that of the one row to keep of a component: the least by doc_id
+    (null last), then by row. No rows give no rows; other columns of docs don't matter.
     """
     join = NgramJoin(docs)
-    named = join.classes.join(join.components(), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = join.scratch.table(named.join(names, "root").select("sig", "component_id"), "names", narrow=True)
-    out = join.sets.join(names, "sig", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    some = join.rows.filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    named = some.groupBy("sig").agg(first).join(join.components(), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    names = named.groupBy("root").agg(F.min("first").alias("least"))
+    names = named.join(names, "root").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper"))
+    names = join.scratch.table(names, "names", narrow=True)
+    out = join.rows.join(names, "sig", "left")
+    empty = F.col("n") == 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", F.when(empty, F.col("row")).otherwise(F.col("keeper")).alias("keeper")
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(documents(spark, sf_dir))
+    return similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
