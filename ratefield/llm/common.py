@@ -73,26 +73,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-#: Range buckets are a power of two, so that a bucket is found in LEVELS steps.
-LEVELS = 10
+#: Ranges at most (a megabyte of bounds).
+MOST_RANGES = 1 << 17
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """Lower bounds of at most 2**LEVELS ranges of an integral key with about as many rows each; found by one scan of that column."""
-    buckets = max(1, min(buckets, 2**LEVELS))
+    """Lower bounds of `buckets` ranges of an integral key with about as many rows each; found by one scan of that column."""
+    buckets = max(1, min(buckets, MOST_RANGES))
     at = [i / buckets for i in range(1, buckets)]
     if not at:
         return []
-    found = df.agg(F.percentile_approx(key, at, 20_000)).first()[0]
+    found = df.agg(F.percentile_approx(key, numbers(at, "double"), max(20_000, 20 * buckets))).first()[0]
     return sorted(set(found or []))
 
 
+def numbers(values: list, kind: str = "bigint") -> Column:
+    """An array of constants as one literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def range_bucket(key: Column, bounds: list[int]) -> Column:
     """The number of bounds at or below key (null: 0), by a binary search in the JVM."""
     if not bounds:
         return F.lit(0)
     top = 2 ** max(1, (len(bounds)).bit_length())
-    held = F.lit(bounds + [2**63 - 1] * (top - len(bounds)))
+    held = numbers(bounds + [2**63 - 1] * (top - len(bounds)))
     steps = [top >> i for i in range(1, top.bit_length())]
     found = F.aggregate(
         F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(held, low + step - 1) <= key, low + step).otherwise(low)
@@ -100,6 +105,11 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.least(found, F.lit(len(bounds))), F.lit(0))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed (maps can't): equal rows have equal ones."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+
+
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0): places where a word begins."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
