@@ -12,21 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratefield.llm.common import documents, small_batches
+from ratefield.llm.common import Scratch, documents, small_batches
 
 KEY = b"ratefield surrogate key 1"
 
-# Given names by script and gender, and family names by script. Each list is permuted within itself.
+# Given names by script and gender. Each list is permuted within itself.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Charlotte Claire Elena Elizabeth Emma Eva Hannah Helen Ingrid Isabel Jane Jessica Julia Karen Laura Linda Lucia Maria Marie Mary Monica Nancy Olivia Patricia Paula Petra Rosa Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
-    ("latin", "m"): "Albert Andrew Antonio Bernard Carlos Charles Daniel David Edward Eric Francis Frank George Hans Henry Jack James Jean John Joseph Juan Karl Lukas Manuel Mark Martin Michael Miguel Otto Paul Pedro Peter Pierre Richard Robert Stefan Thomas William".split(),
+    ("latin", "f"): "Aisha Alice Ana Anna Barbara Camila Carmen Charlotte Chiara Claire Elena Elizabeth Emma Eva Fatima Giulia Hannah Helen Ingrid Isabel Jane Jessica Julia Karen Laura Leila Linda Lucia Maria Marie Mary Mei Monica Nancy Olivia Patricia Paula Petra Priya Rosa Sarah Sofia Sophie Susan Teresa Ursula Victoria Yuki Zoë".split(),
+    ("latin", "m"): "Ahmed Albert Andrew Antonio Arjun Bernard Carlos Charles Daniel David Diego Edward Eric Francis Frank George Hans Henry Hiroshi Ibrahim Jack James Jean John Joseph Juan Karl Kenji Lars Luca Lukas Manuel Marco Mark Martin Michael Miguel Mohammed Omar Otto Paul Pedro Peter Pierre Raj Richard Robert Stefan Sven Thomas Wei William".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей Юрий".split(),
     ("greek", "f"): "Αθηνά Ελένη Ειρήνη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "Madame"), "m": ("Mr", "Monsieur", "Herr", "Sr", "Señor")}
-SCRIPTS = {"latin": ("A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿ"), "cyrillic": ("А-ЯЁ", "а-яё"), "greek": ("Α-ΩΆ-Ώ", "α-ωά-ώ")}
+# Family names that tell a run of capitalised words as a name, and family names of one Han character.
+FAMILY = "Brown Chen Cohen Davies Diaz Dubois Fernández Fischer García Gonzalez González Hassan Hernández Johnson Jones Khan Kim Kowalski Kumar Lee López Martínez Meyer Miller Müller Nguyen Novak O'Brien Patel Pérez Rodríguez Rossi Sánchez Schmidt Schneider Silva Singh Smith Suzuki Tanaka Taylor Wang Weber Williams Wilson Yamamoto Zhang".split()
+HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "Madame"), "m": ("Mr", "Monsieur", "Herr", "Sr", "Señor"), "": ("Dr", "Prof", "Professor", "Sir", "Dame")}
+PARTICLES = "van von der den de del della di da dos du la le el al bin ibn ten ter zu".split()
+CUES = ("name is", "named", "called", "met", "contact", "Contact", "signed by", "Signed by", "written by", "Dear", "Sincerely,", "Regards,")
+# Words that begin a sentence and are no part of a name; after the first ones a name is expected.
+STARTERS = "Dear Contact Hello Hi Then The This That These Those When While After Before And But So If In On At By To From For With As It He She We They You Our My His Her Their Yesterday Today Tomorrow Meanwhile Now Here There Also Not Is Was Are Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+_ADDRESS = {"Dear", "Contact", "Hello", "Hi"}
+#: The letters of a script that stand for one another: vowels, consonants, and both with marks.
+LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåāăąæèéêëēėęěìíîïīįòóôõöøōőœùúûüūůűųýÿ", "çćčďđðğłñńňřßśšşťþţźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώϊϋ", "βγδζθκλμνξπρςστφχψ")
+_CLASS = {c: i for i, letters in enumerate(LETTERS) for c in letters}
+HAN = (0x4E00, 0x9FA5)
 #: Domains that stand for no one are left as they are; others get a surrogate below the reserved one.
 RESERVED = "example.com"
 _OF_NAME = {n: k for k, names in GIVEN.items() for n in names}
@@ -37,16 +48,45 @@ IBAN = r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-
 CARD = r"(?<![\dA-Za-z])(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])"
 SSN = r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
 PHONE = r"(?<![\dA-Za-z])(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ -]\d{2,4}){2,4}|\+\d{8,14}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z]|\.?\d)"
-_WORD = "|".join(f"[{u}][{lo}]+" for u, lo in SCRIPTS.values())
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĪĮŁŃŇŌŐŒŘŚŠŞŤŢŪŮŰŲŹŻŽА-ЯЁΑ-ΩΆ-Ώ", "a-zß-öø-ÿāăąćčďđēėęěğīįłńňōőœřśšşťţūůűųźżžа-яёα-ωά-ώ"
+_ONE = rf"[{_UPPER}](?:[{_LOWER}]+|[{_UPPER}]+(?![{_LOWER}])|['’][{_UPPER}][{_LOWER}]+)(?:[{_UPPER}][{_LOWER}]+)?"
+_WORD = rf"{_ONE}(?:-{_ONE})*"
+_NEXT = rf"(?: (?:[{_UPPER}]\. )*(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD})"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-NAME = rf"(?<!\w)(?:(?P<title>{_TITLE})\.? (?P<titled>(?:{_WORD})(?: (?:{_WORD}))?)|(?P<given>{'|'.join(sorted(_OF_NAME, key=len, reverse=True))}) (?P<family>{_WORD}))(?!\w)"
+_CUE = "|".join(rf"(?<=\b{re.escape(c)} )" for c in CUES)
+#: After a title or a cue; initials and a word; or a run of capitalised words, which is looked at further (name_at).
+NAME = rf"(?<!\w)(?:(?:{_TITLE})\.? (?P<titled>(?:[{_UPPER}]\. )*{_WORD}{_NEXT}{{0,2}})|(?:{_CUE})(?P<cued>{_WORD}{_NEXT}{{1,3}})|(?P<initials>(?:[{_UPPER}]\. ?){{1,2}}{_WORD})|(?P<run>{_WORD}{_NEXT}{{1,3}}))(?!\w)"
+HAN_NAME = rf"(?<![\u4e00-\u9fa5])(?P<han>[{HAN_FAMILY}][\u4e00-\u9fa5]{{1,2}})(?![\u4e00-\u9fa5])"
 _PLAIN = (EMAIL, IP, IBAN, CARD, SSN, PHONE)
-ENTITY, WITH_NAMES = re.compile("|".join(_PLAIN)), re.compile("|".join((*_PLAIN, NAME)))
+ENTITY, WITH_NAMES = re.compile("|".join(_PLAIN)), re.compile("|".join((*_PLAIN, NAME, HAN_NAME)))
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "name")
-#: What a text must hold to be searched.
+#: What a text must hold to be searched for numbers; and for names: a known word, a cue, initials or Han characters.
 _HINT = re.compile(r"\d[\d .()-]{5}|[A-Z]{2}\d\d")
-_TOKEN = re.compile(r"\w+")
-_NAME_TOKENS = {*_OF_NAME, *(t for ts in TITLES.values() for t in ts)}
+_TOKEN = re.compile(rf"[{_UPPER}][\w'’]+")
+_MORE = re.compile(rf"(?<!\w)[{_UPPER}]\. ?[{_UPPER}]|[\u4e00-\u9fa5]|\b(?:{'|'.join(map(re.escape, CUES))}) [{_UPPER}]")
+#: Endings of patronymics and of family names that a given name or a patronymic goes with.
+_PATRONYM = re.compile(r"[а-яё](?:ович|евич|овна|евна|ична)$")
+_FOLDED = {n.lower() for n in (*_OF_NAME, *FAMILY)}
+_NAME_TOKENS = _FOLDED | {t.lower() for ts in TITLES.values() for t in ts}
+_PART = re.compile(r"[ \-'’.]+|[^ \-'’.]+")
+_LETTERS = tuple(frozenset(x) for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def name_at(run: str) -> int | None:
+    """Where the name in a run of capitalised words begins; None if there is none.
+
+    Words that begin sentences are passed over. The rest is a name if one of its words is a known name or a patronymic,
+    or if it follows a word of address and has two words.
+    """
+    words = run.split(" ")
+    first = 0
+    while first < len(words) - 1 and words[first] in STARTERS:
+        first += 1
+    rest = words[first:]
+    known = any(w.lower() in _FOLDED or any(p.lower() in _FOLDED for p in w.split("-")) or _PATRONYM.search(w.lower()) for w in rest)
+    if not known and not (first and words[first - 1] in _ADDRESS and len(rest) > 1):
+        return None
+    return sum(len(w) + 1 for w in words[:first])
 
 
 class Permutation:
@@ -62,7 +102,11 @@ class Permutation:
         self.lists: dict[tuple[str, int], list[int]] = {}
 
     def _round(self, domain: str, i: int, x: int, size: int) -> int:
-        return int.from_bytes(hmac.digest(self.key, f"{domain}:{i}:{x}:{size}".encode(), "sha256")[:16], "big")
+        """A keyed number 128 bits wider than a half of the domain, so that its remainder is even over the half."""
+        message = f"{domain}:{i}:{x}:{size}".encode()
+        wanted = (size.bit_length() + 15) // 16 + 16
+        out = b"".join(hmac.digest(self.key, message + b":%d" % k, "sha256") for k in range(-(-wanted // 32)))
+        return int.from_bytes(out[:wanted], "big")
 
     def _network(self, domain: str, x: int, size: int) -> int:
         side = math.isqrt(size - 1) + 1
@@ -115,33 +159,50 @@ def iban_check(country: str, rest: str) -> str:
 class Surrogates:
     """Replacements of entities. The same entity, in its canonical form, gets the same one everywhere; different ones get different ones.
 
-    Letters, digits and the signs between them keep their places and classes (case, script, length). A type's canonical
-    forms of one format are a finite set, which a keyed permutation maps onto itself; what must hold of a form (a card's
-    check digit, an address's parts up to 255) holds of its surrogate.
+    Letters, digits and the signs between them keep their places and classes (case, script, length). The canonical forms
+    of one output format are a finite set, which one keyed permutation maps onto itself; what must hold of a form (a
+    check digit, an address's parts up to 255, a number that can be given out) holds of its surrogate, and what doesn't
+    hold doesn't. Canonical forms: an address in lower case, a telephone number without country and trunk signs, a
+    number's digits, a name's words without regard to case.
     """
 
     def __init__(self, key: bytes = KEY):
         self.permute = Permutation(key)
-        self.seen: dict[tuple[str, str], str] = {}
+        self.seen: dict[tuple[str, str], tuple[str, str, str]] = {}
 
-    def of(self, kind: str, value: str, gender: str = "") -> str:
-        k = (kind + gender, value)
+    def of(self, kind: str, value: str) -> tuple[str, str, str]:
+        """The surrogate of an entity, and the canonical forms of the entity and of the surrogate."""
+        k = (kind, value)
         if k not in self.seen:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
-            self.seen[k] = getattr(self, kind)(value, gender) if kind == "name" else getattr(self, kind)(value)
+            new = getattr(self, kind)(value)
+            self.seen[k] = (new, self.canonical(kind, value), self.canonical(kind, new))
         return self.seen[k]
 
+    @staticmethod
+    def canonical(kind: str, value: str) -> str:
+        if kind == "phone":
+            return Surrogates._national(value)[1]
+        if kind in ("email", "name"):
+            return value.lower()
+        return value if kind == "ip" else re.sub(r"[^A-Za-z0-9]", "", value)
+
+    def digest(self, kind: str, canonical: str) -> int:
+        """A keyed number of 63 bits that stands for a canonical form."""
+        return int.from_bytes(hmac.digest(self.permute.key, f"entity:{kind}:{canonical}".encode(), "sha256")[:8], "big") >> 1
+
     def _shape(self, domain: str, value: str, keep: int = 0) -> str:
         """A string of the same shape: a number over the alphabets of its characters, permuted; the first `keep` letters and digits stay."""
         alphabets, places = [], []
         for i, c in enumerate(value):
-            for chars in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
-                if c in chars:
+            for letters, chars in zip(_LETTERS, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), strict=True):
+                if c in letters:
                     places.append(i)
                     alphabets.append(chars)
         kept, places, alphabets = places[:keep], places[keep:], alphabets[keep:]
-        shape = "".join("9aA"["0aA".index(chars[0])] for chars in alphabets) + "".join(value[i] for i in kept)
+        signs = "".join(c if i not in set(places) else "_" for i, c in enumerate(value)) if len(places) < len(value) else ""
+        shape = "".join("9aA"["0aA".index(chars[0])] for chars in alphabets) + "".join(value[i] for i in kept) + "|" + signs
         x, size = 0, 1
         for i, chars in zip(places, alphabets, strict=True):
             x, size = x * len(chars) + chars.index(value[i]), size * len(chars)
@@ -152,15 +213,21 @@ class Surrogates:
             out[i] = chars[d]
         return "".join(out)
 
+    @staticmethod
+    def _cased(new: str, like: str) -> str:
+        """new, of the same length, with capitals where `like` has them."""
+        return "".join(a.upper() if b != b.lower() else a for a, b in zip(new, like, strict=True))
+
     def email(self, value: str) -> str:
         local, _, host = value.rpartition("@")
         low = host.lower()
+        new = self._cased(self._shape("email@" + low, local.lower()), local)
         if low == RESERVED or low.endswith("." + RESERVED):
-            return f"{self._shape('email@' + low, local)}@{host}"
+            return f"{new}@{host}"
         # a host's own surrogate keeps mail of one host together
         name = re.sub(r"[^a-z0-9]", "", low)
-        tag = hashlib.sha256(self.permute.key + low.encode()).hexdigest()[:12]
-        return f"{self._shape('email@' + low, local)}@{self._shape('host', name[:8])}-{tag}.{RESERVED}"
+        tag = hashlib.sha256(self.permute.key + low.encode()).hexdigest()[:16]
+        return f"{new}@{self._shape('host', name[:8])}-{tag}.{RESERVED}"
 
     def ip(self, value: str) -> str:
         x = 0
@@ -184,82 +251,113 @@ class Surrogates:
 
     def iban(self, value: str) -> str:
         plain = value.replace(" ", "")
-        rest = self._shape("iban" + plain[:2], plain[4:])
-        check = iban_check(plain[:2], rest) if iban_check(plain[:2], plain[4:]) == plain[2:4] else self._shape("ibancheck" + plain[:2], plain[2:4])
-        return self._laid(value, plain[:2] + check + rest)
+        country, check, body = plain[:2], int(plain[2:4]), plain[4:]
+        rest = self._shape("iban" + country, body)
+        if 2 <= check <= 98:
+            # check numbers run from 2 to 98: the distance from the valid one stays, so a valid number stays valid
+            check = 2 + (int(iban_check(country, rest)) - 2 + check - int(iban_check(country, body))) % 97
+        return self._laid(value, f"{country}{check:02d}{rest}")
 
     def ssn(self, value: str) -> str:
-        return self._laid(value, self._shape("ssn", re.sub(r"\D", "", value)))
+        def given_out(d: str) -> bool:
+            return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+        digits = old = re.sub(r"\D", "", value)
+        while True:
+            digits = self._shape("ssn", digits)
+            if given_out(digits) == given_out(old):
+                return self._laid(value, digits)
+
+    @staticmethod
+    def _national(value: str) -> tuple[int, str]:
+        """How many digits stand before the national number (country code and trunk zeros), and that number."""
+        digits = re.sub(r"\D", "", value)
+        country = re.match(r"\+(\d{1,3})[ .(-]", value)
+        before = len(country[1]) if country else 1 if re.match(r"\+1\d{10}$", value) else 0
+        while before < len(digits) - 1 and digits[before] == "0" and len(digits) - before > 10:
+            before += 1
+        return before, digits[before:]
 
     def phone(self, value: str) -> str:
+        before, national = self._national(value)
         digits = re.sub(r"\D", "", value)
-        country = len(re.match(r"\+(\d{1,3})", value)[1]) if re.match(r"\+\d{1,3}[ .(-]", value) else 0
-        return self._laid(value, digits[:country] + self._shape("phone" + digits[:country], digits[country:]))
-
-    def name(self, value: str, gender: str) -> str:
-        words = value.split(" ")
-        out = []
-        for i, word in enumerate(words):
-            group = _OF_NAME.get(word)
-            if i == 0 and group and (not gender or group[1] == gender):
-                names = GIVEN[group]
-                out.append(names[self.permute.of(f"given{group}", names.index(word), len(names))])
-            else:
-                out.append(self._family(word))
-        return " ".join(out)
-
-    def _family(self, word: str) -> str:
-        """A pronounceable word of the same script and length: vowels are permuted among vowels, consonants among consonants."""
-        for upper, lower in SCRIPTS.values():
-            if re.match(f"[{upper}][{lower}]*$", word):
-                break
-        sets = {"A-ZÀ-ÖØ-Þ": ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "ßçðñþÿ"), "А-ЯЁ": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"), "Α-ΩΆ-Ώ": ("αεηιουωάέήίόύώϊϋ", "βγδζθκλμνξπρςστφχψ")}[upper]
-        low, x, size, used = word.lower(), 0, 1, []
-        if len(low) != len(word):
+        new = national
+        while True:
+            new = self._shape("phone", new)
+            if (new[0] == "0") == (national[0] == "0"):
+                return self._laid(value, digits[:before] + new)
+
+    def name(self, value: str) -> str:
+        return "".join(p if p in PARTICLES or not p[0].isalpha() else self._word(p) for p in _PART.findall(value))
+
+    def _word(self, word: str) -> str:
+        """A listed given name becomes one of its list (gender and script); another word one of its script and length, which no listed name is."""
+        title = word[:1].upper() + word[1:].lower()
+        group = _OF_NAME.get(title)
+        if group:
+            names = GIVEN[group]
+            new = names[self.permute.of(f"given{group}", names.index(title), len(names))]
+            return new.upper() if word.isupper() else new
+        new = title.lower()
+        if len(new) != len(word):
             return word
+        while True:
+            new = self._letters(new)
+            if new[:1].upper() + new[1:] not in _OF_NAME:
+                return self._cased(new, word)
+
+    def _letters(self, low: str) -> str:
+        """A pronounceable word: vowels are permuted among vowels, consonants among consonants, Han characters among these."""
+        x, size, used = 0, 1, []
         for c in low:
-            chars = next((s for s in sets if c in s), None)
-            used.append(chars)
+            chars = LETTERS[_CLASS[c]] if c in _CLASS else None
             if chars:
-                # plain letters stay plain, so that the surrogate reads like the script's words
                 x, size = x * len(chars) + chars.index(c), size * len(chars)
-        shape = "".join("-" if s is None else str(sets.index(s)) for s in used)
-        x = self.permute.of(f"family:{upper}:{shape}", x, size)
+            elif HAN[0] <= ord(c) <= HAN[1]:
+                chars = HAN
+                x, size = x * (HAN[1] - HAN[0] + 1) + ord(c) - HAN[0], size * (HAN[1] - HAN[0] + 1)
+            used.append(chars)
+        shape = "".join(c if u is None else "*" if u is HAN else str(LETTERS.index(u)) for c, u in zip(low, used, strict=True))
+        x = self.permute.of(f"word:{shape}", x, size)
         out = list(low)
         for i in reversed(range(len(low))):
-            if used[i]:
+            if used[i] is HAN:
+                x, d = divmod(x, HAN[1] - HAN[0] + 1)
+                out[i] = chr(HAN[0] + d)
+            elif used[i]:
                 x, d = divmod(x, len(used[i]))
                 out[i] = used[i][d]
-        return "".join(out)[:1].upper() + "".join(out)[1:]
-
-
-def _gender(title: str | None) -> str:
-    return next((g for g, titles in TITLES.items() if title in titles), "")
+        return "".join(out)
 
 
-def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with surrogates, and each entity's kind with its begin and end (code points) in the new text."""
-    named = not _NAME_TOKENS.isdisjoint(_TOKEN.findall(text))
+def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, int, int]]]:
+    """The text with surrogates, and each entity's kind, begin and end (code points) in the new text, and keyed numbers of the entity and its surrogate."""
+    named = not _NAME_TOKENS.isdisjoint(map(str.lower, _TOKEN.findall(text))) or bool(_MORE.search(text)) or bool(_PATRONYM.search(text))
     if not (named or "@" in text or _HINT.search(text)):
         return text, []
     out, spans, at, length = [], [], 0, 0
     for m in (WITH_NAMES if named else ENTITY).finditer(text):
         kind = m.lastgroup
-        if kind in ("titled", "family", "given", "title"):
-            lo, hi = m.span("titled") if m["titled"] else (m.start("given"), m.end("family"))
-            new, kind = surrogates.of("name", text[lo:hi], _gender(m["title"])), "name"
-        else:
-            lo, hi = m.span()
-            new = surrogates.of(kind, m[0])
+        lo, hi = m.span(kind)
+        if kind == "run":
+            begin = name_at(m["run"])
+            if begin is None:
+                continue
+            lo += begin
+        if kind in ("titled", "cued", "initials", "run", "han"):
+            kind = "name"
+        new, before, after = surrogates.of(kind, text[lo:hi])
         out += [text[at:lo], new]
         length += lo - at
-        spans.append((kind, length, length + len(new)))
+        spans.append((kind, length, length + len(new), surrogates.digest(kind, before), surrogates.digest(kind, after)))
         length += len(new)
         at = hi
     return "".join([*out, text[at:]]), spans
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_IDS = pa.list_(pa.struct([("entity", pa.int64()), ("surrogate", pa.int64())]))
+_NEW = "entities array<struct<kind:string,start:bigint,end:bigint>>, entity_ids array<struct<entity:bigint,surrogate:bigint>>"
 
 
 def _replaced(key: bytes, column: str):
@@ -267,39 +365,51 @@ def _replaced(key: bytes, column: str):
         surrogates = Surrogates(key)
         for batch in batches:
             i = batch.schema.get_field_index(column)
-            texts, spans = [], []
+            texts, spans, ids = [], [], []
             for t in batch.column(i).to_pylist():
                 new, found = replace(t, surrogates) if t else (t, [])
                 texts.append(new)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+                spans.append([{"kind": k, "start": a, "end": b} for k, a, b, _, _ in found])
+                ids.append([{"entity": e, "surrogate": s} for _, _, _, e, s in found])
             columns = batch.columns
             columns[i] = pa.array(texts, pa.string())
-            yield pa.record_batch([*columns, pa.array(spans, _SPANS)], [*batch.schema.names, "entities"])
+            yield pa.record_batch([*columns, pa.array(spans, _SPANS), pa.array(ids, _IDS)], [*batch.schema.names, "entities", "entity_ids"])
 
     return run
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """Replace personal data in docs' texts; adds entities (kind, start, end in the new text).
+    """Replace personal data in docs' texts; adds entities (kind, start, end in the new text) and entity_ids (keyed numbers of each entity and its surrogate).
 
     Surrogates come from the key and the entity alone, so that one entity has the same one in every document (and when
     run again), with nothing to gather or join. Permutations without fixed points keep entities distinct and change
-    each. Null texts stay null and empty ones empty, without entities; a column named entities is replaced.
+    each; `collisions` checks that on the result. Null texts stay null and empty ones empty, without entities; long
+    texts are read whole; repeated rows, equal and null ids give a row each, no rows none. Columns named entities and
+    entity_ids are replaced. Digits in a card's form count as one whether or not the check digit holds.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("entities")
-    schema = T.StructType([*docs.schema, *T.StructType.fromDDL("entities array<struct<kind:string,start:bigint,end:bigint>>")])
-    return docs.mapInArrow(_replaced(key, text_col), schema)
+    docs = docs.drop("entities", "entity_ids")
+    return docs.mapInArrow(_replaced(key, text_col), T.StructType([*docs.schema, *T.StructType.fromDDL(_NEW)]))
+
+
+def collisions(replaced: DataFrame) -> DataFrame:
+    """The check of a result of pseudonymise: surrogates that stand for several entities, and entities with several surrogates; it must have no rows."""
+    pairs = replaced.select(F.explode(F.arrays_zip("entities", "entity_ids")).alias("x")).select(F.col("x.entities.kind").alias("kind"), "x.entity_ids.*").distinct()
+    sides = [pairs.groupBy("kind", F.col(a).alias("id")).agg(F.count("*").alias("n")).filter("n > 1").withColumn("side", F.lit(a)) for a in ("surrogate", "entity")]
+    return sides[0].unionByName(sides[1])
 
 
-def collisions(entities: DataFrame) -> DataFrame:
-    """The check: surrogates (kind, surrogate) that stand for more than one entity (kind, value, surrogate); it must have no rows."""
-    pairs = entities.select("kind", "value", "surrogate").distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+def checked(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """pseudonymise, written and checked: an error if two entities of the whole table share a surrogate, or one has two."""
+    out = Scratch(docs.sparkSession, "pii").table(pseudonymise(docs, key, text_col), "replaced")
+    wrong = collisions(out).count()
+    if wrong:
+        raise ValueError(f"{wrong} surrogates aren't one to one; use another key")
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    out = checked(documents(spark, sf_dir).select("doc_id", "text"))
     kinds = F.transform("entities", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, "entities", "text")
