@@ -375,6 +375,20 @@ def test_secrets(spark, docs, empty):
         assert r["e"] == pytest.approx(max(entropy(s[i : i + w]) for i in range(len(s) - w + 1)), abs=1e-9)
 
 
+def test_secrets_planted_and_clean(spark):
+    """Random keys are found, names and paths aren't, and a path beside a key doesn't hide it."""
+    rng = np.random.default_rng(4)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + upper + digits, lower + upper, digits + "ABCDEF", lower + upper + digits + "+/", lower + digits]
+    keys = ["".join(rng.choice(list(a), 32)) for a in alphabets for _ in range(60)]
+    clean = ["getElementByIdAndNameFromTheDocument", "https://www.public.org/a/very/long/path/to/some/page", "internationalization_of_applications", "2024-01-02T03:04:05+00:00/2024", "ThisIsAVeryLongClassNameInJava2", "SomeHTTPServerConnectionPoolFactoryBean", "path/to/file_name_version_12345678", "antidisestablishmentarianism", "-" * 400 + "1", "a" * 60 + "1" + "a" * 60, "abcdefghklmnopqrstuvw" * 30 + "1x"]
+    rows = [(f"the key {k} here", 1) for k in keys] + [(c, 0) for c in clean] + [(f"/sample/files/{keys[0]}", 1)]
+    out = secrets.scan_secrets(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, planted int")).withColumn("n", F.size("spans") - F.size("base_spans")).collect()
+    assert np.mean([r["n"] > 0 for r in out if r["planted"]]) >= 0.95
+    assert [r["text"] for r in out if not r["planted"] and r["n"]] == []
+    assert out[-1]["n"] == 1
+
+
 PEOPLE = ["Zoë Müller", "Ahmed Hassan", "Priya Patel", "JOHN SMITH", "John O'Brien-Smith", "李伟", "Иванова Мария Петровна", "Dr. Smith", "Mrs. Anna Kowalska", "J. R. Tolkien", "Ludwig van García", "Иван Петров", "Ελένη Παπαδοπούλου", "Jean-Luc Dubois", "Maria da Silva", "Wei Zhang"]
 
 
