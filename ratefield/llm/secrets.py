@@ -27,8 +27,8 @@ CLASSES = (
     ("alnum", "^[A-Za-z0-9]+$", 62, 0.85),
     ("base64", "^.+$", 66, 0.85),
 )
-#: Strings of letters alone are candidates if capitals lie in them at random: small letters are followed by capitals so often.
-_TURNS = 4
+#: Letters, and a number behind them at most: names in code are such, with few capitals; random ones have a third of either case.
+_WORDS = "^[A-Za-z]+[0-9]{0,8}$"
 #: Candidates that hold one of these are no secrets: place holders, runs, UUIDs, words joined by signs, words and a number.
 #: Quantifiers within repeated groups are possessive, so that no string takes more than one pass.
 ALLOW = (
@@ -36,9 +36,8 @@ ALLOW = (
     r"(.)\1{5}",
     r"0123456789|123456789|abcdefghij|ABCDEFGHIJ",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(?:[A-Z]*+[a-z]*+[-_/+=]++)++[A-Z]*+[a-z]*+$",
+    r"^(?:[A-Za-z]*+[-_/+=]++)++[A-Za-z]*+[0-9]{0,8}+$",
     r"^[0-9+/_=-]+$",
-    r"^(?:[A-Z]{0,4}+[a-z]{2,}+[-_/+=]*+)++[0-9]{0,8}+$",
 )
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -121,8 +120,9 @@ def _is_secret(m: Column) -> Column:
     plain = F.lit(False)
     for pattern in ALLOW:
         plain = plain | m.rlike(pattern)
-    turns = F.regexp_count(m, F.lit("[a-z][A-Z]")) >= _TURNS
-    return F.when(plain | ~(m.rlike("[0-9]") | turns), F.lit(False)).otherwise(best_entropy(m) >= least_entropy(m))
+    third = lambda c: 3 * F.regexp_count(m, F.lit(c)) >= F.char_length(m)
+    plain = plain | (m.rlike(_WORDS) & ~(third("[A-Z]") & third("[a-z]")))
+    return F.when(plain, F.lit(False)).otherwise(best_entropy(m) >= least_entropy(m))
 
 
 def _apart(spans: Column, others: Column) -> Column:
