@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import BLANKS, UPPER, documents
+from ratefield.llm.common import BLANKS, UPPER, Scratch, documents
 
 
 def _lines(text: Column) -> Column:
@@ -23,28 +23,35 @@ def line_hashes(text: Column) -> Column:
     return F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"))))
 
 
+#: Common lines up to this number are broadcast (12 bytes of hash each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Explode the normalised lines, count documents per hash, drop lines at or over min_docs, and reassemble by position.
 
     Returns the columns of docs with the kept text in text_col, and n_lines and n_dropped (of the text as given).
     A null or empty text is one empty line and stays null or empty. Every row counts as one document, so repeated
     rows count each; rows with equal or null ids don't disturb each other, as a common line is dropped wherever it is.
-    Columns of docs named n_lines or n_dropped are replaced.
+    Long texts are read whole, no rows give no rows. Columns of docs named n_lines or n_dropped are replaced; others may
+    have any name.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    seen = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.filter(line_hashes(F.col(text_col)), F.isnotnull))).alias("_h"))
-    common = seen.groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs).select("_h")
-    mine = seen.join(common, "_h", "left_semi").groupBy("_id").agg(F.collect_set("_h").alias("_common"))
-    both = docs.join(mine, docs[id_col].eqNullSafe(mine["_id"]), "left")
-    text, gone = F.col(text_col), F.col("_common")
+    scratch = Scratch(docs.sparkSession, "lines")
+    seen = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(F.filter(line_hashes(F.col(f"`{text_col}`")), F.isnotnull))).alias("h"))
+    # lines are hashed once for counting; equal ones are added up before they are dealt out
+    common = scratch.table(seen.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h"), "common", narrow=True)
+    few = common.count() <= BROADCAST_ROWS
+    mine = seen.join(F.broadcast(common) if few else common, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("common"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("own"))
+    both = whole.join(mine, F.col("own").eqNullSafe(F.col("id")), "left")
+    text, gone = F.col(f"doc.`{text_col}`"), F.col("common")
     marked = F.arrays_zip(_lines(text).alias("line"), line_hashes(text).alias("h"))
-    kept = F.when(gone.isNull(), _lines(text)).otherwise(
-        F.transform(F.filter(marked, lambda x: x["h"].isNull() | ~F.array_contains(gone, x["h"])), lambda x: x["line"])
-    )
-    out = both.withColumn("_kept", kept).withColumn("n_lines", F.size(_lines(text)).cast("long"))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    joined = F.when(text.isNotNull(), F.array_join("_kept", "\n"))
-    return out.select(*[joined.alias(c) if c == text_col else docs[c] for c in docs.columns], "n_lines", "n_dropped")
+    kept = F.when(gone.isNull(), _lines(text)).otherwise(F.transform(F.filter(marked, lambda x: x["h"].isNull() | ~F.array_contains(gone, x["h"])), lambda x: x["line"]))
+    out = both.select("doc", kept.alias("kept"), F.size(_lines(text)).cast("long").alias("n_lines"))
+    joined = F.when(text.isNotNull(), F.array_join("kept", "\n"))
+    columns = [(joined if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    return out.select(*columns, "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
