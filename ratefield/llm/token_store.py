@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, documents, mix64, range_bounds, range_bucket, shuffle_partitions, small_batches
 from ratefield.llm.packing import _default_tokenizer
-from ratefield.llm.tokens import encoder
+from ratefield.llm.tokens import encoder, using
 
 #: Mean number of keys of an index file; a file is built and held whole by one task.
 KEYS = 20_000
@@ -46,23 +46,26 @@ class _Output:
 
 
 def _write(folder: str, tokenizer: str, width: int):
-    """Rows come by shard and key: write each shard's ids, and give each row's place."""
+    """Rows come by shard and key: write each shard's ids, and give each row's place, and whether it is its key's first."""
 
     def run(batches):
-        ids, shard, out, at = encoder(tokenizer).ids, None, None, 0
-        for batch in batches:
-            offsets, counts = [], []
-            for p, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if p != shard:
-                    if out:
-                        out.close()
-                    shard, at, out = p, 0, _Output(folder, f"shard-{p:06d}.ids")
-                data = np.append(np.frombuffer(ids(text), "<u4"), np.uint32(END))
-                out.stream.write(data.astype(f"<u{width}").tobytes())
-                offsets.append(at)
-                counts.append(len(data))
-                at += len(data)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("shard"), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "shard", "at", "n"])
+        shard, out, at, before = None, None, 0, None
+        with using(tokenizer) as ids:
+            for batch in batches:
+                offsets, counts, firsts = [], [], []
+                for p, key, text in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if p != shard:
+                        if out:
+                            out.close()
+                        shard, at, out, before = p, 0, _Output(folder, f"shard-{p:06d}.ids"), None
+                    firsts.append(key is not None and key != before)
+                    before = key
+                    data = np.append(np.frombuffer(ids(text), "<u4"), np.uint32(END))
+                    out.stream.write(data.astype(f"<u{width}").tobytes())
+                    offsets.append(at)
+                    counts.append(len(data))
+                    at += len(data)
+                yield pa.record_batch([batch.column("doc_id"), batch.column("shard"), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.bool_())], ["doc_id", "shard", "at", "n", "first"])
         if out:
             out.close()
 
@@ -235,11 +238,11 @@ def _checked(read):
 class TokenStore:
     """Shard files of raw ids in ascending key order, and the index files over them, in a shared folder.
 
-    `shards` tells each shard's number of ids and of those before it.
+    `shards` tells each shard's number of ids and of those before it; `others` the places of rows that no key leads to.
     """
 
-    def __init__(self, spark, folder: str, buckets: int, width: int, shards: DataFrame):
-        self.spark, self.folder, self.buckets, self.width, self.shards = spark, folder, buckets, width, shards
+    def __init__(self, spark, folder: str, buckets: int, width: int, shards: DataFrame, others: DataFrame):
+        self.spark, self.folder, self.buckets, self.width, self.shards, self.others = spark, folder, buckets, width, shards, others
 
     @staticmethod
     def bucket(key: Column, buckets: int) -> Column:
@@ -250,8 +253,9 @@ class TokenStore:
         """Encode docs (doc_id, text), append the end id 0 to each, and write all ids by doc_id.
 
         Shards are ranges of doc_id; ids take two bytes where the vocabulary allows it. Null and empty texts give the
-        end id alone. Rows with equal doc_ids are all written and the first is indexed; null doc_ids come first and
-        are written but not indexed.
+        end id alone. Rows with equal doc_ids are all written, by their texts' hashes, and the first is indexed; null
+        doc_ids come first and are written but not indexed: `others` has the places of these and of further rows of a
+        key. Long texts are encoded whole; no rows give an empty store; other columns of docs don't matter.
         """
         spark, tokenizer = docs.sparkSession, tokenizer or _default_tokenizer()
         small_batches(spark)
@@ -262,15 +266,15 @@ class TokenStore:
         parts = shuffle_partitions(spark)
         bounds = range_bounds(docs, "doc_id", parts)
         ranged = docs.select("doc_id", range_bucket(F.col("doc_id"), bounds).cast("long").alias("shard"), "text")
-        ranged = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
-        rows = scratch.table(ranged.mapInArrow(_write(folder, tokenizer, width), "doc_id long, shard long, at long, n long"), "rows")
+        ranged = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        rows = scratch.table(ranged.mapInArrow(_write(folder, tokenizer, width), "doc_id long, shard long, at long, n long, first boolean"), "rows")
         shards = rows.groupBy("shard").agg(F.sum("n").alias("ids"))
         shards = scratch.table(shards.select("shard", "ids", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before")), "shards")
-        keyed = rows.filter("doc_id is not null")
+        keyed = rows.filter("first").drop("first")
         buckets = max(1, -(-keyed.count() // KEYS))
         keyed = keyed.withColumn("bucket", cls.bucket(F.col("doc_id"), buckets)).repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket")
         scratch.table(keyed.mapInArrow(_build(folder), "bucket long, keys long"), "index")
-        return cls(spark, folder, buckets, width, shards)
+        return cls(spark, folder, buckets, width, shards, rows.filter("not first").drop("first"))
 
     def find(self, keys: DataFrame) -> DataFrame:
         """Places of keys (a doc_id column) by the index: doc_id, shard, at and n (ids); keys that it lacks give no row."""
@@ -278,20 +282,25 @@ class TokenStore:
         keys = keys.repartition(min(shuffle_partitions(self.spark), self.buckets), "bucket").sortWithinPartitions("bucket")
         return keys.mapInArrow(_look_up(self.folder), "doc_id long, shard long, at long, n long")
 
-    def _by_place(self, keys: DataFrame) -> DataFrame:
-        return self.find(keys).repartition(shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard", "at")
+    def _by_place(self, places: DataFrame) -> DataFrame:
+        return places.repartition(shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard", "at")
 
     def get(self, keys: DataFrame) -> DataFrame:
         """The ids of keys: doc_id, shard, at, n and ids (little-endian uint32)."""
-        return self._by_place(keys).mapInArrow(_read(self.folder, self.width), "doc_id long, shard long, at long, n long, ids binary")
+        return self._by_place(self.find(keys)).mapInArrow(_read(self.folder, self.width), "doc_id long, shard long, at long, n long, ids binary")
 
-    def digests(self, keys: DataFrame) -> DataFrame:
-        """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of keys, read from the files."""
-        read = self._by_place(keys).mapInArrow(_checked(_read(self.folder, self.width)), "doc_id long, shard long, at long, n long, ids_crc32 long")
+    def digests(self, places: DataFrame) -> DataFrame:
+        """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of what lies at places (as find and others give them), read from the files."""
+        read = self._by_place(places).mapInArrow(_checked(_read(self.folder, self.width)), "doc_id long, shard long, at long, n long, ids_crc32 long")
         out = read.join(self.shards.select("shard", "before"), "shard")
         return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
 
 
+def digest_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """A row per document of a store of docs: by its key through the index, or by its place where no key leads to it."""
+    store = TokenStore.write(docs, folder=folder)
+    return store.digests(store.find(docs.select("doc_id").distinct()).unionByName(store.others))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return TokenStore.write(docs).digests(docs)
+    return digest_documents(documents(spark, sf_dir))

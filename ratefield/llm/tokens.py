@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -11,8 +12,10 @@ from tokenizers import Tokenizer
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes for blanks and the tokenizer doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
-#: Pieces that a worker keeps; a piece beyond is encoded each time it comes.
-MOST = 600_000
+#: Bytes of pieces and their ids that a task keeps, and the longest piece kept; others are encoded each time they come.
+MOST_BYTES, LONGEST = 24 << 20, 64
+#: Bytes that an entry takes besides its piece and ids.
+_ENTRY = 200
 _READY: dict[str, Encoder] = {}
 
 
@@ -28,6 +31,7 @@ class _Cache(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
+        self.bytes = 0
         self.model, self.alphabet, self.parts = tokenizer.model, _byte_alphabet(), tokenizer.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, piece: str) -> bytes:
@@ -37,8 +41,9 @@ class _Cache(dict):
         else:
             words = [piece.encode().decode("latin-1").translate(self.alphabet)] if m else [w for w, _ in self.parts(piece)]
             ids = b"".join([t.id.to_bytes(4, "little") for word in words for t in self.model.tokenize(word)])
-        if len(self) < MOST:
+        if len(piece) <= LONGEST and self.bytes < MOST_BYTES:
             self[piece] = ids
+            self.bytes += _ENTRY + len(piece) + len(ids)
         return ids
 
     #: Letters with at most one run of signs behind them; the pattern parts these two.
@@ -70,3 +75,15 @@ def encoder(path: str) -> Encoder:
         _READY.clear()
         _READY[path] = Encoder(path)
     return _READY[path]
+
+
+@contextmanager
+def using(path: str):
+    """The ids function of the worker's encoder, for one task: what it has kept goes at the end."""
+    ready = encoder(path)
+    try:
+        yield ready.ids
+    finally:
+        ready.cache.clear()
+        if ready.parted:
+            ready.cache.bytes = 0
