@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, documents, range_bounds, range_bucket, shuffle_partitions, small_batches
-from ratefield.llm.tokens import encoder
+from ratefield.llm.tokens import using
 
 LENGTH = 1024
 END = b"\0\0\0\0"
@@ -25,14 +25,14 @@ def _measure(tokenizer: str, length: int):
     """Each document's number of tokens and the crc32 of its pieces: full ones, then the rest."""
 
     def run(batches):
-        ids = encoder(tokenizer).ids
-        for batch in batches:
-            n, crcs = [], []
-            for text in batch.column("text").to_pylist():
-                data = ids(text) + END
-                n.append(len(data) // 4)
-                crcs.append([zlib.crc32(data[i : i + 4 * length]) for i in range(0, len(data), 4 * length)])
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n", "crcs"])
+        with using(tokenizer) as ids:
+            for batch in batches:
+                n, crcs = [], []
+                for text in batch.column("text").to_pylist():
+                    data = ids(text) + END
+                    n.append(len(data) // 4)
+                    crcs.append([zlib.crc32(data[i : i + 4 * length]) for i in range(0, len(data), 4 * length)])
+                yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n", "crcs"])
 
     return run
 
@@ -83,7 +83,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     lengths make a histogram (at most `length` numbers, which the driver packs); each rest finds its place by its rank
     among the rests of its length. Ranks and sequence numbers come from sums by range of doc_id, so that no length's
     rests meet in one task. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. Null and
-    empty texts are the end id alone; rows with equal or null doc_ids are packed each.
+    empty texts are the end id alone; rows with equal or null doc_ids, and equal rows, are packed each. Long texts are
+    encoded whole; no rows give no pieces; other columns of docs don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -123,21 +124,29 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
 
 def _cut(tokenizer: str):
     def run(batches):
-        ids = encoder(tokenizer).ids
-        for batch in batches:
-            rows = batch.to_pydict()
-            out = [(ids(t) + END)[4 * s : 4 * (s + n)] for t, s, n in zip(rows["text"], rows["start"], rows["length"], strict=True)]
-            yield pa.record_batch([batch.column("sequence_id"), batch.column("offset"), pa.array(out, pa.binary())], ["sequence_id", "offset", "ids"])
+        with using(tokenizer) as ids:
+            for batch in batches:
+                sequence, offset, out = [], [], []
+                for text, pieces in zip(batch.column("text").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                    data = ids(text) + END
+                    for x in pieces:
+                        sequence.append(x["sequence_id"])
+                        offset.append(x["offset"])
+                        out.append(data[4 * x["start"] : 4 * (x["start"] + x["length"])])
+                yield pa.record_batch([pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(out, pa.binary())], ["sequence_id", "offset", "ids"])
 
     return run
 
 
 def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The packed sequences: sequence_id and ids (little-endian uint32), from docs with unique doc_ids and their pieces."""
-    both = docs.select("doc_id", "text").join(pieces, "doc_id").select("text", "start", "length", "sequence_id", "offset")
-    cut = both.mapInArrow(_cut(tokenizer or _default_tokenizer()), "sequence_id long, offset long, ids binary")
+    """The packed sequences: sequence_id and ids (little-endian uint32), from docs with unique doc_ids and their pieces.
+
+    A text is encoded once, whatever its pieces. Documents without pieces, and pieces without a document, are left out.
+    """
+    of_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    cut = docs.select("doc_id", "text").join(of_doc, "doc_id").select("text", "pieces").mapInArrow(_cut(tokenizer or _default_tokenizer()), "sequence_id long, offset long, ids binary")
     parts = cut.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return parts.select("sequence_id", F.aggregate(F.transform("parts", lambda x: F.hex(x["ids"])), F.lit(""), lambda a, x: F.concat(a, x)).alias("h")).select("sequence_id", F.unhex("h").alias("ids"))
+    return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
