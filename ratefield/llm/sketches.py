@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from ratefield.llm.common import Words, distinct_by_doc, documents, range_bounds, range_bucket, shuffle_partitions, slices, small_batches, text_bytes
 
 WORDS = 5
-#: One in so many hashes is kept.
-SCALE = 4
+#: One in so many hashes is kept. At 2 the likeness of a text and its edited half is off by 0.02 in the mean (sf0.1; 0.04 at 4, 0.06 at 8).
+SCALE = 2
 #: Hexadecimal digits that stand for a hash: its upper 48 bits.
 _HEX = 12
 
@@ -23,11 +23,11 @@ def sketch_arrays(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, sca
     """The kept hashes of each text in rising order, and the offset of each text's first.
 
     Kept are the distinct shingle hashes below 2**64 / scale, and a text's least one if none is: so a text with a word
-    has a fingerprint. Merging two fingerprints is their union; the exception then goes where another hash is kept.
+    has a fingerprint. merge joins fingerprints; the exception goes where another hash is kept.
     """
     h, doc = Words(data, offsets).shingles(words)
     texts = len(offsets) - 1
-    low = h < np.uint64((1 << 64) // scale)
+    low = h <= np.uint64((1 << 64) // scale - 1)
     few = np.flatnonzero((np.bincount(doc[low], minlength=texts) == 0) & (np.bincount(doc, minlength=texts) > 0))
     if len(few):
         least = np.full(texts, np.iinfo(np.uint64).max, np.uint64)
@@ -59,11 +59,27 @@ def likeness(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union == 0, 1.0, both / np.maximum(union, 1))
 
 
+def hashes(fingerprint: Column) -> Column:
+    """The hashes of a fingerprint, as an array of strings."""
+    parts = F.transform(F.sequence(F.lit(1), F.floor(F.char_length(fingerprint) / _HEX).cast("int")), lambda i: F.substr(fingerprint, (i - 1) * _HEX + 1, F.lit(_HEX)))
+    return F.when(F.char_length(fingerprint) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of a's shingles that b has, of two fingerprints as strings; null if a is empty. It doesn't depend on b's size."""
-    parts = lambda c: F.transform(F.sequence(F.lit(1), F.floor(F.char_length(c) / _HEX).cast("int")), lambda i: F.substr(c, (i - 1) * _HEX + 1, F.lit(_HEX)))
-    whole = lambda c: F.when(F.char_length(c) > 0, parts(c)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.char_length(a) > 0, F.size(F.array_intersect(whole(a), whole(b))) / F.size(whole(a)))
+    return F.when(F.char_length(a) > 0, F.size(F.array_intersect(hashes(a), hashes(b))) / F.size(hashes(a)))
+
+
+def merge(found: Column, scale: int = SCALE) -> Column:
+    """The fingerprint of texts taken together, of an array of their fingerprints: the union.
+
+    Of hashes at or over the threshold (least ones of texts that keep none) the least stays, if there is no other; so
+    merging in any order gives what the set of all the texts' shingles has.
+    """
+    limit = f"{((1 << 64) // scale) >> (64 - 4 * _HEX):0{_HEX}x}" if scale > 1 else "g"
+    whole = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(found, F.isnotnull), hashes))))
+    low = F.filter(whole, lambda h: h < limit)
+    return F.array_join(F.when(F.size(low) > 0, low).otherwise(F.slice(whole, 1, 1)), "")
 
 
 def _sketches(words: int, scale: int, column: str):
@@ -78,7 +94,8 @@ def _sketches(words: int, scale: int, column: str):
 def fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Adds a fingerprint (a string of 12 hexadecimal digits per kept hash) to docs. A null text is an empty one, whose fingerprint is "".
 
-    Equal word sequences have equal fingerprints, whatever parts the words and the case of A-Z. A column named fingerprint is replaced.
+    Equal word sequences have equal fingerprints, whatever parts the words and the case of A-Z. Each row has its own, also
+    among equal rows and ids; long texts are read whole; no rows give no rows. A column named fingerprint is replaced.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("fingerprint")
