@@ -134,7 +134,7 @@ def encoded(text):
 
 def test_token_store(docs, empty, tmp_path):
     store = token_store.TokenStore.write(docs, folder=str(tmp_path / "store"))
-    got = {r["doc_id"]: r for r in store.digests(docs.select("doc_id").distinct()).collect()}
+    got = {r["doc_id"]: r for r in store.digests(store.find(docs.select("doc_id").distinct())).collect()}
     start = 0
     for r in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
         data = encoded(r[1])
@@ -144,7 +144,7 @@ def test_token_store(docs, empty, tmp_path):
     ids = {r["doc_id"]: bytes(r["ids"]) for r in store.get(docs.filter("doc_id in (7, 12)")).collect()}
     assert ids == {7: encoded("word"), 12: encoded(ROWS[-1][1])}
     assert store.find(docs.select((F.col("doc_id") + 1000).alias("doc_id"))).count() == 0
-    assert token_store.TokenStore.write(empty).digests(empty).count() == 0
+    assert token_store.digest_documents(empty).count() == 0
 
 
 def test_perfect_hash():
@@ -381,7 +381,7 @@ def test_secrets_planted_and_clean(spark):
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     alphabets = [lower + upper + digits, lower + upper, digits + "ABCDEF", lower + upper + digits + "+/", lower + digits]
     keys = ["".join(rng.choice(list(a), 32)) for a in alphabets for _ in range(60)]
-    clean = ["getElementByIdAndNameFromTheDocument", "https://www.public.org/a/very/long/path/to/some/page", "internationalization_of_applications", "2024-01-02T03:04:05+00:00/2024", "ThisIsAVeryLongClassNameInJava2", "SomeHTTPServerConnectionPoolFactoryBean", "path/to/file_name_version_12345678", "antidisestablishmentarianism", "-" * 400 + "1", "a" * 60 + "1" + "a" * 60, "abcdefghklmnopqrstuvw" * 30 + "1x"]
+    clean = ["getElementByIdAndNameFromTheDocument", "https://www.public.org/a/very/long/path/to/some/page", "internationalization_of_applications", "2024-01-02T03:04:05+00:00/2024", "ThisIsAVeryLongClassNameInJava2", "SomeHTTPServerConnectionPoolFactoryBean", "path/to/file_name_version_12345678", "antidisestablishmentarianism", "-" * 400 + "1", "a" * 60 + "1" + "a" * 60, "Ab" * 200 + "!"]
     rows = [(f"the key {k} here", 1) for k in keys] + [(c, 0) for c in clean] + [(f"/sample/files/{keys[0]}", 1)]
     out = secrets.scan_secrets(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, planted int")).withColumn("n", F.size("spans") - F.size("base_spans")).collect()
     assert np.mean([r["n"] > 0 for r in out if r["planted"]]) >= 0.95
@@ -456,3 +456,136 @@ def test_pii_one_to_one(spark):
     assert pii.collisions(out).count() == 0
     broken = out.withColumn("entity_ids", F.transform("entity_ids", lambda x: F.struct(x["entity"].alias("entity"), (x["surrogate"] % 50).alias("surrogate"))))
     assert pii.collisions(broken).count() > 0
+
+
+def test_sketches_against_brute_force(spark):
+    """Likeness and containment by sketches against exact ones of the sets, and merging against the sketch of all together."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40 if i % 3 else 4000, int(rng.integers(0, 400))))) for i in range(60)] + [(60, "a b"), (61, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sketches.edit_likeness(df).collect()}
+    order = [r for r in rows]
+    sets = {}
+
+    def exact(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    errors = []
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 2
+        a, b, c = exact(text), exact(text[: len(text) - cut] + after[:cut]), exact(after)
+        jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        errors.append((abs(got[i]["near_edited"] - jaccard(a, b)), len(a)))
+        if not a & c:
+            assert got[i]["near_next"] in (0.0, 1.0 if not a and not c else 0.0)
+        sets[i] = a
+    assert np.mean([e for e, n in errors if n > 50]) < 0.06 and max(e for e, n in errors if n > 150) < 0.2
+    prints = {r["doc_id"]: r["fingerprint"] for r in sketches.fingerprint(df).collect()}
+    whole = " \n".join(t for _, t in rows[:3])
+    kept = lambda f: {f[i : i + 12] for i in range(0, len(f), 12)}
+    table = spark.createDataFrame([([prints[0], prints[1], None, prints[2]], [prints[2], prints[1], prints[0]], [prints[60], prints[60]], [prints[60], prints[0]])], "a array<string>, b array<string>, c array<string>, d array<string>")
+    m = table.select(*[sketches.merge(F.col(c)).alias(c) for c in "abcd"]).first()
+    assert m["a"] == m["b"] and kept(m["a"]) == kept(prints[0]) | kept(prints[1]) | kept(prints[2])
+    assert m["c"] == prints[60] and (m["d"] == prints[0] or prints[60] in m["d"])
+    joined = spark.createDataFrame([(1, whole)], "doc_id long, text string")
+    big = sketches.fingerprint(joined).first()["fingerprint"]
+    share = spark.createDataFrame([(prints[1], big)], "a string, b string").select(sketches.containment(F.col("a"), F.col("b"))).first()[0]
+    assert share > 0.95
+
+
+def test_quality_ratio_against_brute_force(spark):
+    """llr and kept by their definition, on texts of which half are trusted."""
+    import xxhash  # noqa: F401
+
+    from ratefield.llm.common import Words, text_bytes
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{x}" for x in rng.integers(0, 300, 90))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = df.filter("doc_id % 2 = 1 AND doc_id < 60").select("doc_id")
+    out = {r["doc_id"]: r for r in quality.rate_quality(df, trusted).collect()}
+    import pyarrow as pa
+
+    buckets = {}
+    for i, t in rows:
+        b, _ = quality.ngrams(Words(*text_bytes(pa.array([t], pa.large_string())), fold=False))
+        buckets[i] = Counter(b.tolist())
+    ids = [r[0] for r in trusted.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    ids = sorted(ids)
+    learn, rest = ids[::2], ids[1::2]
+    raw, target = sum(buckets.values(), Counter()), sum((buckets[i] for i in learn), Counter())
+    size = quality.BUCKETS
+    ratio = lambda b: np.log((target[b] + 0.5) / (sum(target.values()) + 0.5 * size)) - np.log((raw[b] + 0.5) / (sum(raw.values()) + 0.5 * size))
+    llr = {i: sum(c * ratio(b) for b, c in buckets[i].items()) / sum(buckets[i].values()) for i in buckets}
+    least = np.quantile([llr[i] for i in rest if not out[i]["base_failed"]], quality.GIVE_UP)
+    for i in buckets:
+        assert out[i]["llr"] == pytest.approx(llr[i], abs=1e-9)
+        assert out[i]["kept"] == (not out[i]["base_failed"] and llr[i] >= least - 1e-12)
+    assert sum(r["kept"] for i, r in out.items() if i % 2) > 35 and not any(r["kept"] for i, r in out.items() if i % 2 == 0)
+
+
+def test_token_store_gives_every_row(docs):
+    """Null and repeated ids have rows of their own, at their own places."""
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in token_store.digest_documents(clash(docs)).collect())
+    assert len(got) == len(ROWS)
+    texts, at = defaultdict(list), 0
+    for r in ROWS:
+        texts[r[0]].append(zlib.crc32(encoded(r[1])))
+    for start, n, crc, doc in got:
+        assert start == at and crc in texts[doc]
+        at += n
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Equal rows, null ids and null sources each take their own words; the totals meet the targets, and the shards' counts are draws."""
+    rows = [(1, "a b c d e f g " * 20, "x"), (1, "a b c d e f g " * 20, "x"), (1, "other words here " * 30, "x"), (None, "no id at all " * 50, "y"), (None, "no id at all " * 50, "y"), (3, "z " * 700, None), (4, "", "x"), (4, "", "x"), (5, None, "w")]
+    df = spark.createDataFrame([(*r, "e", 0) for r in rows], "doc_id long, text string, source string, `_d` string, n_chars long").withColumns({c: F.lit(1) for c in ("_s", "_n", "_copies", "_size", "_words", "_run", "row", "doc", "runs", "text of")})
+    sources, pieces = mixing.mix(df.drop("row"), block=16, shard=8)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(WORD.findall(r[1] or ""))
+    want = brute_targets(dict(sizes))
+    taken = {r["source"]: r["t"] for r in pieces.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    per = pieces.groupBy("doc_id", "source", "row", "p", "k", "size").agg(F.sum("taken").alias("t")).collect()
+    assert len(per) == len(rows) and all(r["t"] <= 3 * r["size"] for r in per)
+    out = mixing.mixed_documents(df, block=16)
+    assert out.columns == df.columns
+    words = Counter()
+    for r in out.collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    assert words == Counter({s: t for s, t in taken.items() if t})
+    shards = Counter((r["shard"], r["source"]) for r in pieces.filter("taken > 0").select("shard", "place", "source").distinct().collect())
+    assert len({shards[s, "x"] for s in range(4)}) > 1
+
+
+def test_slots_are_each_drawn_once(spark):
+    needs = spark.createDataFrame([("=a", "a", 3000, 24, 2, 100, 49), ("=b", "b", 90_000, 704, 0, 50_000, 392), ("null", None, 10, 1, 3, 0, 3)], "name string, source string, source_size long, blocks long, whole long, rest long, slots long")
+    from ratefield.llm.common import Scratch
+
+    got = defaultdict(list)
+    places = set()
+    for r in mixing.drawn_slots(needs, Scratch(spark, "draws"), shard=64).collect():
+        got[r["name"]].append(r["i"])
+        places.add((r["shard"], r["place"]))
+    assert {k: sorted(v) for k, v in got.items()} == {"=a": list(range(49)), "=b": list(range(392)), "null": [0, 1, 2]} and len(places) == 444
+
+
+def test_scans_and_lines_with_any_column_names(spark):
+    names = ["_common", "_kept", "_s0", "_s1", "_s2", "kept", "common", "found", "doc", "id", "own", "h", "text of the row"]
+    df = spark.createDataFrame([(i, f"secret = hunter{i}22\nline\nown {i}") for i in range(12)], "doc_id long, text string").withColumns({n: F.lit(7) for n in names})
+    out = secrets.scan_secrets(df)
+    assert out.columns[: len(df.columns)] == df.columns and out.agg(F.sum("n_assign")).first()[0] == 12
+    lines = line_dedup.drop_common_lines(df)
+    assert lines.columns[: len(df.columns)] == df.columns and lines.agg(F.sum("n_dropped")).first()[0] == 12
+
+
+def test_join_takes_rows_without_ids(spark):
+    """A text under null ids alone links, and one row of a group is its keeper, also among equal rows."""
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (7, text + " more words"), (7, text + " more words"), (8, "quite another text of seven words here"), (None, "")]
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in out) == [(0, 0), (0, 7), (0, 7), (7, 7), (7, 7), (8, 8)]
+    assert len({r["keeper"] for r in out if r["n_shingles"] > 30}) == 1 and sum(r["row"] == r["keeper"] for r in out) == 4
