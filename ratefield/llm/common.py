@@ -26,10 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in one process."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ratefield-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
@@ -37,10 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables and files of one run, in a folder of its own below the shared one."""
+    """Tables and files of one run, in a folder of its own below the shared one. `made` lists those of this process that are left."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/ratefield/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def table(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """Write df as Parquet and read it back: this cuts the lineage and survives the loss of executors.
@@ -58,6 +63,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if not name and self in Scratch.made:
+            Scratch.made.remove(self)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from ratefield.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secrets, sketches, token_store, toxicity
+from ratefield.llm import line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_pii_surrogates": pii.query,
@@ -16,9 +22,7 @@ QUERIES = {
     "op8_quality_ratio": quality.query,
     "op9_nearest_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
-    "pipeline": corpus_pipeline.run,
-}
+    "pipeline": _pipeline,
+} | oracles.QUERIES
 
-ORACLES = {
-    "op7_line_dedup": line_dedup.ORACLE,
-}
+ORACLES = oracles.ORACLES

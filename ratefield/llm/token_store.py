@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, documents, mix64, range_bounds, range_bucket, shuffle_partitions, small_batches
 from ratefield.llm.packing import _default_tokenizer
-from ratefield.llm.tokens import encoder, using
+from ratefield.llm.tokens import encoder
 
 #: Mean number of keys of an index file; a file is built and held whole by one task.
 KEYS = 20_000
@@ -49,23 +49,22 @@ def _write(folder: str, tokenizer: str, width: int):
     """Rows come by shard and key: write each shard's ids, and give each row's place, and whether it is its key's first."""
 
     def run(batches):
-        shard, out, at, before = None, None, 0, None
-        with using(tokenizer) as ids:
-            for batch in batches:
-                offsets, counts, firsts = [], [], []
-                for p, key, text in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if p != shard:
-                        if out:
-                            out.close()
-                        shard, at, out, before = p, 0, _Output(folder, f"shard-{p:06d}.ids"), None
-                    firsts.append(key is not None and key != before)
-                    before = key
-                    data = np.append(np.frombuffer(ids(text), "<u4"), np.uint32(END))
-                    out.stream.write(data.astype(f"<u{width}").tobytes())
-                    offsets.append(at)
-                    counts.append(len(data))
-                    at += len(data)
-                yield pa.record_batch([batch.column("doc_id"), batch.column("shard"), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.bool_())], ["doc_id", "shard", "at", "n", "first"])
+        ids, shard, out, at, before = encoder(tokenizer).ids, None, None, 0, None
+        for batch in batches:
+            offsets, counts, firsts = [], [], []
+            for p, key, text in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if p != shard:
+                    if out:
+                        out.close()
+                    shard, at, out, before = p, 0, _Output(folder, f"shard-{p:06d}.ids"), None
+                firsts.append(key is not None and key != before)
+                before = key
+                data = np.append(np.frombuffer(ids(text), "<u4"), np.uint32(END))
+                out.stream.write(data.astype(f"<u{width}").tobytes())
+                offsets.append(at)
+                counts.append(len(data))
+                at += len(data)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("shard"), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.bool_())], ["doc_id", "shard", "at", "n", "first"])
         if out:
             out.close()
 

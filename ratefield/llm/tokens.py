@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from contextlib import contextmanager
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -12,10 +11,10 @@ from tokenizers import Tokenizer
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes for blanks and the tokenizer doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
-#: Bytes of pieces and their ids that a task keeps, and the longest piece kept; others are encoded each time they come.
-MOST_BYTES, LONGEST = 24 << 20, 64
-#: Bytes that an entry takes besides its piece and ids.
-_ENTRY = 200
+#: Bytes of pieces and their ids that a worker keeps, and the longest piece kept; others are encoded each time they come.
+MOST_BYTES, LONGEST = 64 << 20, 64
+#: Bytes that an entry takes besides its piece and ids (two objects and a slot of the table).
+_ENTRY = 150
 _READY: dict[str, Encoder] = {}
 
 
@@ -75,15 +74,3 @@ def encoder(path: str) -> Encoder:
         _READY.clear()
         _READY[path] = Encoder(path)
     return _READY[path]
-
-
-@contextmanager
-def using(path: str):
-    """The ids function of the worker's encoder, for one task: what it has kept goes at the end."""
-    ready = encoder(path)
-    try:
-        yield ready.ids
-    finally:
-        ready.cache.clear()
-        if ready.parted:
-            ready.cache.bytes = 0

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratefield.llm import queries
+from ratefield.llm import mixing, packing, queries, toxicity
 from tests.conftest import DATA
+from tests.llm.test_operators import WORD, brute_components, brute_targets
 
 
 def test_stages(spark):
@@ -19,8 +21,77 @@ def test_stages(spark):
             assert 0.7 * before <= out.count() <= before
         docs = out
     assert docs.count() > 0
-    texts = out.select("doc_id").distinct().count()
-    assert texts > 0
+    assert out.select("doc_id").distinct().count() > 0
+
+
+def test_run_against_brute_force(spark):
+    """Each stage's rows on the small tables by plain Python, the next stage on the stage's own rows."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    model = toxicity.fit_tables(spark, DATA)
+    kept = [r for r in rows if model.scores([r["text"]])[0][0] < toxicity.THRESHOLD]
+    calm = stages["toxicity"](spark, docs, DATA).cache()
+    assert sorted(r["doc_id"] for r in calm.collect()) == sorted(r["doc_id"] for r in kept)
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    found: dict[str, int] = {}
+    for r in kept:
+        for k in {key(x) for x in (r["text"] or "").split("\n")} - {""}:
+            found[k] = found.get(k, 0) + 1
+    want = {r["doc_id"]: "\n".join(x for x in (r["text"] or "").split("\n") if found.get(key(x), 0) < 10) for r in kept}
+    lines = stages["line_dedup"](spark, calm, DATA).cache()
+    assert {r["doc_id"]: r["text"] or "" for r in lines.collect()} == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in lines.collect())
+    groups = brute_components([(i, t) for i, t in sorted(want.items())])
+    near = stages["ngram_jaccard_join"](spark, lines, DATA).cache()
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(i for i, _, c in groups if i == c)
+    sizes: dict[str, int] = {}
+    for r in near.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    targets = brute_targets(sizes)
+    mixed = stages["source_mixing"](spark, near, DATA).cache()
+    took: dict[str, int] = {}
+    for r in mixed.collect():
+        took[r["source"]] = took.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert all(abs(took.get(s, 0) - t) <= 1 for s, t in targets.items())
+    texts = {r["doc_id"]: r["text"] for r in near.collect()}
+    assert all(set(WORD.findall(r["text"])) <= set(WORD.findall(texts[r["doc_id"]])) for r in mixed.collect())
+    pieces = stages["packing"](spark, mixed, DATA)
+    assert pieces.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= packing.LENGTH
+    whole = corpus_pipeline.run(spark, DATA)
+    assert whole.columns == pieces.columns and whole.count() == pieces.count()
+    assert mixing.SHARD == 1024
+
+
+ODD = [
+    (1, "one two three four five six seven\nshared line", "en", "a"),
+    (1, "one two three four five six seven\nshared line", "en", "a"),
+    (None, "one two three four five six seven\nshared line", None, None),
+    (2, None, "en", "b"),
+    (3, "", None, "b"),
+    (None, None, None, None),
+    (4, "one two three four five six seven\nshared line", "en", "b"),
+    (5, "x " * 9000, "en", "c"),
+    (5, "y z", "en", "c"),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_nulls_and_repeats(spark, name):
+    """Null ids, texts and sources, equal rows, rows of one id, long texts and columns of any name."""
+    more = ["row", "doc", "keeper", "_size", "_copies", "score", "n_lines", "kept", "common", "p", "k"]
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in more})
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, DATA)
+    got = out.collect()
+    if name != "packing":
+        assert out.columns == df.columns
+    if name in ("toxicity", "line_dedup"):
+        assert len(got) == len(ODD)
+    if name == "ngram_jaccard_join":
+        # one of the four copies, all without words, the two of id 5
+        assert len(got) == 6 and sum(r["text"] is not None and r["text"].startswith("one") for r in got) == 1
+    if name == "packing":
+        assert sum(r["offset"] + r["length"] > 1024 for r in got) == 0 and len({(r["doc_id"], r["doc_tokens"]) for r in got}) >= 6
 
 
 def test_stages_on_no_rows(spark):
@@ -39,3 +110,18 @@ def test_oracles(spark, name):
     want = con.execute(queries.ORACLES[name]).df()
     key = lambda df: sorted(map(tuple, df[sorted(df.columns)].values.tolist()))
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+
+
+@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q.startswith("op")])
+def test_queries_on_odd_tables(spark, tmp_path, name):
+    """Each query on a folder whose documents have nulls, repeats and further columns, and on one without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    for rows in (ODD, []):
+        folder = tmp_path / str(len(rows))
+        spark.createDataFrame([(*r, 0, "x") for r in rows], schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, i % 2, int(i == 5)) for i in range(1, 6)] if rows else [], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+        got = queries.QUERIES[name](spark, str(folder)).collect()
+        if name != "op6_pack_sequences":
+            assert len(got) == len(rows)
+        else:
+            assert len(got) >= len(rows)
