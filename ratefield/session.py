@@ -19,12 +19,14 @@ def build_session(app: str = "ratefield", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset (on one machine) to a temporary folder."""
+    """Checkpoints go to spark.checkpoint.dir; only where that is unset, and all runs in one process, to a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     found = context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ratefield-checkpoints-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     context.setCheckpointDir(found)
