@@ -196,8 +196,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     # equal rows are one text, which as many runs find as there are rows
     both = whole.select("row", "doc").dropDuplicates(["row"]).join(runs.select("row", "runs"), "row")
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.array_join(F.flatten(F.transform("runs", lambda x: F.slice(F.col("words"), (x["begin"] + 1).cast("int"), x["taken"].cast("int")))), "")
-    out = both.withColumn("words", words).select("doc", text.alias("text"))
+    # an array of one lets the words be found once
+    part = lambda w: F.array_join(F.flatten(F.transform("runs", lambda x: F.slice(w, (x["begin"] + 1).cast("int"), x["taken"].cast("int")))), "")
+    out = both.select("doc", F.get(F.transform(F.array(words), part), 0).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
