@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, shuffle_partitions, slices, small_batches, text_bytes
+from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, shuffle_partitions, slices, small_batches, task, text_bytes
 from ratefield.llm.graph import components, forest_roots
 
 WORDS = 5
@@ -264,6 +264,25 @@ def _can_link(m: Column) -> Column:
     return most.isNull() | (7 * (m + most) >= 3 * (na + nb))
 
 
+#: Of two sides of a join: different components whose sizes fit; and, with one parent, alike by the parent's tokens at most.
+def _apart() -> Column:
+    return (F.col("compa") != F.col("compb")) & _size_fits("na", "nb", "sa", "sb")
+
+
+def _by_core() -> Column:
+    return (F.col("qa") >= F.col("nb")) & (F.col("qb") >= F.col("na"))
+
+
+def _side(entries: DataFrame, x: str, *more) -> DataFrame:
+    return entries.select(*more, *[F.col(c).alias(c + x) for c in ("sig", "n", "s", "q", "comp", "parent", "plain")])
+
+
+def _counted_pairs(met: DataFrame) -> DataFrame:
+    """Pairs that have enough keys in common: the keys are tokens that one parent lacks, of which the two have ca and cb."""
+    counted = met.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", "ca", "cb").agg(F.count("*").alias("d"))
+    return counted.filter("7 * (least(ca, cb) + d) >= 3 * (na + nb)").select("a", "b", "na", "nb")
+
+
 class NgramJoin:
     """The steps of the join over one table of documents; see similar_documents."""
 
@@ -279,16 +298,16 @@ class NgramJoin:
         """Each document's doc_id, row (hash of id and text), n (tokens), sig (hash of the set) and maybe (it may have a partner or a copy)."""
         parts = shuffle_partitions(self.spark)
         schema = "chunk long, bucket long, data binary, m long, idx long, doc_id long, row long, n long, sig long"
-        sent = self.docs.mapInArrow(_cut_tokens(max(256, 4 * parts)), schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
-        back = sent.mapInArrow(_shared_in_bucket, schema).repartition(parts, "chunk").sortWithinPartitions("chunk")
-        return self.scratch.table(back.mapInArrow(_may_link, "doc_id long, row long, n long, sig long, maybe boolean"), "rows")
+        sent = self.docs.mapInArrow(task(_cut_tokens(max(256, 4 * parts))), schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        back = sent.mapInArrow(task(_shared_in_bucket), schema).repartition(parts, "chunk").sortWithinPartitions("chunk")
+        return self.scratch.table(back.mapInArrow(task(_may_link), "doc_id long, row long, n long, sig long, maybe boolean"), "rows")
 
     def shared_sets(self) -> DataFrame:
         """Sets that may have a partner, one per signature: sig, n and entries (token, kind) of the tokens that another set has."""
         reps = self.scratch.table(self.rows.filter("maybe").groupBy("sig").agg(F.min("row").alias("row")).select("row"), "reps", narrow=True)
         few = reps.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(reps) if few else reps, "row", "left_semi").dropDuplicates(["row"]).select("text")
-        whole = self.scratch.table(texts.mapInArrow(_full_sets, "sig long, n long, tokens array<long>"), "whole")
+        whole = self.scratch.table(texts.mapInArrow(task(_full_sets), "sig long, n long, tokens array<long>"), "whole")
         tokens = whole.select("sig", "n", F.explode("tokens").alias("token"))
         kind = F.when(F.col("c") >= FREQUENT[1], 3).when(F.col("c") >= FREQUENT[0], 2).otherwise(1)
         several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", kind.alias("kind"))
@@ -305,7 +324,7 @@ class NgramJoin:
             both = both.withColumn("rest", F.array_except("ta", "tb"))
         return self.scratch.table(both.drop("ta", "tb"), name)
 
-    def parents(self, entries: DataFrame) -> DataFrame:
+    def parents(self, entries: DataFrame, name: str) -> DataFrame:
         """For each set the one that leads most of its keys: a, b, na, nb, sa, c and rest, verified.
 
         A key is led by the set with the fewest tokens of its own, which is likely the one that others were copied
@@ -316,66 +335,84 @@ class NgramJoin:
         met = entries.join(lead, "key").filter("sig <> b").filter(_size_fits("n", "nb", "s", "sb"))
         named = met.groupBy("sig", "n", "s", "b", "nb").agg(F.count("*").alias("k"))
         best = named.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("k", "b", "nb")).alias("p"))
-        best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), "best", narrow=True)
-        return self.overlaps(best, "parents", rest=True)
+        best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), f"{name}-best", narrow=True)
+        return self.overlaps(best, f"{name}-parents", rest=True)
 
-    def components(self) -> DataFrame:
+    def components(self, rounds: int = 3) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
 
         Sets are compared with their parents first; what links makes components, and pairs within one need no comparison.
         Two sets of different components are compared if they can be alike by what is known:
         - with different parents, if they have a key in common;
         - with one parent, of which they have ca and cb tokens: their intersection has at most min(ca, cb) of the
-          parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are
-          the keys; if it is, which needs sets smaller than the parent, the common key decides.
-        So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone.
+          parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are the
+          keys of the next round; if it is, which needs sets smaller than the parent, the common key decides.
+        So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone; and the
+        copies of a version of it meet that version's leader in the next round. After the last round keys decide.
         """
-        keys = self.sets.mapInArrow(_keys, "key long, sig long, n long, s long, plain boolean")
-        keys = self.scratch.table(keys, "keys")
+        keys = self.scratch.table(self.sets.mapInArrow(task(_keys), "key long, sig long, n long, s long, plain boolean"), "keys")
         met = keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
-        entries = self.scratch.table(keys.join(met, "key", "left_semi"), "entries")
+        # c: how many tokens of the last parent a set has; in the first round there is none
+        entries = keys.join(met, "key", "left_semi").withColumn("c", F.lit(None).cast("long"))
+        entries = self.scratch.table(entries, "entries")
         self.scratch.drop("keys")
-        parents = self.parents(entries)
-        links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
-        roots = self.scratch.table(forest_roots(links).withColumnRenamed("node", "sig"), "stars", narrow=True)
-        # q: the size up to which a partner can be alike by the parent's tokens alone
+        roots, pairs = None, []
+        for r in range(rounds):
+            parents = self.parents(entries, f"round{r}")
+            links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
+            if roots is None:
+                roots = self.scratch.table(forest_roots(links).withColumnRenamed("node", "sig"), "stars", narrow=True)
+            else:
+                roots = self._merged(roots, links, f"roots{r}")
+            placed = self.placed(parents, roots, f"placed{r}")
+            found, entries = self.apart(entries, placed, parents, r)
+            pairs.append(found)
+            if r + 1 < rounds and entries.isEmpty():
+                break
+        left, right = _side(entries, "a", "key", F.col("c").alias("ca")), _side(entries, "b", "key", F.col("c").alias("cb"))
+        last = left.join(right, "key").filter((F.col("siga") < F.col("sigb")) & _apart() & ~_by_core())
+        pairs.append(_counted_pairs(last))
+        whole = pairs[0]
+        for more in pairs[1:]:
+            whole = whole.unionByName(more)
+        pairs = self.scratch.table(whole.distinct(), "pairs", narrow=True)
+        found = self.overlaps(pairs, "overlaps").filter("7 * c >= 3 * (na + nb)").select("a", "b")
+        return self._merged(roots, found, "roots")
+
+    def placed(self, parents: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Each set's parent, q (the size up to which a partner can be alike by the parent's tokens alone), component and the parent's component."""
         of_set = parents.select(F.col("a").alias("sig"), F.col("b").alias("parent"), F.floor((7 * F.col("c") - 3 * F.col("na")) / 3).alias("q"))
-        root_of = lambda c, name: roots.select(F.col("sig").alias(c), F.col("root").alias(name))
-        placed = of_set.join(root_of("sig", "comp"), "sig", "full_outer").withColumn("parent", F.coalesce("parent", "sig"))
-        placed = placed.join(root_of("parent", "home"), "parent", "left").select("sig", "parent", "q", F.coalesce("comp", "sig").alias("comp"), F.coalesce("home", "parent").alias("home"))
-        placed = self.scratch.table(placed, "placed", narrow=True)
-        at = entries.join(placed, "sig", "left").withColumns({"parent": F.coalesce("parent", "sig"), "comp": F.coalesce("comp", "sig"), "home": F.coalesce("home", "comp", "sig"), "q": F.coalesce("q", F.floor(4 * F.col("n") / 3))})
-        at = self.scratch.table(at, "at")
-
-        side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(c + x) for c in ("sig", "n", "s", "q", "comp", "parent", "plain")])
-        apart = (F.col("compa") != F.col("compb")) & _size_fits("na", "nb", "sa", "sb")
-        by_core = (F.col("qa") >= F.col("nb")) & (F.col("qb") >= F.col("na"))
-
-        several = at.groupBy("key").agg(F.min("parent").alias("p"), F.max("parent").alias("pp"), F.min("comp").alias("c"), F.max("comp").alias("cc")).filter("p <> pp AND c <> cc").select("key")
+        root_of = lambda c, out: roots.select(F.col("sig").alias(c), F.col("root").alias(out))
+        all_sets = of_set.join(root_of("sig", "comp"), "sig", "full_outer").withColumn("parent", F.coalesce("parent", "sig"))
+        all_sets = all_sets.join(root_of("parent", "home"), "parent", "left")
+        return self.scratch.table(all_sets.select("sig", "parent", "q", F.coalesce("comp", "sig").alias("comp"), F.coalesce("home", "parent").alias("home")), name, narrow=True)
+
+    def apart(self, entries: DataFrame, placed: DataFrame, parents: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, na, nb) that a round's keys decide on, and the next round's entries."""
+        at = entries.select("key", "sig", "n", "s", "plain", "c").join(placed, "sig", "left").withColumns({"parent": F.coalesce("parent", "sig"), "comp": F.coalesce("comp", "sig"), "home": F.coalesce("home", "comp", "sig"), "q": F.coalesce("q", F.floor(4 * F.col("n") / 3))})
+        at = self.scratch.table(at, f"at{r}")
+        several = at.groupBy("key").agg(F.min("parent").alias("p"), F.max("parent").alias("pp"), F.min("comp").alias("k"), F.max("comp").alias("kk")).filter("p <> pp AND k <> kk").select("key")
         mixed = at.join(several, "key", "left_semi")
-        other = side(mixed, "a", "key").join(side(mixed, "b", "key"), "key").filter((F.col("siga") < F.col("sigb")) & (F.col("parenta") != F.col("parentb")) & apart)
-        other = other.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.col("plaina").alias("pa"), F.col("plainb").alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
-        other = other.filter(_can_link(F.col("m"))).select("a", "b", "na", "nb")
-
+        other = _side(mixed, "a", "key", F.col("c").alias("ca")).join(_side(mixed, "b", "key", F.col("c").alias("cb")), "key").filter((F.col("siga") < F.col("sigb")) & (F.col("parenta") != F.col("parentb")) & _apart())
+        if r:
+            other = _counted_pairs(other)
+        else:
+            other = other.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.col("plaina").alias("pa"), F.col("plainb").alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
+            other = other.filter(_can_link(F.col("m"))).select("a", "b", "na", "nb")
         # of two sets with one parent and different components, one at least isn't in the parent's
         strays = at.withColumn("stray", F.col("comp") != F.col("home"))
         bounds = strays.groupBy("key", "parent").agg(F.min("n").alias("least"), F.max(F.when(F.col("stray"), F.col("q"))).alias("most")).filter("most >= least")
         near = strays.join(bounds, ["key", "parent"])
-        left, right = side(near.filter("stray AND q >= least"), "a", "key"), side(near.filter("n <= most"), "b", "key")
-        small = left.join(right, (left["key"] == right["key"]) & (left["parenta"] == right["parentb"])).filter(apart & by_core)
-        small = small.select(F.least("siga", "sigb").alias("a"), F.greatest("siga", "sigb").alias("b"), F.when(F.col("siga") < F.col("sigb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("siga") < F.col("sigb"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-
+        left, right = _side(near.filter("stray AND q >= least"), "a", "key"), _side(near.filter("n <= most"), "b", "key")
+        small = left.join(right, (left["key"] == right["key"]) & (left["parenta"] == right["parentb"])).filter(_apart() & _by_core())
+        first = F.col("siga") < F.col("sigb")
+        small = small.select(F.least("siga", "sigb").alias("a"), F.greatest("siga", "sigb").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
         extra = parents.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("sa").alias("s"), "c", F.explode("rest").alias("token")).join(placed.select("sig", "parent", "q", "comp"), "sig")
-        shared = extra.groupBy("parent", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("parent", "token")
-        extra = extra.join(shared, ["parent", "token"], "left_semi").withColumn("plain", F.lit(True))
-        left, right = side(extra, "a", "token", F.col("c").alias("ca")), side(extra, "b", F.col("token").alias("tokenb"), F.col("c").alias("cb"))
-        grown = left.join(right, (F.col("token") == F.col("tokenb")) & (F.col("parenta") == F.col("parentb"))).filter((F.col("siga") < F.col("sigb")) & apart & ~by_core)
-        grown = grown.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", "ca", "cb").agg(F.count("*").alias("d"))
-        grown = grown.filter("7 * (least(ca, cb) + d) >= 3 * (na + nb)").select("a", "b", "na", "nb")
-
-        pairs = self.scratch.table(other.unionByName(small).unionByName(grown).distinct(), "pairs", narrow=True)
-        found = self.overlaps(pairs, "overlaps").filter("7 * c >= 3 * (na + nb)").select("a", "b")
-        return self._merged(roots, found, "roots")
+        extra = extra.withColumn("key", F.xxhash64("parent", "token")).withColumn("plain", F.lit(True))
+        shared = extra.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        following = extra.join(shared, "key", "left_semi").select("key", "sig", "n", "s", "plain", "c", "parent", "q", "comp")
+        following = self.scratch.table(following, f"entries{r + 1}")
+        return self.scratch.table(other.unionByName(small), f"found{r}", narrow=True), following
 
     def _merged(self, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Roots after links (a, b) more: the components of a graph whose nodes are roots."""
