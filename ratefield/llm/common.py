@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +82,49 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What a worker keeps for the next task of the same kind, by kind; a task of another kind drops it.
+KEPT: dict[str, object] = {}
+
+
+def task(run, keeps: str = ""):
+    """A mapInArrow function that leaves a worker as small as it found it: a worker serves many tasks, and what a task leaves would add up."""
+
+    def whole(batches):
+        _begin(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return whole
+
+
+# Functions of the module, so that workers use the module's own KEPT and library.
+
+
+def _begin(keeps: str) -> None:
+    for kind in [k for k in KEPT if k != keeps]:
+        del KEPT[kind]
+
+
+def _end() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+    return found if hasattr(found, "malloc_trim") else None
+
+
+_LIBC = _libc()
+
+
 #: Ranges at most (a megabyte of bounds).
 MOST_RANGES = 1 << 17
 

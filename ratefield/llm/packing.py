@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import Scratch, documents, range_bounds, range_bucket, shuffle_partitions, small_batches
+from ratefield.llm.common import Scratch, documents, range_bounds, range_bucket, shuffle_partitions, small_batches, task
 from ratefield.llm.tokens import encoder
 
 LENGTH = 1024
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = range_bounds(docs, "doc_id", shuffle_partitions(spark))
-    sized = docs.mapInArrow(_measure(tokenizer or _default_tokenizer(), length), "doc_id long, n long, crcs array<long>")
+    sized = docs.mapInArrow(task(_measure(tokenizer or _default_tokenizer(), length), "encoder"), "doc_id long, n long, crcs array<long>")
     sized = sized.withColumn("full", F.floor(F.col("n") / length)).withColumn("rest", (F.col("n") % length).cast("int")).withColumn("p", range_bucket(F.col("doc_id"), bounds))
     sized = scratch.table(sized, "sized")
 
@@ -144,7 +144,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None)
     A text is encoded once, whatever its pieces. Documents without pieces, and pieces without a document, are left out.
     """
     of_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    cut = docs.select("doc_id", "text").join(of_doc, "doc_id").select("text", "pieces").mapInArrow(_cut(tokenizer or _default_tokenizer()), "sequence_id long, offset long, ids binary")
+    cut = docs.select("doc_id", "text").join(of_doc, "doc_id").select("text", "pieces").mapInArrow(task(_cut(tokenizer or _default_tokenizer()), "encoder"), "sequence_id long, offset long, ids binary")
     parts = cut.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 

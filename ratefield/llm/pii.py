@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratefield.llm.common import Scratch, documents, small_batches
+from ratefield.llm.common import Scratch, documents, small_batches, task
 
 KEY = b"ratefield surrogate key 1"
 
@@ -389,7 +389,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("entities", "entity_ids")
-    return docs.mapInArrow(_replaced(key, text_col), T.StructType([*docs.schema, *T.StructType.fromDDL(_NEW)]))
+    return docs.mapInArrow(task(_replaced(key, text_col)), T.StructType([*docs.schema, *T.StructType.fromDDL(_NEW)]))
 
 
 def collisions(replaced: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratefield.llm.common import Words, distinct_by_doc, documents, range_bounds, range_bucket, shuffle_partitions, slices, small_batches, text_bytes
+from ratefield.llm.common import Words, distinct_by_doc, documents, range_bounds, range_bucket, shuffle_partitions, slices, small_batches, task, text_bytes
 
 WORDS = 5
 #: One in so many hashes is kept. At 2 the likeness of a text and its edited half is off by 0.02 in the mean (sf0.1; 0.04 at 4, 0.06 at 8).
@@ -100,7 +100,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, sca
     small_batches(docs.sparkSession)
     docs = docs.drop("fingerprint")
     schema = T.StructType([*docs.schema, T.StructField("fingerprint", T.StringType())])
-    return docs.mapInArrow(_sketches(words, scale, text_col), schema)
+    return docs.mapInArrow(task(_sketches(words, scale, text_col)), schema)
 
 
 def _strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def edit_likeness(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Da
     copies = F.when(host.isNotNull(), F.array(own, F.struct(host.alias("p"), F.lit(True).alias("guest")))).otherwise(F.array(own))
     rows = placed.select("doc_id", "text", F.explode(copies).alias("c")).select("c.p", "c.guest", "doc_id", "text")
     rows = rows.repartition(parts, "p").sortWithinPartitions("p", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(_edits(words, scale), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(task(_edits(words, scale)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

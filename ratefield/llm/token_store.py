@@ -11,7 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratefield.llm.common import Scratch, documents, mix64, range_bounds, range_bucket, shuffle_partitions, small_batches
+from ratefield.llm.common import Scratch, documents, mix64, range_bounds, range_bucket, shuffle_partitions, small_batches, task
 from ratefield.llm.packing import _default_tokenizer
 from ratefield.llm.tokens import encoder
 
@@ -266,31 +266,31 @@ class TokenStore:
         bounds = range_bounds(docs, "doc_id", parts)
         ranged = docs.select("doc_id", range_bucket(F.col("doc_id"), bounds).cast("long").alias("shard"), "text")
         ranged = ranged.repartition(parts, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        rows = scratch.table(ranged.mapInArrow(_write(folder, tokenizer, width), "doc_id long, shard long, at long, n long, first boolean"), "rows")
+        rows = scratch.table(ranged.mapInArrow(task(_write(folder, tokenizer, width), "encoder"), "doc_id long, shard long, at long, n long, first boolean"), "rows")
         shards = rows.groupBy("shard").agg(F.sum("n").alias("ids"))
         shards = scratch.table(shards.select("shard", "ids", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before")), "shards")
         keyed = rows.filter("first").drop("first")
         buckets = max(1, -(-keyed.count() // KEYS))
         keyed = keyed.withColumn("bucket", cls.bucket(F.col("doc_id"), buckets)).repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket")
-        scratch.table(keyed.mapInArrow(_build(folder), "bucket long, keys long"), "index")
+        scratch.table(keyed.mapInArrow(task(_build(folder)), "bucket long, keys long"), "index")
         return cls(spark, folder, buckets, width, shards, rows.filter("not first").drop("first"))
 
     def find(self, keys: DataFrame) -> DataFrame:
         """Places of keys (a doc_id column) by the index: doc_id, shard, at and n (ids); keys that it lacks give no row."""
         keys = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").withColumn("bucket", self.bucket(F.col("doc_id"), self.buckets))
         keys = keys.repartition(min(shuffle_partitions(self.spark), self.buckets), "bucket").sortWithinPartitions("bucket")
-        return keys.mapInArrow(_look_up(self.folder), "doc_id long, shard long, at long, n long")
+        return keys.mapInArrow(task(_look_up(self.folder)), "doc_id long, shard long, at long, n long")
 
     def _by_place(self, places: DataFrame) -> DataFrame:
         return places.repartition(shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard", "at")
 
     def get(self, keys: DataFrame) -> DataFrame:
         """The ids of keys: doc_id, shard, at, n and ids (little-endian uint32)."""
-        return self._by_place(self.find(keys)).mapInArrow(_read(self.folder, self.width), "doc_id long, shard long, at long, n long, ids binary")
+        return self._by_place(self.find(keys)).mapInArrow(task(_read(self.folder, self.width)), "doc_id long, shard long, at long, n long, ids binary")
 
     def digests(self, places: DataFrame) -> DataFrame:
         """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of what lies at places (as find and others give them), read from the files."""
-        read = self._by_place(places).mapInArrow(_checked(_read(self.folder, self.width)), "doc_id long, shard long, at long, n long, ids_crc32 long")
+        read = self._by_place(places).mapInArrow(task(_checked(_read(self.folder, self.width))), "doc_id long, shard long, at long, n long, ids_crc32 long")
         out = read.join(self.shards.select("shard", "before"), "shard")
         return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
 

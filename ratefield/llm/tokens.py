@@ -7,6 +7,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from ratefield.llm.common import KEPT
+
 #: A byte-level BPE parts a text before each blank that follows something else, so pieces cut there are encoded alone.
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes for blanks and the tokenizer doesn't.
@@ -15,7 +17,6 @@ ODD = re.compile(r"[\x1c-\x1f]")
 MOST_BYTES, LONGEST = 64 << 20, 64
 #: Bytes that an entry takes besides its piece and ids (two objects and a slot of the table).
 _ENTRY = 150
-_READY: dict[str, Encoder] = {}
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -69,8 +70,9 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker."""
-    if path not in _READY:
-        _READY.clear()
-        _READY[path] = Encoder(path)
-    return _READY[path]
+    """The worker's encoder for a tokenizer file; it stays for the worker's next tasks with one."""
+    name, ready = KEPT.get("encoder", ("", None))
+    if name != path:
+        ready = Encoder(path)
+        KEPT["encoder"] = (path, ready)
+    return ready

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratefield.llm.common import Scratch, documents, small_batches
+from ratefield.llm.common import Scratch, documents, small_batches, task
 
 #: Labelled rows to learn from at most: those with the least hash of doc_id.
 EXAMPLES = 6_000
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     sample = scratch.table(sample.select("doc_id", "label", "t.text"), "sample")
-    rows = sample.mapInArrow(_counted, "doc_id long, label int, terms array<string>, counts array<long>").orderBy("doc_id").toArrow().combine_chunks()
+    rows = sample.mapInArrow(task(_counted), "doc_id long, label int, terms array<string>, counts array<long>").orderBy("doc_id").toArrow().combine_chunks()
     label, ids = rows["label"].to_numpy().astype(float), rows["doc_id"].to_numpy()
     size = pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64)
     coded = pc.list_flatten(rows["terms"]).combine_chunks().dictionary_encode()
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     if len(ids):
         shared = spark.sparkContext.broadcast(model)
         parts = spark.sparkContext.defaultParallelism
-        votes = sample.repartition(parts, "doc_id").mapInArrow(_votes(shared), "label int, vote double").toArrow()
+        votes = sample.repartition(parts, "doc_id").mapInArrow(task(_votes(shared)), "label int, vote double").toArrow()
         model.knots = rising(votes["vote"].to_numpy(), votes["label"].to_numpy().astype(float))
         shared.destroy()
     scratch.drop()
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     docs = docs.drop("predicted", "score", "nearest", "cosines")
     schema = T.StructType([*docs.schema, *T.StructType.fromDDL("score double, predicted int, nearest array<long>, cosines array<double>")])
     text = F.col(f"`{text_col}`")
-    return docs.select("*", text.alias("text of the row")).mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return docs.select("*", text.alias("text of the row")).mapInArrow(task(_scores(docs.sparkSession.sparkContext.broadcast(model))), schema)
 
 
 def fit_tables(spark, sf_dir: str) -> Model:
