@@ -94,7 +94,7 @@ def task(run, keeps: str = ""):
         try:
             yield from run(batches)
         finally:
-            _end()
+            give_back()
 
     return whole
 
@@ -107,7 +107,8 @@ def _begin(keeps: str) -> None:
         del KEPT[kind]
 
 
-def _end() -> None:
+def give_back() -> None:
+    """Return free memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:

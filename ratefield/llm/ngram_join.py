@@ -325,7 +325,7 @@ class NgramJoin:
         return self.scratch.table(both.drop("ta", "tb"), name)
 
     def parents(self, entries: DataFrame, name: str) -> DataFrame:
-        """For each set the one that leads most of its keys: a, b, na, nb, sa, c and rest, verified.
+        """For each set one that leads about as many of its keys as any: a, b, na, nb, sa, c and rest, verified.
 
         A key is led by the set with the fewest tokens of its own, which is likely the one that others were copied
         from. A parent comes before its children in that order, so parents make a forest.
@@ -333,8 +333,11 @@ class NgramJoin:
         pick = F.min(F.struct((1 - F.col("s") / F.col("n")).alias("own"), F.xxhash64("sig").alias("h"), "sig", "n", "s"))
         lead = entries.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.sig").alias("b"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"))
         met = entries.join(lead, "key").filter("sig <> b").filter(_size_fits("n", "nb", "s", "sb"))
-        named = met.groupBy("sig", "n", "s", "b", "nb").agg(F.count("*").alias("k"))
-        best = named.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("k", "b", "nb")).alias("p"))
+        named = self.scratch.table(met.groupBy("sig", "n", "s", "b", "nb").agg(F.count("*").alias("k")), f"{name}-named", narrow=True)
+        # of those that lead about as many, the one that most sets name, so that alike sets get one parent
+        most, fame = named.groupBy("sig").agg(F.max("k").alias("most")), named.groupBy("b").agg(F.count("*").alias("fame"))
+        near = named.join(most, "sig").filter("2 * k >= most").join(fame, "b")
+        best = near.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("fame", "k", "b", "nb")).alias("p"))
         best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), f"{name}-best", narrow=True)
         return self.overlaps(best, f"{name}-parents", rest=True)
 
@@ -348,7 +351,8 @@ class NgramJoin:
           parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are the
           keys of the next round; if it is, which needs sets smaller than the parent, the common key decides.
         So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone; and the
-        copies of a version of it meet that version's leader in the next round. After the last round keys decide.
+        copies of a version of it meet that version's leader in the next round. After the last round keys decide, whatever
+        their number: rounds change what is compared, not what links.
         """
         keys = self.scratch.table(self.sets.mapInArrow(task(_keys), "key long, sig long, n long, s long, plain boolean"), "keys")
         met = keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
@@ -356,7 +360,7 @@ class NgramJoin:
         entries = keys.join(met, "key", "left_semi").withColumn("c", F.lit(None).cast("long"))
         entries = self.scratch.table(entries, "entries")
         self.scratch.drop("keys")
-        roots, pairs = None, []
+        roots, pairs, first = None, [], entries.count()
         for r in range(rounds):
             parents = self.parents(entries, f"round{r}")
             links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
@@ -367,7 +371,9 @@ class NgramJoin:
             placed = self.placed(parents, roots, f"placed{r}")
             found, entries = self.apart(entries, placed, parents, r)
             pairs.append(found)
-            if r + 1 < rounds and entries.isEmpty():
+            # each pair of a key at most; a further round pays only if these outnumber the first round's entries
+            left = entries.groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0
+            if left <= first:
                 break
         left, right = _side(entries, "a", "key", F.col("c").alias("ca")), _side(entries, "b", "key", F.col("c").alias("cb"))
         last = left.join(right, "key").filter((F.col("siga") < F.col("sigb")) & _apart() & ~_by_core())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratefield.llm.common import Scratch, documents, small_batches, task
+from ratefield.llm.common import Scratch, documents, give_back, small_batches, task
 
 #: Labelled rows to learn from at most: those with the least hash of doc_id.
 EXAMPLES = 6_000
@@ -230,6 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     term, tf = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(rows["counts"]).to_numpy()
     index = BlockMaxIndex(np.repeat(np.arange(len(ids)), size), term, tf, label, ids, len(coded.dictionary))
     model = Model(coded.dictionary.to_pylist(), index, float(label.mean()) if len(ids) else 0.0)
+    del rows, coded, term, tf, size
+    give_back()
     if len(ids):
         shared = spark.sparkContext.broadcast(model)
         parts = spark.sparkContext.defaultParallelism
@@ -237,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         model.knots = rising(votes["vote"].to_numpy(), votes["label"].to_numpy().astype(float))
         shared.destroy()
     scratch.drop()
+    give_back()
     return model
 
 
