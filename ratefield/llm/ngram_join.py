@@ -316,16 +316,19 @@ class NgramJoin:
         self.scratch.drop("whole")
         return sets
 
-    def overlaps(self, pairs: DataFrame, name: str, rest: bool = False) -> DataFrame:
-        """Pairs with c, the size of the intersection of a's and b's sets, and on demand rest: a's tokens that b lacks and another set has."""
-        of = lambda side: self.sets.select(F.col("sig").alias(side), F.col("entries.token").alias(f"t{side}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
-        if rest:
-            both = both.withColumn("rest", F.array_except("ta", "tb"))
+    def overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs with c, the size of the intersection of a's and b's sets."""
+        both = pairs.join(self.tokens("a"), "a").join(self.tokens("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
         return self.scratch.table(both.drop("ta", "tb"), name)
 
-    def parents(self, entries: DataFrame, name: str) -> DataFrame:
-        """For each set one that leads about as many of its keys as any: a, b, na, nb, sa, c and rest, verified.
+    def tokens(self, side: str) -> DataFrame:
+        return self.sets.select(F.col("sig").alias(side), F.col("entries.token").alias(f"t{side}"))
+
+    def parents(self, entries: DataFrame, before: DataFrame | None, name: str) -> DataFrame:
+        """For each set one that leads about as many of its keys as any: a, b, na, nb, sa, c (common tokens), chain, core and rest.
+
+        A set's parents so far are its chain; core is the number of its tokens that one of them has, rest those that
+        none has and another set has. before: the parents of the round before.
 
         A key is led by the set with the fewest tokens of its own, which is likely the one that others were copied
         from. A parent comes before its children in that order, so parents make a forest.
@@ -339,7 +342,15 @@ class NgramJoin:
         near = named.join(most, "sig").filter("2 * k >= most").join(fame, "b")
         best = near.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("fame", "k", "b", "nb")).alias("p"))
         best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), f"{name}-best", narrow=True)
-        return self.overlaps(best, f"{name}-parents", rest=True)
+        both = best.join(self.tokens("a"), "a").join(self.tokens("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
+        if before is None:
+            both = both.withColumns({"chain": F.col("b"), "core": F.col("c"), "rest": F.array_except("ta", "tb")})
+        else:
+            held = before.select("a", F.col("chain").alias("old_chain"), F.col("core").alias("old_core"), F.col("rest").alias("old_rest"))
+            both = both.join(held, "a").withColumns(
+                {"chain": F.xxhash64("old_chain", "b"), "core": F.col("old_core") + F.size(F.array_intersect("old_rest", "tb")), "rest": F.array_except("old_rest", "tb")}
+            )
+        return self.scratch.table(both.drop("ta", "tb", "old_chain", "old_core", "old_rest"), f"{name}-parents")
 
     def components(self, rounds: int = 3) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
@@ -350,19 +361,20 @@ class NgramJoin:
         - with one parent, of which they have ca and cb tokens: their intersection has at most min(ca, cb) of the
           parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are the
           keys of the next round; if it is, which needs sets smaller than the parent, the common key decides.
-        So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone; and the
-        copies of a version of it meet that version's leader in the next round. After the last round keys decide, whatever
+        In the next round all parents so far stand for the parent: its tokens are those that one of them has.
+        So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone, which
+        a parent that lacks some of them and the next one have between them. After the last round keys decide, whatever
         their number: rounds change what is compared, not what links.
         """
         keys = self.scratch.table(self.sets.mapInArrow(task(_keys), "key long, sig long, n long, s long, plain boolean"), "keys")
         met = keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
-        # c: how many tokens of the last parent a set has; in the first round there is none
+        # c: how many tokens of the parents so far a set has; in the first round there are none
         entries = keys.join(met, "key", "left_semi").withColumn("c", F.lit(None).cast("long"))
         entries = self.scratch.table(entries, "entries")
         self.scratch.drop("keys")
-        roots, pairs, first = None, [], entries.count()
+        roots, parents, pairs, first = None, None, [], entries.count()
         for r in range(rounds):
-            parents = self.parents(entries, f"round{r}")
+            parents = self.parents(entries, parents, f"round{r}")
             links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
             if roots is None:
                 roots = self.scratch.table(forest_roots(links).withColumnRenamed("node", "sig"), "stars", narrow=True)
@@ -387,7 +399,7 @@ class NgramJoin:
 
     def placed(self, parents: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Each set's parent, q (the size up to which a partner can be alike by the parent's tokens alone), component and the parent's component."""
-        of_set = parents.select(F.col("a").alias("sig"), F.col("b").alias("parent"), F.floor((7 * F.col("c") - 3 * F.col("na")) / 3).alias("q"))
+        of_set = parents.select(F.col("a").alias("sig"), F.col("b").alias("parent"), F.floor((7 * F.col("core") - 3 * F.col("na")) / 3).alias("q"))
         root_of = lambda c, out: roots.select(F.col("sig").alias(c), F.col("root").alias(out))
         all_sets = of_set.join(root_of("sig", "comp"), "sig", "full_outer").withColumn("parent", F.coalesce("parent", "sig"))
         all_sets = all_sets.join(root_of("parent", "home"), "parent", "left")
@@ -405,18 +417,23 @@ class NgramJoin:
         else:
             other = other.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.col("plaina").alias("pa"), F.col("plainb").alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
             other = other.filter(_can_link(F.col("m"))).select("a", "b", "na", "nb")
-        # of two sets with one parent and different components, one at least isn't in the parent's
-        strays = at.withColumn("stray", F.col("comp") != F.col("home"))
-        bounds = strays.groupBy("key", "parent").agg(F.min("n").alias("least"), F.max(F.when(F.col("stray"), F.col("q"))).alias("most")).filter("most >= least")
-        near = strays.join(bounds, ["key", "parent"])
+        # of two sets with one chain and different components, one at least isn't in the last parent's; a pair meets once, by its chain
+        chains = parents.select(F.col("a").alias("sig"), F.col("chain").alias("key"))
+        strays = at.drop("key").dropDuplicates(["sig"]).join(chains, "sig").withColumn("stray", F.col("comp") != F.col("home"))
+        bounds = strays.groupBy("key").agg(F.min("n").alias("least"), F.max(F.when(F.col("stray"), F.col("q"))).alias("most")).filter("most >= least")
+        near = strays.join(bounds, "key")
         left, right = _side(near.filter("stray AND q >= least"), "a", "key"), _side(near.filter("n <= most"), "b", "key")
-        small = left.join(right, (left["key"] == right["key"]) & (left["parenta"] == right["parentb"])).filter(_apart() & _by_core())
+        small = left.join(right, "key").filter((F.col("siga") != F.col("sigb")) & _apart() & _by_core())
         first = F.col("siga") < F.col("sigb")
         small = small.select(F.least("siga", "sigb").alias("a"), F.greatest("siga", "sigb").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        extra = parents.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("sa").alias("s"), "c", F.explode("rest").alias("token")).join(placed.select("sig", "parent", "q", "comp"), "sig")
-        extra = extra.withColumn("key", F.xxhash64("parent", "token")).withColumn("plain", F.lit(True))
+        extra = parents.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("sa").alias("s"), F.col("core").alias("c"), "chain", F.explode("rest").alias("token")).join(placed.select("sig", "parent", "q", "comp"), "sig")
+        extra = extra.withColumn("key", F.xxhash64("chain", "token")).withColumn("plain", F.lit(True))
         shared = extra.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        following = extra.join(shared, "key", "left_semi").select("key", "sig", "n", "s", "plain", "c", "parent", "q", "comp")
+        following = extra.join(shared, "key", "left_semi")
+        # with a set of another component and the same chain, a set shares the chain's tokens and these at most
+        most = following.groupBy("sig").agg(F.count("*").alias("e"))
+        following = following.join(most, "sig").withColumn("s", F.least("s", F.col("c") + F.col("e"))).filter("4 * s >= 3 * n")
+        following = following.select("key", "sig", "n", "s", "plain", "c", "parent", "q", "comp")
         following = self.scratch.table(following, f"entries{r + 1}")
         return self.scratch.table(other.unionByName(small), f"found{r}", narrow=True), following
 
