@@ -56,8 +56,14 @@ def _quantile(p: pd.Series, shape: pd.Series, rate: pd.Series) -> pd.Series:
 
 
 def shrink(df: DataFrame, count: str, exposure: str, interval: bool = True, unit: float = 100_000.0) -> DataFrame:
-    """Adds shrunken_rate (posterior mean, per unit) and, if wanted, the exact 95 % interval (shrunken_low, shrunken_high)."""
-    prior = poisson_gamma_prior(df, count, exposure).select(F.col("shape").alias("_shape"), F.col("rate").alias("_rate"))
+    """Adds shrunken_rate (posterior mean, per unit) and, if wanted, the exact 95 % interval (shrunken_low, shrunken_high).
+
+    One unit alone, and an exposure that is missing or not above 0, fail the job (what check_exposures raises beforehand).
+    """
+    prior = poisson_gamma_prior(df, count, exposure).crossJoin(F.broadcast(df.agg(F.min(F.coalesce(F.col(exposure).cast("double"), F.lit(0.0))).alias("_least"))))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("double")
+    shape = F.when(F.col("units") < 2, wrong("shrinkage needs at least 2 units")).when(F.col("_least") <= 0, wrong("exposures must be strictly positive")).otherwise(F.col("shape"))
+    prior = prior.select(shape.alias("_shape"), F.col("rate").alias("_rate"))
     both = df.crossJoin(F.broadcast(prior)).withColumn("_a", F.col("_shape") + F.col(count)).withColumn("_b", F.col("_rate") + F.col(exposure))
     out = both.withColumn("shrunken_rate", F.col("_a") / F.col("_b") * unit)
     if interval:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.plans import relational, statistical
+from ratefield.plans import products, relational, statistical
 
-QUERIES = relational.QUERIES | statistical.QUERIES
-ORACLES = relational.ORACLES | statistical.ORACLES
+QUERIES = relational.QUERIES | statistical.QUERIES | products.QUERIES
+ORACLES = relational.ORACLES | statistical.ORACLES | products.ORACLES

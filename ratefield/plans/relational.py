@@ -157,7 +157,7 @@ def bin_rates(t):
     return t.part.withColumn("bin", tb.bin_index(F.col("p_retailprice"), [0, 950, 1100, 1300, 1600])).groupBy("bin").agg(F.count("*").alias("parts"), F.round(F.sum("p_retailprice"), 4).alias("total"))
 
 
-@bound("crosswalk_join", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON lower(trim(r_name)) = lower(trim(r_name)) AND r_regionkey = n_regionkey")
+@bound("crosswalk_join", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey")
 def crosswalk_join(t):
     names = t.nation.select("n_nationkey", "n_name", F.lower(F.trim("n_name")).alias("name_key"), "n_regionkey")
     rows = t.supplier.join(names.select("n_nationkey", F.upper("name_key").alias("raw")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lower(F.trim("raw")).alias("name_key"))
@@ -341,11 +341,6 @@ def override_by_key(t):
     return tb.override(t.part.select("p_partkey", "p_brand"), fix, "p_partkey", "p_brand")
 
 
-@bound("seeded_sample_size", "SELECT CAST(25 AS BIGINT) AS n")
-def seeded_sample_size(t):
-    return t.customer.orderBy(F.xxhash64("c_custkey", F.lit(42)), "c_custkey").limit(25).agg(F.count("*").alias("n"))
-
-
 @bound("benchmark_difference", "SELECT o_orderstatus, count(*) AS n, round((count(*) - 5000) / 5000.0 * 100, 6) AS percent FROM orders GROUP BY 1")
 def benchmark_difference(t):
     return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("percent", F.round((F.col("n") - 5000) / 5000.0 * 100, 6))

@@ -110,17 +110,6 @@ def loso_wls(t):
     return rounded(regress.leave_one_group_out_wls(line_d(t), "y", "x", "w", "g"), "slope", "intercept")
 
 
-@bound("loso_blend", LINE_SQL + ", m AS (SELECT g, sum(y * w) / sum(w) AS own, count(*) AS n FROM d GROUP BY g), a AS (SELECT sum(y * w) / sum(w) AS allmean FROM d), k AS (SELECT unnest([0.5, 1.0, 2.0, 5.0, 13.0]) AS k) SELECT CAST(k AS DOUBLE) AS k, round(avg(abs(least(1.0, (n / (n + k)) * own + (1 - n / (n + k)) * allmean) - own)), 8) AS mae FROM m, a, k GROUP BY k")
-def loso_blend(t):
-    d = line_d(t)
-    own = d.groupBy("g").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("own"), F.count("*").alias("n"))
-    whole = d.agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("allmean"))
-    grid = own.crossJoin(F.broadcast(whole)).withColumn("k", F.explode(F.lit([0.5, 1.0, 2.0, 5.0, 13.0])))
-    w = F.col("n") / (F.col("n") + F.col("k"))
-    blend = F.least(F.lit(1.0), w * F.col("own") + (1 - w) * F.col("allmean"))
-    return rounded(grid.groupBy("k").agg(F.avg(F.abs(blend - F.col("own"))).alias("mae")), "mae", digits=8)
-
-
 LISTS_SQL = "l AS (SELECT user_id, max(CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS b, max(CASE WHEN event_type NOT IN ('click', 'purchase') AND event_id % 5 = 0 THEN 1 ELSE 0 END) AS c FROM events GROUP BY user_id)"
 
 
@@ -148,7 +137,7 @@ def loglinear3_cells(t):
 
 @bound("loglinear3")
 def loglinear3(t):
-    """Saturated and independence estimates of the unseen, with the likelihood-ratio test; no SQL, as a fit iterates (tests check its score equations)."""
+    """Saturated and independence estimates of the unseen, with the likelihood-ratio test; no SQL, as a fit iterates (a test checks its signs)."""
     cells = rt.history_counts(lists(t), ["a", "b", "c"])
     n = {k.removeprefix("n_"): v for k, v in cells.first().asDict().items()}
     unseen, ratio = rt.three_list_independent(n)
