@@ -34,7 +34,7 @@ def poisson_gamma_prior(df: DataFrame, count: str, exposure: str) -> DataFrame:
     """
     y, n = F.col(count).cast("double"), F.col(exposure).cast("double")
     sums = df.agg(F.count("*").alias("units"), F.sum(y).alias("_y"), F.sum(n).alias("_n")).withColumn("mean", F.try_divide("_y", "_n"))
-    spread = df.crossJoin(F.broadcast(sums)).groupBy("units", "mean", "_n").agg(F.sum(n * F.pow(y / n - F.col("mean"), 2)).alias("_q"))
+    spread = df.crossJoin(F.broadcast(sums)).groupBy("units", "mean", "_n").agg(F.sum(n * F.pow(F.try_divide(y, n) - F.col("mean"), 2)).alias("_q"))
     out = spread.withColumn("variance", F.col("_q") / F.col("_n") - F.col("mean") / (F.col("_n") / F.col("units")))
     out = out.withColumn("variance", F.when(F.col("variance") > 0, F.col("variance")).otherwise(F.col("mean") * F.col("mean") / 1e6))
     out = out.withColumn("shape", F.col("mean") * F.col("mean") / F.col("variance")).withColumn("rate", F.col("mean") / F.col("variance"))
