@@ -179,7 +179,8 @@ class Model:
         if self.knots is None:
             return found
         shares = np.interp([f[0] for f in found], *self.knots).tolist()
-        return [(s, ids, cosines) for s, (_, ids, cosines) in zip(shares, found, strict=True)]
+        # a text without neighbours has the prior alone, which is a share already
+        return [(s if ids else self.prior, ids, cosines) for s, (_, ids, cosines) in zip(shares, found, strict=True)]
 
 
 def _counted(batches):
@@ -260,7 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score (0 to 1), predicted (1 at 0.3 or more), and nearest and cosines (the examples that voted) to docs.
 
     Each row is scored by itself, so repeated rows, equal and null ids don't matter. A null or empty text, and one
-    without a known word, has no neighbours and scores what the prior's vote is calibrated to. Long texts are read whole.
+    without a known word, has no neighbours and scores the share of label 1 among the examples. Long texts are read whole.
     Columns of these names are replaced; others may have any name. No rows give no rows.
     """
     small_batches(docs.sparkSession)
