@@ -46,32 +46,49 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ..
     return both.filter(F.col("distance_m") <= radius_m).drop("_r", "_c")
 
 
+#: Point-edge comparisons that are held at once.
+_CAST = 1 << 22
+
+
+def _cast(x: np.ndarray, y: np.ndarray, xs: list, ys: list) -> np.ndarray:
+    """Whether points lie within a polygon's rings: an odd number of edges over a point, and none through it."""
+    x1, y1 = (np.concatenate([np.asarray(r, float) for r in c]) for c in (xs, ys))
+    x2, y2 = (np.concatenate([np.roll(np.asarray(r, float), -1) for r in c]) for c in (xs, ys))
+    x, y = x[:, None], y[:, None]
+    cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    on_edge = (cross == 0) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
+    over = (y1 > y) != (y2 > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = over & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return (hit.sum(axis=1) % 2 == 1) & ~on_edge.any(axis=1)
+
+
 def _inside(cells: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in cells:
-        keep = []
-        for x, y, xs, ys in zip(part["x"], part["y"], part["xs"], part["ys"], strict=True):
-            xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-            x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-            cross = (x2 - xs) * (y - ys) - (y2 - ys) * (x - xs)
-            on_edge = (cross == 0) & (np.minimum(xs, x2) <= x) & (x <= np.maximum(xs, x2)) & (np.minimum(ys, y2) <= y) & (y <= np.maximum(ys, y2))
-            over = (ys > y) != (y2 > y)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hit = over & (x < (x2 - xs) * (y - ys) / (y2 - ys) + xs)
-            keep.append(bool(hit.sum() % 2) and not on_edge.any())
+        keep = np.zeros(len(part), bool)
+        x, y = part["x"].to_numpy(float), part["y"].to_numpy(float)
+        for rows in part.groupby("_shape", sort=False).indices.values():
+            xs, ys = part["xs"].iloc[rows[0]], part["ys"].iloc[rows[0]]
+            step = max(1, _CAST // max(1, sum(map(len, xs))))
+            for i in range(0, len(rows), step):
+                some = rows[i : i + step]
+                keep[some] = _cast(x[some], y[some], xs, ys)
         yield part.loc[keep, ["point_id", "area_id"]]
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """(point_id, area_id) of points (point_id, x, y) that lie within polygons (area_id, xs, ys: a ring's vertices); null area where none holds it.
+    """(point_id, area_id) of points (point_id, x, y) that lie within polygons (area_id, xs, ys: a ring's vertices, or an array of rings); null area where none holds it.
 
-    Polygons are cut into the cells that their boxes cover and joined by cell; ray casting decides. A point on a
+    Of several rings those within another are holes and the others parts of the area, by the even-odd rule. Polygons are cut into the cells that their boxes cover and joined by cell; ray casting decides. A point on a
     boundary isn't within. A point in several polygons goes to the least area_id.
     """
-    spans = [F.sequence(F.floor(F.array_min(c) / cell), F.floor(F.array_max(c) / cell)) for c in ("xs", "ys")]
-    covers = polygons.withColumn("_cx", F.explode(spans[0])).withColumn("_cy", F.explode(spans[1]))
+    if not isinstance(polygons.schema["xs"].dataType.elementType, T.ArrayType):
+        polygons = polygons.withColumns({c: F.array(c) for c in ("xs", "ys")})
+    spans = [F.sequence(F.floor(F.array_min(F.flatten(c)) / cell), F.floor(F.array_max(F.flatten(c)) / cell)) for c in ("xs", "ys")]
+    covers = polygons.withColumn("_shape", F.xxhash64("area_id", "xs", "ys")).withColumn("_cx", F.explode(spans[0])).withColumn("_cy", F.explode(spans[1]))
     placed = points.filter("x is not null and y is not null").withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     ids = points.schema["point_id"].dataType.simpleString(), polygons.schema["area_id"].dataType.simpleString()
-    hits = placed.join(covers, ["_cx", "_cy"]).select("point_id", "x", "y", "area_id", "xs", "ys").mapInPandas(_inside, f"point_id {ids[0]}, area_id {ids[1]}")
+    hits = placed.join(covers, ["_cx", "_cy"]).select("point_id", "x", "y", "area_id", "xs", "ys", "_shape").mapInPandas(_inside, f"point_id {ids[0]}, area_id {ids[1]}")
     return points.select("point_id").join(hits.groupBy("point_id").agg(F.min("area_id").alias("area_id")), "point_id", "left")
 
 

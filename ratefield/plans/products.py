@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ratefield.operators import ranking as rk
 from ratefield.operators import rates as rt
-from ratefield.operators import regress
+from ratefield.operators import regress, spatial
 from ratefield.operators import tables as tb
-from ratefield.plans.relational import PRIOR_SQL, UNITS_SQL, nation_units, rounded
-from ratefield.plans.statistical import EDGES_SQL, LINE_SQL, POINTS_SQL, line_d, nation_edges, points
+from ratefield.plans.relational import PRIOR_SQL, TWO_RATES, UNITS_SQL, nation_units, rounded, two_ranks
+from ratefield.plans.statistical import EDGES_SQL, GI_SQL, LINE_SQL, POINTS_SQL, area_table, line_d, nation_edges, nation_values, points
 from ratefield.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +241,65 @@ def dissolved_edges(t):
     of = lambda c: t.nation.select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias("g" + c))
     e = nation_edges(t).join(of("src"), "src").join(of("dst"), "dst").filter("gsrc <> gdst")
     return e.select(F.least("gsrc", "gdst").alias("src"), F.greatest("gsrc", "gdst").alias("dst")).distinct()
+
+
+@bound(
+    "holdout_lpd",
+    f"""WITH {AREAS_SQL}, h AS (SELECT concat_ws('|', c_nationkey, c_mktsegment) AS area, CAST(orders AS DOUBLE) AS y, CAST(customers AS DOUBLE) AS n FROM a), d AS (SELECT y, n FROM h WHERE md5(area || ':42') >= '3333'), {PRIOR_SQL},
+g AS (SELECT mean * exp(-6 / sqrt(shape) - 12 / shape + i / 480.0 * (12 / sqrt(shape) + 12 / shape)) AS r, shape, rate FROM prior, range(481) t(i)), w AS (SELECT r, shape * ln(r) - rate * r AS lw FROM g), z AS (SELECT max(lw) AS top FROM w), tot AS (SELECT max(top) + ln(sum(exp(lw - top))) AS total FROM w, z),
+q AS (SELECT area, y, n, lw + y * ln(r * n) - r * n AS lq FROM h, w WHERE md5(area || ':42') < '3333'), m AS (SELECT area, y, n, max(lq) AS top FROM q GROUP BY ALL), e AS (SELECT m.area, m.y, m.n, m.top + ln(sum(exp(lq - m.top))) AS mass FROM q JOIN m ON q.area = m.area GROUP BY m.area, m.y, m.n, m.top)
+SELECT area, y, n, round(lgamma(y + shape) - lgamma(shape) - lgamma(y + 1) + shape * ln(rate / (rate + n)) + y * ln(n / (rate + n)), 5) AS lpd, round(mass - total - lgamma(y + 1), 5) AS lpd_grid FROM e, tot, prior""",
+)
+def holdout_lpd(t):
+    """Log predictive density of the areas held out (a fifth, by a seeded hash) under the prior of the others."""
+    a = area_table(t).select("area", "y", "n").withColumn("held_out", F.md5(F.concat("area", F.lit(":42")).cast("binary")) < "3333")
+    out = rt.held_out_log_density(a.filter("NOT held_out"), a.filter("held_out"), "y", "n")
+    return rounded(out.drop("held_out"), "lpd", "lpd_grid", digits=5)
+
+
+@bound(
+    "polygon_layers",
+    f"""WITH {POINTS_SQL}, i AS (SELECT *, lon > -0.3 AND lon < 0.3 AND lat > 39.7 AND lat < 40.3 AND NOT (lon >= -0.1 AND lon <= 0.1 AND lat >= 39.9 AND lat <= 40.1) AS ring, (lon > 0.3 AND lon < 0.5 OR lon > -0.5 AND lon < -0.3) AND lat > 39.7 AND lat < 40.3 AS wings, lon > 0 AND lon < 0.2 AND lat > 39.8 AND lat < 40.2 AS place FROM pt)
+SELECT vec_id AS point_id, CASE WHEN ring THEN 'ring' WHEN wings THEN 'wings' ELSE 'none' END AS area_id, CASE WHEN place THEN 'place' ELSE 'none' END AS place_id FROM i""",
+)
+def polygon_layers(t):
+    """Points placed in two layers of areas, one after the other: an area with a hole, one of two parts, and a smaller place."""
+    box = lambda x0, x1, y0, y1: ([x0, x1, x1, x0], [y0, y0, y1, y1])
+    shape = lambda name, *boxes: (name, [b[0] for b in boxes], [b[1] for b in boxes])
+    schema = "area_id string, xs array<array<double>>, ys array<array<double>>"
+    spark = t.nation.sparkSession
+    areas = spark.createDataFrame([shape("ring", box(-0.3, 0.3, 39.7, 40.3), box(-0.1, 0.1, 39.9, 40.1)), shape("wings", box(0.3, 0.5, 39.7, 40.3), box(-0.5, -0.3, 39.7, 40.3))], schema)
+    places = spark.createDataFrame([shape("place", box(0.0, 0.2, 39.8, 40.2))], schema)
+    p = points(t).select(F.col("vec_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    first = spatial.points_in_polygons(p, areas, 0.1)
+    second = spatial.points_in_polygons(p, places, 0.1).withColumnRenamed("area_id", "place_id")
+    return first.join(second, "point_id").fillna("none")
+
+
+@bound(
+    "class_movers",
+    TWO_RATES
+    + f", {GI_SQL.replace('s AS (', 'gs AS (').replace('FROM x, s)', 'FROM x, gs)')}, j AS (SELECT CASE WHEN z > 1 THEN 'hot' WHEN z < -1 THEN 'cold' ELSE 'neither' END AS class, CAST(rank_old AS INT) - CAST(rank_new AS INT) AS change FROM k LEFT JOIN g ON node = n_nationkey) SELECT class, count(*) AS units, count(*) FILTER (change > 0) AS up, count(*) FILTER (change < 0) AS down, round(avg(CASE WHEN abs(change) >= 5 THEN 1.0 ELSE 0.0 END), 6) AS share_far, round(avg(change), 6) AS mean_change FROM j GROUP BY class",
+)
+def class_movers(t):
+    """Changes of rank by class of spatial association (beyond one deviation of Gi*): moved up, down, and five places or more."""
+    z = spatial.gi_star(nation_values(t), nation_edges(t), "v").select(F.col("node").alias("n_nationkey"), "z")
+    j = two_ranks(t).join(z, "n_nationkey", "left")
+    named = F.when(F.col("z") > 1, "hot").when(F.col("z") < -1, "cold").otherwise("neither")
+    far = F.avg((F.abs("change") >= 5).cast("double")).alias("share_far")
+    out = j.groupBy(named.alias("class")).agg(F.count("*").alias("units"), F.count_if(F.col("change") > 0).alias("up"), F.count_if(F.col("change") < 0).alias("down"), far, F.avg("change").alias("mean_change"))
+    return rounded(out, "share_far", "mean_change")
+
+
+@bound(
+    "effect_redundancy",
+    f"WITH {UNITS_SQL}, d AS (SELECT n_regionkey, n_nationkey, 0.3 + 0.02 * n_nationkey AS coverage, orders / CAST(customers AS DOUBLE) AS rate FROM units WHERE customers > 0 AND orders > 0), g AS (SELECT n_regionkey, avg(ln(rate)) AS raw, avg(ln(rate / coverage)) AS corrected, avg(ln(1 / coverage)) AS lack FROM d GROUP BY n_regionkey), o AS (SELECT n_regionkey, raw - avg(raw) OVER () AS raw_effect, corrected - avg(corrected) OVER () AS corrected_effect, lack FROM g) SELECT n_regionkey, round(raw_effect, 6) AS raw_effect, round(corrected_effect, 6) AS corrected_effect, round(CAST(lack AS DOUBLE), 6) AS log_inverse, round(corr(raw_effect, lack) OVER (), 6) AS raw_corr, round(corr(corrected_effect, lack) OVER (), 6) AS corrected_corr FROM o",
+)
+def effect_redundancy(t):
+    """Group effects on log rates, raw and corrected for coverage, beside log(1 / coverage), and how each goes with it."""
+    coverage = F.lit(0.3) + F.lit(0.02) * F.col("n_nationkey")
+    d = nation_units(t).filter("customers > 0 AND orders > 0").withColumns({"rate": F.try_divide("orders", "customers"), "coverage": coverage})
+    g = d.groupBy("n_regionkey").agg(F.avg(F.log("rate")).alias("raw"), F.avg(F.log(F.col("rate") / F.col("coverage"))).alias("corrected"), F.avg(F.log(1 / F.col("coverage"))).alias("log_inverse"))
+    s = g.agg(F.avg("raw").alias("raw_mean"), F.avg("corrected").alias("corrected_mean"), F.corr("raw", "log_inverse").alias("raw_corr"), F.corr("corrected", "log_inverse").alias("corrected_corr"))
+    out = g.crossJoin(F.broadcast(s)).withColumns({"raw_effect": F.col("raw") - F.col("raw_mean"), "corrected_effect": F.col("corrected") - F.col("corrected_mean")})
+    return rounded(out.select("n_regionkey", "raw_effect", "corrected_effect", "log_inverse", "raw_corr", "corrected_corr"), "raw_effect", "corrected_effect", "log_inverse", "raw_corr", "corrected_corr")

@@ -162,6 +162,52 @@ def test_polygons(spark):
     assert {r["point_id"]: r["area_id"] for r in spatial.points_in_polygons(points, shapes, 1.0).collect()} == {0: "tri", 1: None, 2: None, 3: None, 4: None}
 
 
+def test_polygons_of_several_rings(spark):
+    rings = [[0.0, 6.0, 6.0, 0.0], [2.0, 4.0, 4.0, 2.0], [8.0, 9.0, 8.0]], [[0.0, 0.0, 6.0, 6.0], [2.0, 2.0, 4.0, 4.0], [0.0, 0.0, 1.0]]
+    shapes = spark.createDataFrame([("a", *rings)], "area_id string, xs array<array<double>>, ys array<array<double>>")
+    points = spark.createDataFrame([(0, 1.0, 1.0), (1, 3.0, 3.0), (2, 2.0, 3.0), (3, 8.25, 0.25), (4, 7.0, 0.5), (5, 5.0, 3.0)], "point_id long, x double, y double")
+    got = {r["point_id"]: r["area_id"] for r in spatial.points_in_polygons(points, shapes, 1.0).collect()}
+    assert got == {0: "a", 1: None, 2: None, 3: "a", 4: None, 5: "a"}
+    assert spatial.points_in_polygons(points, shapes.limit(0), 1.0).filter("area_id is not null").count() == 0
+
+
+def test_polygons_match_edge_by_edge(spark):
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(0, 10, (300, 2))
+    angle = np.sort(rng.uniform(0, 2 * math.pi, 40))
+    star = np.c_[5 + rng.uniform(1, 5, 40) * np.cos(angle), 5 + rng.uniform(1, 5, 40) * np.sin(angle)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "point_id long, x double, y double")
+    shapes = spark.createDataFrame([("s", star[:, 0].tolist(), star[:, 1].tolist())], "area_id string, xs array<double>, ys array<double>")
+
+    def inside(x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(star, np.roll(star, -1, axis=0), strict=True):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    got = {r["point_id"] for r in spatial.points_in_polygons(points, shapes, 1.0).filter("area_id is not null").collect()}
+    assert got == {i for i, (x, y) in enumerate(xy) if inside(x, y)}
+
+
+def test_held_out_density(spark):
+    train = units(spark, [4, 90, 20, 61, 33], [130, 410, 390, 260, 300])
+    test = units(spark, [0, 12, 45, 300], [50, 90, 200, 1500])
+    p = rates.poisson_gamma_prior(train, "y", "n").first()
+    for r in rates.held_out_log_density(train, test, "y", "n").collect():
+        y, n, a, b = r["y"], r["n"], p["shape"], p["rate"]
+        exact = math.lgamma(y + a) - math.lgamma(a) - math.lgamma(y + 1) + a * math.log(b / (b + n)) + y * math.log(n / (b + n))
+        assert r["lpd"] == pytest.approx(exact, abs=1e-9)
+        assert r["lpd_grid"] == pytest.approx(exact, abs=2e-3)
+    assert rates.held_out_log_density(train, test.limit(0), "y", "n").count() == 0
+    assert all(r["lpd"] is None for r in rates.held_out_log_density(units(spark, [0, 0], [5, 9]), test, "y", "n").collect())
+
+
+@pytest.mark.parametrize("x", [1e-3, 0.5, 1.0, 3.7, 20.0, 1e6])
+def test_log_gamma_column(spark, x):
+    assert spark.range(1).select(rates.log_gamma(F.lit(x)).alias("g")).first()["g"] == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-11)
+
+
 def test_nb_fit_recovers():
     rng = np.random.default_rng(4)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])
