@@ -47,8 +47,9 @@ def leave_one_group_out_wls(df: DataFrame, y: str, x: str, weight: str, group: s
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds held_out by a hash of the key, so that a unit's side doesn't depend on the others."""
-    return df.withColumn("held_out", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Adds held_out by a hash of the key, so that a unit's side doesn't depend on the others; any engine with MD5 finds the same."""
+    mark = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return df.withColumn("held_out", mark < f"{round(share * 16**8):08x}")
 
 
 def nb_log_likelihood(y, mu, alpha):

@@ -245,14 +245,14 @@ def dissolved_edges(t):
 
 @bound(
     "holdout_lpd",
-    f"""WITH {AREAS_SQL}, h AS (SELECT concat_ws('|', c_nationkey, c_mktsegment) AS area, CAST(orders AS DOUBLE) AS y, CAST(customers AS DOUBLE) AS n FROM a), d AS (SELECT y, n FROM h WHERE md5(area || ':42') >= '3333'), {PRIOR_SQL},
+    f"""WITH {AREAS_SQL}, h AS (SELECT concat_ws('|', c_nationkey, c_mktsegment) AS area, CAST(orders AS DOUBLE) AS y, CAST(customers AS DOUBLE) AS n FROM a), d AS (SELECT y, n FROM h WHERE md5(area || ':42') >= '33333333'), {PRIOR_SQL},
 g AS (SELECT mean * exp(-6 / sqrt(shape) - 12 / shape + i / 480.0 * (12 / sqrt(shape) + 12 / shape)) AS r, shape, rate FROM prior, range(481) t(i)), w AS (SELECT r, shape * ln(r) - rate * r AS lw FROM g), z AS (SELECT max(lw) AS top FROM w), tot AS (SELECT max(top) + ln(sum(exp(lw - top))) AS total FROM w, z),
-q AS (SELECT area, y, n, lw + y * ln(r * n) - r * n AS lq FROM h, w WHERE md5(area || ':42') < '3333'), m AS (SELECT area, y, n, max(lq) AS top FROM q GROUP BY ALL), e AS (SELECT m.area, m.y, m.n, m.top + ln(sum(exp(lq - m.top))) AS mass FROM q JOIN m ON q.area = m.area GROUP BY m.area, m.y, m.n, m.top)
+q AS (SELECT area, y, n, lw + y * ln(r * n) - r * n AS lq FROM h, w WHERE md5(area || ':42') < '33333333'), m AS (SELECT area, y, n, max(lq) AS top FROM q GROUP BY ALL), e AS (SELECT m.area, m.y, m.n, m.top + ln(sum(exp(lq - m.top))) AS mass FROM q JOIN m ON q.area = m.area GROUP BY m.area, m.y, m.n, m.top)
 SELECT area, y, n, round(lgamma(y + shape) - lgamma(shape) - lgamma(y + 1) + shape * ln(rate / (rate + n)) + y * ln(n / (rate + n)), 5) AS lpd, round(mass - total - lgamma(y + 1), 5) AS lpd_grid FROM e, tot, prior""",
 )
 def holdout_lpd(t):
     """Log predictive density of the areas held out (a fifth, by a seeded hash) under the prior of the others."""
-    a = area_table(t).select("area", "y", "n").withColumn("held_out", F.md5(F.concat("area", F.lit(":42")).cast("binary")) < "3333")
+    a = regress.holdout(area_table(t).select("area", "y", "n"), "area")
     out = rt.held_out_log_density(a.filter("NOT held_out"), a.filter("held_out"), "y", "n")
     return rounded(out.drop("held_out"), "lpd", "lpd_grid", digits=5)
 

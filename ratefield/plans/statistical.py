@@ -175,7 +175,7 @@ def mixed_reml(t):
     return regress.random_intercept_reml(area_table(t).withColumn("rate", F.col("y") / F.col("n")), "rate", "x", "g")
 
 
-@bound("holdout_split")
+@bound("holdout_split", "SELECT c_custkey, md5(c_custkey || ':42') < '33333333' AS held_out FROM customer")
 def holdout_split(t):
     return regress.holdout(t.customer.select("c_custkey"), "c_custkey")
 

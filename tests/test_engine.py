@@ -208,6 +208,47 @@ def test_log_gamma_column(spark, x):
     assert spark.range(1).select(rates.log_gamma(F.lit(x)).alias("g")).first()["g"] == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-11)
 
 
+def test_holdout_share(spark):
+    df = regress.holdout(spark.range(20_000), "id", 0.3, 7)
+    assert df.filter("held_out").count() / 20_000 == pytest.approx(0.3, abs=0.015)
+    assert df.filter("held_out").exceptAll(regress.holdout(spark.range(10_000, 20_000).union(spark.range(10_000)), "id", 0.3, 7)).isEmpty()
+
+
+def test_moran_permutations(spark):
+    rng = np.random.default_rng(3)
+    v = np.sort(rng.normal(size=12))
+    values = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "node int, v double")
+    path = spark.createDataFrame([(i, i + 1) for i in range(11)], "src int, dst int")
+    got = spatial.moran_permutations(values, path, "v", 499).first()
+    z = v - v.mean()
+    near = [(i, j) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12]
+    w = np.array([1 / (1 if i in (0, 11) else 2) for i, _ in near])
+    statistic = lambda z: 12 / w.sum() / (z @ z) * sum(k * z[i] * z[j] for k, (i, j) in zip(w, near, strict=True))
+    assert got["statistic"] == pytest.approx(statistic(z))
+    larger = sum(statistic(np.random.default_rng([42, k]).permutation(z)) >= statistic(z) - 1e-12 for k in range(499))
+    assert got["as_large"] == larger
+
+
+def test_nb_leave_group_out(spark):
+    rng = np.random.default_rng(11)
+    table = [(f"u{i}", float(rng.poisson(20 + 10 * (i % 3))), float(rng.normal()), 100.0, i % 3) for i in range(45)]
+    df = spark.createDataFrame(table, "area string, y double, x double, n double, g int")
+    got = {r["area"]: r for r in regress.nb_leave_group_out(df, "area", "y", ["x"], "n", "g").collect()}
+    assert len(got) == 45
+    frame = df.toPandas()
+    for fold in range(3):
+        rest = [g for g in range(3) if g != fold]
+        train = frame[frame["g"] != fold]
+        beta, alpha, _ = regress.fit_nb(train["y"], regress.design(train, ["x"], rest, "g"), np.log(train["n"].to_numpy()))
+        for area, y, x, n, g in table:
+            if g == fold:
+                mu = n * math.exp(x * beta[0] + (beta[1] + beta[2]) / 2)
+                k = 1 / alpha
+                density = math.lgamma(y + k) - math.lgamma(k) - math.lgamma(y + 1) + k * math.log(k / (k + mu)) + y * math.log(mu / (k + mu))
+                assert got[area]["fold"] == str(fold)
+                assert (got[area]["expected"], got[area]["log_density"]) == (pytest.approx(mu, rel=1e-6), pytest.approx(density, rel=1e-6))
+
+
 def test_nb_fit_recovers():
     rng = np.random.default_rng(4)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])
