@@ -139,10 +139,9 @@ def drop_near_twins(points: DataFrame, radius_m: float = 100.0) -> DataFrame:
 
     Candidate links come from a distance join within the name; the sequence matters only within a component of them.
     """
-    named = points.withColumn("_n", normal_name(F.col("name")))
-    a = named.select(F.col("id").alias("a_id"), F.col("_n").alias("a_n"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = named.select(F.col("id").alias("b_id"), F.col("_n").alias("b_n"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    links = distance_join(a, b, radius_m).filter("a_n = b_n AND a_n <> '' AND a_id < b_id").select("a_id", "b_id")
+    named = points.withColumn("_twin", normal_name(F.col("name"))).filter("_twin <> ''")
+    side = lambda x: named.select("_twin", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "lat", "lon")])
+    links = distance_join(side("a"), side("b"), radius_m, ("_twin",)).filter("a_id < b_id").select("a_id", "b_id")
     ends = links.select(F.col("a_id").alias("node")).union(links.select("b_id")).distinct()
     parts = components(ends, links.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
     kind = points.schema["id"].dataType.simpleString()

@@ -249,6 +249,29 @@ def test_nb_leave_group_out(spark):
                 assert (got[area]["expected"], got[area]["log_density"]) == (pytest.approx(mu, rel=1e-6), pytest.approx(density, rel=1e-6))
 
 
+def test_near_twins_by_brute_force(spark):
+    rng = np.random.default_rng(17)
+    names = ["Fern Ales", "fern ales", "Oak", "", None]
+    table = [(i, names[int(rng.integers(5))], float(40 + rng.uniform(0, 0.004)), float(rng.uniform(0, 0.004))) for i in range(150)] + [(150, "Oak", None, None), (151, "Oak", None, 0.0)]
+    df = spark.createDataFrame(table, "id long, name string, lat double, lon double")
+    key = dict(df.select("id", linkage.normal_name(F.col("name")).alias("k")).collect())
+
+    def metres(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * spatial.EARTH_M * math.asin(math.sqrt(h))
+
+    kept = []
+    for row in table:
+        place = row[2] is not None and row[3] is not None
+        twins = [k for k in kept if place and k[2] is not None and k[3] is not None and key[k[0]] and key[k[0]] == key[row[0]] and metres(k, row) <= 100]
+        if not twins:
+            kept.append(row)
+    assert {r["id"] for r in linkage.drop_near_twins(df).collect()} == {r[0] for r in kept}
+    assert 20 < len(kept) < 152
+    assert linkage.drop_near_twins(df.limit(0)).isEmpty()
+
+
 def test_nb_fit_recovers():
     rng = np.random.default_rng(4)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])
