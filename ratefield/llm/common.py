@@ -194,6 +194,11 @@ def _byte_codes(fold: bool) -> np.ndarray:
 _CODES = {fold: _byte_codes(fold) for fold in (False, True)}
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[32, *range(9, 14)]] = True
+#: Bytes that part the words of letters and digits: [\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[:128] = True
+for _a, _z in (b"09", b"az", b"AZ"):
+    IS_SIGN[_a : _z + 1] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.ones(1, _U)
 _INVERSE = np.ones(1, _U)
@@ -214,11 +219,12 @@ class Words:
     """The words of a few texts: where each begins and ends in the bytes, its document and its 64-bit hash.
 
     The hash is a polynomial over random byte codes modulo 2**64, made final by splitmix64; with fold, A-Z count as a-z.
+    parting: which of the 256 bytes part words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, parting: np.ndarray = _IS_BLANK):
         self.docs, self.data, self.offsets = len(offsets) - 1, data, offsets
-        blank = _IS_BLANK[data]
+        blank = parting[data]
         inside = ~blank
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -295,3 +301,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def _sum_arrays(batches):
+    total = None
+    for batch in batches:
+        for data in batch.column("counts").to_pylist():
+            one = np.frombuffer(data, np.int64)
+            total = one.copy() if total is None else total + one
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+
+def added_arrays(rows: DataFrame, fan: int = 32) -> np.ndarray | None:
+    """The sum of the int64 arrays of equal length in `counts`, one a task: in steps of `fan` tasks, so that a task and the driver get `fan` rows at most. None without rows."""
+    parts = rows.rdd.getNumPartitions()
+    while parts > fan:
+        parts = -(-parts // fan)
+        rows = rows.repartition(parts).mapInArrow(task(_sum_arrays), "counts binary")
+    found = [np.frombuffer(x, np.int64) for x in rows.toArrow()["counts"].to_pylist()]
+    return sum(found) if found else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, quality, secrets, toxicity
+from ratefield.llm import decontaminate, line_dedup, mixing, quality, secrets, toxicity
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,6 +66,7 @@ FROM documents
 ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_SQL,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_benchmark_decontamination": decontaminate.ORACLE,
     "base_mixing_targets": TARGETS_SQL,
     "base_quality_measures": BASE_QUALITY_SQL,
     "base_secret_spans": BASE_SECRETS_SQL,
@@ -86,4 +87,3 @@ QUERIES = {
     "base_secret_spans": lambda spark, sf_dir: secrets.query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
     "base_toxicity_folds": lambda spark, sf_dir: toxicity.query(spark, sf_dir).select("doc_id", "held_out"),
 }
-assert ngram_join.WORDS == 5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity
+from ratefield.llm import decontaminate, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_quality_ratio": quality.query,
     "op9_nearest_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
+    "op11_benchmark_decontamination": decontaminate.query,
     "pipeline": _pipeline,
 } | oracles.QUERIES
 
