@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import decontaminate, line_dedup, mixing, quality, secrets, toxicity
+from ratefield.llm import decontaminate, line_dedup, mixing, quality, secrets, toxicity, trie
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,6 +67,7 @@ ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_SQL,
     "op7_line_dedup": line_dedup.ORACLE,
     "op11_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_conversation_trie": trie.ORACLE,
     "base_mixing_targets": TARGETS_SQL,
     "base_quality_measures": BASE_QUALITY_SQL,
     "base_secret_spans": BASE_SECRETS_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import decontaminate, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity
+from ratefield.llm import decontaminate, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity, trie
 
 
 def _pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_nearest_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
     "op11_benchmark_decontamination": decontaminate.query,
+    "op12_conversation_trie": trie.query,
     "pipeline": _pipeline,
 } | oracles.QUERIES
 
