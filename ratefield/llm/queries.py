@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.llm import decontaminate, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity, trie
+from ratefield.llm import decontaminate, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, secrets, sketches, token_store, toxicity, trie, whitening
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_secret_scan": secrets.query,
     "op11_benchmark_decontamination": decontaminate.query,
     "op12_conversation_trie": trie.query,
+    "op13_embedding_whitening": whitening.query,
     "pipeline": _pipeline,
 } | oracles.QUERIES
 
