@@ -1,7 +1,7 @@
 """Ranks, top lists, movers and comparisons of rankings.
 
-A rank over all rows needs the rows in one order. These windows run over units (areas), which are as many as an area
-table has, never over events.
+Windows over all rows (with_rank without `by`, and what is built on it) run over units (areas), which are as many as an
+area table has. Tables that grow with events or customers are ranked by exact_rank, which has no such window.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratefield.operators.order import exact_rank, step_up, value_counts, value_ranks
+
 
 def with_rank(df: DataFrame, column: str, out: str, descending: bool = True, by: list[str] | None = None) -> DataFrame:
     """Rank with ties at the least place; missing values come last."""
@@ -16,12 +18,6 @@ def with_rank(df: DataFrame, column: str, out: str, descending: bool = True, by:
     return df.withColumn(out, F.rank().over(Window.partitionBy(*(by or [])).orderBy(order)))
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Rank with ties at their mean place."""
-    order, ties = Window.orderBy(column), Window.partitionBy(column)
-    return df.withColumn(out, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
-
-
 def correlation(x: str, y: str):
     """Pearson's r of rows where both are present; null where either doesn't vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -29,7 +25,7 @@ def correlation(x: str, y: str):
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) over rows where both are present."""
-    both = average_rank(average_rank(df.dropna(subset=[x, y]), x, "_rx"), y, "_ry")
+    both = exact_rank(exact_rank(df.dropna(subset=[x, y]), x, "_rx", "average"), y, "_ry", "average")
     return both.agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
@@ -62,12 +58,25 @@ def floored_and_full_rank(df: DataFrame, column: str, exposure: str, floor: floa
     return full.join(floored, key, "left")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, key: str) -> DataFrame:
-    """Step-up q-values: the least p * m / rank from here to the largest p, at most 1."""
-    up = Window.orderBy(F.col(p), F.col(key))
-    ranked = df.withColumn("_rn", F.row_number().over(up)).crossJoin(F.broadcast(df.agg(F.count(p).alias("_m"))))
-    down = Window.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(down))).drop("_rn", "_m")
+def benjamini_hochberg(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Step-up q-values: the least p * m / rank from here to the largest p, at most 1; null where p is."""
+    return step_up(df, p, out)
+
+
+def mann_whitney(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
+    """One row for two groups: n1, n2, u (of the first), rank_biserial, and z of the normal approximation with the correction for ties (no continuity correction).
+
+    Ties take mean ranks, found from counts by value; null values don't count.
+    """
+    rows = df.filter(F.col(group).isin(first, second))
+    counts = value_counts(rows, value, a=F.count_if(F.col(group) == first))
+    r = F.col("before") + (F.col("n") + 1) / 2.0
+    n = F.col("n").cast("double")
+    s = value_ranks(counts, value).agg(F.sum("a").cast("double").alias("n1"), F.sum(F.col("n") - F.col("a")).cast("double").alias("n2"), F.sum(F.col("a") * r).alias("w"), F.sum(n * n * n - n).alias("ties"))
+    n1, n2, total = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
+    u = F.col("w") - n1 * (n1 + 1) / 2
+    spread = F.sqrt(n1 * n2 / 12 * (total + 1 - F.try_divide(F.col("ties"), total * (total - 1))))
+    return s.select("n1", "n2", u.alias("u"), F.try_divide(2 * u, n1 * n2).alias("_twice"), F.try_divide(u - n1 * n2 / 2, spread).alias("z")).select("n1", "n2", "u", (F.col("_twice") - 1).alias("rank_biserial"), "z")
 
 
 def weighted_mean(value, weight):

@@ -8,6 +8,9 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratefield.operators.order import exact_quantiles
+from ratefield.operators.skew import join_facts
+
 
 def audited_filters(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """Apply filters in order; also rows (step, before, after, dropped), found in one pass over df.
@@ -45,15 +48,19 @@ def any_null(*columns: Column) -> Column:
 
 def clip_at_quantile(df: DataFrame, column: str, q: float, out: str) -> DataFrame:
     """Upper clip at an exact, linearly interpolated quantile; nulls stay null. The quantile is one row, broadcast."""
-    bound = df.agg(F.percentile(column, q).alias("_bound"))
+    bound = exact_quantiles(df, column, [q]).select(F.col("value").alias("_bound"))
     return df.crossJoin(F.broadcast(bound)).withColumn(out, F.when(F.col(column).isNotNull(), F.least(F.col(column), F.col("_bound")))).drop("_bound")
 
 
 def impute_median(df: DataFrame, column: str, out: str, flag: str, by: list[str] | None = None) -> DataFrame:
-    """Fill missing values with the median (of the group), and mark them."""
+    """Fill missing values with the exact median (of the group; a null key is a group), and mark them."""
     keys = by or []
-    medians = df.groupBy(*keys).agg(F.percentile(column, 0.5).alias("_median"))
-    joined = df.join(medians, keys, "left") if keys else df.crossJoin(F.broadcast(medians))
+    medians = exact_quantiles(df, column, [0.5], keys).select(*keys, F.col("value").alias("_median"))
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        joined = join_facts(df, join_facts(sizes, medians.withColumn("_one", F.lit(1)), keys, "_one", 0), keys, "_rows", df.count())
+    else:
+        joined = df.join(F.broadcast(medians), how="left")
     return joined.withColumn(flag, F.col(column).isNull()).withColumn(out, F.coalesce(column, "_median")).drop("_median")
 
 

@@ -98,13 +98,28 @@ def profile_comparison(t):
 )
 def mann_whitney(t):
     """U of the first group, and the rank-biserial correlation; ties take mean ranks, found from counts by value."""
-    d = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    by = d.groupBy("c_acctbal").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("a"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("c_acctbal")) - F.col("n")
-    ranks = by.withColumn("r", before + (F.col("n") + 1) / 2.0)
-    s = ranks.agg(F.sum("a").cast("double").alias("n1"), F.sum(F.col("n") - F.col("a")).cast("double").alias("n2"), F.sum(F.col("a") * F.col("r")).alias("w"))
-    u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2
-    return s.select("n1", "n2", F.round(u, 4).alias("u"), F.round(2 * u / (F.col("n1") * F.col("n2")) - 1, 6).alias("rank_biserial"))
+    found = rk.mann_whitney(t.customer, "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY")
+    return found.select("n1", "n2", F.round("u", 4).alias("u"), F.round("rank_biserial", 6).alias("rank_biserial"))
+
+
+@bound(
+    "order_ranks",
+    "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC NULLS LAST) AS place, dense_rank() OVER (ORDER BY o_totalprice DESC NULLS LAST) AS dense, rank() OVER (ORDER BY day) + (count(*) OVER (PARTITION BY day) - 1) / 2.0 AS day_rank FROM (SELECT *, epoch(date_trunc('day', o_orderdate)) AS day FROM orders)",
+)
+def order_ranks(t):
+    """Every order's rank by price, and its mean rank by day, without a window over all orders."""
+    o = t.orders.select("o_orderkey", "o_totalprice", F.unix_timestamp(F.date_trunc("day", "o_orderdate")).alias("day"))
+    ranked = rk.exact_rank(rk.exact_rank(o, "o_totalprice", "place", descending=True), "o_totalprice", "dense", "dense", descending=True)
+    return rk.exact_rank(ranked, "day", "day_rank", "average").select("o_orderkey", "place", "dense", "day_rank")
+
+
+@bound(
+    "grouped_quantiles",
+    "SELECT flag, q, round(value, 6) AS value FROM (SELECT l_returnflag AS flag, unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS q, unnest(quantile_cont(l_extendedprice, [0.01, 0.25, 0.5, 0.75, 0.99])) AS value FROM lineitem GROUP BY l_returnflag)",
+)
+def grouped_quantiles(t):
+    """Exact quantiles of each group of lines, found by narrowing ranges where a group is large."""
+    return tb.exact_quantiles(t.lineitem, "l_extendedprice", [0.01, 0.25, 0.5, 0.75, 0.99], ["l_returnflag"]).select(F.col("l_returnflag").alias("flag"), "q", F.round("value", 6).alias("value"))
 
 
 @bound(

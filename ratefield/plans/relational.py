@@ -97,7 +97,10 @@ def inclusion_rule(t):
 )
 def value_histogram(t):
     v = F.col("value")
-    return rounded(t.events.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.avg(v).alias("mean_value"), F.stddev_samp(v).alias("sd_value"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, 0.5).alias("median_value")), "mean_value", "sd_value", "median_value")
+    by = t.events.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.avg(v).alias("mean_value"), F.stddev_samp(v).alias("sd_value"), F.min(v).alias("low"), F.max(v).alias("high"))
+    medians = tb.exact_quantiles(t.events, "value", [0.5], ["event_type"]).select(F.col("event_type").alias("kind"), F.col("value").alias("median_value"))
+    both = by.join(medians, F.col("event_type").eqNullSafe(F.col("kind")), "left").drop("kind")
+    return rounded(both, "mean_value", "sd_value", "median_value")
 
 
 @bound(

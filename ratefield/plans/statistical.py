@@ -281,14 +281,14 @@ def gi_star(t):
 @bound("bh_fdr", f"WITH {GI_SQL}, p AS (SELECT node, exp(-abs(z)) AS p FROM g), r AS (SELECT node, p, row_number() OVER (ORDER BY p, node) AS rn, count(*) OVER () AS m FROM p) SELECT node, round(least(1.0, min(p * m / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")
 def bh_fdr(t):
     p = spatial.gi_star(nation_values(t), nation_edges(t), "v").select("node", F.exp(-F.abs("z")).alias("p"))
-    return rounded(rk.benjamini_hochberg(p, "p", "q", "node").select("node", "q"), "q")
+    return rounded(rk.benjamini_hochberg(p, "p", "q").select("node", "q"), "q")
 
 
 @bound("hotspot_classes")
 def hotspot_classes(t):
     """Gi* with exact normal p-values, q-values and classes; tests check the normal distribution function."""
     g = spatial.gi_star(nation_values(t), nation_edges(t), "v").withColumn("p", spatial.two_sided("z"))
-    q = rk.benjamini_hochberg(g, "p", "q", "node")
+    q = rk.benjamini_hochberg(g, "p", "q")
     return q.withColumn("class", spatial.hot_or_cold(F.col("z"), F.col("q"), 0.25))
 
 
