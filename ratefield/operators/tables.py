@@ -12,21 +12,6 @@ from ratefield.operators.order import exact_quantiles
 from ratefield.operators.skew import join_facts
 
 
-def audited_filters(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Apply filters in order; also rows (step, before, after, dropped), found in one pass over df.
-
-    A condition that is null drops the row, as a filter does.
-    """
-    held, passed = [], F.lit(True)
-    for _, condition in steps:
-        held.append(passed)
-        passed = passed & F.coalesce(condition, F.lit(False))
-    counts = df.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate([*held, passed])])
-    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(name).alias("step"), F.col(f"n{i}").alias("before"), F.col(f"n{i + 1}").alias("after")) for i, (name, _) in enumerate(steps)])
-    audit = counts.select(F.inline(rows)).withColumn("dropped", F.col("before") - F.col("after"))
-    return df.filter(passed), audit
-
-
 def keep_unless_known(column: Column, value) -> Column:
     """A filter that drops confirmed mismatches alone: missing values stay."""
     return column.isNull() | (column == value)

@@ -11,6 +11,7 @@ from ratefield.functions import text as tx
 from ratefield.operators import ranking as rk
 from ratefield.operators import rates as rt
 from ratefield.operators import tables as tb
+from ratefield.operators.audit import audited_filters
 from ratefield.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,7 +84,9 @@ def smoothed_rate_ranking(t):
 SELECT 0 AS position, 'open' AS step, n0 AS before, n1 AS after, n0 - n1 AS dropped FROM c UNION ALL SELECT 1, 'large', n1, n2, n1 - n2 FROM c UNION ALL SELECT 2, 'urgent', n2, n3, n2 - n3 FROM c""",
 )
 def audit_filters(t):
-    return tb.audited_filters(t.orders, [("open", F.col("o_orderstatus") != "F"), ("large", F.col("o_totalprice") > 50000), ("urgent", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))])[1]
+    steps = [("open", F.col("o_orderstatus") != "F"), ("large", F.col("o_totalprice") > 50000), ("urgent", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))]
+    events = audited_filters(t.orders, steps, "orders").count().filter("event = 'filter'")
+    return events.select((F.col("position") - 1).alias("position"), "step", "before", "after", "dropped")
 
 
 @bound("inclusion_rule", "SELECT event_type, count(*) AS dropped FROM events WHERE event_type NOT IN ('click', 'purchase') GROUP BY event_type")

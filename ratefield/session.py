@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         found = tempfile.mkdtemp(prefix="ratefield-checkpoints-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     context.setCheckpointDir(found)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the one that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/ratefield/{name}-{uuid.uuid4().hex}"

@@ -3,41 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratefield.functions.text import strip_tags
-from ratefield.operators.tables import audited_filters, keep_first
-
-
-@dataclass
-class Source:
-    """What a registry needs: format, schema, renames, filters in order, and how its repeats are told apart.
-
-    Filters are (name, condition). dedup: keys and the order in which the first row is kept.
-    """
-
-    format: str
-    schema: str
-    options: dict[str, str] = field(default_factory=dict)
-    rename: dict[str, str] = field(default_factory=dict)
-    filters: list[tuple[str, Callable[[], Column]]] = field(default_factory=list)
-    dedup: tuple[list[str], Callable[[], list[Column]]] | None = None
-
-    def read(self, spark: SparkSession, path: str) -> DataFrame:
-        options = {"header": "true", "multiLine": "true"} | self.options if self.format == "csv" else self.options
-        return spark.read.format(self.format).options(**options).schema(self.schema).load(path).withColumnsRenamed(self.rename)
-
-    def load(self, spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-        """Rows after filters and dedup, and the filters' audit (None without filters)."""
-        df, audit = self.read(spark, path), None
-        if self.filters:
-            df, audit = audited_filters(df, [(name, condition()) for name, condition in self.filters])
-        if self.dedup:
-            df = keep_first(df, self.dedup[0], *self.dedup[1]())
-        return df, audit
 
 
 def latest_snapshot(spark: SparkSession, pattern: str) -> str:

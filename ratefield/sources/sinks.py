@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratefield.operators.audit import EVENTS
+
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd", partition_by: list[str] = ()) -> None:
     writer = df.write.mode("overwrite").option("compression", compression)
@@ -22,10 +24,10 @@ def payload(df: DataFrame, out: str = "payload") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(out))
 
 
-def append_audit(audit: DataFrame, source: str, path: str) -> None:
-    """Audit rows as JSON lines, with their source; runs append."""
-    audit.withColumn("source", F.lit(source)).coalesce(1).write.mode("append").json(path)
+def append_audit(events: DataFrame, path: str) -> None:
+    """Events of a run as JSON lines; runs append. A run has a few events, so they are one file."""
+    events.coalesce(1).write.mode("append").json(path)
 
 
 def read_audit(spark, path: str) -> DataFrame:
-    return spark.read.schema("position int, step string, before long, after long, dropped long, source string").json(path)
+    return spark.read.schema(EVENTS).json(path)

@@ -17,7 +17,7 @@ from ratefield.functions import special
 from ratefield.functions import text as tx
 from ratefield.operators import bayes, graphs, linkage, ranking, rates, regress, spatial, tables
 from ratefield.plans import catalog
-from ratefield.sources import readers, sinks
+from ratefield.sources import readers
 from ratefield.streaming.counts import windowed_counts
 from tests.conftest import DATA
 
@@ -302,8 +302,6 @@ def test_tables(spark, tmp_path):
     assert tables.unmatched_keys(df, df.limit(1), ["k"]).count() == 1
     with pytest.raises(Exception, match="closed list"):
         tables.expect(df, F.col("name").isNotNull(), "closed list").collect()
-    sinks.append_audit(tables.audited_filters(df, [("named", F.col("name").isNotNull())])[1], "here", str(tmp_path / "audit"))
-    assert sinks.read_audit(spark, str(tmp_path / "audit")).first()["dropped"] == 1
     metrics = ranking.error_metrics(spark.createDataFrame([(1.0, 2.0), (4.0, 2.0)], "t double, g double"), "t", "g").first()
     assert metrics["mae"] == 1.5
 
@@ -318,9 +316,7 @@ def test_readers(spark, tmp_path):
     text = spark.createDataFrame([(1, "name\nstreet\nANCHOR 7\nother")], "id long, body string")
     assert readers.anchored_lines(text, "id", "body", lambda c: c.startswith("ANCHOR"), {"name": -2, "street": -1}).first()["name"] == "name"
     (tmp_path / "s-2.csv").write_text("type,id,n\nbar,1,5\npub,2,6\nbar,1,7\n")
-    source = readers.Source("csv", "type string, id long, n int", filters=[("bars", lambda: F.col("type") == "bar")], dedup=(["id"], lambda: [F.desc("n")]))
-    got, audit = source.load(spark, readers.latest_snapshot(spark, str(tmp_path / "s-*.csv")))
-    assert got.first()["n"] == 7 and audit.first()["dropped"] == 1
+    assert readers.latest_snapshot(spark, str(tmp_path / "s-*.csv")).endswith("s-2.csv")
 
 
 def test_stream(spark, tmp_path):
