@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,30 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """A spanning forest of each partition's edges (src, dst): the same components from as many edges as nodes at most."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def forest(batches):
+        top: dict = {}
+
+        def root(x):
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True):
+                a, b = root(x), root(y)
+                if a != b:
+                    top[a] = b
+                    kept.append((x, y))
+            yield pd.DataFrame(kept, columns=["src", "dst"])
+
+    return edges.select("src", "dst").mapInPandas(forest, f"src {kind}, dst {kind}")
+
+
 def components(nodes: DataFrame, edges: DataFrame, turns: int = 64) -> DataFrame:
     """(node, component): component is the least node that edges reach; a node without edges is its own.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratefield.functions.text import name_score, name_variants, normal_name, sorted_ratio
-from ratefield.operators.graphs import components
+from ratefield.operators.graphs import components, thinned
 from ratefield.operators.spatial import distance_join
+from ratefield.session import ensure_checkpoint_dir
 
 
 def candidates(a: DataFrame, b: DataFrame, radius_m: float = 300.0, threshold: float = 65.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -20,89 +23,91 @@ def candidates(a: DataFrame, b: DataFrame, radius_m: float = 300.0, threshold: f
     return near.filter(F.col("score") >= threshold).select("a_id", "b_id", "score", "distance_m", *by)
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a least-cost assignment (rows not more than columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while match[j0]:
-            used[j0] = True
-            i0 = match[j0]
-            reduced = np.concatenate([[np.inf], cost[i0 - 1] - u[i0] - v[1:]])
-            better = ~used & (reduced < least)
-            least[better], way[better] = reduced[better], j0
-            j1 = int(np.argmin(np.where(used, np.inf, least)))
-            d = least[j1]
-            u[match[used]] += d
-            v[used] -= d
-            least[~used] -= d
-            j0 = j1
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
+def best_matching(row: np.ndarray, col: np.ndarray, score: np.ndarray, rows: int, cols: int) -> list[int]:
+    """The column of each row (-1: none) in the matching of most pairs and, of these, the highest sum of scores.
+
+    A row after the other takes the cheapest augmenting path over the given pairs alone, found by Dijkstra's algorithm on
+    costs reduced by potentials; it may end in leaving a row out, at a cost above any set of scores. Memory is that of
+    the pairs; at a tie free columns come first, then the lower number.
+    """
+    order = np.lexsort((col, row))
+    first = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
+    ends, costs = col[order].tolist(), (-score[order]).tolist()
+    none = max(1e6, 200.0 * rows)
+    u = [min(costs[first[i] : first[i + 1]], default=none) for i in range(rows)]
+    v, mine, whose = [0.0] * cols, [-1] * rows, [-1] * cols
+    for start in range(rows):
+        far, came, closed, heap = {}, {}, set(), []
+        seen = [(start, 0.0)]
+        i, d, leave, out = start, 0.0, none - u[start], start
+        while True:
+            base = d - u[i]
+            for e in range(first[i], first[i + 1]):
+                j = ends[e]
+                x = base + costs[e] - v[j]
+                if j not in closed and x < far.get(j, leave):
+                    far[j], came[j] = x, i
+                    heapq.heappush(heap, (x, whose[j] >= 0, j))
+            while heap and (heap[0][2] in closed or heap[0][0] > far[heap[0][2]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= leave:
+                total, j, left = leave, mine[out], True
+                mine[out] = -1
+                break
+            d, _, j = heapq.heappop(heap)
+            closed.add(j)
+            if whose[j] < 0:
+                total, left = d, False
+                break
+            i = whose[j]
+            seen.append((i, d))
+            if d + none - u[i] < leave:
+                leave, out = d + none - u[i], i
+        for k, at in seen:
+            u[k] += total - at
+        for k in closed:
+            v[k] -= total - far[k]
+        if left and out == start:
+            continue
+        while True:
+            i = came[j]
+            mine[i], before, whose[j] = j, mine[i], i
+            if i == start:
+                break
+            j = before
+    return mine
 
 
 def _best(part: pd.DataFrame) -> pd.DataFrame:
     """Most pairs first, then the highest sum of scores, within one component of candidates."""
-    rows, cols = sorted(part["a_id"].unique()), sorted(part["b_id"].unique())
-    r, c = {k: i for i, k in enumerate(rows)}, {k: i for i, k in enumerate(cols)}
-    # a dummy column for each row costs more than any set of scores
-    none = max(1e6, 200.0 * len(rows))
-    cost = np.full((len(rows), len(cols) + len(rows)), none)
-    found = {}
-    for x in part.itertuples():
-        cost[r[x.a_id], c[x.b_id]] = -x.score
-        found[(x.a_id, x.b_id)] = (x.score, x.distance_m)
-    out = []
-    for i, j in enumerate(assign(cost)):
-        if 0 <= j < len(cols) and (rows[i], cols[j]) in found:
-            out.append((rows[i], cols[j], *found[(rows[i], cols[j])]))
-    return pd.DataFrame(out, columns=["a_id", "b_id", "score", "distance_m"])
-
-
-def _best_parts(block: pd.DataFrame) -> pd.DataFrame:
-    """The best matches of each component of a block's candidates."""
-    root: dict = {}
-
-    def top(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j in zip(block["a_id"], block["b_id"], strict=True):
-        root[top(("a", i))] = top(("b", j))
-    number: dict = {}
-    parts = np.array([number.setdefault(top(("a", i)), len(number)) for i in block["a_id"]])
-    return pd.concat([_best(block[parts == k]) for k in range(len(number))])
-
-
-def match_optimal(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One-to-one matches of candidate pairs. Each component of the candidate graph is a task's group; it is as large as a cluster of near, alike records.
-
-    With blocks (columns `by`, equal in all pairs of a component) a block is a group, and its components are found in the task.
+    part = part.sort_values(["a_id", "b_id", "distance_m"]).drop_duplicates(["a_id", "b_id"])
+    a, row = np.unique(part["a_id"].to_numpy(), return_inverse=True)
+    b, col = np.unique(part["b_id"].to_numpy(), return_inverse=True)
+    of = best_matching(row, col, part["score"].to_numpy(float), len(a), len(b))
+    return part.loc[np.array(of)[row] == col, ["a_id", "b_id", "score", "distance_m"]]
+
+
+def match_optimal(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches of candidate pairs (a_id, b_id, score, distance_m): most pairs, then the highest sum of scores.
+
+    Each component of the candidate graph is a group, as large as a cluster of near, alike records; nothing else is held
+    together. Components are found from a spanning forest of each partition's pairs, so that dense clusters don't weigh.
     """
-    if by:
-        kept = pairs.select("a_id", "b_id", "score", "distance_m", *by)
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(*by).schema)
-        return kept.groupBy(*by).applyInPandas(lambda p: _best_parts(p), schema)
-    nodes = pairs.select(F.concat(F.lit("a"), F.col("a_id").cast("string")).alias("src"), F.concat(F.lit("b"), F.col("b_id").cast("string")).alias("dst"), "*")
-    ends = nodes.select(F.col("src").alias("node")).union(nodes.select("dst")).distinct()
-    parts = components(ends, nodes.select("src", "dst"))
+    nodes = pairs.select(F.concat(F.lit("a"), F.col("a_id").cast("string")).alias("src"), F.concat(F.lit("b"), F.col("b_id").cast("string")).alias("dst"), "a_id", "b_id", "score", "distance_m")
+    ensure_checkpoint_dir(pairs.sparkSession)
+    nodes = nodes.checkpoint()
+    edges = thinned(nodes.select("src", "dst")).checkpoint()
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    parts = components(ends, edges).withColumnRenamed("node", "src")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a_id", "b_id", "score", "distance_m").schema)
-    return nodes.join(parts.withColumnRenamed("node", "src"), "src").select("component", "a_id", "b_id", "score", "distance_m").groupBy("component").applyInPandas(lambda p: _best(p), schema)
+    return nodes.join(parts, "src").select("component", "a_id", "b_id", "score", "distance_m").groupBy("component").applyInPandas(lambda p: _best(p), schema)
 
 
 def match_staged(a: DataFrame, b: DataFrame, stages: list[tuple[float, float]] = ((300.0, 65.0), (150.0, 55.0), (5000.0, 90.0)), by: tuple[str, ...] = ()) -> DataFrame:
     """Match in stages (radius, threshold): each sees the records that earlier ones left. Every row of a, with b_id, score, distance_m and stage, or nulls."""
     done, left, right = None, a, b
     for k, (radius, threshold) in enumerate(stages):
-        got = match_optimal(candidates(left, right, radius, threshold, by), by).withColumn("stage", F.lit(k))
+        got = match_optimal(candidates(left, right, radius, threshold, by)).withColumn("stage", F.lit(k))
         got = got.checkpoint()
         done = got if done is None else done.unionByName(got)
         left, right = left.join(got.select("a_id"), "a_id", "left_anti"), right.join(got.select("b_id"), "b_id", "left_anti")

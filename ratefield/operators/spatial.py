@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ratefield.functions.special import normal_cdf
 from ratefield.operators.graphs import undirected
+from ratefield.session import ensure_checkpoint_dir
 
 EARTH_M = 6_371_000.0
 
@@ -23,27 +24,89 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = ()) -> DataFrame:
+#: Points of one cell that a task may hold; denser cells are quartered up to so many times, then dealt out.
+CELL_POINTS, QUARTERINGS = 20_000, 3
+#: Dense cells at most; they are broadcast.
+DENSE_CELLS = 100_000
+#: Rows of cells that reach beyond this latitude have one column.
+_POLAR = 89.0
+
+
+def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = (), cell_points: int = CELL_POINTS) -> DataFrame:
     """Pairs of a (a_id, a_lat, a_lon, ..) and b (b_id, b_lat, b_lon, ..) within a radius, with distance_m; equal in the columns `by`.
 
     Points fall in cells as high as the radius; cells are as wide as it is at the row of cells nearest to the pole, so
-    that a partner lies in the same cell or one beside it. Each b point is copied to its nine cells and joined by cell.
-    Points without coordinates have no partner; the date line isn't crossed.
+    that a partner lies in the same cell or one beside it. Each b point is copied to its nine cells and joined by cell;
+    one within reach of the date line also to those beyond it. Points without coordinates have no partner.
+
+    a's points are counted by cell. A cell of more than cell_points is cut in four, up to three times, and b is copied to
+    the quarters within its reach; what is still denser is dealt out by hash, with b copied to each deal. So a task gets
+    about cell_points of a, however they cluster.
     """
     high = math.degrees(radius_m / EARTH_M)
 
     def row(lat: Column) -> Column:
         return F.floor(lat / high).cast("long")
 
+    def wide(r: Column) -> tuple[Column, Column]:
+        """Whether a row has one column only, and the columns of a degree."""
+        edge = F.greatest(F.abs((r - 1) * high), F.abs((r + 2) * high))
+        return edge >= _POLAR, F.cos(F.radians(F.least(F.lit(_POLAR), edge))) / high
+
     def column(lon: Column, r: Column) -> Column:
-        edge = F.least(F.lit(89.9), F.greatest(F.abs((r - 1) * high), F.abs((r + 2) * high)))
-        return F.floor(lon * F.cos(F.radians(edge)) / high).cast("long")
+        one, per = wide(r)
+        return F.when(one, F.lit(0)).otherwise(F.floor(lon * per)).cast("long")
+
+    def part(lat: Column, lon: Column, r: Column, c: Column, level: Column) -> tuple[Column, Column]:
+        """The quarter of a cell, at a level, in which a point lies."""
+        n = F.pow(F.lit(2.0), level)
+        one, per = wide(r)
+        inside = lambda x: F.least(n - 1, F.greatest(F.lit(0.0), F.floor(x * n))).cast("int")
+        return inside(lat / high - r), F.when(one, F.lit(0)).otherwise(inside(lon * per - c)).cast("int")
 
     here = a.filter("a_lat is not null and a_lon is not null").withColumn("_r", row(F.col("a_lat"))).withColumn("_c", column(F.col("a_lon"), F.col("_r")))
     there = b.filter("b_lat is not null and b_lon is not null").withColumn("_r", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: row(F.col("b_lat")) + d)))
-    there = there.withColumn("_c", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: column(F.col("b_lon"), F.col("_r")) + d)))
-    both = here.join(there, [*by, "_r", "_c"]).withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
-    return both.filter(F.col("distance_m") <= radius_m).drop("_r", "_c")
+    one, per = wide(F.col("_r"))
+    reach = F.when(one, F.lit(0.0)).otherwise(2.0 / per)
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("b_lon") < reach - 180, F.lit(360.0)), F.when(F.col("b_lon") > 180 - reach, F.lit(-360.0))))
+    there = there.withColumn("_x", F.explode(F.transform(turns, lambda t: F.col("b_lon") + t)))
+    beside = F.when(one, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))
+    there = there.withColumn("_c", F.explode(F.transform(beside, lambda d: column(F.col("_x"), F.col("_r")) + d)))
+    keys = [*by, "_r", "_c"]
+    ensure_checkpoint_dir(a.sparkSession)
+    counts = here.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(cell_points, (total or 0) // DENSE_CELLS)
+    if (most or 0) <= limit:
+        both = here.join(there, keys)
+    else:
+        level = F.least(F.lit(QUARTERINGS), F.ceil(F.log2(F.col("_n") / limit) / 2)).cast("int")
+        dense = counts.filter(F.col("_n") > limit).select(*keys, level.alias("_level")).checkpoint()
+        level = F.coalesce("_level", F.lit(0))
+        place = lambda lat, lon: part(F.col(lat), F.col(lon), F.col("_r"), F.col("_c"), level)
+        here = here.join(F.broadcast(dense), keys, "left")
+        p, q = place("a_lat", "a_lon")
+        here = here.withColumns({"_p": p, "_q": q})
+        leaves = [*keys, "_p", "_q"]
+        deals = here.filter("_level is not null").groupBy(*leaves).agg(F.ceil(F.count("*") / limit).cast("int").alias("_deals")).filter("_deals > 1").checkpoint()
+        here = here.join(F.broadcast(deals), leaves, "left").withColumn("_deal", F.pmod(F.xxhash64("a_id", "a_lat", "a_lon"), F.coalesce("_deals", F.lit(1)))).drop("_level", "_deals")
+        there = there.join(F.broadcast(dense), keys, "left")
+        n = F.pow(F.lit(2.0), level)
+        steps = F.sequence(F.lit(0), n.cast("int") - 1)
+        there = there.withColumn("_p", F.explode(steps)).withColumn("_q", F.explode(F.when(wide(F.col("_r"))[0], F.array(F.lit(0))).otherwise(steps)))
+        # no point of the quarter is nearer than its nearest parallel, nor than its nearest meridian
+        gap = lambda x, low, step: F.greatest(F.lit(0.0), low - x, x - low - step)
+        north = F.radians(gap(F.col("b_lat"), (F.col("_r") + F.col("_p") / n) * high, high / n)) * EARTH_M
+        one, per = wide(F.col("_r"))
+        east = F.when(one, F.lit(0.0)).otherwise(gap(F.col("_x"), (F.col("_c") + F.col("_q") / n) / per, 1 / (n * per)))
+        east = F.asin(F.cos(F.radians("b_lat")) * F.sin(F.radians(F.least(F.lit(90.0), east)))) * EARTH_M
+        there = there.filter((north <= radius_m * 1.001) & (east <= radius_m * 1.001))
+        there = there.join(F.broadcast(deals), leaves, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)).cast("long") - 1))).drop("_level", "_deals")
+        both = here.join(there, [*leaves, "_deal"]).drop("_p", "_q", "_deal")
+    # of the copies of b around the globe one is nearest; rows of one column have no copies
+    turned = F.col("a_lon") - F.col("_x")
+    both = both.filter(wide(F.col("_r"))[0] | ((turned > -180) & (turned <= 180))).withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    return both.filter(F.col("distance_m") <= radius_m).drop("_r", "_c", "_x")
 
 
 #: Point-edge comparisons that are held at once.

@@ -137,13 +137,84 @@ def test_names(spark):
     assert [g[0] for g in got] == ["foo", "big bob s", "", "a b"] and got[3][1] == ["a b", "a", "b"] and got[2][1] == [""]
 
 
-def test_assignment_is_optimal():
+def brute_matching(n, m, score):
+    """Most pairs, then the highest sum, over all ways to match."""
+    best = (0, 0.0)
+    for way in itertools.product(*[[-1, *[j for j in range(m) if (i, j) in score]] for i in range(n)]):
+        used = [j for j in way if j >= 0]
+        if len(used) == len(set(used)):
+            best = max(best, (len(used), sum(score[i, j] for i, j in enumerate(way) if j >= 0)))
+    return best
+
+
+def test_matching_is_optimal():
+    rng = np.random.default_rng(0)
+    for trial in range(300):
+        n, m = int(rng.integers(1, 6)), int(rng.integers(1, 6))
+        score = {(i, j): float(rng.integers(65, [101, 68][trial % 2])) for i in range(n) for j in range(m) if rng.random() < [0.3, 0.6, 1.0][trial % 3]}
+        if not score:
+            continue
+        row, col = np.array(list(score)).T
+        of = linkage.best_matching(row, col, np.array(list(score.values())), n, m)
+        used = [j for j in of if j >= 0]
+        assert len(used) == len(set(used)) and all((i, j) in score for i, j in enumerate(of) if j >= 0)
+        assert (len(used), sum(score[i, j] for i, j in enumerate(of) if j >= 0)) == brute_matching(n, m, score)
+
+
+def test_large_component_in_little_memory():
+    """5,000 by 5,000 with 50,000 pairs: memory of the pairs, not of a matrix (400 MB)."""
+    import tracemalloc
+
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
-        cost = rng.integers(-100, 100, (n, m)).astype(float)
-        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
-        assert sum(cost[i, j] for i, j in enumerate(linkage.assign(cost))) == pytest.approx(best)
+    at = np.unique(rng.integers(0, 25_000_000, 50_000))
+    tracemalloc.start()
+    of = linkage.best_matching(at // 5000, at % 5000, rng.choice([100.0, 80.0, 66.5], len(at)), 5000, 5000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = [j for j in of if j >= 0]
+    assert most < 60e6 and len(used) == len(set(used)) > 4900
+
+
+def test_thinned_edges_keep_components(spark):
+    edges = spark.range(2000).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 40 + 50 * (F.col("id") % 2)).alias("dst")).repartition(6)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    thin = graphs.thinned(edges).cache()
+    assert thin.count() <= 6 * 100
+    assert sorted(map(tuple, graphs.components(nodes, thin).collect())) == sorted(map(tuple, graphs.components(nodes, edges).collect()))
+
+
+def far(a, b):
+    (p, x), (q, y) = a, b
+    h = math.sin(math.radians(q - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(q)) * math.sin(math.radians(y - x) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(h)))
+
+
+@pytest.mark.parametrize("cell_points", [20_000, 5])
+def test_distance_join_everywhere(spark, cell_points):
+    """Clusters in one cell, the date line, the poles and a radius of half the world, against all pairs."""
+    rng = np.random.default_rng(2)
+    spots = [(0.0, 179.9995), (0.001, -179.9995), (60.0, 180.0), (60.0, -180.0), (89.9999, 10.0), (89.9999, -170.0), (-89.9995, 33.0), (None, 3.0), (5.0, None)]
+    spots += [(40 + float(y), 20 + float(x)) for y, x in rng.normal(0, 0.002, (120, 2))] + [(float(y), float(x)) for y, x in zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), strict=True)]
+    a, b = (spark.createDataFrame([(i, *p) for i, p in enumerate(s)], f"{n}_id long, {n}_lat double, {n}_lon double") for n, s in (("a", spots), ("b", spots[::2])))
+    for radius in (150.0, 900.0, 4_000_000.0):
+        got = sorted((r["a_id"], r["b_id"]) for r in spatial.distance_join(a, b, radius, cell_points=cell_points).collect())
+        want = sorted((i, j) for i, p in enumerate(spots) for j, q in enumerate(spots[::2]) if None not in (*p, *q) and far(p, q) <= radius)
+        assert got == want
+
+
+def test_distance_join_of_a_dense_cell(spark):
+    """100,000 points in one cell go to many tasks."""
+    a = spark.range(100_000).select(F.col("id").alias("a_id"), (40 + (F.col("id") % 1000) * 1e-6).alias("a_lat"), (20 + F.floor(F.col("id") / 1000) * 1e-5).alias("a_lon"))
+    b = spark.createDataFrame([(0, 40.0, 20.0), (1, 40.0005, 20.0005), (2, 41.0, 20.0)], "b_id long, b_lat double, b_lon double")
+    out = spatial.distance_join(a, b, 50.0, cell_points=2000)
+    rows = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    points = [(40 + i % 1000 * 1e-6, 20 + i // 1000 * 1e-5) for i in range(100_000)]
+    y, x = np.radians(np.array(points).T)
+    want = 0
+    for q in ((40.0, 20.0), (40.0005, 20.0005)):
+        p, z = np.radians(q)
+        want += int((2 * 6_371_000 * np.arcsin(np.sqrt(np.sin((y - p) / 2) ** 2 + np.cos(y) * np.cos(p) * np.sin((x - z) / 2) ** 2)) <= 50).sum())
+    assert sum(r["count"] for r in rows) == want
 
 
 def test_matching(spark):
@@ -360,8 +431,12 @@ def test_linkage_takes_every_part(spark):
     most = total = 0
     for brand in {a[2] for a in halves[0]}:
         ids = [[r[0] for r in h if r[2] == brand] for h in halves]
-        cost = np.array([[-near.get((i, j), -1e6) for j in ids[1]] + [1e6] * len(ids[0]) for i in ids[0]])
-        pairs = [(ids[0][i], ids[1][j]) for i, j in enumerate(linkage.assign(cost)) if j < len(ids[1]) and (ids[0][i], ids[1][j]) in near]
+        own = [(x, y) for x, i in enumerate(ids[0]) for y, j in enumerate(ids[1]) if (i, j) in near]
+        if not own:
+            continue
+        row, col = np.array(own).T
+        of = linkage.best_matching(row, col, np.array([near[ids[0][x], ids[1][y]] for x, y in own]), len(ids[0]), len(ids[1]))
+        pairs = [(ids[0][i], ids[1][j]) for i, j in enumerate(of) if j >= 0]
         most, total = most + len(pairs), total + sum(near[p] for p in pairs)
     rows = catalog.QUERIES["match_optimal"](spark, DATA).collect()
     assert len({r["a_id"] for r in rows}) == len({r["b_id"] for r in rows}) == len(rows) == most
