@@ -172,23 +172,6 @@ def three_list_saturated(cells: DataFrame) -> DataFrame:
     return out.withColumns({"population": F.col("seen") + F.col("unseen"), "low": F.col("seen") + F.col("unseen") * F.exp(-Z * F.col("log_se")), "high": F.col("seen") + F.col("unseen") * F.exp(Z * F.col("log_se"))})
 
 
-def three_list_independent(n: dict[str, float], steps: int = 50) -> tuple[float, float]:
-    """Fit of the independence model by Newton steps on its four terms: the unseen cell and the likelihood-ratio statistic (3 degrees of freedom)."""
-    cells = ["111", "110", "101", "011", "100", "010", "001"]
-    x = np.array([[1.0, *map(float, c)] for c in cells])
-    y = np.array([float(n[c]) for c in cells])
-    beta = np.array([np.log(max(y.mean(), 1e-9)), 0.0, 0.0, 0.0])
-    for _ in range(steps):
-        mu = np.exp(x @ beta)
-        step = np.linalg.lstsq(x.T @ (mu[:, None] * x), x.T @ (y - mu), rcond=None)[0]
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-12:
-            break
-    mu = np.exp(x @ beta)
-    ratio = 2 * float(np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0).sum() - (y - mu).sum())
-    return float(np.exp(beta[0])), ratio
-
-
 def residual_ratio(y: Column, expected: Column, alpha: float) -> Column:
     """Observed over expected, shrunk by the Gamma mixing of a negative binomial with dispersion alpha."""
     return (1 / F.lit(alpha) + y) / (1 / (F.lit(alpha) * expected) + 1) / expected

@@ -226,8 +226,8 @@ def hot_or_cold(z: Column, q: Column, alpha: float = 0.05) -> Column:
     return F.when((q < alpha) & (z > 0), "hot").when((q < alpha) & (z < 0), "cold").otherwise("neither")
 
 
-def albers(lon: Column, lat: Column, lat1: float = 29.5, lat2: float = 45.5, lat0: float = 23.0, lon0: float = -96.0) -> tuple[Column, Column]:
-    """Albers equal-area conic coordinates in metres on the GRS80 ellipsoid (Snyder, 1987)."""
+def albers_terms(lat1: float = 29.5, lat2: float = 45.5, lat0: float = 23.0) -> tuple[float, float, float, float, float]:
+    """a, e, n, c and rho0 of an Albers equal-area conic on the GRS80 ellipsoid (Snyder, 1987)."""
     a, e = 6378137.0, 0.0818191910428158
 
     def q_of(p: float) -> float:
@@ -239,8 +239,43 @@ def albers(lon: Column, lat: Column, lat1: float = 29.5, lat2: float = 45.5, lat
 
     n = (m_of(lat1) ** 2 - m_of(lat2) ** 2) / (q_of(lat2) - q_of(lat1))
     c = m_of(lat1) ** 2 + n * q_of(lat1)
-    rho0 = a * math.sqrt(c - n * q_of(lat0)) / n
+    return a, e, n, c, a * math.sqrt(c - n * q_of(lat0)) / n
+
+
+#: Parallels, origin and meridian of projections by name: the lower states, Alaska and Hawaii.
+ALBERS = {"lower": (29.5, 45.5, 23.0, -96.0), "alaska": (55.0, 65.0, 50.0, -154.0), "hawaii": (8.0, 18.0, 13.0, -157.0)}
+
+
+def albers(lon: Column, lat: Column, lat1: float = 29.5, lat2: float = 45.5, lat0: float = 23.0, lon0: float = -96.0) -> tuple[Column, Column]:
+    """Albers equal-area conic coordinates in metres on the GRS80 ellipsoid (Snyder, 1987)."""
+    a, e, n, c, rho0 = albers_terms(lat1, lat2, lat0)
     s = F.sin(F.radians(lat))
     q = (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
     rho, theta = a * F.sqrt(c - n * q) / n, n * F.radians(lon - lon0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def albers_sql(lon: str, lat: str, lat1: float = 29.5, lat2: float = 45.5, lat0: float = 23.0, lon0: float = -96.0) -> tuple[str, str]:
+    """The same as SQL expressions."""
+    a, e, n, c, rho0 = map(repr, albers_terms(lat1, lat2, lat0))
+    s = f"sin(radians({lat}))"
+    q = f"((1 - {e} * {e}) * ({s} / (1 - {e} * {e} * {s} * {s}) - ln((1 - {e} * {s}) / (1 + {e} * {s})) / (2 * {e})))"
+    rho, theta = f"({a} * sqrt({c} - {n} * {q}) / {n})", f"({n} * radians({lon} - ({lon0})))"
+    return f"{rho} * sin({theta})", f"{rho0} - {rho} * cos({theta})"
+
+
+def away_from(points: DataFrame, anchors: DataFrame, metres: float, *of: float) -> DataFrame:
+    """Points (point_id, lon, lat) that no anchor (lon, lat) is nearer to than a distance in the Albers plane; `of` are its parallels, origin and meridian.
+
+    Anchors are copied to the nine squares around theirs; a point without coordinates is away from all.
+    """
+
+    def placed(df: DataFrame, x: str, y: str) -> DataFrame:
+        east, north = albers(F.col("lon"), F.col("lat"), *of)
+        return df.withColumns({x: east, y: north}).withColumns({"_cx": F.floor(F.col(x) / metres).cast("long"), "_cy": F.floor(F.col(y) / metres).cast("long")})
+
+    beside = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    near = placed(anchors.filter("lon is not null and lat is not null"), "_ax", "_ay").withColumn("_cx", beside("_cx")).withColumn("_cy", beside("_cy")).select("_cx", "_cy", "_ax", "_ay")
+    at = placed(points, "_x", "_y")
+    apart = F.pow(F.col("_x") - F.col("_ax"), 2) + F.pow(F.col("_y") - F.col("_ay"), 2) < metres * metres
+    return at.join(near, (at["_cx"] == near["_cx"]) & (at["_cy"] == near["_cy"]) & apart, "left_anti").drop("_x", "_y", "_cx", "_cy")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratefield.functions import shapes
 from ratefield.operators import ranking as rk
 from ratefield.operators import rates as rt
 from ratefield.operators import regress, spatial
@@ -14,6 +15,9 @@ from ratefield.operators import tables as tb
 from ratefield.plans.relational import PRIOR_SQL, TWO_RATES, UNITS_SQL, nation_units, rounded, two_ranks
 from ratefield.plans.statistical import EDGES_SQL, GI_SQL, LINE_SQL, POINTS_SQL, area_table, line_d, nation_edges, nation_values, points
 from ratefield.plans.tables import Tables
+from ratefield.session import scratch_dir
+from ratefield.sources import polygons
+from ratefield.sources.sinks import write_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -279,18 +283,81 @@ SELECT vec_id AS point_id, CASE WHEN ring THEN 'ring' WHEN wings THEN 'wings' EL
 )
 def polygon_layers(t):
     """Points placed in two layers of areas, one after the other: an area with a hole, one of two parts, and a smaller place."""
+    return in_layers(t, *layers(t.nation.sparkSession))
+
+
+def layers(spark) -> tuple[DataFrame, DataFrame]:
     box = lambda x0, x1, y0, y1: ([x0, x1, x1, x0], [y0, y0, y1, y1])
     shape = lambda name, *boxes: (name, [b[0] for b in boxes], [b[1] for b in boxes])
     schema = "area_id string, xs array<array<double>>, ys array<array<double>>"
-    spark = t.nation.sparkSession
     areas = spark.createDataFrame([shape("ring", box(-0.3, 0.3, 39.7, 40.3), box(-0.1, 0.1, 39.9, 40.1)), shape("wings", box(0.3, 0.5, 39.7, 40.3), box(-0.5, -0.3, 39.7, 40.3))], schema)
-    places = spark.createDataFrame([shape("place", box(0.0, 0.2, 39.8, 40.2))], schema)
+    return areas, spark.createDataFrame([shape("place", box(0.0, 0.2, 39.8, 40.2))], schema)
+
+
+def in_layers(t, areas: DataFrame, places: DataFrame) -> DataFrame:
     p = points(t).select(F.col("vec_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     first = spatial.points_in_polygons(p, areas, 0.1)
     second = spatial.points_in_polygons(p, places, 0.1).withColumnRenamed("area_id", "place_id")
     return first.join(second, "point_id").fillna("none")
 
 
+@bound("polygon_files", ORACLES["polygon_layers"])
+def polygon_files(t):
+    """The layers of polygon_layers written as polygon files and read back."""
+    spark = t.nation.sparkSession
+    polygons.register(spark)
+    place = scratch_dir(spark, "polygons")
+    read = []
+    for name, layer in zip(("areas", "places"), layers(spark), strict=True):
+        layer.write.format("polygons").mode("overwrite").save(f"{place}/{name}")
+        read.append(spark.read.format("polygons").load(f"{place}/{name}"))
+    return in_layers(t, *read)
+
+
+def parcels(t) -> DataFrame:
+    """Around each point an area of two parts, one with a hole: a square of 0.02 with a square of 0.01 cut out, and a strip beside it."""
+    lon, lat = F.col("lon"), F.col("lat")
+    box = lambda c, *at: F.array(*[c + v for v in at])
+    xs = F.array(box(lon, -0.01, 0.01, 0.01, -0.01), box(lon, -0.005, 0.005, 0.005, -0.005), box(lon, 0.02, 0.03, 0.03, 0.02))
+    ys = F.array(box(lat, -0.01, -0.01, 0.01, 0.01), box(lat, -0.005, -0.005, 0.005, 0.005), box(lat, -0.01, -0.01, 0.03, 0.03))
+    return points(t).select("vec_id", xs.alias("xs"), ys.alias("ys"))
+
+
+@bound("geometry_column", f"WITH {POINTS_SQL} SELECT vec_id, CAST(9 + 3 * (4 + 5 * 16) + 2 * 9 AS BIGINT) AS bytes, 3 AS rings, 12 AS vertices, round(lon + 0.03, 9) AS east, round(lat + 0.03, 9) AS north FROM pt")
+def geometry_column(t):
+    """Polygons written with a well-known binary column and nothing else, read back and decoded."""
+    spark = t.nation.sparkSession
+    place = scratch_dir(spark, "geometry")
+    write_parquet(shapes.with_wkb(parcels(t)).select("vec_id", "geometry"), place)
+    back = shapes.with_rings(spark.read.parquet(place))
+    count = F.aggregate("xs", F.lit(0), lambda n, x: n + F.size(x))
+    return back.select("vec_id", F.octet_length("geometry").cast("long").alias("bytes"), F.size("xs").alias("rings"), count.alias("vertices"), F.round(F.array_max(F.flatten("xs")), 9).alias("east"), F.round(F.array_max(F.flatten("ys")), 9).alias("north"))
+
+
+#: Metres of a degree in a plane that keeps the parallel of 40 degrees.
+PLANE = (85_393.0, 111_195.0)
+
+
+@bound(
+    "centroids",
+    f"WITH {POINTS_SQL} SELECT vec_id, round((0.0004 - 0.0001 + 0.0004) * {PLANE[0]} * {PLANE[1]}, 1) AS area, round((lon * 0.0003 + (lon + 0.025) * 0.0004) / 0.0007 * {PLANE[0]}, 1) AS x, round((lat * 0.0003 + (lat + 0.01) * 0.0004) / 0.0007 * {PLANE[1]}, 1) AS y FROM pt",
+)
+def centroids(t):
+    """Areas and centroids in metres; a hole takes its share away."""
+    found = shapes.moments(shapes.with_orientation(parcels(t)), "vec_id", lambda x, y: (x * PLANE[0], y * PLANE[1]))
+    return rounded(found, "area", "x", "y", digits=1)
+
+
+_EAST, _NORTH = spatial.albers_sql("(lon - 96)", "lat")
+
+
+@bound("anchors_by_metres", f"WITH {POINTS_SQL}, p AS (SELECT vec_id, {_EAST} AS x, {_NORTH} AS y FROM pt), a AS (SELECT * FROM p WHERE vec_id % 97 = 0) SELECT vec_id FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) < 5000)")
+def anchors_by_metres(t):
+    """Points that no anchor is nearer to than 5 km in an equal-area plane."""
+    p = points(t).select("vec_id", (F.col("lon") - 96).alias("lon"), "lat")
+    return spatial.away_from(p, p.filter("vec_id % 97 = 0").select("lon", "lat"), 5000.0).select("vec_id")
+
+
 @bound(
     "class_movers",
     TWO_RATES

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratefield.operators.areas import AreaDataset, Leg, national
+from ratefield.operators.lists import identities, paired, report
 from ratefield.plans.statistical import POINTS_SQL, points
 from ratefield.plans.tables import Tables
 from ratefield.session import scratch_dir
@@ -137,6 +138,50 @@ def source_roster(t):
     return rows.select(F.col("key").cast("long").alias("s_suppkey"), "s_name", F.col("area_key").alias("n_nationkey"), F.upper("n_name").alias("area"))
 
 
+# Three lists of one population: clicks, views and purchases as records of what a user did in some hours or on a day.
+
+LISTS_SQL = """r AS (SELECT event_id AS id, user_id, event_type AS l, floor(epoch(ts) / 14400) AS part, floor(epoch(ts) / 86400) AS day FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY l, user_id, part ORDER BY id) AS np, row_number() OVER (PARTITION BY l, user_id, day ORDER BY id) AS nd FROM r),
+m AS (SELECT a.id AS x, b.id AS y FROM o a JOIN o b ON a.l = 'click' AND b.l = 'view' AND a.user_id = b.user_id AND a.part = b.part AND a.np = b.np
+ UNION SELECT a.id, b.id FROM o a JOIN o b ON a.l = 'click' AND b.l = 'purchase' AND a.user_id = b.user_id AND a.day = b.day AND a.nd = b.nd
+ UNION SELECT a.id, b.id FROM o a JOIN o b ON a.l = 'view' AND b.l = 'purchase' AND a.user_id = b.user_id AND a.day = b.day AND a.nd = b.nd),
+e AS (SELECT x, y FROM m UNION SELECT y, x FROM m), k(id, root) AS (SELECT id, id FROM r UNION SELECT k.id, e.y FROM k JOIN e ON e.x = k.root),
+g AS (SELECT id, min(root) AS root FROM k GROUP BY id),
+i AS (SELECT max(CASE WHEN l = 'click' THEN 1 ELSE 0 END) AS click, min(CASE WHEN l = 'click' THEN id END) AS click_id, count(*) FILTER (l = 'click') AS n_click,
+ max(CASE WHEN l = 'view' THEN 1 ELSE 0 END) AS view, min(CASE WHEN l = 'view' THEN id END) AS view_id, count(*) FILTER (l = 'view') AS n_view,
+ max(CASE WHEN l = 'purchase' THEN 1 ELSE 0 END) AS purchase, min(CASE WHEN l = 'purchase' THEN id END) AS purchase_id, count(*) FILTER (l = 'purchase') AS n_purchase FROM g JOIN r USING (id) GROUP BY root)"""
+THREE = ["click", "view", "purchase"]
+
+
+def event_lists(t) -> DataFrame:
+    """Identities of the three lists: by hours for clicks and views, by day for the others, so that chains arise."""
+    ts = F.col("ts").cast("timestamp").cast("double")
+    e = t.events.select(F.col("event_id").alias("id"), "user_id", "event_type", F.floor(ts / 14400).alias("part"), F.floor(ts / 86400).alias("day"))
+    click, view, purchase = (e.filter(F.col("event_type") == n) for n in THREE)
+    matches = {("click", "view"): paired(click, view, ["user_id", "part"]), ("click", "purchase"): paired(click, purchase, ["user_id", "day"]), ("view", "purchase"): paired(view, purchase, ["user_id", "day"])}
+    return identities({"click": click, "view": view, "purchase": purchase}, matches)
+
+
+@bound("three_list_identities", f"WITH RECURSIVE {LISTS_SQL} SELECT click, coalesce(click_id, -1) AS click_id, n_click, view, coalesce(view_id, -1) AS view_id, n_view, purchase, coalesce(purchase_id, -1) AS purchase_id, n_purchase, n_click > 1 OR n_view > 1 OR n_purchase > 1 AS ambiguous FROM i")
+def three_list_identities(t):
+    return event_lists(t).fillna(-1, [f"{n}_id" for n in THREE])
+
+
+@bound(
+    "three_list_report",
+    f"""WITH RECURSIVE {LISTS_SQL}, s AS (SELECT count(*) AS identities, count(*) FILTER (n_click > 1 OR n_view > 1 OR n_purchase > 1) AS ambiguous, CAST(sum(n_click) AS DOUBLE) AS ra, CAST(sum(n_view) AS DOUBLE) AS rb, CAST(sum(n_purchase) AS DOUBLE) AS rc,
+ CAST(count(*) FILTER (click = 1 AND view = 1) AS DOUBLE) AS ab, CAST(count(*) FILTER (click = 1 AND purchase = 1) AS DOUBLE) AS ac, CAST(count(*) FILTER (view = 1 AND purchase = 1) AS DOUBLE) AS bc, CAST(count(*) FILTER (click = 1 AND view = 1 AND purchase = 1) AS DOUBLE) AS n7,
+ CAST(count(*) FILTER (click = 1 AND view = 1 AND purchase = 0) AS DOUBLE) AS n6, CAST(count(*) FILTER (click = 1 AND view = 0 AND purchase = 1) AS DOUBLE) AS n5, CAST(count(*) FILTER (click = 0 AND view = 1 AND purchase = 1) AS DOUBLE) AS n3,
+ CAST(count(*) FILTER (click = 1 AND view = 0 AND purchase = 0) AS DOUBLE) AS n4, CAST(count(*) FILTER (click = 0 AND view = 1 AND purchase = 0) AS DOUBLE) AS n2, CAST(count(*) FILTER (click = 0 AND view = 0 AND purchase = 1) AS DOUBLE) AS n1 FROM i)
+SELECT identities, ambiguous, CAST(ab AS BIGINT) AS both_click_view, round((ra + 1) * (rb + 1) / (ab + 1) - 1, 4) AS chapman_click_view, round((ra + 1) * (rc + 1) / (ac + 1) - 1, 4) AS chapman_click_purchase, round((rb + 1) * (rc + 1) / (bc + 1) - 1, 4) AS chapman_view_purchase,
+ round(identities + n7 * n4 * n2 * n1 / (n6 * n5 * n3), 4) AS saturated, round(ln(n6 * (n7 * n4 * n2 * n1 / (n6 * n5 * n3)) / (n4 * n2)), 6) AS term_click_view FROM s""",
+)
+def three_list_report(t):
+    found = report(event_lists(t), THREE, truth=10_000.0)
+    digits = {"chapman_click_view": 4, "chapman_click_purchase": 4, "chapman_view_purchase": 4, "saturated": 4, "term_click_view": 6}
+    return found.select("identities", "ambiguous", "both_click_view", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 # Area datasets. The driver's nations stand for areas, customers for the exposed.
 
 

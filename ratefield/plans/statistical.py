@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratefield.functions import text as tx
-from ratefield.functions.special import chi2_tail
 from ratefield.operators import bayes, graphs, linkage, regress, spatial
 from ratefield.operators import ranking as rk
 from ratefield.operators import rates as rt
+from ratefield.operators.lists import independence
 from ratefield.plans.relational import PRIOR_SQL, UNITS_SQL, nation_units, rounded
 from ratefield.plans.tables import Tables
 
@@ -137,11 +137,11 @@ def loglinear3_cells(t):
 
 @bound("loglinear3")
 def loglinear3(t):
-    """Saturated and independence estimates of the unseen, with the likelihood-ratio test; no SQL, as a fit iterates (a test checks its signs)."""
+    """Saturated and independence estimates of the unseen, with the likelihood-ratio test; no SQL, as a fit iterates (tests check it against other fits)."""
     cells = rt.history_counts(lists(t), ["a", "b", "c"])
     n = {k.removeprefix("n_"): v for k, v in cells.first().asDict().items()}
-    unseen, ratio = rt.three_list_independent(n)
-    return rt.three_list_saturated(cells).withColumns({"unseen_independent": F.lit(unseen), "lr": F.lit(ratio), "p_value": F.lit(float(chi2_tail(ratio, 3)))})
+    fit = independence(n)
+    return rt.three_list_saturated(cells).withColumns({"unseen_independent": F.lit(fit["unseen"]), "lr": F.lit(fit["lr"]), "p_value": F.lit(fit["lr_p"])})
 
 
 @bound("residual_ratio", "WITH d AS (SELECT c_custkey, count(o_orderkey) AS y, any_value(c_mktsegment) AS g FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), e AS (SELECT *, avg(y) OVER (PARTITION BY g) AS mu FROM d) SELECT c_custkey, y, round((1 / 0.5 + y) / (1 / (0.5 * mu) + 1) / mu, 6) AS ratio FROM e")
@@ -382,7 +382,10 @@ def bym2_grid(t):
     return bayes.spatial_rates(u, nation_edges(t), "orders", "customers", ["suppliers"])
 
 
-@bound("albers_projection")
+ALBERS_LOWER = spatial.albers_sql("(lon - 96)", "lat")
+
+
+@bound("albers_projection", f"WITH {POINTS_SQL} SELECT vec_id, round({ALBERS_LOWER[0]}, 3) AS x, round({ALBERS_LOWER[1]}, 3) AS y FROM pt")
 def albers_projection(t):
     x, y = spatial.albers(F.col("lon") - 96, F.col("lat"))
-    return points(t).select("vec_id", x.alias("x"), y.alias("y"))
+    return points(t).select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))

@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["eb_intervals", "loglinear3", "nb_glm", "mixed_reml", "moran_z", "hotspot_classes", "bym2_scale", "albers_projection"])
+@pytest.mark.parametrize("name", ["eb_intervals", "loglinear3", "nb_glm", "mixed_reml", "moran_z", "hotspot_classes", "bym2_scale"])
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
@@ -118,12 +118,6 @@ def test_shrinkage_refuses_bad_exposures(spark):
             rates.shrink(units(spark, y, n), "y", "n", interval=False).collect()
 
 
-def test_three_lists():
-    cells = {"111": 20.0, "110": 30.0, "101": 25.0, "011": 15.0, "100": 90.0, "010": 60.0, "001": 50.0}
-    unseen, ratio = rates.three_list_independent(cells)
-    assert unseen > 0 and ratio > 0
-
-
 def test_scores():
     assert tx.sorted_ratio("blind lady alehouse", "blind lady house") == pytest.approx(62.86, abs=0.01)
     assert tx.set_ratio("blind lady alehouse", "blind lady house") == pytest.approx(91.43, abs=0.01)
