@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -478,13 +479,17 @@ def test_sketches_against_brute_force(spark):
         a, b, c = exact(text), exact(text[: len(text) - cut] + after[:cut]), exact(after)
         jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         errors.append((abs(got[i]["near_edited"] - jaccard(a, b)), len(a)))
+        for column, x, y in (("own_in_edited", a, b), ("own_in_next", a, c), ("next_in_own", c, a)):
+            share = got[i][column]
+            assert (share is None) == (not x) and (share is None or abs(share - len(x & y) / len(x)) <= 4 / math.sqrt(len(x) / sketches.SCALE) / 2 + (len(x) < 40))
         if not a & c:
             assert got[i]["near_next"] in (0.0, 1.0 if not a and not c else 0.0)
         sets[i] = a
-    assert np.mean([e for e, n in errors if n > 50]) < 0.06 and max(e for e, n in errors if n > 150) < 0.2
+    # a share of one in eight: some 6 to 50 hashes a text here
+    assert np.mean([e for e, n in errors if n > 50]) < 0.1 and max(e for e, n in errors if n > 150) < 0.4
     prints = {r["doc_id"]: r["fingerprint"] for r in sketches.fingerprint(df).collect()}
     whole = " \n".join(t for _, t in rows[:3])
-    kept = lambda f: {f[i : i + 12] for i in range(0, len(f), 12)}
+    kept = lambda f: {f[i : i + sketches.CHARS] for i in range(0, len(f), sketches.CHARS)}
     table = spark.createDataFrame([([prints[0], prints[1], None, prints[2]], [prints[2], prints[1], prints[0]], [prints[60], prints[60]], [prints[60], prints[0]])], "a array<string>, b array<string>, c array<string>, d array<string>")
     m = table.select(*[sketches.merge(F.col(c)).alias(c) for c in "abcd"]).first()
     assert m["a"] == m["b"] and kept(m["a"]) == kept(prints[0]) | kept(prints[1]) | kept(prints[2])
@@ -495,6 +500,23 @@ def test_sketches_against_brute_force(spark):
     assert share > 0.95
 
 
+def test_sketches_are_small_and_hold_across_sizes(spark):
+    """A fingerprint is a seventh of its text; a long text's share of a far longer one is found, whatever their sizes."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"word{x}" for x in rng.integers(0, 100_000, n)]
+    part, rest = words(2_000), words(60_000)
+    rows = [(1, " ".join(part)), (2, " ".join(rest[:30_000] + part + rest[30_000:])), (3, " ".join(part[:1000] + rest[:1000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sketches.edit_likeness(df).collect()}
+    assert all(len(got[i]["fingerprint"]) < 0.2 * len(t) for i, t in rows)
+    assert got[1]["own_in_next"] > 0.98 and got[1]["near_next"] < 0.06 and abs(got[1]["next_in_own"] - 2000 / 62_000) < 0.02
+    assert abs(got[3]["own_in_next"] - 0.5) < 0.12
+    assert [sketches.as_text(np.array([h], np.uint64)).tobytes() for h in (0, 2**64 - 1)] == [b"--------", b"zzzzzzzz"]
+    some = np.sort(rng.integers(0, 2**64, 500, np.uint64))
+    coded = [bytes(r) for r in sketches.as_text(some)]
+    assert coded == sorted(coded)
+
+
 def test_quality_ratio_against_brute_force(spark):
     """llr and kept by their definition, on texts of which half are trusted."""
     import xxhash  # noqa: F401
