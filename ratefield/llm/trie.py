@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, range_bounds, range_bucket, small_batches, task, word_count
+from ratefield.operators.skew import HOT_ROWS, join_facts
 
 #: Partial tries that one merge takes together.
 FAN = 64
 #: A conversation of more turns is numbered and hashed in ranges instead of one window.
 LONG_TURNS = 1 << 17
-#: Nodes or conversations that may be broadcast to find their many children or turns (some 40 bytes each).
-HOT_ROWS = 100_000
 #: Conversations whose ids make one piece of an end list.
 PIECE = 4096
 _NODE = ["depth", "x", "y"]
@@ -51,21 +50,6 @@ def running(df: DataFrame, key: str, order: list[str], scratch: Scratch, name: s
     return rest.unionByName(long.select(rest.columns))
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """rows with the columns of facts (one row a key; `weight` is at least the number of rows of that key, `total` the sum of all weights).
-
-    Facts of weight above total / HOT_ROWS, so HOT_ROWS at most, are broadcast; the rest is joined by a shuffle, where no key has more rows than that.
-    """
-    most = max(1000, total // HOT_ROWS)
-    hot = facts.filter(F.col(weight) > most).drop(weight)
-    rest = facts.filter(F.col(weight) <= most).drop(weight)
-    names = [c for c in facts.columns if c not in (*keys, weight)]
-    marked = rows.join(F.broadcast(hot.withColumn("is hot", F.lit(True))), keys, "left")
-    found = marked.filter("`is hot`").drop("is hot")
-    left = marked.filter("`is hot` is null").drop("is hot", *names)
-    return found.unionByName(left.join(rest, keys, "left").select(found.columns))
-
-
 def numbered_turns(turns: DataFrame, scratch: Scratch, long_turns: int = LONG_TURNS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """From (conv_id, turn, role, text): each turn's position in its conversation, with two hashes and its words; conversations with their number of turns; those of over long_turns turns, if any.
 
@@ -96,7 +80,7 @@ def rebuilt(turns: DataFrame, scratch: Scratch, every: int = 20, most_heads: int
     convs = convs.withColumn("m", F.least("h", F.coalesce("base_n", F.lit(0)))).withColumn("len", F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
     convs = scratch.table(convs.select("conv", "base", "n", "h", "m", "len"), "lengths")
     total = convs.agg(F.sum("n")).first()[0] or 0
-    own = attach(rows, convs.select("conv", "h", "m", "len", "n"), ["conv"], "n", total).filter("pos > h")
+    own = join_facts(rows, convs.select("conv", "h", "m", "len", "n"), ["conv"], "n", total).filter("pos > h")
     own = own.select("conv", (F.col("m") + F.col("pos") - F.col("h")).alias("depth"), "a", "b", "words", "len")
     # a base has most_heads - 1 heads at most, and `every` conversations
     heads = rows.filter((F.col("pos") < most_heads) & (F.col("conv") % every == 0)).select(F.col("conv").alias("base"), "pos", "a", "b", "words")
@@ -164,7 +148,7 @@ def trie(turns: DataFrame, convs: DataFrame, scratch: Scratch | None = None, fan
         shared, reach, step = scratch.table(shared, f"rolled-{step}"), 2 * reach, step + 1
     done = nodes.drop("leaves", "saved").join(shared.select(*_NODE, "leaves", "saved"), _NODE, "left")
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("least").alias("parent_conv_id"), "n")
-    inner = attach(done.filter("depth > 0"), parents.withColumnRenamed("n", "members"), ["depth", "px", "py"], "members", (total or 0) + (n or 0))
+    inner = join_facts(done.filter("depth > 0"), parents.withColumnRenamed("n", "members"), ["depth", "px", "py"], "members", (total or 0) + (n or 0))
     done = inner.unionByName(done.filter("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")).select(inner.columns))
     done = done.select(*_NODE, F.col("least").alias("conv_id"), "parent_conv_id", F.col("n").alias("n_convs"), "n_children", F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), "words", F.coalesce("saved", F.lit(0)).cast("long").alias("saved_tokens"))
 

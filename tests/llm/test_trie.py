@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ratefield.llm import trie
 from ratefield.llm.common import Scratch
+from ratefield.operators import skew
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -75,11 +76,10 @@ def test_many_copies(spark):
     assert found(spark, rows, piece=100) == brute(rows)
 
 
-def test_hot_facts_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(trie, "HOT_ROWS", 2)
-    rows = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
-    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    assert sorted(map(tuple, trie.attach(rows, facts, ["k"], "n", 5000).collect())) == sorted(map(tuple, rows.join(facts.drop("n"), "k", "left").select("k", "id", "top").collect()))
+def test_frequent_nodes_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    rows = [(c, t, "user", f"turn {t} {c % 2 * t}") for c in range(1500) for t in range(3)]
+    assert found(spark, rows) == brute(rows)
 
 
 def test_query_on_odd_tables(spark, tmp_path):
