@@ -110,3 +110,27 @@ def beta_cdf(a: float, b: float, x: float) -> float:
 
 def t_two_sided(t: float, df: float) -> float:
     return beta_cdf(df / 2, 0.5, df / (df + t * t))
+
+
+def digamma(x):
+    """The derivative of log_gamma for positive x: recurrence to 10 and beyond, then the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros(x.shape)
+    while (x < 10).any():
+        low = x < 10
+        out = np.where(low, out - 1 / x, out)
+        x = np.where(low, x + 1, x)
+    q = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132))))
+
+
+def trigamma(x):
+    """The second derivative of log_gamma for positive x."""
+    x = np.array(x, float)
+    out = np.zeros(x.shape)
+    while (x < 10).any():
+        low = x < 10
+        out = np.where(low, out + 1 / (x * x), out)
+        x = np.where(low, x + 1, x)
+    q = 1 / (x * x)
+    return out + 1 / x + q / 2 + q / x * (1 / 6 - q * (1 / 30 - q * (1 / 42 - q * (1 / 30 - q * 5 / 66))))

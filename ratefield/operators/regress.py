@@ -1,13 +1,16 @@
-"""Regression: closed forms from sums, and small fits that run one per task on tables of areas."""
+"""Regression: closed forms and iterated fits from sums that partitions add up."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratefield.functions.special import log_gamma
+from ratefield.functions.special import digamma, log_gamma, trigamma
+from ratefield.session import ensure_checkpoint_dir
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -59,78 +62,115 @@ def nb_log_likelihood(y, mu, alpha):
     return log_gamma(y + r) - log_gamma(r) - log_gamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
 
 
-def _weighted_fit(y, x, offset, alpha, beta, steps=100):
-    for _ in range(steps):
-        mu = np.exp(np.clip(x @ beta + offset, -30, 30))
-        w = mu / (1 + alpha * mu)
-        step = np.linalg.lstsq(x.T @ (w[:, None] * x) + 1e-10 * np.eye(x.shape[1]), x.T @ ((y - mu) / (1 + alpha * mu)), rcond=None)[0]
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-10:
+#: log dispersion: bounds of the search, and where it begins.
+_LOW, _HIGH, _BEGIN = -9.0, 4.0, -1.0
+
+
+def _nb_sums(part: pd.DataFrame, y: str, columns: list[str], exposure: str, group: str, groups: list, fits: dict) -> Iterator[tuple[int, int, float]]:
+    """(fit, place, value): over a batch, the log-likelihood of each fit, its slopes and curvatures."""
+    of = {g: i for i, g in enumerate(groups)}
+    g = np.array([of[v] for v in part[group]])
+    x, count, offset = part[columns].to_numpy(float), part[y].to_numpy(float), np.log(part[exposure].to_numpy(float))
+    k, p = len(columns), len(columns) + len(groups)
+    for fit, (left, beta, log_alpha) in fits.items():
+        use = np.ones(len(g), bool) if left is None else g != left
+        gg, xx, yy = g[use], x[use], count[use]
+        mu = np.exp(np.clip(xx @ beta[:k] + beta[k:][gg] + offset[use], -30, 30))
+        alpha = np.exp(log_alpha)
+        r = 1 / alpha
+        w, z = mu / (1 + alpha * mu), (yy - mu) / (1 + alpha * mu)
+        # only the design's blocks that aren't 0: covariates by covariates, by groups, and the groups' diagonal
+        hess = np.zeros((p, p))
+        hess[:k, :k] = xx.T @ (w[:, None] * xx)
+        for j in range(k):
+            hess[j, k:] = hess[k:, j] = np.bincount(gg, weights=w * xx[:, j], minlength=len(groups))
+        hess[range(k, p), range(k, p)] = np.bincount(gg, weights=w, minlength=len(groups))
+        grad = np.concatenate([xx.T @ z, np.bincount(gg, weights=z, minlength=len(groups))])
+        by_r = digamma(yy + r) - digamma(r) + np.log(r / (r + mu)) + 1 - (r + yy) / (r + mu)
+        by_r2 = trigamma(yy + r) - trigamma(r) + 1 / r - 2 / (r + mu) + (r + yy) / (r + mu) ** 2
+        of_alpha = [-r * by_r.sum(), (r * r * by_r2 + r * by_r).sum()]
+        for i, v in enumerate([nb_log_likelihood(yy, mu, alpha).sum(), *of_alpha, *grad, *hess.ravel()]):
+            yield fit, i, float(v)
+
+
+def _nb_fits(df: DataFrame, y: str, columns: list[str], exposure: str, group: str, lefts: list, turns: int = 200) -> tuple[list, list[tuple[np.ndarray, float, float]]]:
+    """Groups, and for each group left out (None: none) coefficients, log dispersion and log-likelihood.
+
+    Scoring steps for the coefficients and Newton steps for the log dispersion, halved where the likelihood falls. Each
+    turn is one pass: partitions add up slopes and curvatures of all fits, Spark adds those up, and the driver gets a
+    number for each pair of terms. Rows stay where they are.
+    """
+    rows = df.select(y, *columns, exposure, group)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = rows.checkpoint()
+    totals = {r[0]: (r[1], r[2]) for r in rows.groupBy(group).agg(F.sum(y), F.sum(exposure)).collect()}
+    groups = sorted(totals)
+    k, p = len(columns), len(columns) + len(groups)
+    start = np.concatenate([np.zeros(k), [np.log(max(totals[g][0], 0.5) / totals[g][1]) for g in groups]])
+    now = {i: (None if g is None else groups.index(g), start, _BEGIN) for i, g in enumerate(lefts)}
+    # fit: its best point with likelihood and step, and the share of the step being tried
+    best: dict[int, tuple] = {}
+    tried, open_ = dict.fromkeys(now, 1.0), set(now)
+    for _ in range(turns):
+        asked = {i: now[i] for i in open_}
+
+        def run(parts, asked=asked):
+            for part in parts:
+                yield pd.DataFrame(_nb_sums(part, y, columns, exposure, group, groups, asked), columns=["fit", "place", "value"])
+
+        sums: dict[int, np.ndarray] = {i: np.zeros(3 + p + p * p) for i in open_}
+        for r in rows.mapInPandas(run, "fit int, place int, value double").groupBy("fit", "place").agg(F.sum("value").alias("value")).collect():
+            sums[r["fit"]][r["place"]] = r["value"]
+        for i in list(open_):
+            left, beta, log_alpha = now[i]
+            ll, slope, curve = sums[i][:3]
+            if i in best and ll < best[i][2] - 1e-9 * (1 + abs(ll)) and tried[i] > 1e-4:
+                tried[i] /= 2
+            else:
+                grad, hess = sums[i][3 : 3 + p], sums[i][3 + p :].reshape(p, p)
+                step = np.clip(np.linalg.lstsq(hess + 1e-10 * np.eye(p), grad, rcond=None)[0], -5, 5)
+                # towards the top where the curve bends down, else along the slope
+                move = float(np.clip(-slope / curve if curve < 0 else np.sign(slope) * 0.5, -1, 1))
+                move = min(max(log_alpha + move, _LOW), _HIGH) - log_alpha
+                if i in best and tried[i] <= 1e-4 or max(np.abs(step).max(initial=0), abs(move)) < 1e-9:
+                    best[i] = (beta, log_alpha, ll, step, move)
+                    open_.discard(i)
+                    continue
+                best[i], tried[i] = (beta, log_alpha, ll, step, move), 1.0
+            beta, log_alpha, _, step, move = best[i]
+            now[i] = (left, beta + tried[i] * step, log_alpha + tried[i] * move)
+        if not open_:
             break
-    return beta
-
-
-def fit_nb(y, x, offset):
-    """Coefficients and dispersion of a negative binomial regression: a Poisson start, then a golden-section search over log alpha."""
-    y, x, offset = (np.asarray(v, float) for v in (y, x, offset))
-    start = np.linalg.lstsq(x, np.log(np.maximum(y, 0.5)) - offset, rcond=None)[0]
-    start = _weighted_fit(y, x, offset, 0.0, start)
-
-    def fitted(log_alpha):
-        a = np.exp(log_alpha)
-        beta = _weighted_fit(y, x, offset, a, start)
-        return float(nb_log_likelihood(y, np.exp(np.clip(x @ beta + offset, -30, 30)), a).sum()), beta
-
-    low, high, g = -9.0, 4.0, (5**0.5 - 1) / 2
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = fitted(a)[0], fitted(b)[0]
-    for _ in range(60):
-        if fa < fb:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = fitted(b)[0]
-        else:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = fitted(a)[0]
-    best = 0.5 * (low + high)
-    ll, beta = fitted(best)
-    return beta, float(np.exp(best)), ll
-
-
-def design(table: pd.DataFrame, columns: list[str], groups: list[str], group: str) -> np.ndarray:
-    """Covariates and a column for each group, so there is no intercept."""
-    dummies = np.array([[g == k for k in groups] for g in table[group]], float).reshape(len(table), len(groups))
-    return np.column_stack([table[columns].to_numpy(float), dummies]) if columns else dummies
+    return groups, [(best[i][0], best[i][1], best[i][2]) for i in range(len(lefts))]
 
 
 def nb_regression(df: DataFrame, y: str, columns: list[str], exposure: str, group: str) -> DataFrame:
-    """Rows (term, value) of a negative binomial regression with group effects: one task over a table of areas."""
-    groups = sorted(r[0] for r in df.select(group).distinct().collect())
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        beta, alpha, ll = fit_nb(part[y], design(part, columns, groups, group), np.log(part[exposure].to_numpy(float)))
-        return pd.DataFrame({"term": [*columns, *map(str, groups), "alpha", "log_likelihood"], "value": [*beta, alpha, ll]})
-
-    return df.select(y, *columns, exposure, group).groupBy(F.lit(0).alias("_all")).applyInPandas(lambda p: run(p), "term string, value double")
+    """Rows (term, value) of a negative binomial regression with group effects: covariates, groups, alpha and log_likelihood."""
+    groups, [(beta, log_alpha, ll)] = _nb_fits(df, y, columns, exposure, group, [None])
+    rows = [*zip([*columns, *map(str, groups)], map(float, beta), strict=True), ("alpha", float(np.exp(log_alpha))), ("log_likelihood", float(ll))]
+    return df.sparkSession.createDataFrame(rows, "term string, value double")
 
 
 def nb_leave_group_out(df: DataFrame, key: str, y: str, columns: list[str], exposure: str, group: str) -> DataFrame:
-    """Predictions of each group's areas from a fit without it, a task per group; an unseen group's effect is the mean of the others'."""
-    groups = sorted(r[0] for r in df.select(group).distinct().collect())
-    folds = df.select(key, y, *columns, exposure, group).withColumn("_fold", F.explode(F.lit(groups)))
+    """Predictions of each group's areas from a fit without it; an unseen group's effect is the mean of the others'.
+
+    All fits share their passes over the table; a prediction is made where its row lies.
+    """
+    names = sorted(r[0] for r in df.select(group).distinct().collect())
+    groups, fits = _nb_fits(df, y, columns, exposure, group, names)
+    k = len(columns)
+    effects = {g: (beta[:k], np.delete(beta[k:], groups.index(g)).mean(), np.exp(log_alpha)) for g, (beta, log_alpha, _) in zip(names, fits, strict=True)}
     kind = df.schema[key].dataType.simpleString()
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        fold = part["_fold"].iloc[0]
-        train, test = part[part[group] != fold], part[part[group] == fold]
-        rest = [g for g in groups if g != fold]
-        beta, alpha, _ = fit_nb(train[y], design(train, columns, rest, group), np.log(train[exposure].to_numpy(float)))
-        own = test[columns].to_numpy(float) @ beta[: len(columns)] + beta[len(columns) :].mean()
-        mu = np.exp(own) * test[exposure].to_numpy(float)
-        return pd.DataFrame({key: test[key], "fold": str(fold), "observed": test[y].astype(float), "expected": mu, "log_density": nb_log_likelihood(test[y], mu, alpha)})
+    def run(parts):
+        for part in parts:
+            own = [effects[g] for g in part[group]]
+            line = np.array([x @ b + level for x, (b, level, _) in zip(part[columns].to_numpy(float), own, strict=True)])
+            mu = np.exp(line) * part[exposure].to_numpy(float)
+            alpha = np.array([e[2] for e in own])
+            yield pd.DataFrame({key: part[key], "fold": part[group].astype(str), "observed": part[y].astype(float), "expected": mu, "log_density": nb_log_likelihood(part[y], mu, alpha)})
 
-    return folds.groupBy("_fold").applyInPandas(run, f"{key} {kind}, fold string, observed double, expected double, log_density double")
+    return df.select(key, y, *columns, exposure, group).mapInPandas(run, f"{key} {kind}, fold string, observed double, expected double, log_density double")
 
 
 def random_intercept_reml(df: DataFrame, y: str, x: str, group: str) -> DataFrame:

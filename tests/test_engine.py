@@ -19,6 +19,7 @@ from ratefield.operators import bayes, graphs, linkage, ranking, rates, regress,
 from ratefield.plans import catalog
 from ratefield.sources import readers
 from ratefield.streaming.counts import windowed_counts
+from tests import dense_fits
 from tests.conftest import DATA
 
 
@@ -304,7 +305,7 @@ def test_nb_leave_group_out(spark):
     for fold in range(3):
         rest = [g for g in range(3) if g != fold]
         train = frame[frame["g"] != fold]
-        beta, alpha, _ = regress.fit_nb(train["y"], regress.design(train, ["x"], rest, "g"), np.log(train["n"].to_numpy()))
+        beta, alpha, _ = dense_fits.fit_nb(train["y"], dense_fits.design(train, ["x"], rest, "g"), np.log(train["n"].to_numpy()))
         for area, y, x, n, g in table:
             if g == fold:
                 mu = n * math.exp(x * beta[0] + (beta[1] + beta[2]) / 2)
@@ -337,13 +338,31 @@ def test_near_twins_by_brute_force(spark):
     assert linkage.drop_near_twins(df.limit(0)).isEmpty()
 
 
-def test_nb_fit_recovers():
+def test_nb_regression(spark):
+    """The fit from partitions' sums against a search over whole arrays, and the truth."""
     rng = np.random.default_rng(4)
-    x = np.column_stack([np.ones(4000), rng.normal(size=4000)])
-    mu = np.exp(x @ np.array([1.0, 0.5]))
-    y = rng.poisson(mu * rng.gamma(4.0, 0.25, 4000))
-    beta, alpha, _ = regress.fit_nb(y, x, np.zeros(4000))
-    assert np.allclose(beta, [1.0, 0.5], atol=0.06) and alpha == pytest.approx(0.25, abs=0.05)
+    g, x, n = rng.integers(0, 3, 4000), rng.normal(size=(4000, 2)), rng.uniform(0.5, 2, 4000)
+    mu = n * np.exp(x @ [0.5, -0.2] + np.array([1.0, 0.0, 2.0])[g])
+    y = rng.poisson(mu * rng.gamma(4.0, 0.25, 4000)).astype(float)
+    frame = pd.DataFrame({"y": y, "x": x[:, 0], "z": x[:, 1], "n": n, "g": g})
+    df = spark.createDataFrame(frame).repartition(6)
+    got = dict(map(tuple, regress.nb_regression(df, "y", ["x", "z"], "n", "g").collect()))
+    beta, alpha, ll = dense_fits.fit_nb(y, dense_fits.design(frame, ["x", "z"], [0, 1, 2], "g"), np.log(n))
+    assert [got[k] for k in ("x", "z", "0", "1", "2")] == pytest.approx(beta.tolist(), abs=1e-6) and got["alpha"] == pytest.approx(alpha, rel=1e-5)
+    assert got["log_likelihood"] == pytest.approx(ll, rel=1e-9) and got["log_likelihood"] >= ll - 1e-6
+    assert [got["x"], got["z"]] == pytest.approx([0.5, -0.2], abs=0.05) and got["alpha"] == pytest.approx(0.25, abs=0.05)
+    # counts of less spread than Poisson's: the dispersion ends at its bound
+    even = spark.createDataFrame([(5.0, float(i), 1.0, 0) for i in range(30)], "y double, x double, n double, g int")
+    flat = dict(map(tuple, regress.nb_regression(even, "y", ["x"], "n", "g").collect()))
+    assert flat["alpha"] == pytest.approx(math.exp(-9)) and flat["0"] == pytest.approx(math.log(5)) and flat["x"] == pytest.approx(0, abs=1e-8)
+
+
+def test_polygammas():
+    x = np.array([0.01, 0.3, 1.0, 2.5, 9.9, 10.0, 57.0, 1e5])
+    h = 1e-5 * x
+    assert np.allclose(special.digamma(x), (special.log_gamma(x + h) - special.log_gamma(x - h)) / (2 * h), rtol=1e-6)
+    assert np.allclose(special.trigamma(x), (special.digamma(x + h) - special.digamma(x - h)) / (2 * h), rtol=1e-6)
+    assert special.digamma(1.0) == pytest.approx(-0.5772156649015329) and special.trigamma(1.0) == pytest.approx(math.pi**2 / 6)
 
 
 def test_laplace_without_field_is_near_the_fit():
