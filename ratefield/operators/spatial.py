@@ -156,7 +156,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
 
 
 def moran(values: DataFrame, edges: DataFrame, column: str) -> DataFrame:
-    """Global Moran's I with row-standardised weights: n, statistic, expected, and z under normality. values: (node, column)."""
+    """Global Moran's I with row-standardised weights: n, statistic, expected, and variance and z under normality and under randomisation (Cliff and Ord). values: (node, column)."""
     v = values.select("node", F.col(column).cast("double").alias("v"))
     centred = v.crossJoin(F.broadcast(v.agg(F.avg("v").alias("_m"), F.count("*").alias("n")))).select("node", "n", (F.col("v") - F.col("_m")).alias("z"))
     both = undirected(edges)
@@ -164,15 +164,21 @@ def moran(values: DataFrame, edges: DataFrame, column: str) -> DataFrame:
     w = both.join(degree, "src").select("src", "dst", (1.0 / F.col("k")).alias("w"))
     lag = w.join(centred.select(F.col("node").alias("dst"), F.col("z").alias("zj")), "dst").join(centred.select(F.col("node").alias("src"), F.col("z").alias("zi")), "src")
     top = lag.agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("top"), F.sum("w").alias("s0"))
-    low = centred.agg(F.sum(F.col("z") * F.col("z")).alias("low"), F.max("n").alias("n"))
+    low = centred.agg(F.sum(F.col("z") * F.col("z")).alias("low"), F.sum(F.pow("z", F.lit(4))).alias("fourth"), F.max("n").alias("n"))
     back = w.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("wt"))
     s1 = w.join(back, ["src", "dst"]).agg((F.sum(F.pow(F.col("w") + F.col("wt"), 2)) / 2).alias("s1"))
     out_sum, in_sum = w.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("o")), w.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("i"))
     s2 = out_sum.join(in_sum, "node").agg(F.sum(F.pow(F.col("o") + F.col("i"), 2)).alias("s2"))
     one = top.crossJoin(low).crossJoin(s1).crossJoin(s2)
-    n, s0 = F.col("n").cast("double"), F.col("s0")
-    variance = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / (s0 * s0 * (n * n - 1)) - F.pow(1 / (n - 1), 2)
-    return one.select(F.col("n"), (n / s0 * F.col("top") / F.col("low")).alias("statistic"), (-1 / (n - 1)).alias("expected"), variance.alias("variance")).withColumn("z", (F.col("statistic") - F.col("expected")) / F.sqrt("variance"))
+    n, s0, first, second = F.col("n").cast("double"), F.col("s0"), F.col("s1"), F.col("s2")
+    mean = -1 / (n - 1)
+    normal = (n * n * first - n * second + 3 * s0 * s0) / (s0 * s0 * (n * n - 1)) - mean * mean
+    peak = n * F.col("fourth") / (F.col("low") * F.col("low"))
+    shuffled = n * ((n * n - 3 * n + 3) * first - n * second + 3 * s0 * s0) - peak * ((n * n - n) * first - 2 * n * second + 6 * s0 * s0)
+    shuffled = shuffled / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - mean * mean
+    out = one.select("n", (n / s0 * F.col("top") / F.col("low")).alias("statistic"), mean.alias("expected"), normal.alias("variance"), shuffled.alias("variance_random"))
+    gap = F.col("statistic") - F.col("expected")
+    return out.withColumns({"z": gap / F.sqrt("variance"), "z_random": gap / F.sqrt("variance_random")})
 
 
 def moran_permutations(values: DataFrame, edges: DataFrame, column: str, permutations: int = 9_999, seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratefield.functions import shapes
 from ratefield.operators import ranking as rk
 from ratefield.operators import rates as rt
-from ratefield.operators import regress, spatial
+from ratefield.operators import draws, hypotheses, regress, spatial
 from ratefield.operators import tables as tb
 from ratefield.plans.relational import PRIOR_SQL, TWO_RATES, UNITS_SQL, nation_units, rounded, two_ranks
 from ratefield.plans.statistical import EDGES_SQL, GI_SQL, LINE_SQL, POINTS_SQL, area_table, line_d, nation_edges, nation_values, points
@@ -385,3 +385,53 @@ def effect_redundancy(t):
     s = g.agg(F.avg("raw").alias("raw_mean"), F.avg("corrected").alias("corrected_mean"), F.corr("raw", "log_inverse").alias("raw_corr"), F.corr("corrected", "log_inverse").alias("corrected_corr"))
     out = g.crossJoin(F.broadcast(s)).withColumns({"raw_effect": F.col("raw") - F.col("raw_mean"), "corrected_effect": F.col("corrected") - F.col("corrected_mean")})
     return rounded(out.select("n_regionkey", "raw_effect", "corrected_effect", "log_inverse", "raw_corr", "corrected_corr"), "raw_effect", "corrected_effect", "log_inverse", "raw_corr", "corrected_corr")
+
+
+DRIVERS = {"building": "c_mktsegment = 'BUILDING'", "low_nation": "c_nationkey < 10", "round_key": "c_custkey % 10 = 0", "frequent": "orders > 10"}
+_CUSTOMERS = "d AS (SELECT c_acctbal AS v, c_mktsegment, c_nationkey, c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM customer)"
+
+
+@bound(
+    "hypothesis_table",
+    f"WITH {_CUSTOMERS}, e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS driver, {c} AS f, v FROM d" for k, c in DRIVERS.items()) + """),
+r AS (SELECT *, rank() OVER (PARTITION BY driver ORDER BY v) + (count(*) OVER (PARTITION BY driver, v) - 1) / 2.0 AS r FROM e), ties AS (SELECT driver, sum(power(n, 3) - n) AS ties FROM (SELECT driver, v, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY ALL) GROUP BY driver),
+m AS (SELECT driver, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(v) FILTER (f) AS m1, avg(v) FILTER (NOT f) AS m2, var_samp(v) FILTER (f) AS v1, var_samp(v) FILTER (NOT f) AS v2, sum(r) FILTER (f) AS w FROM r GROUP BY driver),
+x AS (SELECT *, CAST(n1 AS DOUBLE) AS a, CAST(n2 AS DOUBLE) AS b, v1 / n1 AS s1, v2 / n2 AS s2 FROM m JOIN ties USING (driver))
+SELECT driver, n1, n2, round((m1 - m2) / sqrt(s1 + s2), 5) AS t, round(power(s1 + s2, 2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)), 4) AS df, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4.0 * (n1 + n2) - 9)), 6) AS hedges_g,
+ round(w - a * (a + 1) / 2, 2) AS u, round(2 * (w - a * (a + 1) / 2) / (a * b) - 1, 6) AS rank_biserial, round((w - a * (a + 1) / 2 - a * b / 2) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))), 5) AS z FROM x""",
+)
+def hypothesis_table(t):
+    """Customers' balances by four conditions; p- and q-values, which SQL lacks, are tested against other formulas."""
+    orders = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    d = t.customer.join(orders, "c_custkey", "left").fillna(0, ["orders"])
+    found = hypotheses.contrasts(d, "c_acctbal", {k: F.expr(c) for k, c in DRIVERS.items()})
+    digits = {"t": 5, "df": 4, "hedges_g": 6, "u": 2, "rank_biserial": 6, "z": 5}
+    return found.select("driver", "n1", "n2", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+#: Draws of an area's rate: its mean spread evenly from half to one and a half times, by a hash of area and draw.
+_DRAWS = """, h AS (SELECT concat_ws('|', c_nationkey, c_mktsegment) AS area, CAST(orders AS DOUBLE) AS y, CAST(customers AS DOUBLE) AS n FROM a), i AS (SELECT area, y, n, d, (CAST(('0x' || md5(area || ':' || d || ':42')[1:8]) AS UBIGINT) + 0.5) / 4294967296.0 AS u FROM h, range(250) t(d)), w AS (SELECT *, (y + 1) / n * (0.5 + u) AS rate FROM i)"""
+
+
+def area_draws(t) -> DataFrame:
+    """250 draws of each area's rate, written in blocks and read back."""
+    a = area_table(t).select("area", "y", "n")
+    each = a.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(249))))
+    rate = (F.col("y") + 1) / F.col("n") * (0.5 + draws.uniform(F.col("area"), F.col("draw"), 42))
+    place = scratch_dir(a.sparkSession, "draws")
+    draws.write_draws(each.select("draw", F.col("area").alias("unit"), rate.alias("value")), place)
+    return draws.read_draws(a.sparkSession, place)
+
+
+@bound("posterior_quantiles", f"WITH {AREAS_SQL}{_DRAWS} SELECT area, q, round(value, 8) AS value FROM (SELECT area, unnest([0.025, 0.5, 0.975]) AS q, unnest(quantile_cont(rate, [0.025, 0.5, 0.975])) AS value FROM w GROUP BY area)")
+def posterior_quantiles(t):
+    return draws.described(area_draws(t), [0.025, 0.5, 0.975]).select(F.col("unit").alias("area"), "q", F.round("value", 8).alias("value"))
+
+
+@bound("draws_lpd", f"WITH {AREAS_SQL}{_DRAWS}, l AS (SELECT area, y * ln(rate * n) - rate * n AS ll FROM w), m AS (SELECT area, max(ll) AS top FROM l GROUP BY area) SELECT l.area, count(*) AS draws, round(any_value(top) + ln(sum(exp(ll - top))) - ln(count(*)), 6) AS log_mean FROM l JOIN m ON l.area = m.area GROUP BY l.area")
+def draws_lpd(t):
+    """Log of the mean likelihood of each area's count over the draws of its rate."""
+    a = area_table(t).select(F.col("area").alias("unit"), "y", "n")
+    terms = area_draws(t).join(a, "unit").withColumn("ll", draws.poisson_log(F.col("y"), F.col("value") * F.col("n")))
+    found = draws.log_mean_exp(terms, "unit", "draw", "ll")
+    return found.select(F.col("unit").alias("area"), F.col("n").alias("draws"), F.round("log_mean", 6).alias("log_mean"))

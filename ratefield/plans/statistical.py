@@ -260,9 +260,21 @@ def moran(t):
     return rounded(spatial.moran(nation_values(t), nation_edges(t), "v").select("n", "statistic"), "statistic")
 
 
-@bound("moran_z")
+MORAN_SQL = f"""{VALUES_SQL}, {EDGES_SQL}, z AS (SELECT node, v - (SELECT avg(v) FROM v) AS z FROM v), w AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM e),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(z * z) AS low, sum(z * z * z * z) AS fourth FROM z), s0 AS (SELECT sum(w) AS s0, sum(w * a.z * b.z) AS top FROM w JOIN z a ON a.node = src JOIN z b ON b.node = dst),
+s1 AS (SELECT sum(power(a.w + b.w, 2)) / 2 AS s1 FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src), s2 AS (SELECT sum(power(o + i, 2)) AS s2 FROM (SELECT src, sum(w) AS o FROM w GROUP BY src) JOIN (SELECT dst, sum(w) AS i FROM w GROUP BY dst) ON src = dst),
+r AS (SELECT *, n / s0 * top / low AS statistic, -1 / (n - 1) AS expected, n * fourth / (low * low) AS peak FROM m, s0, s1, s2),
+q AS (SELECT *, (n * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (n * n - 1)) - expected * expected AS variance,
+ (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - peak * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected AS variance_random FROM r)"""
+
+
+@bound(
+    "moran_z",
+    f"WITH {MORAN_SQL} SELECT CAST(n AS BIGINT) AS n, round(statistic, 6) AS statistic, round(expected, 6) AS expected, round(variance, 8) AS variance, round(variance_random, 8) AS variance_random, round((statistic - expected) / sqrt(variance), 6) AS z, round((statistic - expected) / sqrt(variance_random), 6) AS z_random FROM q",
+)
 def moran_z(t):
-    return spatial.moran(nation_values(t), nation_edges(t), "v")
+    found = spatial.moran(nation_values(t), nation_edges(t), "v")
+    return rounded(rounded(found, "statistic", "expected", "z", "z_random"), "variance", "variance_random", digits=8)
 
 
 @bound("moran_perm")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ratefield.functions import special
 from ratefield.functions import text as tx
 from ratefield.operators import bayes, graphs, linkage, ranking, rates, regress, spatial, tables
-from ratefield.plans import catalog
+from ratefield.plans import catalog, statistical
+from ratefield.plans.tables import Tables
 from ratefield.sources import readers
 from ratefield.streaming.counts import windowed_counts
 from tests import dense_fits
@@ -43,9 +44,79 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["eb_intervals", "loglinear3", "nb_glm", "mixed_reml", "moran_z", "hotspot_classes", "bym2_scale"])
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_intervals_of_a_query(spark):
+    rows = catalog.QUERIES["eb_intervals"](spark, DATA).toPandas()
+    y, n = rows["y"].to_numpy(float), rows["n"].to_numpy(float)
+    shape, rate = prior(y, n)
+    for column, p in (("shrunken_low", 0.025), ("shrunken_high", 0.975)):
+        assert np.allclose(special.gamma_cdf(shape + y, rows[column].to_numpy() / 1e5 * (rate + n)), p, atol=1e-6)
+
+
+def test_random_intercepts_of_a_query(spark):
+    """REML by its definition: the density of the residuals' contrasts under the full covariance."""
+    got = catalog.QUERIES["mixed_reml"](spark, DATA).first()
+    table = statistical.area_table(Tables(spark, DATA)).toPandas()
+    y, x = (table["y"] / table["n"]).to_numpy(), np.column_stack([np.ones(len(table)), table["x"]])
+    same = (table["g"].to_numpy()[:, None] == table["g"].to_numpy()).astype(float)
+
+    def deviance(residual, group):
+        v = residual * np.eye(len(y)) + group * same
+        inverse = np.linalg.inv(v)
+        a = x.T @ inverse @ x
+        beta = np.linalg.solve(a, x.T @ inverse @ y)
+        r = y - x @ beta
+        return np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1] + r @ inverse @ r, beta
+
+    at, beta = deviance(got["residual_variance"], got["group_variance"])
+    assert beta.tolist() == pytest.approx([got["intercept"], got["slope"]], rel=1e-6)
+    for f, g in ((1.05, 1), (0.95, 1), (1, 1.3), (1, 0.7)):
+        assert deviance(got["residual_variance"] * f, max(got["group_variance"] * g, 1e-12))[0] >= at - 1e-4
+
+
+def test_negative_binomial_of_a_query(spark):
+    got = dict(map(tuple, catalog.QUERIES["nb_glm"](spark, DATA).collect()))
+    table = statistical.area_table(Tables(spark, DATA)).toPandas()
+    groups = sorted(table["g"].unique())
+    beta, alpha, ll = dense_fits.fit_nb(table["y"], dense_fits.design(table, ["x"], groups, "g"), np.log(table["n"].to_numpy()))
+    assert [got[k] for k in ["x", *map(str, groups)]] == pytest.approx(beta.tolist(), abs=1e-5) and got["log_likelihood"] == pytest.approx(ll, abs=1e-4)
+    fold = catalog.QUERIES["nb_loso"](spark, DATA).toPandas()
+    assert len(fold) == len(table) and np.isfinite(fold["log_density"]).all()
+
+
+def test_hot_spots_of_a_query(spark):
+    rows = catalog.QUERIES["hotspot_classes"](spark, DATA).toPandas().sort_values("p")
+    z = {r["node"]: r["z"] for r in catalog.QUERIES["gi_star"](spark, DATA).collect()}
+    p = np.array([math.erfc(abs(z[k]) / math.sqrt(2)) for k in rows["node"]])
+    assert np.allclose(rows["p"], p, atol=1e-5)
+    q = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    assert np.allclose(rows["q"], q, atol=1e-4)
+    assert [("hot" if z[k] > 0 else "cold") if v < 0.25 else "neither" for k, v in zip(rows["node"], rows["q"], strict=True)] == rows["class"].tolist()
+
+
+def test_scale_and_lists_of_queries(spark):
+    edges = graphs.undirected(statistical.nation_edges(Tables(spark, DATA))).collect()
+    n = spark.read.parquet(f"{DATA}/nation.parquet").count()
+    q = np.zeros((n, n))
+    for i, j in edges:
+        q[i, j], q[i, i] = -1, q[i, i] + 1
+    assert catalog.QUERIES["bym2_scale"](spark, DATA).first()["scale"] == pytest.approx(np.exp(np.log(np.diag(np.linalg.pinv(q))).mean()))
+    r = catalog.QUERIES["loglinear3"](spark, DATA).first()
+    cells = [r[f"n_{k}"] for k in ("111", "110", "101", "011", "100", "010", "001")]
+    assert r["seen"] == sum(cells) and (r["unseen"] is None or not all(cells) or r["unseen"] == pytest.approx(cells[0] * cells[4] * cells[5] * cells[6] / (cells[1] * cells[2] * cells[3])))
+
+
+def test_moran_variance_by_shuffling(spark):
+    """The variance under randomisation is that over all orders of the values."""
+    values = [1.0, 4.0, 2.0, 9.0, 7.0, 3.0]
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5), (1, 4)]
+    got = spatial.moran(spark.createDataFrame(list(enumerate(values)), "node int, v double"), spark.createDataFrame(edges, "src int, dst int"), "v").first()
+    w = np.zeros((6, 6))
+    for i, j in edges:
+        w[i, j] = w[j, i] = 1
+    w /= w.sum(1, keepdims=True)
+    z = np.array(values) - np.mean(values)
+    found = [float(6 / w.sum() * (p := np.array(order)) @ w @ p / (p @ p)) for order in itertools.permutations(z)]
+    assert got["expected"] == pytest.approx(np.mean(found)) and got["variance_random"] == pytest.approx(np.var(found)) and got["statistic"] == pytest.approx(found[0])
 
 
 def units(spark, y, n):
