@@ -32,14 +32,27 @@ TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "Madame"),
 PARTICLES = "van von der den de del della di da dos du la le el al bin ibn ten ter zu".split()
 CUES = ("name is", "named", "called", "met", "contact", "Contact", "signed by", "Signed by", "written by", "Dear", "Sincerely,", "Regards,")
 # Words that begin a sentence and are no part of a name; after the first ones a name is expected.
-STARTERS = "Dear Contact Hello Hi Then The This That These Those When While After Before And But So If In On At By To From For With As It He She We They You Our My His Her Their Yesterday Today Tomorrow Meanwhile Now Here There Also Not Is Was Are Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+STARTERS = "Dear Contact Hello Hi Then The This That These Those When While After Before And But So If In On At By To From For With As It He She We They You Our My His Her Their Yesterday Today Tomorrow Meanwhile Now Here There Also Not Is Was Are Did Does Has Had Have Will Would Can Could Should Since Although Because However Once Only Even Both Every Each Some Many Most All No Yes Please Thanks Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
 _ADDRESS = {"Dear", "Contact", "Hello", "Hi"}
+# What persons do, said right after a name.
+VERBS = "said says wrote writes told tells asked asks called calls met meets born died dies lives lived works worked joined resigned argued argues explained explains added adds replied replies visited visits thinks thought believes knew knows went came sang sings painted composed plays played married moved arrived left signed agreed announced claimed denied wants wanted loves loved teaches taught sagte schrieb meinte fragte wohnt arbeitet dit écrivit écrit habite travaille dijo escribió vive trabaja nació сказал сказала написал написала родился родилась живёт живет работает".split()
+# Words of places, firms, books and rules; a run that holds one is no person.
+THINGS = "Bridge Zoo Airport University College School Institute Academy County City Town Village State Province District Republic Kingdom Union States Street Road Avenue Lane Square Park Garden Gardens River Lake Mountain Mountains Mount Valley Island Islands Bay Beach Coast Sea Ocean Desert Forest Falls Station Tower Hall House Castle Palace Church Cathedral Temple Museum Gallery Library Theatre Theater Hospital Clinic Hotel Inn Center Centre Stadium Arena Bank Group Company Corporation Corp Inc Ltd LLC GmbH AG Industries Controls Systems Technologies Software Solutions Partners Holdings Airlines Motors Records Press Times Post Journal Tribune News Magazine Foundation Association Society Council Committee Commission Agency Department Ministry Bureau Office Court Army Navy Force League Cup Prize Award Act Law Treaty License Licence Version Edition Chapter Bible Gospel Testament Symphony War Revolution Empire Dynasty Day Week Festival Games Project Program Programme Protocol Theorem Syndrome Disease Effect Method Standard International National Federal American British French German Spanish Italian Russian Chinese Japanese European African Asian Public General Strasse Straße Platz Brücke Universität Bahnhof Rue Place Pont Plaza Calle".split()
+_THING = frozenset(w.lower() for w in THINGS)
+# Words that begin the names of places and works.
+PLACES = frozenset("New San Santa Los Las Saint St Sao São North South East West Northern Southern Eastern Western Great Grand Little Upper Lower Old Port Fort Cape Costa Puerto Buenos Rio Mount Lake Hong Kuala Abu Tel Addis Sierra Sri Cote Côte Le La Les Der Die Das Ein Eine Und Et Y The A An Of".split())
+#: Right before a run: it is a place or a thing.
+_WHERE = frozenset("in at near into across inside outside via through the a an this that these of der die das dem den des ein eine im am zum zur bei nach le la les un une au aux à dans chez du el los las una en del al".split())
 #: The letters of a script that stand for one another: vowels, consonants, and both with marks.
-LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåāăąæèéêëēėęěìíîïīįòóôõöøōőœùúûüūůűųýÿ", "çćčďđðğłñńňřßśšşťþţźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώϊϋ", "βγδζθκλμνξπρςστφχψ")
+LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåāăąæèéêëēėęěìíîïīįòóôõöøōőœùúûüūůűųýÿ", "çćčďđðğłñńňřßśšşťþţźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώϊϋ", "βγδζθκλμνξπρςστφχψ", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي")
 _CLASS = {c: i for i, letters in enumerate(LETTERS) for c in letters}
 HAN = (0x4E00, 0x9FA5)
+#: Endings that tell the gender of a name; a word keeps its longest one.
+ENDINGS = tuple(sorted("а я ова ева ина ына ая яя ская цкая ов ев ин ын ий ой ский цкий ович евич ьич овна евна ична ος ης ας ου η α a".split(), key=len, reverse=True))
 #: Domains that stand for no one are left as they are; others get a surrogate below the reserved one.
 RESERVED = "example.com"
+# Reserved networks of the address space, as numbers and bits.
+RESERVED_NETS = [(sum(int(p) << 24 - 8 * i for i, p in enumerate(n.split("."))), b) for n, b in (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3))]
 _OF_NAME = {n: k for k, names in GIVEN.items() for n in names}
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
@@ -55,15 +68,19 @@ _NEXT = rf"(?: (?:[{_UPPER}]\. )*(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD})"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _CUE = "|".join(rf"(?<=\b{re.escape(c)} )" for c in CUES)
 #: After a title or a cue; initials and a word; or a run of capitalised words, which is looked at further (name_at).
-NAME = rf"(?<!\w)(?:(?:{_TITLE})\.? (?P<titled>(?:[{_UPPER}]\. )*{_WORD}{_NEXT}{{0,2}})|(?:{_CUE})(?P<cued>{_WORD}{_NEXT}{{1,3}})|(?P<initials>(?:[{_UPPER}]\. ?){{1,2}}{_WORD})|(?P<run>{_WORD}{_NEXT}{{1,3}}))(?!\w)"
-HAN_NAME = rf"(?<![\u4e00-\u9fa5])(?P<han>[{HAN_FAMILY}][\u4e00-\u9fa5]{{1,2}})(?![\u4e00-\u9fa5])"
+NAME = rf"(?<!\w)(?:(?:{_TITLE})\.? (?P<titled>(?:[{_UPPER}]\. )*{_WORD}{_NEXT}{{0,2}})|(?:{_CUE})(?P<cued>{_WORD}{_NEXT}{{1,3}})|(?P<initials>(?:(?<=\b[Bb]y )[{_UPPER}]\. ?|[{_UPPER}]\. ?[{_UPPER}]\. ?){_WORD})|(?P<run>{_WORD}{_NEXT}{{1,3}}))(?!\w)"
+_HAN = r"\u4e00-\u9fa5"
+#: A family name and one or two characters alone; more before a form of address or after a word of naming; then two Arabic words likewise.
+HAN_NAME = rf"(?<![{_HAN}])(?P<han>[{HAN_FAMILY}][{_HAN}]{{1,2}})(?![{_HAN}])|(?<![{_HAN}])(?P<hantitled>[{_HAN}]{{2,4}}?)(?=先生|女士|小姐|教授|老师|さん|様|氏)|(?<=叫|名)(?P<hancalled>[{HAN_FAMILY}][{_HAN}]{{1,2}})(?=[，。、；！？,.\s]|$)"
+ARABIC_NAME = r"(?:(?<=السيد )|(?<=السيدة )|(?<=الدكتور )|(?<=اسمي )|(?<=اسمه ))(?P<arabic>[\u0620-\u064a]{2,}(?: [\u0620-\u064a]{2,})?)(?!\w)"
 _PLAIN = (EMAIL, IP, IBAN, CARD, SSN, PHONE)
-ENTITY, WITH_NAMES = re.compile("|".join(_PLAIN)), re.compile("|".join((*_PLAIN, NAME, HAN_NAME)))
-KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "name")
-#: What a text must hold to be searched for numbers; and for names: a known word, a cue, initials or Han characters.
+ENTITY, WITH_NAMES = re.compile("|".join(_PLAIN)), re.compile("|".join((*_PLAIN, NAME, HAN_NAME, ARABIC_NAME)))
+#: "number": digits in a card's form whose check digit doesn't hold, as orders and accounts have.
+KINDS = ("email", "ip", "iban", "card", "number", "ssn", "phone", "name")
+#: What a text must hold to be searched for numbers; and for names: a known word, a cue, initials, two capitalised words or Han or Arabic characters.
 _HINT = re.compile(r"\d[\d .()-]{5}|[A-Z]{2}\d\d")
 _TOKEN = re.compile(rf"[{_UPPER}][\w'’]+")
-_MORE = re.compile(rf"(?<!\w)[{_UPPER}]\. ?[{_UPPER}]|[\u4e00-\u9fa5]|\b(?:{'|'.join(map(re.escape, CUES))}) [{_UPPER}]")
+_MORE = re.compile(rf"(?<!\w)[{_UPPER}]\. ?[{_UPPER}]|[\u4e00-\u9fa5\u0620-\u064a]|[{_UPPER}][{_LOWER}'’-]+ (?:[a-z]{{2,3}} ){{0,2}}[{_UPPER}][{_LOWER}]|\b(?:{'|'.join(map(re.escape, CUES))}) [{_UPPER}]")
 #: Endings of patronymics and of family names that a given name or a patronymic goes with.
 _PATRONYM = re.compile(r"[а-яё](?:ович|евич|овна|евна|ична)$")
 _FOLDED = {n.lower() for n in (*_OF_NAME, *FAMILY)}
@@ -72,21 +89,44 @@ _PART = re.compile(r"[ \-'’.]+|[^ \-'’.]+")
 _LETTERS = tuple(frozenset(x) for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
-def name_at(run: str) -> int | None:
-    """Where the name in a run of capitalised words begins; None if there is none.
+#: Words of German, where every noun is a capitalised one.
+_GERMAN = re.compile(r"\b(?:und|der|die|das|nicht|ist|mit|von|zu|ein|eine|für)\b")
+_BEFORE = re.compile(r"(?:^|[.!?:;\n\"“(]\s*|[^\w\s]\s)$")
+_ENDED = re.compile(r"[.!?]\s$")
+_LAST = re.compile(r"(\w+),? $")
+_FIRST = re.compile(r"[,]? (\w+)")
 
-    Words that begin sentences are passed over. The rest is a name if one of its words is a known name or a patronymic,
-    or if it follows a word of address and has two words.
+
+def name_at(text: str, lo: int, hi: int, german: bool) -> int | None:
+    """Where the name in a run of capitalised words begins, counted from the run's beginning; None if there is none.
+
+    Words that begin sentences are passed over. A run that holds a word of things (places, firms, rules), or a word twice,
+    is no person. The rest is one if it has a known name or a patronymic; else, of two words or more, if it follows a word
+    of address, or is followed by what a person does, or by a possessive; else if it stands amid a sentence, not after an
+    article or a word of place, in a language that doesn't capitalise its nouns, and doesn't begin as places do.
     """
-    words = run.split(" ")
+    words = text[lo:hi].split(" ")
     first = 0
     while first < len(words) - 1 and words[first] in STARTERS:
         first += 1
     rest = words[first:]
-    known = any(w.lower() in _FOLDED or any(p.lower() in _FOLDED for p in w.split("-")) or _PATRONYM.search(w.lower()) for w in rest)
-    if not known and not (first and words[first - 1] in _ADDRESS and len(rest) > 1):
+    low = [w.lower() for w in rest]
+    if len(set(low)) < len(low) or not _THING.isdisjoint(low):
+        return None
+    at = sum(len(w) + 1 for w in words[:first])
+    if any(w in _FOLDED or any(p in _FOLDED for p in w.split("-")) or _PATRONYM.search(w) for w in low) or first and words[first - 1] in _ADDRESS and len(rest) > 1:
+        return at
+    proper = [w for w in rest if w not in PARTICLES]
+    if len(proper) < 2 or len(proper) > 3 or rest[0] in PLACES or any(w.isupper() or len(w) < 3 for w in proper):
         return None
-    return sum(len(w) + 1 for w in words[:first])
+    after = _FIRST.match(text, hi)
+    if after and after[1] in VERBS or re.match(r"['’]s\b", text[hi : hi + 3]):
+        return at
+    if german or first or _BEFORE.search(text, max(0, lo - 8), lo):
+        # a sentence's first word is capitalised whatever it is; a starter before the run leaves two words that aren't
+        return at if first and not german and words[first - 1].lower() not in _WHERE else None
+    before = _LAST.search(text, max(0, lo - 30), lo)
+    return at if before and before[1][0].islower() and before[1] not in _WHERE else None
 
 
 class Permutation:
@@ -151,6 +191,11 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def is_card(value: str) -> bool:
+    digits = re.sub(r"\D", "", value)
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
 def iban_check(country: str, rest: str) -> str:
     number = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
     return f"{98 - number % 97:02d}"
@@ -183,7 +228,10 @@ class Surrogates:
     @staticmethod
     def canonical(kind: str, value: str) -> str:
         if kind == "phone":
-            return Surrogates._national(value)[1]
+            before, national = Surrogates._national(value)
+            # numbers without a country's code in three and seven digits are of the country 1
+            country = re.match(r"\+(\d{1,3})[ .(-]", value)
+            return national if not country or country[1] == "1" else f"{country[1]}:{national}"
         if kind in ("email", "name"):
             return value.lower()
         return value if kind == "ip" else re.sub(r"[^A-Za-z0-9]", "", value)
@@ -233,9 +281,24 @@ class Surrogates:
         x = 0
         for part in value.split("."):
             x = x * 256 + int(part)
-        x = self.permute.of("ip", x, 1 << 32)
+        bits = self._reserved(x)
+        if bits is None:
+            x = self.permute.of("ip", x, 1 << 32)
+            while self._reserved(x) is not None:
+                x = self.permute.of("ip", x, 1 << 32)
+        else:
+            host = (1 << 32 - bits) - 1
+            x = x & ~host | self.permute.of(f"ip{bits}:{x >> 32 - bits}", x & host, host + 1)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
+    @staticmethod
+    def _reserved(x: int) -> int | None:
+        """Bits of the reserved network (private, loopback, link-local, for documents, multicast and beyond) that an address is in; None for a public one."""
+        return next((bits for net, bits in RESERVED_NETS if x >> 32 - bits == net >> 32 - bits), None)
+
+    def number(self, value: str) -> str:
+        return self.card(value)
+
     def card(self, value: str) -> str:
         digits = re.sub(r"\D", "", value)
         new = self._shape("card", digits[:-1], 1)
@@ -298,13 +361,20 @@ class Surrogates:
             names = GIVEN[group]
             new = names[self.permute.of(f"given{group}", names.index(title), len(names))]
             return new.upper() if word.isupper() else new
-        new = title.lower()
-        if len(new) != len(word):
-            return word
+        # a letter whose lower case is two characters stays as it is
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+        end = self._ending(low)
+        stem = low[: len(low) - len(end)]
         while True:
-            new = self._letters(new)
-            if new[:1].upper() + new[1:] not in _OF_NAME:
-                return self._cased(new, word)
+            stem = self._letters(stem)
+            new = stem + end
+            if self._ending(new) == end and new[:1].upper() + new[1:] not in _OF_NAME:
+                return "".join(a.upper() if b != b.lower() and len(a.upper()) == 1 else a for a, b in zip(new, word, strict=True))
+
+    @staticmethod
+    def _ending(low: str) -> str:
+        """The longest ending that tells a gender, of a word that has three letters more."""
+        return next((e for e in ENDINGS if len(low) >= len(e) + 3 and low.endswith(e)), "")
 
     def _letters(self, low: str) -> str:
         """A pronounceable word: vowels are permuted among vowels, consonants among consonants, Han characters among these."""
@@ -335,17 +405,22 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int
     named = not _NAME_TOKENS.isdisjoint(map(str.lower, _TOKEN.findall(text))) or bool(_MORE.search(text)) or bool(_PATRONYM.search(text))
     if not (named or "@" in text or _HINT.search(text)):
         return text, []
+    german = named and len(_GERMAN.findall(text)) * 60 > len(text) ** 0.5 * 8
     out, spans, at, length = [], [], 0, 0
     for m in (WITH_NAMES if named else ENTITY).finditer(text):
         kind = m.lastgroup
         lo, hi = m.span(kind)
         if kind == "run":
-            begin = name_at(m["run"])
+            begin = name_at(text, lo, hi, german)
             if begin is None:
                 continue
             lo += begin
-        if kind in ("titled", "cued", "initials", "run", "han"):
+        if kind == "initials" and m[kind][0] == m[kind].replace(" ", "")[2:3] and _ENDED.search(text, max(0, lo - 3), lo):
+            continue  # sentences of one letter
+        if kind in ("titled", "cued", "initials", "run", "han", "hantitled", "hancalled", "arabic"):
             kind = "name"
+        elif kind == "card" and not is_card(m["card"]):
+            kind = "number"
         new, before, after = surrogates.of(kind, text[lo:hi])
         out += [text[at:lo], new]
         length += lo - at
@@ -385,7 +460,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     run again), with nothing to gather or join. Permutations without fixed points keep entities distinct and change
     each; `collisions` checks that on the result. Null texts stay null and empty ones empty, without entities; long
     texts are read whole; repeated rows, equal and null ids give a row each, no rows none. Columns named entities and
-    entity_ids are replaced. Digits in a card's form count as one whether or not the check digit holds.
+    entity_ids are replaced. Digits in a card's form whose check digit doesn't hold are replaced as numbers.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("entities", "entity_ids")
