@@ -76,10 +76,3 @@ def neighbour_mean(values: DataFrame, edges: DataFrame, column: str, out: str) -
     """Adds the mean of the neighbours' known values; null without any. values: (node, column)."""
     near = undirected(edges).join(values.select(F.col("node").alias("dst"), F.col(column).alias("_v")), "dst")
     return values.join(near.groupBy(F.col("src").alias("node")).agg(F.avg("_v").alias(out)), "node", "left")
-
-
-def blended(own, near, density, k: float = 2.0):
-    """Neighbours' mean and a density estimate blended by n / (n + k) neighbours; at most 1."""
-    n = F.coalesce(near, F.lit(0)).cast("double")
-    w = n / (n + k)
-    return F.least(F.lit(1.0), F.when(own.isNull() | (n == 0), density).otherwise(w * own + (1 - w) * density))

@@ -76,13 +76,15 @@ def exact_rank(df: DataFrame, value: str, out: str, method: str = "min", descend
 
     method: "min" (ties take the least place), "average" (their mean place, a double) or "dense" (places without gaps).
     Nulls come last, as ties of one another; NaN comes above all numbers. Values are counted and ranked by range, then
-    joined back, where a frequent value is broadcast. df is read more than once: a column that sums of doubles make should
-    be checkpointed before, as such sums may differ in their last bits.
+    joined back, where a frequent value is broadcast. df is read two or three times: what is costly to make, and a column
+    that sums of doubles make (which may differ in their last bits), should be checkpointed before.
     """
-    counts = value_counts(df, value)
+    ensure_checkpoint_dir(df.sparkSession)
+    every = df.groupBy(value).agg(F.count("*").alias("n")).checkpoint()
+    counts = every.filter(F.col(value).isNotNull())
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    nulls = df.filter(F.col(value).isNull()).count()
+    nulls = every.filter(F.col(value).isNull()).agg(F.sum("n")).first()[0] or 0
     place = {"min": F.col("before") + 1, "average": F.col("before") + (F.col("n") + 1) / 2.0, "dense": F.col("dense")}[method]
     last = {"min": total + 1, "average": total + (nulls + 1) / 2.0, "dense": distinct + 1}[method]
     ranks = value_ranks(counts, value, ranges, descending).select(value, "n", place.alias(out))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratefield.operators.order import exact_rank, step_up, value_counts, value_ranks
+from ratefield.session import ensure_checkpoint_dir
 
 
 def with_rank(df: DataFrame, column: str, out: str, descending: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -25,7 +26,9 @@ def correlation(x: str, y: str):
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) over rows where both are present."""
-    both = exact_rank(exact_rank(df.dropna(subset=[x, y]), x, "_rx", "average"), y, "_ry", "average")
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.dropna(subset=[x, y]).select(x, y).checkpoint()
+    both = exact_rank(exact_rank(kept, x, "_rx", "average").checkpoint(), y, "_ry", "average")
     return both.agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 

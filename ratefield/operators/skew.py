@@ -17,7 +17,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str,
 
     `weight` is at least the number of rows of that key and `total` at least the sum of all weights. Facts of a weight
     above total / hot_rows, so hot_rows at most, are broadcast; the rest are joined by a shuffle, in which no key then
-    has more rows than that.
+    has more rows than that. facts are looked at beforehand: they should be a table or cheap to make.
     """
     most = max(1000, total // (hot_rows or HOT_ROWS))
     names = [c for c in facts.columns if c not in (*keys, weight)]
@@ -25,6 +25,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     equal = functools.reduce(operator.and_, [rows[f"`{k}`"].eqNullSafe(renamed[f"`key {i}`"]) for i, k in enumerate(keys)])
     drop = [f"key {i}" for i in range(len(keys))]
     hot = renamed.filter(F.col(f"`{weight}`") > most).drop(weight).withColumn("is hot", F.lit(True))
+    if total <= most or hot.isEmpty():
+        return rows.join(renamed.drop(weight), equal, "left").drop(*drop)
     marked = rows.join(F.broadcast(hot), equal, "left").drop(*drop)
     found = marked.filter("`is hot`").drop("is hot")
     left = marked.filter("`is hot` is null").drop("is hot", *names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratefield.plans import products, relational, sources, statistical
+from ratefield.plans import products, relational, reports, sources, statistical
 
-QUERIES = relational.QUERIES | statistical.QUERIES | products.QUERIES | sources.QUERIES
-ORACLES = relational.ORACLES | statistical.ORACLES | products.ORACLES | sources.ORACLES
+QUERIES = relational.QUERIES | statistical.QUERIES | products.QUERIES | sources.QUERIES | reports.QUERIES
+ORACLES = relational.ORACLES | statistical.ORACLES | products.ORACLES | sources.ORACLES | reports.ORACLES

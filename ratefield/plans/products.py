@@ -15,7 +15,7 @@ from ratefield.operators import tables as tb
 from ratefield.plans.relational import PRIOR_SQL, TWO_RATES, UNITS_SQL, nation_units, rounded, two_ranks
 from ratefield.plans.statistical import EDGES_SQL, GI_SQL, LINE_SQL, POINTS_SQL, area_table, line_d, nation_edges, nation_values, points
 from ratefield.plans.tables import Tables
-from ratefield.session import scratch_dir
+from ratefield.session import ensure_checkpoint_dir, scratch_dir
 from ratefield.sources import polygons
 from ratefield.sources.sinks import write_parquet
 
@@ -113,7 +113,9 @@ def mann_whitney(t):
 def order_ranks(t):
     """Every order's rank by price, and its mean rank by day, without a window over all orders."""
     o = t.orders.select("o_orderkey", "o_totalprice", F.unix_timestamp(F.date_trunc("day", "o_orderdate")).alias("day"))
-    ranked = rk.exact_rank(rk.exact_rank(o, "o_totalprice", "place", descending=True), "o_totalprice", "dense", "dense", descending=True)
+    ensure_checkpoint_dir(o.sparkSession)
+    placed = rk.exact_rank(o, "o_totalprice", "place", descending=True).checkpoint()
+    ranked = rk.exact_rank(placed, "o_totalprice", "dense", "dense", descending=True).checkpoint()
     return rk.exact_rank(ranked, "day", "day_rank", "average").select("o_orderkey", "place", "dense", "day_rank")
 
 

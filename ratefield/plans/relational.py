@@ -398,11 +398,6 @@ def searched(t):
     return t.part.filter(tx.has_word(F.col("p_name"), "re") | tx.has_word(F.col("p_brand"), "#1")).select("p_partkey", "p_name")
 
 
-@bound("search_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), '#1') ORDER BY p_name, p_partkey LIMIT 200")
-def search_filter(t):
-    return searched(t).orderBy("p_name", "p_partkey").limit(200)
-
-
 @bound("search_all", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), '#1')")
 def search_all(t):
     return searched(t)

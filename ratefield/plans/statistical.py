@@ -319,7 +319,7 @@ def identity_components(t):
     return graphs.components(d.select(F.col("doc_id").alias("node")), d.join(first, "h").select(F.col("doc_id").alias("src"), "dst").filter("src <> dst"))
 
 
-NORMAL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\b(brewing( company| co)?|brewery|beer( company| co)?|company|ales?|taproom|llc|inc|co\.?)\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMAL_SQL = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({{0}}), '{tx.SUFFIXES}', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @bound("name_normalise", f"SELECT p_partkey, {NORMAL_SQL.format('p_name')} AS clean, {NORMAL_SQL.format('p_brand')} AS brand FROM part")
