@@ -332,7 +332,10 @@ def label_agreement(t):
 
 @bound("argmax_rows", "SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_mktsegment")
 def argmax_rows(t):
-    return t.customer.groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    """Of equal balances the least key counts, as SQL finds it first in a table by key; a row without key or balance is no candidate."""
+    known = lambda tie: F.when(F.col("c_custkey").isNotNull() & F.col("c_acctbal").isNotNull(), F.struct("c_acctbal", tie.alias("tie")))
+    richest, poorest = F.max_by("c_custkey", known(F.bitwise_not("c_custkey"))), F.min_by("c_custkey", known(F.col("c_custkey")))
+    return t.customer.groupBy("c_mktsegment").agg(richest.alias("richest"), poorest.alias("poorest"))
 
 
 @bound("count_reconciliation", "SELECT (SELECT count(*) FROM orders) AS n_rows, CAST((SELECT sum(c) FROM (SELECT count(*) AS c FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority)) AS BIGINT) AS grouped, true AS reconciled")
