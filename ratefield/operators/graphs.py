@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratefield.session import ensure_checkpoint_dir
+from ratefield.session import scratch_dir
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,24 +39,44 @@ def thinned(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, turns: int = 64) -> DataFrame:
-    """(node, component): component is the least node that edges reach; a node without edges is its own.
+    """(node, component): component is the least node that edges between nodes reach; a node without edges is its own.
 
-    Each turn takes the least label of a node and its neighbours, then the label's label, so a path shortens by half a
-    turn. A turn is checkpointed in the session's shared folder.
+    Large-star and small-star steps (Kiveris et al., 2014) in turn until nothing changes, so turns grow with the
+    logarithm of a component. A turn is written as Parquet in the session's shared folder and read back: a checkpoint
+    would keep the size that the plan was estimated at, which each turn's joins raise to a power, until the estimate
+    alone fills the driver.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    both = undirected(edges)
-    labels = nodes.select(F.col("node"), F.col("node").alias("component"))
+    spark = nodes.sparkSession
+    place = scratch_dir(spark, "components")
+    written: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        written.append(f"{place}/{len(written)}")
+        df.write.parquet(written[-1])
+        return spark.read.schema(df.schema).parquet(written[-1])
+
+    def drop(path: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+    known = lambda c: nodes.select(F.col("node").alias(c))
+    pairs = kept(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    e, before = kept(pairs.join(known("u"), "u", "left_semi").join(known("v"), "v", "left_semi").select("u", "v")), None
     for _ in range(turns):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("low"))
-        new = labels.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", "component", F.least("component", "low").alias("next"))
-        jump = new.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        new = new.join(jump, "next", "left").select("node", F.col("component").alias("old"), F.least("next", "jump").alias("component"))
-        new = new.checkpoint()
-        changed = new.filter("old <> component").isEmpty()
-        labels = new.drop("old")
-        if changed:
-            return labels
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        parts = least(large)
+        small = parts.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(parts.select("u", F.col("m").alias("v"))).distinct()
+        e = kept(small)
+        drop(written[-2])
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            drop(written[0])
+            return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        before = now
     raise RuntimeError("components didn't settle")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
+from ratefield.operators import graphs
 from ratefield.plans import catalog
 
 
@@ -15,3 +18,16 @@ def test_richest_and_poorest_at_ties(spark, tmp_path):
     want = {tuple(r) for r in con.sql(catalog.ORACLES["argmax_rows"]).fetchall()}
     got = catalog.QUERIES["argmax_rows"](spark, str(tmp_path)).collect()
     assert len(got) == 4 and {tuple(r) for r in got} == want
+
+
+def test_components_of_long_paths_keep_a_small_plan(spark):
+    order = list(range(300))
+    random.Random(3).shuffle(order)
+    paths = [order[:200], order[200:290]]
+    edges = spark.createDataFrame([(x, y) for p in paths for x, y in zip(p, p[1:], strict=False)] + [(order[290], order[290]), (order[0], 999), (999, order[250])], "src long, dst long")
+    nodes = spark.createDataFrame([(x,) for x in order], "node long")
+    found = graphs.components(nodes, edges)
+    want = {x: x for x in order} | {x: min(p) for p in paths for x in p}
+    assert {r["node"]: r["component"] for r in found.collect()} == want and found.count() == 300
+    # the estimate of the plan's size is the driver's to hold
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
