@@ -6,7 +6,7 @@ import random
 
 import duckdb
 
-from ratefield.operators import graphs
+from ratefield.operators import graphs, linkage
 from ratefield.plans import catalog
 
 
@@ -31,3 +31,20 @@ def test_components_of_long_paths_keep_a_small_plan(spark):
     assert {r["node"]: r["component"] for r in found.collect()} == want and found.count() == 300
     # the estimate of the plan's size is the driver's to hold
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+def chain(spark, names=("a", "b")):
+    """Records of one name every 200 m along a meridian, of two lists in turn."""
+    rows = [(i, "old barn", 40 + i * 0.0018, -75.0) for i in range(90)]
+    return [spark.createDataFrame(rows[k::2], f"{x}_id long, {x}_name string, {x}_lat double, {x}_lon double") for k, x in enumerate(names)]
+
+
+def small_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 10_000
+
+
+def test_matching_a_long_chain_keeps_a_small_plan(spark):
+    found = linkage.match_optimal(linkage.candidates(*chain(spark)))
+    rows = found.collect()
+    assert small_plan(found) and len(rows) == len({r["a_id"] for r in rows}) == len({r["b_id"] for r in rows}) == 45
+    assert all(abs(r["a_id"] - r["b_id"]) == 1 for r in rows)
