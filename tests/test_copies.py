@@ -48,3 +48,9 @@ def test_matching_a_long_chain_keeps_a_small_plan(spark):
     rows = found.collect()
     assert small_plan(found) and len(rows) == len({r["a_id"] for r in rows}) == len({r["b_id"] for r in rows}) == 45
     assert all(abs(r["a_id"] - r["b_id"]) == 1 for r in rows)
+
+
+def test_staged_matching_of_a_long_chain_keeps_a_small_plan(spark):
+    found = linkage.match_staged(*chain(spark), stages=((300.0, 65.0), (150.0, 55.0)))
+    rows = found.collect()
+    assert small_plan(found) and len(rows) == 45 and {r["stage"] for r in rows} == {0}
