@@ -146,7 +146,8 @@ def drop_near_twins(points: DataFrame, radius_m: float = 100.0) -> DataFrame:
     """
     named = points.withColumn("_twin", normal_name(F.col("name"))).filter("_twin <> ''")
     side = lambda x: named.select("_twin", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "lat", "lon")])
-    links = distance_join(side("a"), side("b"), radius_m, ("_twin",)).filter("a_id < b_id").select("a_id", "b_id")
+    ensure_checkpoint_dir(points.sparkSession)
+    links = distance_join(side("a"), side("b"), radius_m, ("_twin",)).filter("a_id < b_id").select("a_id", "b_id").checkpoint()
     ends = links.select(F.col("a_id").alias("node")).union(links.select("b_id")).distinct()
     parts = components(ends, links.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
     kind = points.schema["id"].dataType.simpleString()

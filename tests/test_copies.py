@@ -54,3 +54,9 @@ def test_staged_matching_of_a_long_chain_keeps_a_small_plan(spark):
     found = linkage.match_staged(*chain(spark), stages=((300.0, 65.0), (150.0, 55.0)))
     rows = found.collect()
     assert small_plan(found) and len(rows) == 45 and {r["stage"] for r in rows} == {0}
+
+
+def test_twins_along_a_long_chain_keep_a_small_plan(spark):
+    rows = [(i, "old barn", 40 + i * 0.0018, -75.0) for i in range(90)]
+    found = linkage.drop_near_twins(spark.createDataFrame(rows, "id long, name string, lat double, lon double"), 300.0)
+    assert sorted(r["id"] for r in found.collect()) == list(range(0, 90, 2)) and small_plan(found)
