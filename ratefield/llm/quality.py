@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratefield.llm.common import BLANKS, Scratch, Words, documents, slices, small_batches, task, text_bytes
+from ratefield.operators.order import exact_quantiles, value_ranks
 
 BUCKETS = 1 << 16
-#: Trusted rows at most: so many to learn from and as many to set the threshold by, those with the least hash of doc_id.
-TRUSTED = 20_000
+#: Trusted doc_ids up to this number are broadcast (9 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 1 << 21
 #: The share of trusted documents, of those not learned from, that the threshold gives up; and the threshold without any.
 GIVE_UP, DEFAULT = 0.005, -0.15
 SMOOTH = 0.5
@@ -27,21 +28,16 @@ def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([words.hash, pairs]) >> np.uint64(64 - 16)).astype(np.int64), np.concatenate([words.doc, doc])
 
 
-def _count(chosen):
-    """One row per task: its counts of all buckets in the corpus and in trusted documents."""
-
-    def run(batches):
-        trusted = chosen.value
-        counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in slices(batches):
-            bucket, doc = ngrams(Words(*text_bytes(batch.column("text")), fold=False))
-            counts[0] += np.bincount(bucket, minlength=BUCKETS)
-            mine = np.isin(batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), trusted)
-            counts[1] += np.bincount(bucket[mine[doc]], minlength=BUCKETS)
-        if counts.any():
-            yield pa.record_batch([pa.array([counts.tobytes()], pa.binary())], ["counts"])
-
-    return run
+def _count(batches):
+    """One row per task: its counts of all buckets in the corpus and in the trusted documents to learn from."""
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for batch in slices(batches):
+        bucket, doc = ngrams(Words(*text_bytes(batch.column("text")), fold=False))
+        counts[0] += np.bincount(bucket, minlength=BUCKETS)
+        mine = batch.column("learn").fill_null(False).to_numpy(zero_copy_only=False)
+        counts[1] += np.bincount(bucket[mine[doc]], minlength=BUCKETS)
+    if counts.any():
+        yield pa.record_batch([pa.array([counts.tobytes()], pa.binary())], ["counts"])
 
 
 def _sum(batches):
@@ -107,14 +103,14 @@ def _measure(ratios):
     return run
 
 
-def rate_quality(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> DataFrame:
+def rate_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): the base measures, base_failed, llr and kept.
 
     llr is the mean over a text's words and word pairs, hashed to 65,536 buckets, of the log ratio of the bucket's share
     among trusted documents to its share in the corpus (both with 0.5 added). Corpus counts are of all rows. A text that
     the base rules pass is kept if its llr is at least the threshold: the 0.5 % quantile over trusted documents that
-    were not learned from, or -0.15 where there are none. trusted: doc_ids; at most 2 * limit of them are used, half to
-    learn from. A null or empty text has no words, all measures 0 and no llr, and fails the base rules; an llr equal to
+    were not learned from, or -0.15 where there are none. trusted: doc_ids, all of which are used; every second one in
+    rising order, from the first on, is learned from. A null or empty text has no words, all measures 0 and no llr, and fails the base rules; an llr equal to
     the threshold is kept. Rows with equal or null doc_ids, and equal rows, are measured each; long texts are read
     whole; no rows give no rows; other columns of docs don't matter.
     """
@@ -122,22 +118,23 @@ def rate_quality(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED) -> D
     small_batches(spark)
     scratch = Scratch(spark, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * limit)
-    ids = np.sort(ids.toArrow()["doc_id"].to_numpy())
-    learn, rest = ids[::2], ids[1::2]
-    context = spark.sparkContext
-    shared = context.broadcast(learn)
-    raw, target = added_up(docs.mapInArrow(task(_count(shared)), "counts binary")) + SMOOTH
-    shared.destroy()
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("n", F.lit(1))
+    placed = value_ranks(scratch.table(ids, "trusted"), "doc_id").select("doc_id", (F.col("before") % 2 == 0).alias("learn"))
+    placed = scratch.table(placed, "placed", narrow=True)
+    few = placed.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    marked = docs.join(small(placed), "doc_id", "left").select("text", "learn")
+    raw, target = added_up(marked.mapInArrow(task(_count), "counts binary")) + SMOOTH
     # without trusted text there is nothing to tell documents apart by
     ratios = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > SMOOTH * BUCKETS else np.zeros(BUCKETS)
-    ratio_of = context.broadcast(ratios)
+    ratio_of = spark.sparkContext.broadcast(ratios)
     measured = docs.mapInArrow(task(_measure(ratio_of)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
     measured = scratch.table(measured.withColumn("base_failed", failed), "measured")
     ratio_of.destroy()
-    calibrate = spark.createDataFrame([(int(i),) for i in rest], "doc_id long")
-    least = measured.join(F.broadcast(calibrate), "doc_id").filter("not base_failed").agg(F.percentile("llr", GIVE_UP)).first()[0]
+    calibrate = measured.filter("not base_failed").join(small(placed.filter("not learn").select("doc_id")), "doc_id")
+    found = exact_quantiles(calibrate, "llr", [GIVE_UP]).first()
+    least = found and found["value"]
     return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(DEFAULT if least is None else least), F.lit(False)))
 
 
