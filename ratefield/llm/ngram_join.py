@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratefield.llm.common import Scratch, Words, distinct_by_doc, documents, mix64, shuffle_partitions, slices, small_batches, task, text_bytes
@@ -273,14 +273,28 @@ def _by_core() -> Column:
     return (F.col("qa") >= F.col("nb")) & (F.col("qb") >= F.col("na"))
 
 
+#: Alike at most by what they have of the parents so far, and by the other tokens.
+def _by_rest() -> Column:
+    return F.expr("7 * (least(ca, cb) + least(ea, eb)) >= 3 * (na + nb)")
+
+
 def _side(entries: DataFrame, x: str, *more) -> DataFrame:
-    return entries.select(*more, *[F.col(c).alias(c + x) for c in ("sig", "n", "s", "q", "comp", "parent", "plain")])
+    return entries.select(*more, *[F.col(c).alias(c + x) for c in ("sig", "n", "s", "q", "comp", "parent", "plain", "e")])
 
 
 def _counted_pairs(met: DataFrame) -> DataFrame:
-    """Pairs that have enough keys in common: the keys are tokens that one parent lacks, of which the two have ca and cb."""
+    """Pairs that may have enough tokens in common: the keys are the rarest tokens that one parent lacks, of which the two have ca and cb.
+
+    The common tokens up to the end of the prefix that ends first are keys of both; the others are beyond that prefix.
+    """
     counted = met.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", "ca", "cb").agg(F.count("*").alias("d"))
-    return counted.filter("7 * (least(ca, cb) + d) >= 3 * (na + nb)").select("a", "b", "na", "nb")
+    beyond = F.greatest(_needed("na", "ca"), _needed("nb", "cb")) - 1
+    return counted.filter(7 * (F.least("ca", "cb") + F.col("d") + beyond) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def _needed(n: str, c: str) -> Column:
+    """Tokens at least, beside c of the n, that a set shares with one alike (of 3/4 of its size or more) that c doesn't decide on."""
+    return F.greatest(F.lit(1), F.ceil(3 * F.col(n) / 4) - F.col(c))
 
 
 class NgramJoin:
@@ -325,7 +339,9 @@ class NgramJoin:
         return self.sets.select(F.col("sig").alias(side), F.col("entries.token").alias(f"t{side}"))
 
     def parents(self, entries: DataFrame, before: DataFrame | None, name: str) -> DataFrame:
-        """For each set one that leads about as many of its keys as any: a, b, na, nb, sa, c (common tokens), chain, core and rest.
+        """For each set one that leads about as many of its keys as any: a, b, na, sa, chain, core and rest; and direct, nb and c.
+
+        direct is that leader, nb its size and c the tokens in common; b, the parent, is direct or its forest's top, of size nt.
 
         A set's parents so far are its chain; core is the number of its tokens that one of them has, rest those that
         none has and another set has. before: the parents of the round before.
@@ -342,15 +358,22 @@ class NgramJoin:
         near = named.join(most, "sig").filter("2 * k >= most").join(fame, "b")
         best = near.groupBy(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).agg(F.max(F.struct("fame", "k", "b", "nb")).alias("p"))
         best = self.scratch.table(best.select("a", "na", "sa", "p.b", "p.nb"), f"{name}-best", narrow=True)
-        both = best.join(self.tokens("a"), "a").join(self.tokens("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
+        tops = forest_roots(best.select("a", "b")).select(F.col("node").alias("a"), F.col("root").alias("top"))
+        both = best.join(tops, "a").join(self.tokens("a"), "a").join(self.tokens("b"), "b").withColumn("c", F.size(F.array_intersect("ta", "tb")).cast("long"))
         if before is None:
-            both = both.withColumns({"chain": F.col("b"), "core": F.col("c"), "rest": F.array_except("ta", "tb")})
+            both = both.withColumns({"old_chain": F.lit(None).cast("long"), "old_core": F.lit(0).cast("long"), "old_rest": F.col("ta")})
         else:
-            held = before.select("a", F.col("chain").alias("old_chain"), F.col("core").alias("old_core"), F.col("rest").alias("old_rest"))
-            both = both.join(held, "a").withColumns(
-                {"chain": F.xxhash64("old_chain", "b"), "core": F.col("old_core") + F.size(F.array_intersect("old_rest", "tb")), "rest": F.array_except("old_rest", "tb")}
-            )
-        return self.scratch.table(both.drop("ta", "tb", "old_chain", "old_core", "old_rest"), f"{name}-parents")
+            both = both.join(before.select("a", F.col("chain").alias("old_chain"), F.col("core").alias("old_core"), F.col("rest").alias("old_rest")), "a")
+        both = both.withColumns({"direct": F.col("b"), "gain": F.array_intersect("old_rest", "tb")}).drop("ta", "tb")
+        both = both.withColumn("nt", F.lit(None).cast("long"))
+        near, far = both.filter("top = b"), both.filter("top <> b").drop("nt").join(self.tokens("top"), "top").join(self.sets.select(F.col("sig").alias("top"), F.col("n").alias("nt")), "top")
+        # the top of the parents, where it has nearly as much of the set, stands for its parent: one text's copies get one parent
+        far = far.withColumn("more", F.array_intersect("old_rest", "ttop")).withColumn("high", 4 * F.size("more") >= 3 * F.size("gain"))
+        far = far.withColumns({"b": F.when(F.col("high"), F.col("top")).otherwise(F.col("b")), "gain": F.when(F.col("high"), F.col("more")).otherwise(F.col("gain"))}).select(near.columns)
+        out = near.unionByName(far).withColumns(
+            {"chain": F.col("b") if before is None else F.xxhash64("old_chain", "b"), "core": F.col("old_core") + F.size("gain"), "rest": F.array_except("old_rest", "gain")}
+        )
+        return self.scratch.table(out.select("a", "b", "direct", "na", "nb", "nt", "sa", "c", "chain", "core", "rest"), f"{name}-parents")
 
     def components(self, rounds: int = 3) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.
@@ -360,7 +383,7 @@ class NgramJoin:
         - with different parents, if they have a key in common;
         - with one parent, of which they have ca and cb tokens: their intersection has at most min(ca, cb) of the
           parent's tokens. If that isn't enough, they must share a token that the parent lacks, so these tokens are the
-          keys of the next round; if it is, which needs sets smaller than the parent, the common key decides.
+          keys of the next round, the rarest as far as needed; if it is, which needs sets smaller than the parent, the common key decides.
         In the next round all parents so far stand for the parent: its tokens are those that one of them has.
         So the unlike copies of one text aren't compared with each other, as they share the text's tokens alone, which
         a parent that lacks some of them and the next one have between them. After the last round keys decide, whatever
@@ -368,14 +391,14 @@ class NgramJoin:
         """
         keys = self.scratch.table(self.sets.mapInArrow(task(_keys), "key long, sig long, n long, s long, plain boolean"), "keys")
         met = keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
-        # c: how many tokens of the parents so far a set has; in the first round there are none
-        entries = keys.join(met, "key", "left_semi").withColumn("c", F.lit(None).cast("long"))
+        # c: how many tokens of the parents so far a set has, e: how many others that it shares; in the first round there are none
+        entries = keys.join(met, "key", "left_semi").withColumns({"c": F.lit(None).cast("long"), "e": F.lit(None).cast("long")})
         entries = self.scratch.table(entries, "entries")
         self.scratch.drop("keys")
         roots, parents, pairs, first = None, None, [], entries.count()
         for r in range(rounds):
             parents = self.parents(entries, parents, f"round{r}")
-            links = parents.filter("7 * c >= 3 * (na + nb)").select("a", "b")
+            links = parents.filter("7 * c >= 3 * (na + nb)").select("a", F.col("direct").alias("b"))
             if roots is None:
                 roots = self.scratch.table(forest_roots(links).withColumnRenamed("node", "sig"), "stars", narrow=True)
             else:
@@ -388,7 +411,7 @@ class NgramJoin:
             if left <= first:
                 break
         left, right = _side(entries, "a", "key", F.col("c").alias("ca")), _side(entries, "b", "key", F.col("c").alias("cb"))
-        last = left.join(right, "key").filter((F.col("siga") < F.col("sigb")) & _apart() & ~_by_core())
+        last = left.join(right, "key").filter((F.col("siga") < F.col("sigb")) & _apart() & ~_by_core() & _by_rest())
         pairs.append(_counted_pairs(last))
         whole = pairs[0]
         for more in pairs[1:]:
@@ -407,13 +430,13 @@ class NgramJoin:
 
     def apart(self, entries: DataFrame, placed: DataFrame, parents: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b, na, nb) that a round's keys decide on, and the next round's entries."""
-        at = entries.select("key", "sig", "n", "s", "plain", "c").join(placed, "sig", "left").withColumns({"parent": F.coalesce("parent", "sig"), "comp": F.coalesce("comp", "sig"), "home": F.coalesce("home", "comp", "sig"), "q": F.coalesce("q", F.floor(4 * F.col("n") / 3))})
+        at = entries.select("key", "sig", "n", "s", "plain", "c", "e").join(placed, "sig", "left").withColumns({"parent": F.coalesce("parent", "sig"), "comp": F.coalesce("comp", "sig"), "home": F.coalesce("home", "comp", "sig"), "q": F.coalesce("q", F.floor(4 * F.col("n") / 3))})
         at = self.scratch.table(at, f"at{r}")
         several = at.groupBy("key").agg(F.min("parent").alias("p"), F.max("parent").alias("pp"), F.min("comp").alias("k"), F.max("comp").alias("kk")).filter("p <> pp AND k <> kk").select("key")
         mixed = at.join(several, "key", "left_semi")
         other = _side(mixed, "a", "key", F.col("c").alias("ca")).join(_side(mixed, "b", "key", F.col("c").alias("cb")), "key").filter((F.col("siga") < F.col("sigb")) & (F.col("parenta") != F.col("parentb")) & _apart())
         if r:
-            other = _counted_pairs(other)
+            other = _counted_pairs(other.filter(_by_rest()))
         else:
             other = other.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.col("plaina").alias("pa"), F.col("plainb").alias("pb")).agg(F.count_if(F.expr("key & 1") == 0).alias("m"))
             other = other.filter(_can_link(F.col("m"))).select("a", "b", "na", "nb")
@@ -433,9 +456,15 @@ class NgramJoin:
         # with a set of another component and the same chain, a set shares the chain's tokens and these at most
         most = following.groupBy("sig").agg(F.count("*").alias("e"))
         following = following.join(most, "sig").withColumn("s", F.least("s", F.col("c") + F.col("e"))).filter("4 * s >= 3 * n")
-        following = following.select("key", "sig", "n", "s", "plain", "c", "parent", "q", "comp")
+        # alike sets share _needed of these tokens, so of each set's, rarest first, all but the last _needed - 1 have one in common
+        rare = following.groupBy("key").agg(F.count("*").alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "of")
+        order = Window.partitionBy("sig").orderBy("of", "key")
+        following = following.join(rare, "key", "left").withColumn("of", F.coalesce("of", F.lit(0))).withColumn("at", F.row_number().over(order))
+        following = following.filter((F.col("at") <= F.col("e") - _needed("n", "c") + 1) & (F.col("of") > 0))
+        following = following.select("key", "sig", "n", "s", "plain", "c", "e", "parent", "q", "comp")
         following = self.scratch.table(following, f"entries{r + 1}")
-        return self.scratch.table(other.unionByName(small), f"found{r}", narrow=True), following
+        tops = parents.filter("b <> direct").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nt")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nt")).otherwise(F.col("na")).alias("nb"))
+        return self.scratch.table(other.unionByName(small).unionByName(tops), f"found{r}", narrow=True), following
 
     def _merged(self, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Roots after links (a, b) more: the components of a graph whose nodes are roots."""

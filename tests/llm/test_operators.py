@@ -611,3 +611,26 @@ def test_join_takes_rows_without_ids(spark):
     out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in out) == [(0, 0), (0, 7), (0, 7), (7, 7), (7, 7), (8, 8)]
     assert len({r["keeper"] for r in out if r["n_shingles"] > 30}) == 1 and sum(r["row"] == r["keeper"] for r in out) == 4
+
+
+def test_unlike_copies_of_copies_get_one_parent(spark):
+    """A parent that has a parent with nearly as much of the set would part one text's copies, which are then compared pair by pair."""
+    rng = np.random.default_rng(11)
+    base, blocks = [f"t{i}" for i in range(150)], [[f"b{k}x{i}" for i in range(40)] for k in range(3)]
+    rows, texts = [], [base]
+    for i in range(150):
+        w = list(texts[int(rng.integers(0, min(len(texts), 30)))])
+        for k in rng.integers(0, len(w), int(rng.integers(1, 9))):
+            w[k] = f"e{rng.integers(1_000_000)}"
+        if len(texts) < 30:
+            texts.append(w)
+        rows.append((i, " ".join(w + blocks[i % 3] * (i % 2)), "en", "a", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, ngram_join.similar_documents(df).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(brute_components(rows))
+    join = ngram_join.NgramJoin(df)
+    join.components()
+    tokens = {r["sig"]: set(r["t"]) for r in join.sets.select("sig", F.col("entries.token").alias("t")).collect()}
+    parent = {r["a"]: r["b"] for r in spark.read.parquet(f"{join.scratch.path}/round0-parents").collect()}
+    above = {a: (len(tokens[a] & tokens[b]), len(tokens[a] & tokens[parent[b]])) for a, b in parent.items() if b in parent and parent[b] not in parent}
+    assert len(parent) > 50 and all(4 * more < 3 * own for own, more in above.values())
