@@ -351,7 +351,7 @@ def name_similarity(t):
 @bound("match_optimal")
 def match_optimal(t):
     a, b = halves(t)
-    return linkage.match_optimal(linkage.candidates(a, b, by=("block",)))
+    return linkage.match_records(a, b, by=("block",))
 
 
 @bound("match_staged")

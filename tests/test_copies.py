@@ -60,3 +60,22 @@ def test_twins_along_a_long_chain_keep_a_small_plan(spark):
     rows = [(i, "old barn", 40 + i * 0.0018, -75.0) for i in range(90)]
     found = linkage.drop_near_twins(spark.createDataFrame(rows, "id long, name string, lat double, lon double"), 300.0)
     assert sorted(r["id"] for r in found.collect()) == list(range(0, 90, 2)) and small_plan(found)
+
+
+def test_copies_match_by_class_as_well_as_by_pairs(spark):
+    """Records of one name, place and block are matched by their number, and no row is made for each pair of them."""
+    rng = random.Random(4)
+    names = ["old barn", "old barns", "red mill", "red mills inn", None]
+    sides = []
+    for x in "ab":
+        rows = [(k, rng.choice(names), 40 + rng.randrange(3) * 0.002, -75.0, rng.choice("XY")) for k in range(60)]
+        sides.append(spark.createDataFrame(rows, f"{x}_id long, {x}_name string, {x}_lat double, {x}_lon double, block string"))
+    a, b = sides
+    pairs = {(r["a_id"], r["b_id"]): r["score"] for r in linkage.candidates(a, b, by=("block",)).collect()}
+    want = linkage.match_optimal(linkage.candidates(a, b, by=("block",))).collect()
+    rows = linkage.match_records(a, b, by=("block",)).collect()
+    assert len({r["a_id"] for r in rows}) == len({r["b_id"] for r in rows}) == len(rows) == len(want) > 20
+    assert all(abs(pairs[r["a_id"], r["b_id"]] - r["score"]) < 1e-9 for r in rows)
+    assert abs(sum(r["score"] for r in rows) - sum(r["score"] for r in want)) < 1e-6
+    _, classes = linkage._classes(a, "a", ("block",))
+    assert classes.count() <= 30 and classes.agg({"a_size": "sum"}).first()[0] == 60
