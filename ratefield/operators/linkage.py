@@ -248,8 +248,7 @@ def match_staged(a: DataFrame, b: DataFrame, stages: list[tuple[float, float]] =
     """Match in stages (radius, threshold): each sees the records that earlier ones left. Every row of a, with b_id, score, distance_m and stage, or nulls."""
     done, left, right = None, a, b
     for k, (radius, threshold) in enumerate(stages):
-        got = match_optimal(candidates(left, right, radius, threshold, by)).withColumn("stage", F.lit(k))
-        got = got.checkpoint()
+        got = match_records(left, right, radius, threshold, by).withColumn("stage", F.lit(k))
         done = got if done is None else done.unionByName(got)
         left, right = left.join(got.select("a_id"), "a_id", "left_anti"), right.join(got.select("b_id"), "b_id", "left_anti")
     return a.select("a_id").join(done, "a_id", "left")
