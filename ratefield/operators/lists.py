@@ -65,7 +65,9 @@ def independence(n: dict[str, float], steps: int = 100) -> dict[str, float]:
         if np.abs(step).max() < 1e-12:
             break
     mu = np.exp(x @ beta)
-    se = math.sqrt(np.linalg.pinv(x.T @ (mu[:, None] * x))[0, 0])
+    # where cells without records leave a term open, rounding can take the variance below zero: it is endless then
+    variance = np.linalg.pinv(x.T @ (mu[:, None] * x), hermitian=True)[0, 0]
+    se = math.sqrt(variance) if variance >= 0 else math.inf
     ratio = 2 * float(np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0).sum() - (y - mu).sum())
     with np.errstate(over="ignore"):  # where cells without records leave a term open, the interval is endless
         low, mid, high = np.exp([beta[0] - Z * se, beta[0], beta[0] + Z * se]).tolist()

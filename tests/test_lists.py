@@ -84,3 +84,11 @@ def test_report(spark):
     none = lists.report(df.filter("a = 1 and b = 1"), NAMES).first()
     assert none["saturated"] is None and none["truth"] is None
     assert lists.report(df.limit(0), NAMES).first()["identities"] == 0
+
+
+def test_independence_with_a_variance_rounded_below_zero(monkeypatch):
+    from ratefield.operators import lists
+
+    monkeypatch.setattr(lists.np.linalg, "pinv", lambda *a, **k: lists.np.full((4, 4), -1e-9))
+    fit = lists.independence({"111": 0, "110": 0, "101": 0, "011": 0, "100": 0, "010": 0, "001": 5})
+    assert fit["unseen_low"] == 0 and fit["unseen_high"] == float("inf")
