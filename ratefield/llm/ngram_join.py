@@ -21,6 +21,8 @@ FREQUENT = (16, 4096)
 SMALL_LEVEL = 4
 #: Representatives up to this number are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 21
+#: Parents that more sets have, of those met at a set's keys: so many of the largest are tried in place of its own.
+SHARED = 3
 #: Tokens that a task gathers before it sends them, and documents (two bytes number them; the last number means "known").
 _CHUNK, _CHUNK_DOCS, _KNOWN = 1 << 19, 65_000, 65_535
 _SLICE = 1 << 20
@@ -341,7 +343,7 @@ class NgramJoin:
     def parents(self, entries: DataFrame, before: DataFrame | None, name: str) -> DataFrame:
         """For each set one that leads about as many of its keys as any: a, b, na, sa, chain, core and rest; and direct, nb and c.
 
-        direct is that leader, nb its size and c the tokens in common; b, the parent, is direct or its forest's top, of size nt.
+        direct is that leader, nb its size and c the tokens in common; b, the parent, is direct, its forest's top or one that more sets have, of size nt.
 
         A set's parents so far are its chain; core is the number of its tokens that one of them has, rest those that
         none has and another set has. before: the parents of the round before.
@@ -370,10 +372,34 @@ class NgramJoin:
         # the top of the parents, where it has nearly as much of the set, stands for its parent: one text's copies get one parent
         far = far.withColumn("more", F.array_intersect("old_rest", "ttop")).withColumn("high", 4 * F.size("more") >= 3 * F.size("gain"))
         far = far.withColumns({"b": F.when(F.col("high"), F.col("top")).otherwise(F.col("b")), "gain": F.when(F.col("high"), F.col("more")).otherwise(F.col("gain"))}).select(near.columns)
-        out = near.unionByName(far).withColumns(
+        first = self.scratch.table(near.unionByName(far), f"{name}-first")
+        out = self.shared_parents(entries, first).withColumns(
             {"chain": F.col("b") if before is None else F.xxhash64("old_chain", "b"), "core": F.col("old_core") + F.size("gain"), "rest": F.array_except("old_rest", "gain")}
         )
-        return self.scratch.table(out.select("a", "b", "direct", "na", "nb", "nt", "sa", "c", "chain", "core", "rest"), f"{name}-parents")
+        out = self.scratch.table(out.select("a", "b", "direct", "na", "nb", "nt", "sa", "c", "chain", "core", "rest"), f"{name}-parents")
+        self.scratch.drop(f"{name}-first")
+        return out
+
+    def shared_parents(self, entries: DataFrame, first: DataFrame) -> DataFrame:
+        """first with b, gain and nt of the parent that most sets have, of those met at a set's keys, where it has half of what the set's own has.
+
+        So two parents of one text, which many sets of both meet at their keys, don't part its copies: sets of different
+        parents are compared wherever their keys meet. Only sets without a parent are taken, so parents make a forest still.
+        """
+        fame = first.groupBy("b").agg(F.count("*").alias("fame"))
+        tops = fame.filter("fame > 1").join(first.select(F.col("a").alias("b")), "b", "left_anti")
+        of_set = first.select(F.col("a").alias("sig"), "b").unionByName(tops.select(F.col("b").alias("sig"), "b")).join(tops, "b")
+        met = entries.select("key", "sig")
+        lead = met.join(of_set, "sig").groupBy("key").agg(F.max(F.struct("fame", "b")).alias("p"))
+        own = first.join(fame, "b").select(F.col("a").alias("sig"), F.struct("fame", "b").alias("own"))
+        larger = met.join(lead, "key").select("sig", "p").distinct().join(own, "sig").filter("p > own")
+        few = larger.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("p")))).filter(F.col("at") <= SHARED)
+        tried = few.select(F.col("sig").alias("a"), "p", F.col("p.b").alias("b")).join(self.tokens("b"), "b").join(first.select("a", "old_rest", F.size("gain").alias("had")), "a")
+        tried = tried.withColumn("gain", F.array_intersect("old_rest", "tb")).filter(2 * F.size("gain") >= F.col("had"))
+        best = tried.groupBy("a").agg(F.max(F.struct("p", "gain")).alias("t")).select("a", F.col("t.p.b").alias("shared"), F.col("t.gain").alias("more"))
+        best = best.join(self.sets.select(F.col("sig").alias("shared"), F.col("n").alias("size")), "shared")
+        out = first.join(best, "a", "left").withColumns({"b": F.coalesce("shared", "b"), "gain": F.coalesce("more", "gain"), "nt": F.coalesce("size", "nt")})
+        return out.select(first.columns)
 
     def components(self, rounds: int = 3) -> DataFrame:
         """(sig, root) of the sets that link to another; two sets that reach each other by links have one root.

@@ -634,3 +634,22 @@ def test_unlike_copies_of_copies_get_one_parent(spark):
     parent = {r["a"]: r["b"] for r in spark.read.parquet(f"{join.scratch.path}/round0-parents").collect()}
     above = {a: (len(tokens[a] & tokens[b]), len(tokens[a] & tokens[parent[b]])) for a, b in parent.items() if b in parent and parent[b] not in parent}
     assert len(parent) > 50 and all(4 * more < 3 * own for own, more in above.values())
+
+
+def test_versions_of_one_text_get_one_parent(spark):
+    """Copies of four versions of a text, each led by its own, would be compared pair by pair across the versions."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"t{i}" for i in range(150)], []
+    versions = [[f"v{k}x{i}" if i % 30 == 5 * k else t for i, t in enumerate(base)] for k in range(4)]
+    for i in range(120):
+        w = list(versions[i % 4])
+        for k in rng.integers(0, len(w), int(rng.integers(3, 9))):
+            w[k] = f"e{rng.integers(1_000_000)}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, ngram_join.similar_documents(df).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(brute_components(rows))
+    join = ngram_join.NgramJoin(df)
+    join.components()
+    parents = [r["b"] for r in spark.read.parquet(f"{join.scratch.path}/round0-parents").collect()]
+    assert len(parents) > 40 and len(set(parents)) == 1
