@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ratefield.functions.text import name_score, name_variants, normal_name, sorted_ratio
 from ratefield.operators.graphs import components, thinned
-from ratefield.operators.spatial import distance_join
-from ratefield.session import ensure_checkpoint_dir, scratch_dir
+from ratefield.operators.spatial import EARTH_M, distance_join
+from ratefield.session import scratch_dir
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -279,25 +281,55 @@ def match_in_blocks(a: DataFrame, b: DataFrame, block: str, threshold: float = 6
     return left.cogroup(right).applyInPandas(lambda x, y: run(x, y), f"{ids[0]}, {ids[1]}, score double")
 
 
+def _first_of_twins(part: pd.DataFrame, radius_m: float) -> list:
+    """The ids of rows (id, twin, lat, lon, x, y, z) of which none lies within the radius of an earlier one's that stays, with one twin. Only rows of the 27 cells around are looked at, and few that stay fit in one."""
+    stay: list = []
+    held: dict[tuple, list[tuple[float, float, float]]] = {}
+    part = part.sort_values("id")
+    p, lon = np.radians(part["lat"].to_numpy(float)), part["lon"].to_numpy(float)
+    rows = zip(part["id"].tolist(), part["twin"].tolist(), *(part[c].tolist() for c in "xyz"), p.tolist(), np.cos(p).tolist(), lon.tolist(), strict=True)
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    for one, own in groupby(rows, key=lambda r: r[0]):
+        own = list(own)
+        near = False
+        for _, twin, x, y, z, q, cos_q, east in own:
+            for i, j, k in around:
+                for p, cos_p, west in held.get((twin, x + i, y + j, z + k), ()):
+                    h = math.sin((q - p) / 2) ** 2 + cos_p * cos_q * math.sin(math.radians(east - west) / 2) ** 2
+                    near = near or 2 * EARTH_M * math.asin(math.sqrt(min(1.0, h))) <= radius_m
+        if not near:
+            stay.append(one)
+            for _, twin, x, y, z, q, cos_q, east in own:
+                held.setdefault((twin, x, y, z), []).append((q, cos_q, east))
+    return stay
+
+
 def drop_near_twins(points: DataFrame, radius_m: float = 100.0) -> DataFrame:
     """Of points (id, name, lat, lon) with one normalised name within a radius of a kept one, by id, only the first stays.
 
-    Candidate links come from a distance join within the name; the sequence matters only within a component of them.
+    Of ids with the same names and places only the least can stay. Places fall in cells of space as wide as the radius, so
+    that twins lie in one cell or beside it; the sequence matters only within a component of such cells, which is a group.
+    Neither pairs of points nor links between them are made.
     """
-    named = points.withColumn("_twin", normal_name(F.col("name"))).filter("_twin <> ''")
-    side = lambda x: named.select("_twin", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "lat", "lon")])
-    ensure_checkpoint_dir(points.sparkSession)
-    links = distance_join(side("a"), side("b"), radius_m, ("_twin",)).filter("a_id < b_id").select("a_id", "b_id").checkpoint()
-    ends = links.select(F.col("a_id").alias("node")).union(links.select("b_id")).distinct()
-    parts = components(ends, links.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    rad = lambda c: F.radians(F.col(c).cast("double"))
+    # a little wider than the radius, as the numbers are rounded
+    cell = lambda x: F.floor(x * EARTH_M / (radius_m * 1.001 + 0.001)).cast("long")
+    spots = points.withColumn("_twin", normal_name(F.col("name"))).filter("_twin <> '' and id is not null and abs(lat) < double('inf') and abs(lon) < double('inf')")
+    spot = F.struct(F.col("_twin").alias("twin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    records = _written(spots.groupBy("id").agg(F.array_sort(F.collect_set(spot)).alias("_rows")), "records")
+    rows = records.groupBy("_rows").agg(F.min("id").alias("id")).select("id", F.explode("_rows").alias("_r")).select("id", "_r.*")
+    rows = rows.withColumns({"x": cell(F.cos(rad("lat")) * F.cos(rad("lon"))), "y": cell(F.cos(rad("lat")) * F.sin(rad("lon"))), "z": cell(F.sin(rad("lat")))})
+    # cells of one hash are one node, which at most makes a group of two
+    rows = _written(rows.withColumn("node", F.xxhash64("twin", "x", "y", "z")), "twins")
+    cells = _written(rows.select("node", "twin", "x", "y", "z").distinct(), "cells")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)])
+    beside = cells.select("node", "twin", "x", "y", "z", F.explode(steps).alias("_s")).select(F.col("node").alias("src"), F.xxhash64("twin", F.col("x") + F.col("_s.i"), F.col("y") + F.col("_s.j"), F.col("z") + F.col("_s.k")).alias("node"))
+    edges = beside.join(cells.select("node"), "node").select("src", F.col("node").alias("dst"))
+    own = rows.groupBy("id").agg(F.collect_set("node").alias("_n")).filter(F.size("_n") > 1)
+    edges = edges.union(own.select(F.col("_n")[0].alias("src"), F.explode("_n").alias("dst")))
+    groups = components(cells.select("node").distinct(), thinned(edges))
+    # rows are few bytes and much work, so that sizes would put them in too few tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = points.schema["id"].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for row in part.sort_values(["a_id", "b_id"]).itertuples():
-            if row.a_id not in gone:
-                gone.add(row.b_id)
-        return pd.DataFrame({"id": sorted(gone)})
-
-    gone = links.join(parts.withColumnRenamed("node", "a_id"), "a_id").select("component", "a_id", "b_id").groupBy("component").applyInPandas(lambda p: run(p), f"id {kind}")
-    return points.join(gone, "id", "left_anti")
+    stay = rows.join(groups, "node").drop("node").repartition(tasks, "component").groupBy("component").applyInPandas(lambda p: pd.DataFrame({"id": _first_of_twins(p, radius_m)}), f"id {kind}")
+    return points.join(records.select("id").join(stay, "id", "left_anti"), "id", "left_anti")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
 
-from ratefield.operators import graphs, linkage
+from ratefield.operators import graphs, linkage, spatial
 from ratefield.plans import catalog
 
 
@@ -79,3 +80,59 @@ def test_copies_match_by_class_as_well_as_by_pairs(spark):
     assert abs(sum(r["score"] for r in rows) - sum(r["score"] for r in want)) < 1e-6
     _, classes = linkage._classes(a, "a", ("block",))
     assert classes.count() <= 30 and classes.agg({"a_size": "sum"}).first()[0] == 60
+
+
+def rows_made(spark, since=0):
+    """The most rows that a step of the executions since has put out, and the number of executions."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, n = 0, store.executionsList().size()
+    for k in range(since, n):
+        e = store.executionsList().apply(k)
+        values = store.executionMetrics(e.executionId())
+        for m in (e.metrics().apply(i) for i in range(e.metrics().size())):
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, n
+
+
+def first_of_twins(rows, radius):
+    """Ids that stay, by the definition: one after the other, against all rows of those that stay."""
+
+    def metres(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * spatial.EARTH_M * math.asin(math.sqrt(min(1.0, h)))
+
+    stay = []
+    for k in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == k]
+        if not any(a[1] == b[1] and metres(a, b) <= radius for a in stay for b in own):
+            stay += own
+    return {r[0] for r in stay}
+
+
+def test_twins_in_a_dense_place_make_no_row_for_each_pair(spark):
+    rng = random.Random(8)
+    rows = [(k, "old barn", 40.0, -75.0) for k in range(0, 1_200, 2)]
+    rows += [(k, rng.choice(["old barn", "red mill"]), 40 + rng.uniform(0, 0.004), -75 + rng.uniform(0, 0.004)) for k in range(1, 1_200, 2)]
+    points = spark.createDataFrame(rows, "id long, name string, lat double, lon double")
+    _, since = rows_made(spark)
+    got = sorted(r["id"] for r in linkage.drop_near_twins(points).collect())
+    assert got == sorted(first_of_twins(rows, 100.0)) and 10 < len(got) < 200
+    assert 1_000 < rows_made(spark, since)[0] < 20_000
+
+
+def test_twins_around_the_globe_and_of_many_places(spark):
+    """Twins across the date line and the pole, and ids with rows in several places or of several names."""
+    rng = random.Random(9)
+    spots = [(10.0, 180.0), (-89.999, 0.0), (0.0, 0.0), (90.0, 0.0), (60.0, -180.0)]
+    rows = []
+    for _ in range(400):
+        lat, lon = rng.choice(spots)
+        lat, lon = max(-90.0, min(90.0, lat + rng.uniform(-0.01, 0.01))), lon + rng.uniform(-0.01, 0.01) * (20 if abs(lat) > 80 else 1)
+        rows.append((rng.randrange(330), rng.choice(["old barn", "red mill"]), lat, (lon + 180) % 360 - 180))
+    points = spark.createDataFrame([*rows, (500, "old barn", math.nan, 0.0), (501, "old barn", math.nan, 0.0), (502, "old barn", None, 0.0)], "id long, name string, lat double, lon double")
+    for radius in (100.0, 400.0):
+        want = first_of_twins(rows, radius)
+        assert {r["id"] for r in linkage.drop_near_twins(points, radius).collect()} == want | {500, 501, 502} and len(want) < len({r[0] for r in rows})
