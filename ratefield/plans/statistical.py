@@ -339,13 +339,27 @@ def halves(t):
     return half(t, "a", 0), half(t, "b", 1)
 
 
+#: Ids of one block and name that stand in one array.
+PIECE = 512
+
+
+def pieces(side, x):
+    """The ids {x}_ids of each block and name, in arrays of about PIECE."""
+    named = ["block", f"{x}_name"]
+    of = side.groupBy(*named).agg(F.ceil(F.count("*") / PIECE).alias("_of"))
+    return side.join(of, named).groupBy(*named, F.pmod(F.xxhash64(f"{x}_id"), F.col("_of")).alias("_piece")).agg(F.collect_list(f"{x}_id").alias(f"{x}_ids")).drop("_piece")
+
+
 @bound("name_similarity")
 def name_similarity(t):
-    """Scores of all pairs of a block; equal names are scored once."""
+    """Scores of all pairs of a block; equal names are scored once, and ids are paired as arrays, which are unfolded last."""
     a, b = halves(t)
     names = a.select("block", "a_name").distinct().join(b.select("block", "b_name").distinct(), "block")
     scored = names.withColumn("score", linkage.name_score(tx.name_variants(F.col("a_name")), tx.name_variants(F.col("b_name"))))
-    return a.join(scored, ["block", "a_name"]).join(b, ["block", "b_name"]).select("a_id", "b_id", "score")
+    both = scored.join(pieces(a, "a"), ["block", "a_name"]).join(pieces(b, "b"), ["block", "b_name"])
+    # few rows here are many below, so that sizes would put them in too few tasks
+    both = both.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "a_name", "b_name", F.col("a_ids")[0], F.col("b_ids")[0])
+    return both.select(F.explode("a_ids").alias("a_id"), "b_ids", "score").select("a_id", F.explode("b_ids").alias("b_id"), "score")
 
 
 @bound("match_optimal")
